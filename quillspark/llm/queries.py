@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, chat, sharding, warc
+from quillspark.llm import bpe, chat, decontaminate, langid, quality, sharding, substring, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.label_documents(docs, langid.learn(docs))
+
+
+def op5_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge_documents(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
@@ -33,9 +56,15 @@ def op10_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(table(spark, sf_dir, "conversations"))
 
 
+QUERIES = (
+    op1_substring_dedup, op2_toxicity_cnn, op3_language_id, op4_jump_shards, op5_bm25_decontamination,
+    op6_warc_revisits, op7_crf_quality, op9_byte_bpe, op10_chat_prefix_targets,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_jump_shards, op6_warc_revisits, op9_byte_bpe, op10_chat_prefix_targets)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_revisits": warc.ORACLE_SQL, "op10_chat_prefix_targets": chat.ORACLE_SQL}
+    return {"op1_substring_dedup": substring.ORACLE_SQL, "op6_warc_revisits": warc.ORACLE_SQL, "op10_chat_prefix_targets": chat.ORACLE_SQL}

@@ -94,11 +94,11 @@ class Words:
         return np.searchsorted(self.row, np.arange(len(self.offsets)), "left")
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashed: bool = True) -> Words:
+def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashed: bool = True, space: np.ndarray = SPACE) -> Words:
     if lower:
         data = LOWER[data]
     n = len(data)
-    solid = ~SPACE[data]
+    solid = ~space[data]
     head = np.zeros(n + 1, bool)
     head[offsets] = True
     before = np.empty(n, bool)
