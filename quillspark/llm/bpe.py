@@ -33,7 +33,7 @@ REMEMBER = 1_000_000
 BUCKETS = (4, 6, 8, 10, 12, 16, 24, 32, 64, 128, LONG)
 NONE = np.int32(1 << 30)
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-IDS = "doc_id long, ids array<int>"
+IDS = "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: The only pattern split_pieces() knows: contractions, then runs of letters, numbers, others, each with a space before
 #: it, then white space, whose last character stays for what follows. Fixed: it must equal the tokenizer's.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -327,7 +327,7 @@ def _mapped(docs: DataFrame, path: str, pattern: str, schema: str, each) -> Data
     tune(spark)
     with open(path, "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())
-    names = [x.split()[0] for x in schema.split(", ")]
+    names = [x.split()[0] for x in schema.split(", ")]  # no type here holds a comma and a space
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(sent.value)
@@ -351,8 +351,8 @@ def _digests(bpe: Bpe, ids: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
-    """doc_id, ids: the token ids of each whole text."""
-    return _mapped(docs, path, pattern, IDS, lambda _, ids, offsets: [pa.ListArray.from_arrays(offsets.astype(np.int32), ids)])
+    """doc_id, ids (the token ids of each whole text), and the columns of digest()."""
+    return _mapped(docs, path, pattern, IDS, lambda bpe, ids, offsets: [pa.ListArray.from_arrays(offsets.astype(np.int32), ids), *_digests(bpe, ids, offsets)])
 
 
 def digest(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, chat, decontaminate, langid, quality, sharding, substring, toxicity, warc
+from quillspark.llm import bpe, chat, decontaminate, langid, near_dup, quality, sharding, substring, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,10 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
 
 
+def op8_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.group_documents(table(spark, sf_dir, "documents"), threshold=0.85)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,7 +62,7 @@ def op10_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     op1_substring_dedup, op2_toxicity_cnn, op3_language_id, op4_jump_shards, op5_bm25_decontamination,
-    op6_warc_revisits, op7_crf_quality, op9_byte_bpe, op10_chat_prefix_targets,
+    op6_warc_revisits, op7_crf_quality, op8_setsketch_near_dedup, op9_byte_bpe, op10_chat_prefix_targets,
 )
 
 
@@ -67,4 +71,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substring.ORACLE_SQL, "op6_warc_revisits": warc.ORACLE_SQL, "op10_chat_prefix_targets": chat.ORACLE_SQL}
+    return {"op1_substring_dedup": substring.ORACLE_SQL, "op8_setsketch_near_dedup": near_dup.ORACLE_SQL, "op6_warc_revisits": warc.ORACLE_SQL, "op10_chat_prefix_targets": chat.ORACLE_SQL}
