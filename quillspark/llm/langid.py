@@ -57,7 +57,7 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
     rows, counts = (np.concatenate([x[i] for x in found]) for i in range(2))
-    return rows, (counts / counts.sum()).astype(np.float32)
+    return rows.astype(np.int32), (counts / counts.sum()).astype(np.float32)
 
 
 @dataclass
