@@ -188,9 +188,19 @@ def _marginals(crf: Crf, lines: Lines) -> tuple[np.ndarray, np.ndarray]:
     return np.exp(both - norm[:, None]), np.exp(pair).sum(0)
 
 
+def _measured(texts: list[str]) -> tuple[Counts, Lines]:
+    data, offsets = text_bytes(pa.array(texts, pa.string()))
+    parts = [measure(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets)]
+    begin = [a for a, _ in slices(offsets)]
+    joined = lambda get: np.concatenate([get(p) for p in parts])
+    counts = Counts(*(joined(lambda p, n=n: getattr(p[0], n)) for n in Counts.__dataclass_fields__))
+    row = np.concatenate([p[1].row + a for a, p in zip(begin, parts, strict=True)])
+    return counts, Lines(row, np.searchsorted(row, np.arange(len(texts) + 1)), joined(lambda p: p[1].x), joined(lambda p: p[1].chars))
+
+
 def fit(texts: list[str], good: list[int], rounds: int = 150, rate: float = 0.1, pull: float = 1e-4) -> Crf | None:
     good = np.array(good, np.int64)
-    counts, lines = measure(*text_bytes(pa.array(texts, pa.string())))
+    counts, lines = _measured(texts)
     fine = ~base_fails(counts)
     if len(set(good[fine])) < 2:
         return None
