@@ -1,33 +1,20 @@
-"""One query per operator of the library, over the driver's tables, each with its DuckDB oracle where SQL can say it."""
+"""All queries of the library, one or more per operator."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from quillspark import registry
+from quillspark.plans import relational
 
 
 def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every customer with the count and newest date of their pending orders; customers without any stay."""
-    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "P")
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    joined = customers.join(orders.select("o_custkey", "o_orderkey", "o_orderdate"), F.col("c_custkey") == F.col("o_custkey"), "left")
-    out = joined.groupBy("c_custkey", "c_name", "c_mktsegment").agg(F.count("o_orderkey").alias("n_messages"), F.coalesce(F.max("o_orderdate"), F.lit("1970-01-01").cast("timestamp_ntz")).alias("last_at"))
-    return out.filter(F.col("n_messages") < 4).orderBy(F.desc("last_at"), F.desc("c_custkey"))
+    return relational.agg2_session_summary(spark, sf_dir)
 
 
-def queries() -> dict[str, Query]:
-    return {"session_summary": session_summary}
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "session_summary": "SELECT c_custkey, c_name, c_mktsegment, count(o_orderkey) AS n_messages, coalesce(max(o_orderdate), TIMESTAMP '1970-01-01') AS last_at FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY ALL HAVING count(o_orderkey) < 4"
-    }
+    return dict(registry.ORACLES)
