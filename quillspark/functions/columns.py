@@ -35,7 +35,7 @@ def strip_comments(c: Column) -> Column:
 
 
 def strip_tags(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, "<[^>]+>", ""))
+    return F.regexp_replace(F.regexp_replace(c, "<[^>]+>", ""), r"^\s+|\s+$", "")
 
 
 def strip_markdown(c: Column) -> Column:
@@ -164,14 +164,15 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def version_array(c: Column) -> Column:
-    """Numbers of a dotted version, which compare in order; null if it isn't one."""
-    clean = F.regexp_extract(c, r"^v?(\d+(?:\.\d+)*)$", 1)
-    return F.when(F.length(clean) > 0, F.transform(F.split(clean, r"\."), lambda x: x.cast("int")))
+    """Three numbers of a dotted version, which compare in order; other characters don't count, missing parts are 0."""
+    parts = F.slice(F.split(F.regexp_replace(c, "^v+", ""), r"\."), 1, 3)
+    numbers = F.transform(parts, lambda x: F.coalesce(F.regexp_replace(x, r"\D", "").try_cast("int"), F.lit(0)))
+    return F.slice(F.concat(numbers, F.array(F.lit(0), F.lit(0), F.lit(0))), 1, 3)
 
 
 def year_of(c: Column, last: int) -> Column:
-    """A year from 1990 to last in a date string, else null."""
-    year = F.regexp_extract(c, r"(\d{4})", 1).try_cast("int")
+    """The year from 1990 to last at the head of a PDF date, else null."""
+    year = F.regexp_extract(c, r"^D:(\d{4})", 1).try_cast("int")
     return F.when(year.between(1990, last), year)
 
 
@@ -179,7 +180,8 @@ def retry_after(c: Column, now: Column) -> Column:
     """Seconds to wait: a number, or a date against now; never negative, null if neither."""
     seconds = c.try_cast("double")
     date = F.try_to_timestamp(F.regexp_replace(c, r"^\w{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.greatest(F.lit(0.0), F.coalesce(seconds, (F.unix_timestamp(date) - F.unix_timestamp(now)).cast("double")))
+    wait = F.coalesce(seconds, (F.unix_timestamp(date) - F.unix_timestamp(now)).cast("double"))
+    return F.when(wait.isNotNull(), F.greatest(F.lit(0.0), wait))
 
 
 def scale_box(box: Column, factor: Column) -> Column:
@@ -187,8 +189,8 @@ def scale_box(box: Column, factor: Column) -> Column:
 
 
 def lift_fence(c: Column) -> Column:
-    """A one-line ```sql fence as a fence of three lines."""
-    return F.regexp_replace(c, r"(?m)^```sql[ \t]+(\S.*?)[ \t]*```[ \t]*$", "```sql\n$1\n```")
+    """A ```sql fence that stands on one line as a fence of its own lines."""
+    return F.regexp_replace(c, r"(?i)```sql[ \t]+([^\n]*?)[ \t]*```", "\n\n```sql\n$1\n```\n")
 
 
 def json_in_prose(c: Column) -> Column:
@@ -197,11 +199,108 @@ def json_in_prose(c: Column) -> Column:
 
 
 def arxiv_ids(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?<![\d.])(\d{4}\.\d{4,5}(?:v\d+)?)(?!\d)"), 1))
+    """Preprint numbers in a text, without their versions."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?i)\b(?:arxiv[:\s/]+)?(\d{4}\.\d{4,5})(?:v\d+)?\b"), 1))
 
 
 def dois(c: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"\b(10\.\d{4,9}/[^\s\"<>]+)"), 1), lambda x: F.regexp_replace(x, r"[.,;)]+$", "")))
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?i)\b(10\.\d{4,9}/[-._;()/:A-Z0-9]+)\b"), 1))
+
+
+def is_cite_key(c: Column) -> Column:
+    """Whether a hint is a bibliography key (name, year, topic) and not a title."""
+    return c.rlike(r"^[a-z]{2,}\d{4}[a-z][a-z0-9]{2,}$")
+
+
+def plain_words(c: Column) -> Column:
+    """A web query's words without quotes and boolean operators."""
+    out = F.translate(c, "\"'“”", "")
+    for word in (" OR ", " AND ", " NOT "):
+        out = F.replace(out, F.lit(word), F.lit(" "))
+    return F.trim(out)
+
+
+def web_query(hint: Column, terms: Column) -> Column:
+    kept = F.filter(F.transform(terms, plain_words), lambda t: (t != "") & ~F.upper(t).isin("OR", "AND", "NOT"))
+    return F.array_join(F.filter(F.concat(F.array(plain_words(hint)), kept), lambda t: t != ""), " ")
+
+
+def surname(c: Column) -> Column:
+    return F.regexp_extract(F.trim(c), r"(\S+)$", 1)
+
+
+def author_line(authors: Column, most: int = 3) -> Column:
+    """Surnames, with `et al.` past the first few."""
+    names = F.transform(F.filter(authors, lambda a: F.trim(a) != ""), surname)
+    return F.when(F.size(names) > most, F.concat(F.array_join(F.slice(names, 1, most), ", "), F.lit(", et al."))).otherwise(F.array_join(names, ", "))
+
+
+def date_line(year: Column, external_id: Column) -> Column:
+    name = F.concat(F.lit("arXiv:"), external_id)
+    return F.coalesce(F.concat(name, F.lit(" ("), year.cast("string"), F.lit(")")), name, year.cast("string"), F.lit(""))
+
+
+def tex_escape(c: Column) -> Column:
+    """Plain text as TeX text; the backslash stands aside while the other marks get theirs."""
+    out = F.replace(c, F.lit("\\"), F.lit("\u0001"))
+    out = F.regexp_replace(out, r"([&%$#_{}])", r"\\$1")
+    for mark, put in (("~", r"\textasciitilde{}"), ("^", r"\textasciicircum{}"), ("\u0001", r"\textbackslash{}")):
+        out = F.replace(out, F.lit(mark), F.lit(put))
+    return out
+
+
+def cite_marker(c: Column) -> Column:
+    """The body of a `% cite:` line, else null."""
+    return F.nullif(F.trim(F.regexp_extract(c, r"(?im)^[ \t]*%[ \t]*cite:[ \t]*(.+?)[ \t]*$", 1)), F.lit(""))
+
+
+def cite_kind(c: Column) -> Column:
+    low = F.lower(cite_marker(c))
+    return F.when(low.isNull(), F.lit(None)).when(low.isin("title", "divider", "agenda", "hallucination"), low).otherwise("content")
+
+
+def cite_entries(c: Column) -> Column:
+    """(paper_id, section) of a content marker; malformed parts are left out."""
+    parts = F.transform(F.split(cite_marker(c), ";"), lambda p: F.struct(F.trim(F.split_part(p, F.lit(":"), F.lit(1))).try_cast("long").alias("paper_id"), F.trim(F.regexp_extract(p, r"(?s):(.*)$", 1)).alias("section")))
+    return F.when(cite_kind(c) == "content", F.filter(parts, lambda e: e["paper_id"].isNotNull() & (e["section"] != ""))).otherwise(F.expr("cast(array() as array<struct<paper_id: bigint, section: string>>)"))
+
+
+def cite_line(entries: Column) -> Column:
+    """The marker line of (paper_id, section) entries; empty if there are none."""
+    parts = F.transform(F.filter(entries, lambda e: e["section"] != ""), lambda e: F.concat(e["paper_id"].cast("string"), F.lit(":"), e["section"]))
+    return F.when(F.size(parts) > 0, F.concat(F.lit("% cite: "), F.array_join(parts, "; "))).otherwise("")
+
+
+def overlay_pages(frame: Column) -> Column:
+    """Pages of a slide frame: the greatest number in its overlay marks, 1 at least."""
+    specs = F.regexp_extract_all(frame, F.lit(r"(?:\\[a-zA-Z*]+(?:\[[^\]]*\])?|\\begin\{[^}]+\})<([^>]+)>"), 1)
+    parts = F.flatten(F.transform(specs, lambda s: F.split(s, ",")))
+    ends = F.transform(parts, lambda p: F.coalesce(F.regexp_extract(F.trim(p), r"^(?:\d*-)?(\d+)$", 1).try_cast("int"), F.regexp_extract(F.trim(p), r"^(\d+)-$", 1).try_cast("int"), F.lit(1)))
+    return F.greatest(F.lit(1), F.coalesce(F.array_max(ends), F.lit(1)))
+
+
+def frames(deck: Column) -> Column:
+    return F.regexp_extract_all(deck, F.lit(r"(?s)(\\begin\{frame\}.*?\\end\{frame\})"), 1)
+
+
+#: Phrases by which a survey is known.
+SURVEY_PHRASES = ("survey", "a review", "review of", "comprehensive review", "overview of", "taxonomy of")
+
+
+def is_survey(title: Column, abstract: Column) -> Column:
+    text = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(abstract, F.lit(""))))
+    test = F.lit(False)
+    for phrase in SURVEY_PHRASES:
+        test = test | F.contains(text, F.lit(phrase))
+    return test
+
+
+def unwrapped(c: Column) -> Column:
+    """A tool's answer: of JSON that is an object with the single key result, that value; else the text itself."""
+    value = F.try_parse_json(F.when(F.trim(c).rlike(r"^[{\[]"), F.trim(c)))
+    keys = F.json_object_keys(F.trim(c))
+    inner = F.try_variant_get(value, "$.result", "string")
+    return F.when(F.array_join(keys, ",") == "result", inner).otherwise(c)
 
 
 def setting_int(c: Column, low: int, high: int) -> Column:

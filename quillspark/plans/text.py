@@ -1,0 +1,256 @@
+"""Text and scalar functions over the driver's documents, conversations, pages and events."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.functions import columns as C
+from quillspark.functions import documents as D
+from quillspark.registry import query, table
+
+COL = F.col
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+@query(r"SELECT doc_id, length(regexp_replace(text, '(?m)^((?:[^%\n]*[^%\n\\])?(?:\\\\)*)%[^\n]*', '\1', 'g')) AS n, md5(regexp_replace(text, '(?m)^((?:[^%\n]*[^%\n\\])?(?:\\\\)*)%[^\n]*', '\1', 'g')) AS h FROM documents")
+def txt1_strip_comments(spark: SparkSession, d: str) -> DataFrame:
+    out = C.strip_comments(COL("text"))
+    return _docs(spark, d).select("doc_id", F.length(out).cast("long").alias("n"), F.md5(out.cast("binary")).alias("h"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'Figure ' || p_size WHEN p_size % 3 = 1 THEN 'Table ' || p_size END AS label FROM part")
+def txt5_layout_label(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(COL("p_size") % 3 == 0, "*Fig. ").when(COL("p_size") % 3 == 1, " TABLE ").otherwise("Panel ")
+    return table(spark, d, "part").select("p_partkey", C.layout_label(F.concat(kind, COL("p_size").cast("string"), F.lit(": x"))).alias("label"))
+
+
+@query(r"""WITH m AS (SELECT doc_id, '## ' || text || chr(10) || '![i](u) [see](http://x) **b** $x_1$' || chr(10) || '| --- | :-: |' || chr(10) || '|a|b|' AS t FROM documents)
+SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '(?m)^[ \t]*#{1,6}[ \t]+', '', 'g'), '(?m)^[ \t]*\|?[ \t:|-]*-[ \t:|-]*\|?[ \t]*$', '', 'g'), '|', ' '), '\${1,2}', '', 'g'), '\*\*|\*|__|_', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS h FROM m""")
+def txt7_strip_markdown(spark: SparkSession, d: str) -> DataFrame:
+    tail = "\n![i](u) [see](http://x) **b** $x_1$\n| --- | :-: |\n|a|b|"
+    return _docs(spark, d).select("doc_id", F.md5(C.strip_markdown(F.concat(F.lit("## "), COL("text"), F.lit(tail))).cast("binary")).alias("h"))
+
+
+@query(r"SELECT page_id, md5(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '^\s+|\s+$', '', 'g')) AS h FROM pages")
+def txt9_strip_tags(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.md5(C.strip_tags(COL("html")).cast("binary")).alias("h"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g')) AS h FROM documents")
+def txt10_alnum(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", F.md5(C.alnum(COL("text")).cast("binary")).alias("h"))
+
+
+@query(r"SELECT doc_id, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS h FROM documents")
+def txt11_section_key(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", F.md5(C.section_key(COL("text")).cast("binary")).alias("h"))
+
+
+@query("SELECT conv_id, turn, (conv_id || ',' || turn || CASE WHEN conv_id <> turn AND turn <> 12345 THEN '' ELSE '' END) AS ids, 12345 AS loose FROM conversations WHERE conv_id <> turn")
+def txt13_citations(spark: SparkSession, d: str) -> DataFrame:
+    cited = F.concat(COL("text"), F.lit(" [chunk:"), COL("conv_id").cast("string"), F.lit(", "), COL("turn").cast("string"), F.lit("] again [chunk:"), COL("conv_id").cast("string"), F.lit("]"))
+    rows = table(spark, d, "conversations").filter("conv_id <> turn").withColumn("cited", cited)
+    loose = C.loose_cited_ids(F.concat(F.lit("see chunk:12345. "), COL("cited")))
+    return rows.select("conv_id", "turn", F.array_join(C.cited_ids(COL("cited")), ",").alias("ids"), F.element_at(loose, 1).cast("int").alias("loose"))
+
+
+@query("SELECT item_id, printf('%04d.%05d', item_id, item_id + 10000) AS arxiv, '10.1234/ab' || item_id AS doi FROM benchmark")
+def txt14_structured_ids(spark: SparkSession, d: str) -> DataFrame:
+    said = F.format_string("see arXiv:%04d.%05dv2, and 10.1234/ab%d. ", "item_id", COL("item_id") + 10000, "item_id")
+    rows = table(spark, d, "benchmark").withColumn("said", F.concat(said, COL("text")))
+    return rows.select("item_id", F.array_join(C.arxiv_ids(COL("said")), ",").alias("arxiv"), F.array_join(C.dois(COL("said")), ",").alias("doi"))
+
+
+@query("SELECT item_id, 'deep nets' || CASE WHEN item_id % 2 = 0 THEN ' x' ELSE '' END AS q FROM benchmark")
+def txt15_web_query(spark: SparkSession, d: str) -> DataFrame:
+    terms = F.array(F.lit("OR"), F.when(COL("item_id") % 2 == 0, '"x"').otherwise("''"))
+    return table(spark, d, "benchmark").select("item_id", C.web_query(F.lit('"deep nets"'), terms).alias("q"))
+
+
+@query("SELECT item_id, '2401.' || item_id AS base FROM benchmark")
+def txt16_base_id(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select("item_id", C.base_id(F.concat(F.lit("2401."), COL("item_id").cast("string"), F.lit("v3"))).alias("base"))
+
+
+@query("SELECT doc_id, md5('key <redacted:anthropic> <redacted:openai> $HOME/f ' || text) AS h FROM documents WHERE NOT regexp_matches(text, 'sk-ant-[A-Za-z0-9_-]|sk-proj-[A-Za-z0-9_-]|AIza[A-Za-z0-9_-]{10,}')")
+def txt17_redact(spark: SparkSession, d: str) -> DataFrame:
+    rows = _docs(spark, d).filter(~COL("text").rlike("|".join(p for p, _ in C.HIDDEN)))
+    said = F.concat(F.lit("key sk-ant-a1 sk-proj-b2 /home/me/f "), COL("text"))
+    return rows.select("doc_id", F.md5(C.redact(said, "/home/me").cast("binary")).alias("h"))
+
+
+_RISK = " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{label}'" for p, label in (*C.SENSITIVE, *C.DANGEROUS))
+
+
+@query(f"SELECT doc_id, CASE {_RISK} END AS label FROM documents")
+def txt18_safety(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", C.safety_label(COL("text")).alias("label"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'session' ELSE 'global' END AS scope FROM conversations")
+def txt19_scope(spark: SparkSession, d: str) -> DataFrame:
+    said = F.concat(F.when(COL("turn") % 2 == 0, "This PROJECT uses ").otherwise("I always "), F.lit("Python"))
+    return table(spark, d, "conversations").select("conv_id", "turn", C.fact_scope(said).alias("scope"))
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 AS survey FROM documents WHERE NOT regexp_matches(lower(text), 'survey|a review|review of|overview of|taxonomy of')")
+def txt20_survey(spark: SparkSession, d: str) -> DataFrame:
+    rows = _docs(spark, d).filter(~C.is_survey(F.lit(""), COL("text")))
+    return rows.select("doc_id", C.is_survey(F.when(COL("doc_id") % 3 == 0, "A Survey").otherwise("A Study"), COL("text")).alias("survey"))
+
+
+@query("SELECT min(doc_id) AS doc_id, CASE WHEN doc_id % 50 = 0 THEN 'arxiv:' || doc_id ELSE 'sha256:' || sha256(text) END AS content_key FROM documents GROUP BY 2")
+def txt21_content_key(spark: SparkSession, d: str) -> DataFrame:
+    """One row per content key: exact duplicates are stored once."""
+    rows = _docs(spark, d).select("doc_id", C.content_key(F.when(COL("doc_id") % 50 == 0, COL("doc_id").cast("string")), COL("text")).alias("content_key"))
+    return rows.groupBy("content_key").agg(F.min("doc_id").alias("doc_id"))
+
+
+@query("SELECT doc_id, length(CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN 'm' ELSE text END) AS n FROM documents")
+def txt25_needle(spark: SparkSession, d: str) -> DataFrame:
+    match_text = F.when(COL("doc_id") % 4 == 0, "").when(COL("doc_id") % 4 == 1, "m")
+    return _docs(spark, d).select("doc_id", F.length(F.coalesce(match_text, COL("text"))).cast("long").alias("n"))
+
+
+@query("SELECT c_custkey, 'x ' || chr(10) || chr(10) || '```sql' || chr(10) || 'SELECT ' || c_custkey || chr(10) || '```' || chr(10) || ' y' AS lifted FROM customer")
+def txt26_lift_fence(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", C.lift_fence(F.concat(F.lit("x ```sql SELECT "), COL("c_custkey").cast("string"), F.lit(" ``` y"))).alias("lifted"))
+
+
+@query("SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) >= 3 AND w NOT IN (" + ", ".join(f"'{w}'" for w in C.STOP_WORDS) + ")))) AS topics, len(list_distinct(list_filter(regexp_extract_all(lower(regexp_replace(text, '<[^>]+>', ' ', 'g')), '[a-z0-9]+'), lambda w: length(w) >= 2))) AS contents FROM documents")
+def txt27_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", F.size(C.topic_tokens(COL("text"))).cast("long").alias("topics"), F.size(C.content_tokens(COL("text"))).cast("long").alias("contents"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def txt28_json_in_prose(spark: SparkSession, d: str) -> DataFrame:
+    said = F.concat(F.lit("Sure:\n```json\n"), COL("props"), F.lit("\n``` done"))
+    return table(spark, d, "events").select("event_id", F.get_json_object(C.json_in_prose(said), "$.k").alias("k"))
+
+
+@query(r"SELECT p_partkey, replace(replace(p_name, '_', '\_'), '#', '\#') || ' \& \textbackslash{}' AS title, 'A, Curie, Li, et al.' AS author, 'arXiv:' || p_partkey || ' (2024)' AS date FROM part")
+def txt32_title_metadata(spark: SparkSession, d: str) -> DataFrame:
+    authors = F.array(F.lit("Z A"), F.lit("Marie Curie"), F.lit(" "), F.lit("Li"), F.lit("Q R"))
+    return table(spark, d, "part").select("p_partkey", C.tex_escape(F.concat(COL("p_name"), F.lit(" & \\"))).alias("title"), C.author_line(authors).alias("author"), C.date_line(F.lit(2024), COL("p_partkey").cast("string")).alias("date"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'content' ELSE 'title' END AS kind, CASE WHEN p_size % 2 = 0 THEN '% cite: ' || p_partkey || ':Intro; 7:Method' ELSE '' END AS line FROM part")
+def txt33_cite_markers(spark: SparkSession, d: str) -> DataFrame:
+    body = F.when(COL("p_size") % 2 == 0, F.concat(COL("p_partkey").cast("string"), F.lit(" : Intro; bad; 7:Method;x:y"))).otherwise("Title")
+    frame = F.concat(F.lit("\\begin{frame}\n % CITE: "), body, F.lit("\nx\\end{frame}"))
+    return table(spark, d, "part").select("p_partkey", C.cite_kind(frame).alias("kind"), C.cite_line(C.cite_entries(frame)).alias("line"))
+
+
+@query("SELECT p_partkey, unnest([1, 2]) AS frame, CASE WHEN frame = 1 THEN greatest(1, p_size) ELSE 1 END AS pages FROM part")
+def txt34_frame_pages(spark: SparkSession, d: str) -> DataFrame:
+    deck = F.concat(F.lit("\\begin{frame}{A}\\item<1-"), COL("p_size").cast("string"), F.lit("> x\\end{frame} text \\begin{frame}y\\end{frame}"))
+    rows = table(spark, d, "part").select("p_partkey", F.posexplode(C.frames(deck)).alias("i", "tex"))
+    return rows.select("p_partkey", (COL("i") + 1).alias("frame"), C.overlay_pages(COL("tex")).alias("pages"))
+
+
+@query("SELECT p_brand, p_partkey, 'p' || (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) || '-' || p_partkey AS key FROM part")
+def txt36_inventory_keys(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    return table(spark, d, "part").select("p_brand", "p_partkey", F.concat(F.lit("p"), n.cast("string"), F.lit("-"), COL("p_partkey").cast("string")).alias("key"))
+
+
+@query("SELECT p_partkey, floor(p_retailprice / 7)::BIGINT AS lines, ceil(p_size / 3.0)::BIGINT AS wrapped, CASE WHEN p_size <= 30 THEN 'ok' WHEN p_retailprice > 1000 AND p_size - 30 < 15 THEN 'shrink_figure' WHEN p_size - 30 >= 15 THEN 'split_frame' ELSE 'tighten' END AS advice FROM part")
+def txt37_overflow_ladder(spark: SparkSession, d: str) -> DataFrame:
+    over = COL("p_size") - 30
+    advice = F.when(over <= 0, "ok").when((COL("p_retailprice") > 1000) & (over < 15), "shrink_figure").when(over >= 15, "split_frame").otherwise("tighten")
+    return table(spark, d, "part").select("p_partkey", F.floor(COL("p_retailprice") / 7).alias("lines"), F.ceil(COL("p_size") / 3.0).alias("wrapped"), advice.alias("advice"))
+
+
+@query("SELECT o_orderkey, date_diff('second', TIMESTAMP '1992-01-01', o_orderdate) AS age_s, CASE WHEN year(o_orderdate) BETWEEN 1990 AND 1996 THEN year(o_orderdate)::INT END AS y FROM orders")
+def sca2_dates(spark: SparkSession, d: str) -> DataFrame:
+    pdf = F.date_format("o_orderdate", "'D:'yyyyMMddHHmmss")
+    age = F.timestamp_diff("SECOND", F.lit("1992-01-01").cast("timestamp_ntz"), COL("o_orderdate"))
+    return table(spark, d, "orders").select("o_orderkey", age.alias("age_s"), C.year_of(pdf, 1996).alias("y"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL WHEN event_id % 3 = 1 THEN 5.0::DOUBLE ELSE greatest(0.0, event_id - 10.0)::DOUBLE END AS wait FROM events")
+def sca4_retry_after(spark: SparkSession, d: str) -> DataFrame:
+    said = F.when(COL("event_id") % 3 == 0, (COL("event_id") - 10).cast("string")).when(COL("event_id") % 3 == 1, "Wed, 21 Oct 2015 07:28:05 GMT").otherwise("soon")
+    now = F.lit("2015-10-21 07:28:00").cast("timestamp")
+    return table(spark, d, "events").select("event_id", C.retry_after(said, now).alias("wait"))
+
+
+@query("SELECT p_partkey, round_even(p_size / 4.0, 0)::BIGINT AS r FROM part")
+def sca5_bankers_rounding(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", F.bround(COL("p_size") / 4.0, 0).cast("long").alias("r"))
+
+
+@query("SELECT p_partkey, p_size > 9 AS newer FROM part")
+def sca6_versions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", (C.version_array(F.concat(F.lit("v1."), COL("p_size").cast("string"))) > C.version_array(F.lit("1.9"))).alias("newer"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity * 1.5 AS x0, l_linenumber + 1 AS page FROM lineitem")
+def sca7_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", C.scale_box(F.array("l_quantity"), F.lit(1.5))[0].alias("x0"), (COL("l_linenumber") + 1).alias("page"))
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_size >= 20 WHEN 1 THEN p_size BETWEEN 10 AND 30 WHEN 2 THEN true ELSE false END AS fits FROM part")
+def sca8_aspect_rules(spark: SparkSession, d: str) -> DataFrame:
+    rule = F.element_at(F.array(*map(F.lit, (">= 20", "10..30", "any", "no_figure"))), (COL("p_size") % 4 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", C.aspect_fits(rule, COL("p_size").cast("double")).alias("fits"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size BETWEEN 5 AND 40 THEN p_size END AS n, CASE p_size % 3 WHEN 0 THEN true WHEN 1 THEN false END AS flag FROM part")
+def sca9_settings(spark: SparkSession, d: str) -> DataFrame:
+    word = F.element_at(F.array(*map(F.lit, (" YES", "off", "maybe"))), (COL("p_size") % 3 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", C.setting_int(F.concat(F.lit(" "), COL("p_size").cast("string")), 5, 40).alias("n"), C.setting_bool(word).alias("flag"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN json_extract_string(props, '$.k')::INT ELSE -1 END AS k FROM events")
+def sca10_tolerant_json(spark: SparkSession, d: str) -> DataFrame:
+    stored = F.when(COL("event_id") % 2 == 0, COL("props")).otherwise("{broken")
+    return table(spark, d, "events").select("event_id", F.coalesce(F.from_json(stored, "k INT", {"mode": "PERMISSIVE"})["k"], F.lit(-1)).alias("k"))
+
+
+@query("SELECT p_partkey, unnest(range(p_size, p_size + 3)) AS page, CASE WHEN page = p_size THEN p_name ELSE '(continued)' END AS note FROM part")
+def sca11_note_expansion(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select("p_partkey", "p_size", "p_name", F.explode(F.sequence("p_size", COL("p_size") + 2)).alias("page"))
+    return rows.select("p_partkey", "page", F.when(COL("page") == COL("p_size"), COL("p_name")).otherwise("(continued)").alias("note"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN json_extract_string(props, '$.k') WHEN 1 THEN props ELSE 'plain' END AS value FROM events")
+def src11_unwrapped_result(spark: SparkSession, d: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k")
+    raw = F.when(COL("event_id") % 3 == 0, F.concat(F.lit('{"result": '), k, F.lit("}"))).when(COL("event_id") % 3 == 1, COL("props")).otherwise("plain")
+    return table(spark, d, "events").select("event_id", C.unwrapped(raw).alias("value"))
+
+
+@query()
+def txt3_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of every document, with exact offsets."""
+    return D.chunk_documents(_docs(spark, d), "doc_id", "text", target=800, hard=1000)
+
+
+@query()
+def txt22_math_spans(spark: SparkSession, d: str) -> DataFrame:
+    return D.explode_spans(_docs(spark, d), "doc_id", "text", D.math_spans)
+
+
+@query()
+def txt8_html_tables(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "pages").select("page_id", F.concat(F.lit("<table><tr><th>a<br>b</th><th>c</th></tr><tr><td>"), F.regexp_extract("html", "<h1>(.*?)</h1>", 1), F.lit("</td></tr></table>")).alias("html"))
+    return rows.select("page_id", D.table_markdown("html").alias("md"))
+
+
+@query()
+def txt24_locate_passage(spark: SparkSession, d: str) -> DataFrame:
+    """Where the middle of each document is found in it again."""
+    needle = F.substr("text", F.greatest(F.lit(1), F.floor(F.length("text") / 2).cast("int")), F.lit(200))
+    return _docs(spark, d).select("doc_id", D.locate("text", needle).alias("at"))
+
+
+@query()
+def txt29_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", F.md5(D.drop_surrogates("text").cast("binary")).alias("h"))
