@@ -24,7 +24,9 @@ LATEX = "dir string, root string, text string, preamble string"
 _INCLUDE = re.compile(r"\\(?:input|include)\{([^}]+)\}")
 _DOCUMENT = re.compile(r"(?m)^[^%\n]*?(\\(?:begin|end)\{document\})")
 #: Names a paper's main file often has.
-MAIN_NAMES = ("main", "paper", "ms", "article", "manuscript")
+MAIN_NAMES = ("main", "paper", "ms", "manuscript", "root", "article", "arxiv")
+#: Titles that writing programs leave behind.
+PLACEHOLDER_TITLE = r"^(untitled|microsoft word - .*|layout \d+|document\d*|presentation\d*)$"
 
 
 def text_files(spark: SparkSession, path: str, pattern: str = "*.tex") -> DataFrame:
@@ -36,7 +38,7 @@ def root_score(path: Column, content: Column) -> Column:
     """How likely a TeX file is its paper's root."""
     uncommented = C.strip_comments(content)
     has = lambda p: F.when(uncommented.rlike(p), 1.0).otherwise(0.0)
-    sections = F.least(F.lit(10), F.size(F.regexp_extract_all(uncommented, F.lit(r"(\\section\b)"), 1)))
+    sections = F.least(F.lit(10), F.size(F.regexp_extract_all(uncommented, F.lit(r"(\\(?:section|chapter)\b)"), 1)))
     stem = F.lower(F.regexp_extract(path, r"([^/]*)\.tex$", 1))
     return 5 * has(r"\\documentclass") + 10 * has(r"\\title\b") + 5 * has(r"\\maketitle") + sections + F.when(stem.isin(*MAIN_NAMES), 8.0).otherwise(0.0) + F.length(content) / 50000.0
 
@@ -82,7 +84,7 @@ def pdf_text(pages: DataFrame, key: str) -> DataFrame:
 def pdf_metadata(raw: DataFrame, last_year: int) -> DataFrame:
     """key, title, authors, year of raw metadata (key, title, author, created, modified, first_page: array<struct<text, size>>)."""
     title = C.squeeze(F.col("title"))
-    usable = (F.length(title) >= 5) & ~F.lower(title).rlike(r"^(untitled|microsoft word|.*\.(pdf|docx?|tex|dvi)$)")
+    usable = (F.length(title) >= 5) & ~F.lower(title).rlike(PLACEHOLDER_TITLE)
     largest = F.array_max(F.transform("first_page", lambda s: s["size"]))
     from_page = C.squeeze(F.array_join(F.transform(F.filter("first_page", lambda s: s["size"] == largest), lambda s: s["text"]), " "))
     authors = F.filter(F.transform(F.split(F.coalesce("author", F.lit("")), r"\s*;\s*|\s+and\s+"), lambda a: F.trim(a)), lambda a: a != "")
