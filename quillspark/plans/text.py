@@ -254,3 +254,13 @@ def txt24_locate_passage(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def txt29_surrogates(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.md5(D.drop_surrogates("text").cast("binary")).alias("h"))
+
+
+@query("SELECT p_partkey, p_size + 1 AS words, CASE WHEN p_size % 2 = 0 THEN 'text_only' ELSE 'equation_centered' END AS layout, CASE WHEN p_size % 2 = 0 THEN 153 ELSE 76 END AS budget, greatest(0, p_size + 1 - CASE WHEN p_size % 2 = 0 THEN 153 ELSE 76 END) AS overage FROM part")
+def txt37_overflow(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of p_size words, with or without math, against the canvas."""
+    from quillspark.operators import slides
+
+    body = F.concat(F.repeat(F.lit("word "), COL("p_size")), F.when(COL("p_size") % 2 == 0, "x").otherwise("$y$"))
+    frames = table(spark, d, "part").select("p_partkey", F.concat(F.lit("\\begin{frame}{Title}"), body, F.lit("\\end{frame}")).alias("tex"), F.expr("cast(map() as map<string,double>)").alias("aspects"))
+    return slides.overflow(frames).select("p_partkey", "words", "layout", "budget", "overage")

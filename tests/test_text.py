@@ -125,3 +125,24 @@ def test_small_parsers():
     assert D.read_anchors(marked) == ('a<span id="chunk-0"></span>bc<span id="chunk-1"></span>def', [0, 1])
     tex = r"\section{S}\begin{figure}\includegraphics{f}\end{figure}\begin{figure}x\end{figure}\[a\]\begin{equation}b\end{equation}"
     assert D.latex_assets(tex) == [("fig-001", "figure", "f", "S"), ("eq-001", "equation", "b", "S"), ("eq-002", "equation", "a", "S")]
+
+
+def test_slides(spark):
+    from quillspark.operators import slides as SL
+
+    rows = [
+        (1, r"\begin{frame}{T}\begin{itemize}\item one two \item " + "w " * 30 + r"\end{itemize}\end{frame}"),
+        (2, r"\begin{frame}{T}\includegraphics[width=0.5\linewidth,keepaspectratio]{a}\begin{columns}\begin{column}{0.3\textwidth}x\end{column}\end{columns}\end{frame}"),
+        (3, r"\begin{frame}{T}\includegraphics[height=2cm]{b} " + "w " * 90 + r"\end{frame}"),
+    ]
+    frames = spark.createDataFrame([(i, t, {"a": 2.0, "b": 0.5}) for i, t in rows], "frame int, tex string, aspects map<string,double>")
+    out = {r.frame: r for r in SL.overflow(frames).collect()}
+    assert (out[1].layout, out[1].words, out[1].advice) == ("text_only", 75, "ok")
+    assert (out[2].layout, out[2].mismatch, out[2].advice, out[2].footprint) == ("figure_left_third_portrait", True, "relayout_figure", round(6.4 * 3.2, 2))
+    assert (out[3].layout, out[3].budget, out[3].advice, out[3].footprint) == ("figure_only_full_width", 0, "split_frame", 2.0)
+    assert out[3].hint == "halve_bullets_across_two_frames"
+    assert SL.macros(r"\newcommand{\R}{\mathbb{R}} \newcommand\f[2][x]{#1_{#2}} \def\g#1{G#1} \DeclareMathOperator*{\am}{argmin} \newcommand{\bad}{oops") == {
+        "R": (r"\mathbb{R}", 0, None), "f": ("#1_{#2}", 2, "x"), "g": ("G#1", 1, None), "am": (r"\operatorname*{argmin}", 0, None)}
+    once = SL.lone_figures("a\n  \\includegraphics{x}\ntext \\begin{columns}\n\\includegraphics{y}\n\\end{columns}")
+    assert once == "a\n  \\begin{center}\n  \\includegraphics{x}\n  \\end{center}\n  \\par\n\ntext \\begin{columns}\n\\includegraphics{y}\n\\end{columns}" and SL.lone_figures(once) == once
+    assert values(spark, ["Overfull \\vbox (3.5pt too high) Overfull \\vbox (12.25pt too high)", ""], SL.overfull_points) == [12.25, 0.0]
