@@ -11,10 +11,10 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from quillspark.session import local_session
 
-    session = local_session(shuffle_partitions=4, memory="4g")
+    session = local_session(shuffle_partitions=4, memory="4g", **{"spark.checkpoint.dir": tmp_path_factory.mktemp("shared").as_uri()})
     yield session
     session.stop()
 
