@@ -15,6 +15,9 @@ BATCH_BYTES = 4 << 20
 BATCH_ROWS = 4096
 
 
+_own: dict[str, str] = {}
+
+
 def tune(spark: SparkSession) -> None:
     """Bound the Arrow batches of the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -25,8 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="quillspark-"))
+        found = _own["dir"]
     return found.rstrip("/")
 
 
