@@ -264,3 +264,13 @@ def txt37_overflow(spark: SparkSession, d: str) -> DataFrame:
     body = F.concat(F.repeat(F.lit("word "), COL("p_size")), F.when(COL("p_size") % 2 == 0, "x").otherwise("$y$"))
     frames = table(spark, d, "part").select("p_partkey", F.concat(F.lit("\\begin{frame}{Title}"), body, F.lit("\\end{frame}")).alias("tex"), F.expr("cast(map() as map<string,double>)").alias("aspects"))
     return slides.overflow(frames).select("p_partkey", "words", "layout", "budget", "overage")
+
+
+@query(r"SELECT doc_id, regexp_replace(lower(substr(text, 1, 60)), '[^\p{L}\p{N}]', '', 'g') AS norm FROM documents")
+def udf1_sql_function(spark: SparkSession, d: str) -> DataFrame:
+    """The library's one SQL function, called from SQL."""
+    from quillspark.sources.tables import register_functions
+
+    register_functions(spark)
+    _docs(spark, d).createOrReplaceTempView("udf1_documents")
+    return spark.sql("SELECT doc_id, library_norm(substr(text, 1, 60)) AS norm FROM udf1_documents")

@@ -75,6 +75,26 @@ def latest(versions: DataFrame, keys: Keys, version: str) -> DataFrame:
     return versions.groupBy(*keys).agg(F.max_by(F.struct(*versions.columns), version).alias("v")).select("v.*")
 
 
+def replace_table(rows: DataFrame, path: str) -> None:
+    """Write rows as the table at path: into a new folder first, which then takes the old one's name."""
+    spark = rows.sparkSession
+    jvm = spark._jvm
+    new, old = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    rows.write.parquet(new)
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        fs.rename(target, jvm.org.apache.hadoop.fs.Path(old))
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(new), target):
+        raise OSError(f"{new} can't become {path}")
+    fs.delete(jvm.org.apache.hadoop.fs.Path(old), True)
+
+
+def register_functions(spark: SparkSession) -> None:
+    """SQL functions of the library, as expressions: library_norm(text)."""
+    spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION library_norm(s STRING) RETURNS STRING RETURN regexp_replace(lower(s), '[^\\p{L}\\p{N}]', '')")
+
+
 class Versions:
     """Snapshots of a table: each save is a folder of its own, listed and read by a manifest the writes append to."""
 

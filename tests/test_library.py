@@ -175,3 +175,50 @@ def test_queue_worker(spark):
 
     batch = spark.createDataFrame([(1, "pending"), (2, "pending"), (3, "pending"), (4, "done")], "id long, status string")
     assert {r.id: r.status for r in R_.queue_worker(handle, (TimeoutError,))(batch, 0).collect()} == {1: "done", 2: "pending", 3: "failed"}
+
+
+def test_tools_and_cache():
+    from quillspark.sources.tools import Expiring, Tools, unwrap
+
+    def broken():
+        raise OSError
+
+    made = []
+    tools = Tools({"web": lambda: made.append(1) or {"search": lambda q: '{"result": ["' + q + '"]}'}, "down": broken})
+    assert tools.names() == ["web.search"] and tools.call("web.search", q="x") == ["x"] and made == [1]
+    with pytest.raises(KeyError):
+        tools.call("web.nope")
+    assert unwrap(unwrap('{"result": 1}')) == 1 and unwrap("{bad") == "{bad" and unwrap({"result": 1, "b": 2}) == {"result": 1, "b": 2}
+    now, calls = [0.0], []
+    cache = Expiring(5, lambda: now[0])
+    for t in (0, 4, 5):
+        now[0] = t
+        cache.get("k", lambda: calls.append(1))
+    assert len(calls) == 2
+
+
+def test_replace_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for n in (1, 3):
+        ST.replace_table(spark.range(n), path)
+        assert spark.read.parquet(path).count() == n
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_pdf_rows(spark):
+    raw = spark.createDataFrame([("a", "  A  Good Title ", "X Y; Z and W", "D:2019", None, [("t", 9.0)]), ("b", "Untitled", None, "D:1800", "D:2020", [("Big", 20.0), ("Title", 20.0), ("x", 9.0)])], "key string, title string, author string, created string, modified string, first_page array<struct<text:string,size:double>>")
+    assert [tuple(r) for r in SD.pdf_metadata(raw, 2027).orderBy("key").collect()] == [("a", "A Good Title", ["X Y", "Z", "W"], 2019), ("b", "Big Title", [], 2020)]
+    pages = spark.createDataFrame([("a", 1, "y"), ("a", 0, "x")], "key string, page int, text string")
+    assert SD.pdf_text(pages, "key").first().text == "x\n\f\ny"
+
+
+def test_citation_graph(spark):
+    edges = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("z", "a")], "citing string, cited string")
+    got = {m: sorted(r.paper for r in SD.related(edges, "a", m).collect()) for m in ("cites", "cited_by", "similar")}
+    assert got == {"cites": ["x"], "cited_by": ["z"], "similar": ["b"]}
+
+
+def test_layout_files(spark, tmp_path):
+    (tmp_path / "d.json").write_text(json.dumps({"blocks": [{"block_type": "Text", "html": "<p>x</p>", "block_id": "b", "section_hierarchy": {"1": "h"}, "bbox": [0, 1, 2, 3], "page": 2}]}))
+    r = SD.layout_files(spark, str(tmp_path)).first()
+    assert (r.pos, r.block_type, r.hierarchy, r.bbox, r.page, r.caption) == (0, "Text", {"1": "h"}, [0.0, 1.0, 2.0, 3.0], 2, None)
