@@ -18,8 +18,8 @@ Defined cases: a null or empty text, or one without words, has an empty set and
 shingle, the whole sequence; repeated rows of a doc_id are one member; a row without doc_id is returned with null
 component and kept; an empty table gives no rows. Only doc_id and text are read; further columns do no harm.
 
-Scale: band rows and class joins are narrow equi-joins with pre-aggregated sides. Sketches are computed once and written.
-Texts are shuffled once by doc_id, and those in clusters once more to their tiles.
+Scale: band rows and class joins are narrow equi-joins with pre-aggregated sides, written first, so both sides of a join
+are plain shuffles that AQE can split. Large joins are merge joins at every size. Sketches are computed once. Texts are shuffled once by doc_id, and those in clusters once more to their tiles.
 """
 
 from __future__ import annotations
@@ -224,13 +224,14 @@ def group_documents(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     m = bands * rows
     sketched = materialise(_sketches(docs, m), "sketches")
     some = sketched.filter("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    classes = materialise(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     members = materialise(sketched.select("doc_id", "n_shingles", "h1", "h2", "size").join(classes, ["h1", "h2"], "left").select("doc_id", "n_shingles", "size", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep")), "members")
     reps = members.filter("doc_id = rep").select("doc_id", "size").distinct()
     key = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substr("registers", i * (2 * rows) + 1, F.lit(2 * rows))))
     banded = some.select("doc_id", "h1", F.explode(key).alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high")
-    edges = banded.select("bucket", "doc_id").join(buckets.select("bucket", "least"), "bucket").filter("doc_id > least").select("doc_id", "least").distinct()
+    buckets = banded.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("bucket", "least")
+    buckets = materialise(buckets, "buckets")
+    edges = banded.select("bucket", "doc_id").join(buckets.hint("merge"), "bucket").filter("doc_id > least").select("doc_id", "least").distinct()
     edges = edges.join(reps.select("doc_id"), "doc_id", "left_semi")
     clusters = materialise(components(edges, "doc_id", "least").join(reps.withColumnRenamed("doc_id", "node"), "node"), "clusters")
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
@@ -241,7 +242,7 @@ def group_documents(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     sizes = sizes.select("component", F.when(alone, blocks).otherwise(1).alias("blocks"), F.when(alone, F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(packs))).alias("pack"))
     placed = clusters.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "pack", "blocks", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int").alias("block"))
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(other, F.col("block")).alias("i"), F.greatest(other, F.col("block")).alias("j")))
-    met = docs.select("doc_id", "text").join(placed, "doc_id").select("doc_id", "text", "cluster", "pack", "block", F.explode(tiles).alias("tile")).select("doc_id", "text", "cluster", "pack", "block", "tile.i", "tile.j")
+    met = docs.select("doc_id", "text").join(placed.hint("merge"), "doc_id").select("doc_id", "text", "cluster", "pack", "block", F.explode(tiles).alias("tile")).select("doc_id", "text", "cluster", "pack", "block", "tile.i", "tile.j")
     links = materialise(met.groupBy("pack", "i", "j").applyInArrow(lambda t: _tile_links(t, threshold, m), LINKS), "links")
     groups = components(links, "u", "v").withColumnRenamed("node", "rep")
     joined = members.join(groups, "rep", "left")
@@ -252,7 +253,7 @@ def group_documents(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """docs without those that aren't the smallest doc_id of their group."""
     gone = group_documents(docs, threshold).filter(~F.col("kept")).select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__id"), "left_anti")
 
 
 ORACLE_SQL = r"""
