@@ -16,8 +16,8 @@ one document don't count; rows of one doc_id must be one document and lose the s
 no order, so it loses nothing and takes nothing from others; an empty table gives no rows. Further columns pass
 through dedup_documents() unchanged (n_chars is renewed).
 
-Scale: the rows of step 1 are about one in 18 words and narrow; groupings are pre-aggregated; joins are plain equi-joins
-that AQE can split, so copies in any number cost in proportion. Texts are shuffled twice, by doc_id.
+Scale: the rows of step 1 are about one in 18 words and narrow; groupings are pre-aggregated and written before they are
+joined, so both sides of a join are plain shuffles that AQE can split, and copies in any number cost in proportion. Texts are shuffled twice, by doc_id.
 """
 
 from __future__ import annotations
@@ -116,14 +116,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     runs = materialise(_runs(docs, length, seed), "runs")
     groups = runs.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("extent").alias("low"), F.max("extent").alias("high"))
     groups = groups.filter("first < last").select("anchor", "first", (F.col("low") != F.col("high")).alias("mixed"))
-    shared = materialise(runs.join(groups, "anchor"), "shared")
+    shared = materialise(runs.join(materialise(groups, "groups").hint("merge"), "anchor"), "shared")
     plain = shared.filter("not mixed and doc_id > first")
     mixed = shared.filter("mixed")
-    classes = mixed.groupBy("anchor", "extent").agg(F.min("doc_id").alias("least"))
+    classes = materialise(mixed.groupBy("anchor", "extent").agg(F.min("doc_id").alias("least")), "classes")
     mixed = materialise(mixed.join(classes, ["anchor", "extent"]).select("doc_id", "anchor", "start", "n", "least"), "mixed")
     heads = mixed.filter("doc_id = least").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "start", "n")).alias("runs"))
-    windows = materialise(_windows(docs.select("doc_id", "text").join(heads, "doc_id"), length), "windows")
-    least = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("least"))
+    windows = materialise(_windows(docs.select("doc_id", "text").join(heads.hint("merge"), "doc_id"), length), "windows")
+    least = materialise(windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("least")), "least")
     single = windows.join(least, ["anchor", "window"]).filter("doc_id > least").select("doc_id", "start", F.lit(1).alias("n"))
     return plain.select("doc_id", "start", "n").unionByName(mixed.filter("doc_id > least").select("doc_id", "start", "n")).unionByName(single)
 
@@ -165,7 +165,7 @@ def dedup_documents(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     """docs with text cut, and the columns __n_words and __n_removed."""
     tune(docs.sparkSession)
     marks = repeats(docs, length, seed).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("__marks")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(marks, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    joined = docs.join(marks.hint("merge"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
     names = docs.columns
     at = names.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType())])
