@@ -104,18 +104,33 @@ HIDDEN = ((r"sk-ant-[A-Za-z0-9_-]{1,}", "<redacted:anthropic>"), (r"sk-proj-[A-Z
 STOP_WORDS = ("a", "an", "the", "of", "in", "on", "for", "to", "and", "or", "with", "is", "are", "we", "our", "this", "that", "these", "those", "by", "at", "as", "be", "from", "via")
 
 
+#: Letters that any match of a pattern with this label holds, in lower case; looking for them is far cheaper than the pattern.
+_HINTS = {
+    "API key (sk-ant-...)": "sk-ant-", "API key (sk-...)": "sk-", "API key (AIza...)": "aiza", "GitHub PAT (ghp_...)": "ghp_", "GitHub fine-grained PAT (github_pat_...)": "github_pat_", "HuggingFace token (hf_...)": "hf_",
+    "Slack token (xox...)": "xox", "PEM private key": "private key-----", "JWT token": "eyj", "password": "passw", "salary": "salary", "dangerous: skip validation": "skip", "dangerous: disable security": "disable",
+    "dangerous: ignore rules": "ignore", "dangerous: bypass": "bypass", "dangerous: disable check": "disable",
+}
+
+
+def _hit(c: Column, pattern: str, label: str) -> Column:
+    test = c.rlike(f"(?i){pattern}")
+    return F.contains(F.lower(c), F.lit(_HINTS[label])) & test if label in _HINTS else test
+
+
 def safety_risk(c: Column) -> Column:
     """`sensitive`, `dangerous` or empty."""
-    hit = lambda patterns: c.rlike("(?i)" + "|".join(f"(?:{p})" for p, _ in patterns))
-    return F.when(hit(SENSITIVE), "sensitive").when(hit(DANGEROUS), "dangerous").otherwise("")
+    out = None
+    for risk, patterns in (("sensitive", SENSITIVE), ("dangerous", DANGEROUS)):
+        for pattern, label in patterns:
+            out = F.when(_hit(c, pattern, label), risk) if out is None else out.when(_hit(c, pattern, label), risk)
+    return out.otherwise("")
 
 
 def safety_label(c: Column) -> Column:
     """The label of the first pattern that matches, else null."""
     out = None
     for pattern, label in (*SENSITIVE, *DANGEROUS):
-        test = c.rlike(f"(?i){pattern}")
-        out = F.when(test, label) if out is None else out.when(test, label)
+        out = F.when(_hit(c, pattern, label), label) if out is None else out.when(_hit(c, pattern, label), label)
     return out
 
 

@@ -1,13 +1,13 @@
 """Layout blocks of documents: section names, groups and their children, and block-anchored chunks.
 
 A block: doc, pos, block_id, block_type, html, latex, hierarchy (map of level to block id), bbox, page, caption. Everything up to
-the pieces is joins and windows; only the token-budgeted cut depends on what came before, so it takes one document a
-group, in Arrow batches.
+the pieces is joins and windows; only the token-budgeted cut depends on what came before, so it runs over sorted partitions
+of whole documents, a batch at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -101,10 +101,10 @@ def pieces(blocks: DataFrame) -> DataFrame:
 def assemble(blocks: DataFrame, target: int = 800, hard: int = 1000, count: Callable[[str], int] = D.rough_tokens) -> DataFrame:
     """Chunks of one section and page each, within the token budget; tables and figures stand alone."""
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+    def cut(rows: list) -> list[tuple]:
         runs: list[list] = []
         tokens = 0
-        for r in pdf.sort_values("pos").itertuples(index=False):
+        for r in rows:
             n = count(r.text)
             last = runs[-1][-1] if runs else None
             joins = last is not None and not r.atomic and not last.atomic and (last.section, last.page) == (r.section, r.page) and tokens < target and tokens + n <= hard
@@ -121,9 +121,25 @@ def assemble(blocks: DataFrame, target: int = 800, hard: int = 1000, count: Call
             box = [min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes)] if boxes else None
             out.append((run[0].doc, i, run[0].section, at, at + len(text), text, run[0].page, box, run[0].kind, run[0].caption))
             at += len(text) + 2
-        return pd.DataFrame(out, columns=[c.split()[0] for c in CHUNKS.split(", ")])
-
-    rows = pieces(blocks).groupBy("doc").applyInPandas(cut, CHUNKS)
+        return out
+
+    names = [c.split()[0] for c in CHUNKS.split(", ")]
+
+    def cut_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Documents come whole and in order, but a batch may end within one, whose rows wait for the next."""
+        waiting: list = []
+        for pdf in batches:
+            out: list[tuple] = []
+            for r in pdf.itertuples(index=False):
+                if waiting and waiting[-1].doc != r.doc:
+                    out += cut(waiting)
+                    waiting = []
+                waiting.append(r)
+            yield pd.DataFrame(out, columns=names)
+        if waiting:
+            yield pd.DataFrame(cut(waiting), columns=names)
+
+    rows = pieces(blocks).repartition("doc").sortWithinPartitions("doc", "pos").mapInPandas(cut_all, CHUNKS)
     return rows.withColumn("layout_label", C.layout_label(F.col("layout_caption"))).withColumn("match_text", C.strip_markdown(F.col("text")))
 
 

@@ -109,8 +109,9 @@ def simple_terms(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
-def stemmed_terms(c: Column) -> Column:
-    return F.pandas_udf(lambda s: s.map(lambda t: stems(t) if t else []), "array<string>")(c)
+def stemmed(c: Column | str) -> Column:
+    """The folded stem of a word."""
+    return F.pandas_udf(lambda s: s.map(lambda w: (stems(w) or [w])[0]), "string")(c)
 
 
 def and_terms(phrase: str) -> list[str]:
@@ -141,6 +142,14 @@ def build_index(docs: DataFrame, key: str, terms: Column) -> tuple[DataFrame, Da
     return postings, rows.select(key, F.size("terms").alias("length"))
 
 
+def build_stemmed_index(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """build_index() over stems: words are counted first, and only different words are stemmed, each once."""
+    postings, lengths = build_index(docs, key, simple_terms(F.col(text)))
+    words = postings.select("term").distinct().withColumn("stem", stemmed("term"))
+    rows = postings.join(words, "term").groupBy(F.col("stem").alias("term"), key).agg(F.sum("tf").alias("tf"))
+    return rows, lengths
+
+
 def ranked(postings: DataFrame, lengths: DataFrame, key: str, wanted: list[str], every: bool, k: int, skip: DataFrame | None = None) -> DataFrame:
     """The k best of the matching documents by BM25, ties by key; skip: keys to leave out.
 

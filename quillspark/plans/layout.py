@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from quillspark.functions import columns as C
 from quillspark.operators import layout as L
 from quillspark.operators import relational as R
-from quillspark.registry import query, table
+from quillspark.registry import query, spread, table
 
 COL = F.col
 
 
 def blocks(spark: SparkSession, d: str) -> DataFrame:
     """Lines as blocks: a header, then text; each page ends in a table group with a caption and a table, and a footer."""
-    lines = table(spark, d, "documents").select(COL("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "html")).filter(F.trim("html") != "")
+    lines = spread(table(spark, d, "documents").select("doc_id", "text")).select(COL("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "html")).filter(F.trim("html") != "")
     bid = F.concat(F.lit("b"), COL("line").cast("string"))
     kind = F.when(COL("line") % 4 == 0, "SectionHeader").when(COL("line") % 4 == 3, "Caption").otherwise("Text")
     head = F.concat(F.lit("b"), (COL("line") - COL("line") % 4).cast("string"))

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import search as S
-from quillspark.registry import query, table
+from quillspark.registry import query, spread, table
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
 
 _BM25 = r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM documents),
 l AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS len FROM documents),
@@ -30,24 +34,24 @@ def fts2_any_word(spark: SparkSession, d: str) -> DataFrame:
 @query(_BM25.format(terms="'thing', 'ered'", where="t.doc_id NOT IN (SELECT doc_id FROM labels)", least=2))
 def fts3_library_top_k(spark: SparkSession, d: str) -> DataFrame:
     """The best matches of all words, without documents that are attached already."""
-    postings, lengths = S.build_index(table(spark, d, "documents"), "doc_id", S.simple_terms(F.col("text")))
+    postings, lengths = S.build_index(_docs(spark, d), "doc_id", S.simple_terms(F.col("text")))
     return S.ranked(postings, lengths, "doc_id", S.and_terms("thing ered"), True, 20, table(spark, d, "labels").select("doc_id"))
 
 
 @query(_BM25.format(terms="'thing', 'ered', 'heit'", where="true", least=1))
 def fts4_memory_top_k(spark: SparkSession, d: str) -> DataFrame:
-    postings, lengths = S.build_index(table(spark, d, "documents"), "doc_id", S.simple_terms(F.col("text")))
+    postings, lengths = S.build_index(_docs(spark, d), "doc_id", S.simple_terms(F.col("text")))
     return S.ranked(postings, lengths, "doc_id", S.or_terms("thing ered heit"), False, 20)
 
 
 @query()
 def fts5_stemmed_index(spark: SparkSession, d: str) -> DataFrame:
     """Document frequencies of the stemmed index."""
-    postings, _ = S.build_index(table(spark, d, "documents"), "doc_id", S.stemmed_terms(F.col("text")))
+    postings, _ = S.build_stemmed_index(_docs(spark, d), "doc_id", "text")
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
 @query(r"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*)::BIGINT AS tf FROM w GROUP BY 1")
 def fts5_index_statistics(spark: SparkSession, d: str) -> DataFrame:
-    postings, _ = S.build_index(table(spark, d, "documents"), "doc_id", S.simple_terms(F.col("text")))
+    postings, _ = S.build_index(_docs(spark, d), "doc_id", S.simple_terms(F.col("text")))
     return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))

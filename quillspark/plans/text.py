@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
 from quillspark.functions import documents as D
-from quillspark.registry import query, table
+from quillspark.registry import query, spread, table
 
 COL = F.col
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 @query(r"SELECT doc_id, length(regexp_replace(text, '(?m)^((?:[^%\n]*[^%\n\\])?(?:\\\\)*)%[^\n]*', '\1', 'g')) AS n, md5(regexp_replace(text, '(?m)^((?:[^%\n]*[^%\n\\])?(?:\\\\)*)%[^\n]*', '\1', 'g')) AS h FROM documents")

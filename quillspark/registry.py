@@ -27,3 +27,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return put
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a scan of fewer partitions than cores (a small table in few files) is dealt out, a large one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
