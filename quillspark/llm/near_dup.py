@@ -5,7 +5,7 @@ K = floor(1 - log_b x), truncated, of the smallest x that any element's Poisson
 base b near 1 they are mergeable by maximum and equal in two sketches about as often as the sets' Jaccard similarity.
 
 1. Texts of one set (128-bit hash) are a class, its smallest doc_id stands for it.
-2. Bands of registers are hashed; classes in one bucket link to the bucket's smallest: components of these links are
+2. Bands of the classes' registers are hashed; classes in one bucket link to the bucket's smallest: components of these links are
    clusters. Bands are as many as keep the chance that a pair at the threshold shares no bucket under MISS.
 3. A cluster's texts meet in tiles of at most TILE texts and TILE_BYTES: a tile holds two blocks of its cluster, and every
    pair of blocks has a tile, so no task takes a whole large cluster. Small clusters share tiles.
@@ -228,11 +228,10 @@ def group_documents(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     members = materialise(sketched.select("doc_id", "n_shingles", "h1", "h2", "size").join(classes, ["h1", "h2"], "left").select("doc_id", "n_shingles", "size", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep")), "members")
     reps = members.filter("doc_id = rep").select("doc_id", "size").distinct()
     key = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substr("registers", i * (2 * rows) + 1, F.lit(2 * rows))))
-    banded = some.select("doc_id", "h1", F.explode(key).alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("bucket", "least")
-    buckets = materialise(buckets, "buckets")
-    edges = banded.select("bucket", "doc_id").join(buckets.hint("merge"), "bucket").filter("doc_id > least").select("doc_id", "least").distinct()
-    edges = edges.join(reps.select("doc_id"), "doc_id", "left_semi")
+    alone = some.select("doc_id", "registers").join(reps.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    banded = materialise(alone.select("doc_id", F.explode(key).alias("bucket")), "bands")
+    buckets = materialise(banded.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("bucket", "least"), "buckets")
+    edges = banded.join(buckets.hint("merge"), "bucket").filter("doc_id > least").select("doc_id", "least").distinct()
     clusters = materialise(components(edges, "doc_id", "least").join(reps.withColumnRenamed("doc_id", "node"), "node"), "clusters")
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("n") / (TILE / 2)), F.ceil(F.col("bytes") / (TILE_BYTES / 2))).cast("int")
