@@ -2,12 +2,13 @@
 
 Every text is cut into passages of PASSAGE words that overlap by half, and every passage is a query. A passage's score
 for an item is the BM25 sum over their common words, divided by the item's score for its own text, so one threshold
-suits all items. As in block-max WAND, upper bounds decide what is scored: the sum of the words' maxima over all
+suits all items; an item longer than a passage is indexed in pieces of a passage's length. As in block-max WAND, upper bounds decide what is scored: the sum of the words' maxima over all
 items, then their maxima in each block of BLOCK items; only items of blocks that can still reach the threshold are
 scored. Bounds never fall short of a score, so no passage over the threshold is lost.
 
 A retrieved pair is verified on words: the item's question and answer must both be there, each with at least
-min_overlap of its word 3-grams around the passage. An item with columns question and answer has them as they are; a
+min_overlap of its word 3-grams around the passage; of a part of fewer than SHORT words the share of its words counts
+if it is greater, as one changed word spoils most of its 3-grams, but then two fifths of all the item's 3-grams must be there. An item with columns question and answer has them as they are; a
 text alone is split at its last sentence end past the middle, or else at two thirds of its words.
 
 Defined cases: a null or empty text or item matches nothing; items without words are left out; repeated rows get equal
@@ -39,6 +40,7 @@ BLOCK = 16
 ITEMS_A_BROADCAST = 4096
 K1, B = 1.2, 0.75
 GRAM = 3
+SHORT = 10
 FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 U = np.uint64
 
@@ -57,14 +59,12 @@ def _hashes(text: str) -> np.ndarray:
     return find_words(*text_bytes(pa.array([text])), lower=True, space=NOT_WORD).hash
 
 
-def _grams(hashes: np.ndarray) -> np.ndarray:
-    """Different word 3-grams; of fewer words, the whole sequence."""
-    return np.unique(rolled(hashes, min(GRAM, len(hashes)))) if len(hashes) else np.zeros(0, U)
-
-
 @dataclass
 class Index:
-    """Terms are sorted by hash. postings of term t: items[at[t]:at[t+1]] with weights, in shares of an item's own score."""
+    """Terms are sorted by hash. postings of term t: items[at[t]:at[t+1]] with weights, in shares of an entry's own score.
+
+    ids, parts and sizes are of the item that an entry belongs to.
+    """
 
     ids: np.ndarray
     terms: np.ndarray
@@ -73,8 +73,7 @@ class Index:
     weights: np.ndarray
     most: np.ndarray
     block_most: np.ndarray
-    questions: list[np.ndarray]
-    answers: list[np.ndarray]
+    parts: list[tuple[np.ndarray, np.ndarray]]
     sizes: np.ndarray
 
     @property
@@ -84,17 +83,18 @@ class Index:
 
 def build_index(items: pd.DataFrame) -> Index | None:
     """The index of items (item_id; text, or question and answer)."""
-    entries = []
+    entries = []  # (item_id, question, answer, words): an item of more than PASSAGE words has an entry for each PASSAGE of them
     for r in items.to_dict("records"):
         question, answer = (r.get("question") or "", r.get("answer") or "") if "question" in r else split_item(r["text"] or "")
         q, a = _hashes(question), _hashes(answer)
-        if len(q) + len(a):
-            entries.append((r["item_id"], q, a))
+        both = np.concatenate([q, a])
+        starts = range(0, len(both) - PASSAGE, PASSAGE) if len(both) > PASSAGE else ()
+        entries += [(r["item_id"], q, a, both[at : at + PASSAGE]) for at in (*starts, *([max(0, len(both) - PASSAGE)] if len(both) else []))]
     if not entries:
         return None
-    entries.sort(key=lambda e: len(e[1]) + len(e[2]))  # items of a block are of like length, so their maxima are tight
-    sizes = np.array([len(q) + len(a) for _, q, a in entries])
-    words = np.concatenate([np.concatenate([q, a]) for _, q, a in entries])
+    entries.sort(key=lambda e: len(e[3]))  # entries of a block are of like length, so their maxima are tight
+    sizes = np.array([len(e[3]) for e in entries])
+    words = np.concatenate([e[3] for e in entries])
     owner = np.repeat(np.arange(len(entries)), sizes)
     terms, term_of = np.unique(words, return_inverse=True)
     pairs, tf = np.unique(term_of * len(entries) + owner, return_counts=True)
@@ -107,11 +107,28 @@ def build_index(items: pd.DataFrame) -> Index | None:
     blocks = (len(entries) + BLOCK - 1) // BLOCK
     block_most = np.zeros((len(terms), blocks), np.float32)
     np.maximum.at(block_most, (term, item // BLOCK), weights)
-    return Index(np.array([e[0] for e in entries]), terms, at, item, weights, block_most.max(1), block_most, [_grams(e[1]) for e in entries], [_grams(e[2]) for e in entries], sizes)
+    return Index(np.array([e[0] for e in entries]), terms, at, item, weights, block_most.max(1), block_most, [(e[1], e[2]) for e in entries], np.array([len(e[1]) + len(e[2]) for e in entries]))
 
 
-def _share(part: np.ndarray, text: np.ndarray) -> float:
-    return float(np.isin(part, text).mean()) if len(part) else 1.0
+def _grams(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(rolled(hashes, GRAM))
+
+
+def overlaps(parts: tuple[np.ndarray, ...], text: np.ndarray) -> tuple[list[float], float]:
+    """For each part (its words' hashes) the share of it in the text, and the share of all the parts' 3-grams."""
+    near = _grams(text)
+    grams = [_grams(p) for p in parts]
+    found = [np.isin(g, near) for g in grams]
+    shares = []
+    for part, hits in zip(parts, found, strict=True):
+        share = float(hits.mean()) if len(hits) else 0.0
+        if not len(part):
+            share = 1.0
+        elif len(part) < SHORT:
+            share = max(share, float(np.isin(np.unique(part), text).mean()))
+        shares.append(share)
+    total = sum(map(len, grams))
+    return shares, sum(int(h.sum()) for h in found) / total if total else 1.0
 
 
 def find(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: float, min_overlap: float) -> list[tuple[int, int, float, float, float, int]]:
@@ -158,17 +175,14 @@ def find(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: float,
             at = (int(row[p]), i)
             best.setdefault(at, (0.0, 0, 0))
             best[at] = max(best[at], (float(scores[key]), -int(begin[p]), int(end[p])))
-    out = []
-    for (r, i), (score, minus, stop) in sorted(best.items()):
+    out, seen = [], set()
+    for (r, i), (score, minus, stop) in sorted(best.items(), key=lambda x: (x[0][0], -x[1][0], x[0][1])):
+        if (r, index.ids[i]) in seen:
+            continue
         a, b = max(int(first[r]), -minus - int(index.sizes[i])), min(int(first[r + 1]), stop + int(index.sizes[i]))
-        near_by = words.hash[a:b]
-        shares = []
-        for part, size in ((index.questions[i], GRAM), (index.answers[i], GRAM)):
-            hits = _share(part, rolled(near_by, size))
-            if hits < min_overlap and len(part) == 1:  # a part of one or two words is one shorter gram
-                hits = max(hits, *(_share(part, rolled(near_by, k)) for k in (1, 2)))
-            shares.append(hits)
-        if min(shares) >= min_overlap:
+        shares, whole = overlaps(index.parts[i], words.hash[a:b])
+        if min(shares) >= min_overlap and whole >= 2 * min_overlap / 3:
+            seen.add((r, index.ids[i]))
             out.append((r, i, score, *shares, -minus - int(first[r])))
     return out
 

@@ -236,6 +236,20 @@ def test_bounds_lose_nothing():
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in got)
 
 
+def test_long_items_and_changed_words():
+    import pandas as pd
+
+    rng = random.Random(21)
+    items = [prose(rng, n, "abcdefghijkl") for n in (15, 40, 64, 65, 128, 200, 500)]
+    index = decontaminate.build_index(pd.DataFrame({"item_id": range(7), "text": items}))
+    texts = [f"{prose(rng, 100)} {t} {prose(rng, 77)}" for t in items] + [prose(rng, 300, "abcdefghijkl")]
+    changed = items[1].split()
+    changed[-2] = "changed"
+    texts += [f"{prose(rng, 50)} {' '.join(changed)} x", f"{prose(rng, 50)} {' '.join(items[5].split()[:100])} x"]
+    found = decontaminate.find(index, *text_bytes(pa.array(texts)), 0.5, 0.6)
+    assert [(r, int(index.ids[i])) for r, i, *_ in found] == [*((i, i) for i in range(7)), (8, 1)]
+
+
 # ---- 6: WARC
 
 
