@@ -6,7 +6,7 @@ suits all items; an item longer than a passage is indexed in pieces of a passage
 items, then their maxima in each block of BLOCK items; only items of blocks that can still reach the threshold are
 scored. Bounds never fall short of a score, so no passage over the threshold is lost.
 
-A retrieved pair is verified on words: the item's question and answer must both be there, each with at least
+A retrieved pair is verified on words, its passages over the threshold in falling order of their scores until one passes: the item's question and answer must both be there, each with at least
 min_overlap of its word 3-grams around the passage; of a part of fewer than SHORT words the share of its words counts
 if it is greater, as one changed word spoils most of its 3-grams, but then two fifths of all the item's 3-grams must be there. An item with columns question and answer has them as they are; a
 text alone is split at its last sentence end past the middle, or else at two thirds of its words.
@@ -132,7 +132,7 @@ def overlaps(parts: tuple[np.ndarray, ...], text: np.ndarray) -> tuple[list[floa
 
 
 def find(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: float, min_overlap: float) -> list[tuple[int, int, float, float, float, int]]:
-    """(row, item's place, score, question overlap, answer overlap, first word of the passage), the best passage of each pair."""
+    """(row, item's place, score, question overlap, answer overlap, first word of the passage), the best passage of each pair that is verified."""
     words = find_words(data, offsets, lower=True, space=NOT_WORD)
     if not len(words.hash):
         return []
@@ -148,7 +148,7 @@ def find(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: float,
     end = np.minimum(begin + PASSAGE, first[row + 1])
     sums = np.concatenate([[0.0], np.cumsum(bound)])
     hot = np.flatnonzero(sums[end] - sums[begin] >= threshold - 1e-6)
-    best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    over = []  # (passages, their items, their scores) over the threshold
     for part in np.array_split(hot, max(1, len(hot) // 2048)):
         if not len(part):
             continue
@@ -170,20 +170,26 @@ def find(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: float,
         who, item = np.repeat(owner, spread), index.items[where]
         use = open_[who, item // BLOCK]
         scores = np.bincount(who[use] * len(index.ids) + item[use], weights=index.weights[where[use]], minlength=0)
-        for key in np.flatnonzero(scores >= threshold).tolist():
-            p, i = part[key // len(index.ids)], key % len(index.ids)
-            at = (int(row[p]), i)
-            best.setdefault(at, (0.0, 0, 0))
-            best[at] = max(best[at], (float(scores[key]), -int(begin[p]), int(end[p])))
-    out, seen = [], set()
-    for (r, i), (score, minus, stop) in sorted(best.items(), key=lambda x: (x[0][0], -x[1][0], x[0][1])):
+        keys = np.flatnonzero(scores >= threshold)
+        over.append((part[keys // len(index.ids)], keys % len(index.ids), scores[keys]))
+    if not over:
+        return []
+    passage, item, score = map(np.concatenate, zip(*over, strict=True))
+    out, seen, failed = [], set(), set()
+    for k in np.lexsort((begin[passage], item, -score, row[passage])).tolist():
+        p, i = passage[k], int(item[k])
+        r = int(row[p])
         if (r, index.ids[i]) in seen:
             continue
-        a, b = max(int(first[r]), -minus - int(index.sizes[i])), min(int(first[r + 1]), stop + int(index.sizes[i]))
+        a, b = max(int(first[r]), int(begin[p] - index.sizes[i])), min(int(first[r + 1]), int(end[p] + index.sizes[i]))
+        if (a, b, i) in failed:
+            continue
         shares, whole = overlaps(index.parts[i], words.hash[a:b])
         if min(shares) >= min_overlap and whole >= 2 * min_overlap / 3:
             seen.add((r, index.ids[i]))
-            out.append((r, i, score, *shares, -minus - int(first[r])))
+            out.append((r, i, float(score[k]), *shares, int(begin[p] - first[r])))
+        else:
+            failed.add((a, b, i))
     return out
 
 

@@ -250,6 +250,22 @@ def test_long_items_and_changed_words():
     assert [(r, int(index.ids[i])) for r, i, *_ in found] == [*((i, i) for i in range(7)), (8, 1)]
 
 
+def test_decoys_do_not_hide_a_copy():
+    """A better passage that fails is not the end: the real copy is far from it and scores no higher."""
+    import pandas as pd
+
+    rng = random.Random(33)
+    question, answer = prose(rng, 44, "abcdefghijkl") + ".", prose(rng, 15, "abcdefghijkl")
+    index = decontaminate.build_index(pd.DataFrame({"item_id": range(30), "text": [f"{question} {answer}", *(prose(rng, 59, "abcdefghijkl") for _ in range(29))]}))
+    scrambled = f"{question} {answer}".split()
+    rng.shuffle(scrambled)
+    filler = [prose(rng, n, "mnopqrstuv") for n in (20, 200, 50)]
+    decoys = [f"{' '.join(scrambled)} {filler[1]}", f"{question} {filler[0]} {filler[1]}", f"{filler[0]} {' '.join(scrambled)} {filler[1]} {question} {filler[1]}"]
+    texts = [x for d in decoys for x in (d, *(f"{d} {' '.join(filler[2].split()[:n])} {question} {answer} {filler[1]}" for n in (0, 9, 17, 25)))]
+    found = decontaminate.find(index, *text_bytes(pa.array(texts)), 0.5, 0.6)
+    assert [(r, int(index.ids[i])) for r, i, *_ in found] == [(r, 0) for r in range(15) if r % 5]
+
+
 # ---- 6: WARC
 
 
