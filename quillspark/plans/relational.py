@@ -189,6 +189,14 @@ def joi17_interval_overlap(spark: SparkSession, d: str) -> DataFrame:
     return R.interval_overlap(a, b, "s", "e", 32).select("event_id", "o_orderkey")
 
 
+@query("SELECT a.event_id, b.o_orderkey FROM (SELECT event_id, event_id * 3 AS s, event_id * 3 + 20 AS e FROM events) a JOIN (SELECT o_orderkey, o_orderkey * 2 AS s, o_orderkey * 2 + 15 AS e FROM orders) b ON a.s < b.e AND a.e > b.s")
+def joi17_interval_overlap_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The overlaps of all events and orders, on a line that grows with the tables, so an interval meets at most 18 others."""
+    a = table(spark, d, "events").select("event_id", (COL("event_id") * 3).alias("s"), (COL("event_id") * 3 + 20).alias("e"))
+    b = table(spark, d, "orders").select("o_orderkey", (COL("o_orderkey") * 2).alias("s"), (COL("o_orderkey") * 2 + 15).alias("e"))
+    return R.interval_overlap(a, b, "s", "e", 32).select("event_id", "o_orderkey")
+
+
 @query("SELECT doc_id, first AS owner FROM (SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS first FROM documents)")
 def joi18_exact_text(spark: SparkSession, d: str) -> DataFrame:
     """Equal bodies share the entry of the last; the join is on a digest."""

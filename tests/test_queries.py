@@ -52,6 +52,14 @@ def test_query(spark, sf_dir, oracle, name):
     assert got == want
 
 
+def test_overlaps_of_all_rows(spark, tmp_path):
+    events, orders = range(0, 900, 7), range(0, 1300, 3)
+    spark.createDataFrame([(i,) for i in events], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(i,) for i in orders], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(map(tuple, core.queries()["joi17_interval_overlap_whole"](spark, str(tmp_path)).collect()))
+    assert got == [(a, b) for a in events for b in orders if 3 * a < 2 * b + 15 and 3 * a + 20 > 2 * b]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
