@@ -178,3 +178,12 @@ def add15_context_block(spark: SparkSession, d: str) -> DataFrame:
 
     rows = table(spark, d, "documents").filter("doc_id < 100").withColumn("line", F.concat(F.lit("- "), COL("doc_id").cast("string"), F.lit(": "), F.substr("text", F.lit(1), F.lit(200))))
     return joined_text(rows, ["lang"], ["doc_id"], "line", "\n", "block")
+
+
+@query("SELECT lang, doc_id // 100 AS part, string_agg('- ' || doc_id || ': ' || substr(text, 1, 200), chr(10) ORDER BY doc_id) AS block FROM documents GROUP BY 1, 2")
+def add15_context_block_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of all documents, a hundred ids to a block of each language."""
+    from quillspark.operators.relational import joined_text
+
+    rows = table(spark, d, "documents").withColumn("part", F.expr("doc_id div 100")).withColumn("line", F.concat(F.lit("- "), COL("doc_id").cast("string"), F.lit(": "), F.substr("text", F.lit(1), F.lit(200))))
+    return joined_text(rows, ["lang", "part"], ["doc_id"], "line", "\n", "block")

@@ -60,6 +60,13 @@ def test_overlaps_of_all_rows(spark, tmp_path):
     assert got == [(a, b) for a in events for b in orders if 3 * a < 2 * b + 15 and 3 * a + 20 > 2 * b]
 
 
+def test_blocks_of_all_documents(spark, tmp_path):
+    langs = {i: "en" if i % 3 else "de" for i in range(0, 500, 7)}
+    spark.createDataFrame([(i, "x" * 250, x) for i, x in langs.items()], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.lang, r.part): r.block for r in core.queries()["add15_context_block_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(x, p): "\n".join(f"- {i}: {'x' * 200}" for i in langs if langs[i] == x and i // 100 == p) for x in ("de", "en") for p in range(5)}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
