@@ -274,3 +274,13 @@ def udf1_sql_function(spark: SparkSession, d: str) -> DataFrame:
     register_functions(spark)
     _docs(spark, d).createOrReplaceTempView("udf1_documents")
     return spark.sql("SELECT doc_id, library_norm(substr(text, 1, 60)) AS norm FROM udf1_documents")
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g')) AS h FROM documents")
+def udf1_sql_function_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same function over whole texts, as digests."""
+    from quillspark.sources.tables import register_functions
+
+    register_functions(spark)
+    _docs(spark, d).createOrReplaceTempView("udf1_documents")
+    return spark.sql("SELECT doc_id, md5(cast(library_norm(text) AS binary)) AS h FROM udf1_documents")

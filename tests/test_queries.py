@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import decimal
+import hashlib
 import os
 
 import duckdb
@@ -67,6 +68,13 @@ def test_blocks_of_all_documents(spark, tmp_path):
     assert got == {(x, p): "\n".join(f"- {i}: {'x' * 200}" for i in langs if langs[i] == x and i // 100 == p) for x in ("de", "en") for p in range(5)}
 
 
+def test_sql_function_reads_whole_texts(spark, tmp_path):
+    texts = [("Ab, 1 " * 30) + end for end in ("Y!", "z?")]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(map(tuple, core.queries()["udf1_sql_function_whole"](spark, str(tmp_path)).collect()))
+    assert got == {i: hashlib.md5(("ab1" * 30 + end).encode()).hexdigest() for i, end in enumerate("yz")}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
