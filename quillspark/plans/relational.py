@@ -379,6 +379,12 @@ def srt2_recency(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(25)
 
 
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC")
+def srt2_recency_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All rows in that order."""
+    return table(spark, d, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
+
+
 @query("SELECT o_custkey, max(o_orderkey) AS newest, min(o_orderkey) AS oldest FROM orders GROUP BY 1")
 def srt4_latest_and_earliest(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", "o_orderkey").alias("newest"), F.min_by("o_orderkey", "o_orderkey").alias("oldest"))

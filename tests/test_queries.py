@@ -75,6 +75,13 @@ def test_sql_function_reads_whole_texts(spark, tmp_path):
     assert got == {i: hashlib.md5(("ab1" * 30 + end).encode()).hexdigest() for i, end in enumerate("yz")}
 
 
+def test_recency_of_all_rows(spark, tmp_path):
+    days = [datetime.datetime(1995, 1, 1 + i * 11 % 5) for i in range(60)]
+    spark.createDataFrame(list(enumerate(days)), "o_orderkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    got = [r.o_orderkey for r in core.queries()["srt2_recency_whole"](spark, str(tmp_path)).collect()]
+    assert got == sorted(range(60), key=lambda i: (days[i], i), reverse=True)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
