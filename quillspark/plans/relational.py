@@ -166,6 +166,13 @@ def joi10_key_remap(spark: SparkSession, d: str) -> DataFrame:
     return R.remap(lines, "l_orderkey", R.fresh_ids(old, "o_orderkey", 1000000)).select("l_orderkey", "l_linenumber", "new_id")
 
 
+@query("WITH m AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) + 1000000 AS new_id FROM orders WHERE o_orderstatus = 'F') SELECT l_orderkey, l_linenumber, new_id FROM lineitem LEFT JOIN m ON o_orderkey = l_orderkey")
+def joi10_key_remap_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All line items; the orders of one status get new ids, the lines of others stay null."""
+    old = table(spark, d, "orders").filter("o_orderstatus = 'F'").select("o_orderkey")
+    return R.remap(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", R.fresh_ids(old, "o_orderkey", 1000000)).select("l_orderkey", "l_linenumber", "new_id")
+
+
 @query("WITH s AS (SELECT o_custkey, o_orderkey AS start FROM orders WHERE o_orderstatus = 'F') SELECT o.o_orderkey, max(s.start) AS section FROM orders o LEFT JOIN s ON s.o_custkey = o.o_custkey AND s.start <= o.o_orderkey GROUP BY 1")
 def joi13_asof_backward(spark: SparkSession, d: str) -> DataFrame:
     """The last section start at or before each offset, by one sort per key instead of a range join."""

@@ -82,6 +82,13 @@ def test_recency_of_all_rows(spark, tmp_path):
     assert got == sorted(range(60), key=lambda i: (days[i], i), reverse=True)
 
 
+def test_remap_of_all_rows(spark, tmp_path):
+    spark.createDataFrame([(k, 40 + k, "FOP"[k % 3]) for k in range(90)], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, n) for k in range(90) for n in (1, 2, 3)], "l_orderkey long, l_linenumber long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(map(tuple, core.queries()["joi10_key_remap_whole"](spark, str(tmp_path)).collect()))
+    assert got == [(k, n, None if k % 3 else 1000001 + k // 3) for k in range(90) for n in (1, 2, 3)]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
