@@ -76,6 +76,13 @@ def src12_harvest(spark: SparkSession, d: str) -> DataFrame:
     return S.harvest(rows, COL("event_type").isin("click", "view") & (COL("run_id") < 50), ["event_id"]).select("event_id", "run_id")
 
 
+@query("SELECT event_id, user_id AS run_id FROM events WHERE event_type IN ('click', 'view') ORDER BY user_id DESC, event_id LIMIT 200")
+def src12_harvest_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The newest steps of all runs; the cap is the operator's own."""
+    rows = table(spark, d, "events").select("event_id", COL("user_id").alias("run_id"), "event_type")
+    return S.harvest(rows, COL("event_type").isin("click", "view"), ["event_id"]).select("event_id", "run_id")
+
+
 @query("SELECT event_id, user_id FROM events WHERE event_id % 2 = 0 UNION SELECT event_id, user_id + 0 FROM events WHERE event_id % 3 = 0")
 def snk2_insert_ignore(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("event_id", "user_id")

@@ -89,6 +89,13 @@ def test_remap_of_all_rows(spark, tmp_path):
     assert got == [(k, n, None if k % 3 else 1000001 + k // 3) for k in range(90) for n in (1, 2, 3)]
 
 
+def test_harvest_of_all_runs(spark, tmp_path):
+    rows = [(i, i % 90, ("click", "view", "error")[i % 7 % 3]) for i in range(900)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = [tuple(r) for r in core.queries()["src12_harvest_whole"](spark, str(tmp_path)).collect()]
+    assert got == sorted(((i, u) for i, u, t in rows if t != "error"), key=lambda x: (-x[1], x[0]))[:200]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
