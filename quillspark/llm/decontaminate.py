@@ -15,12 +15,12 @@ Defined cases: a null or empty text or item matches nothing; items without words
 results; empty tables give no rows. Only doc_id and text, and item_id, text (or question and answer), are read.
 
 Scale: no shuffle. The items go out as broadcasts of at most ITEMS_A_BROADCAST items; more items are more passes over the
-texts, with word statistics of each set of items.
+texts. Word statistics are of all items: the driver gathers them set by set, and holds a hash and a count of each distinct word.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -81,8 +81,17 @@ class Index:
         return int(self.sizes.max(initial=0))
 
 
-def build_index(items: pd.DataFrame) -> Index | None:
-    """The index of items (item_id; text, or question and answer)."""
+@dataclass
+class Statistics:
+    """Of all items: the words' hashes, sorted, the number of entries that each is in, the number of entries and of their words."""
+
+    terms: np.ndarray
+    df: np.ndarray
+    entries: int
+    words: int
+
+
+def _entries(items: pd.DataFrame) -> list[tuple]:
     entries = []  # (item_id, question, answer, words): an item of more than PASSAGE words has an entry for each PASSAGE of them
     for r in items.to_dict("records"):
         question, answer = (r.get("question") or "", r.get("answer") or "") if "question" in r else split_item(r["text"] or "")
@@ -90,8 +99,27 @@ def build_index(items: pd.DataFrame) -> Index | None:
         both = np.concatenate([q, a])
         starts = range(0, len(both) - PASSAGE, PASSAGE) if len(both) > PASSAGE else ()
         entries += [(r["item_id"], q, a, both[at : at + PASSAGE]) for at in (*starts, *([max(0, len(both) - PASSAGE)] if len(both) else []))]
+    return entries
+
+
+def statistics(sets: Iterable[pd.DataFrame]) -> Statistics:
+    all_of = Statistics(np.zeros(0, U), np.zeros(0, np.int64), 0, 0)
+    for items in sets:
+        entries = [e[3] for e in _entries(items)]
+        if entries:
+            both = np.concatenate([all_of.terms, *map(np.unique, entries)])
+            terms, at = np.unique(both, return_inverse=True)
+            df = np.bincount(at, weights=np.concatenate([all_of.df, np.ones(len(both) - len(all_of.terms))])).astype(np.int64)
+            all_of = Statistics(terms, df, all_of.entries + len(entries), all_of.words + sum(map(len, entries)))
+    return all_of
+
+
+def build_index(items: pd.DataFrame, of: Statistics | None = None) -> Index | None:
+    """The index of items (item_id; text, or question and answer), weighted by the statistics of all items if these are some of them."""
+    entries = _entries(items)
     if not entries:
         return None
+    of = of or statistics([items])
     entries.sort(key=lambda e: len(e[3]))  # entries of a block are of like length, so their maxima are tight
     sizes = np.array([len(e[3]) for e in entries])
     words = np.concatenate([e[3] for e in entries])
@@ -99,9 +127,9 @@ def build_index(items: pd.DataFrame) -> Index | None:
     terms, term_of = np.unique(words, return_inverse=True)
     pairs, tf = np.unique(term_of * len(entries) + owner, return_counts=True)
     term, item = pairs // len(entries), pairs % len(entries)
-    df = np.bincount(term, minlength=len(terms))
-    idf = np.maximum(np.log((len(entries) - df + 0.5) / (df + 0.5)), 0.01)
-    weights = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[item] / sizes.mean()))
+    df = of.df[np.searchsorted(of.terms, terms)]
+    idf = np.maximum(np.log((of.entries - df + 0.5) / (df + 0.5)), 0.01)
+    weights = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[item] * of.entries / of.words))
     weights = (weights / np.bincount(item, weights=weights)[item]).astype(np.float32)
     at = np.searchsorted(term, np.arange(len(terms) + 1))
     blocks = (len(entries) + BLOCK - 1) // BLOCK
@@ -193,14 +221,20 @@ def find(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: float,
     return out
 
 
-def _item_sets(items: DataFrame) -> Iterator[pd.DataFrame]:
+def _indexes(items: DataFrame) -> Iterator[Index | None]:
+    """The index of each set of items, all by the statistics of all items."""
     names = [c for c in ("item_id", "text", "question", "answer") if c in items.columns]
     if "question" in names and "answer" not in names:
         names.remove("question")
     rows = items.select(*names).filter(F.col("item_id").isNotNull())
     sets = -(-rows.count() // (ITEMS_A_BROADCAST * 3 // 4))
+    some = lambda i: rows.filter(F.pmod(F.xxhash64(*names), F.lit(sets)) == i).toPandas().sort_values(names, kind="stable")
+    if sets == 1:
+        yield build_index(some(0))
+        return
+    of = statistics(map(some, range(sets)))
     for i in range(sets):
-        yield rows.filter(F.pmod(F.xxhash64(*names), F.lit(sets)) == i).toPandas().sort_values(names, kind="stable")
+        yield build_index(some(i), of)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_overlap: float = 0.6) -> DataFrame:
@@ -208,8 +242,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_ov
     spark = docs.sparkSession
     tune(spark)
     out = None
-    for some in _item_sets(items):
-        sent = spark.sparkContext.broadcast(build_index(some))
+    for built in _indexes(items):
+        sent = spark.sparkContext.broadcast(built)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             index = sent.value
@@ -232,8 +266,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_ov
 def with_leaks(docs: DataFrame, items: DataFrame, name: str, threshold: float = 0.5, min_overlap: float = 0.6) -> DataFrame:
     """docs and a column with the number of test items in each text."""
     out = docs.withColumn(name, F.lit(0))
-    for i, some in enumerate(_item_sets(items)):
-        sent = docs.sparkSession.sparkContext.broadcast(build_index(some))
+    for i, built in enumerate(_indexes(items)):
+        sent = docs.sparkSession.sparkContext.broadcast(built)
 
         def count(texts: pa.Array, sent=sent) -> list[pa.Array]:  # noqa: ANN001
             data, offsets = text_bytes(texts)

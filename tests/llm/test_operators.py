@@ -266,6 +266,19 @@ def test_decoys_do_not_hide_a_copy():
     assert [(r, int(index.ids[i])) for r, i, *_ in found] == [(r, 0) for r in range(15) if r % 5]
 
 
+def test_scores_do_not_depend_on_the_sets(spark, monkeypatch):
+    """Items that go out in several sets give the scores that they give in one."""
+    rng = random.Random(34)
+    items = [prose(rng, rng.randint(8, 90), "abcd") for _ in range(60)]
+    texts = [f"{prose(rng, rng.randint(0, 60), 'abcd')} {x} {prose(rng, 30, 'abcd')}" for x in items[::3]]
+    bench = spark.createDataFrame([*enumerate(items), (98, ""), (99, None)], "item_id long, text string").coalesce(1)
+    found = lambda: [(d, i, round(s, 5)) for d, i, s in rows(decontaminate.find_leaks(documents(spark, texts), bench, 0.4, 0.1), "doc_id", "item_id", "score")]
+    flagged = lambda: rows(decontaminate.with_leaks(documents(spark, texts), bench, "n", 0.4, 0.1), "doc_id", "n")
+    want, counts = found(), flagged()
+    monkeypatch.setattr(decontaminate, "ITEMS_A_BROADCAST", 20)
+    assert len(want) >= 20 and found() == want and flagged() == counts
+
+
 # ---- 6: WARC
 
 
