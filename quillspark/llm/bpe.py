@@ -4,7 +4,7 @@ A text splits by the tokenizer's pattern, here found with arrays of character cl
 matches of a slice go into padded matrices by length bucket. In each round every row finds the ranks of its neighbouring pairs in a hash table, merges its leftmost
 pair of minimum rank, and closes the gap; rows without a mergeable pair leave the matrix. Matches of over LONG bytes are
 merged with a heap over a linked list in the same order, since a round for each merge would take quadratic time.
-Encoded matches are remembered up to REMEMBER of them in each worker; then the memory starts anew.
+Encoded matches are remembered up to REMEMBER of them (and REMEMBER_BYTES of long ones) in each worker; then the memory starts anew.
 
 Defined cases: a null or empty text has no tokens and decodes to nothing; every byte is a token, so any text encodes;
 repeated rows give repeated results; an empty table gives no rows. Only doc_id and text are read; further columns do
@@ -26,10 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from quillspark.llm.frames import tune
-from quillspark.llm.words import byte_sums, mix, powers, slices, text_bytes
+from quillspark.llm.words import Sums, mix, slices, text_bytes
 
 LONG = 256
-REMEMBER = 1_000_000
+#: Longer pieces are known by their bytes, shorter ones by a hash of over 64 bits and their first 8 bytes.
+EXACT = 64
+REMEMBER, REMEMBER_BYTES = 1_000_000, 16 << 20
 BUCKETS = (4, 6, 8, 10, 12, 16, 24, 32, 64, 128, LONG)
 NONE = np.int32(1 << 30)
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -106,6 +108,8 @@ class Bpe:
         self.keys_of, self.heads_of = np.zeros(1 << 16, U), np.zeros(1 << 16, U)
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.ids = np.zeros(1 << 18, np.int32)
+        self.long: dict[bytes, int] = {}
+        self.long_bytes = 0
 
     def _hash_pairs(self) -> None:
         """Open addressing over all pairs of tokens whose bytes together are a token."""
@@ -268,20 +272,32 @@ class Bpe:
             a = 0
         self._enter(np.arange(a, b, dtype=np.int32))
 
+    def _find_long(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> int:
+        """Where the memory has this piece, known by its bytes."""
+        raw = data[start[0] : end[0]].tobytes()
+        if raw not in self.long:
+            self.long[raw] = self.count
+            self.long_bytes += len(raw)
+            name = hashlib.sha256(raw).digest()
+            self._remember(np.frombuffer(name[:8], U), np.frombuffer(name[8:16], U), *self._merged(data, start, end))
+        return self.long[raw]
+
     def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts end to end, and the n + 1 offsets of the texts in them."""
         start = split_pieces(data, offsets, self.classes)
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         end = np.append(start[1:], len(data))
-        total, size = byte_sums(data), end - start
-        keys = mix((total[end] - total[start]) * powers(len(data) + 1, True)[start] + size.astype(U))
+        size = end - start
+        keys = mix(Sums.of_bytes(data).hash(start, end) + size.astype(U))
         heads = np.zeros(len(start), U)
         for i in range(8):
             heads |= np.where(size > i, data[np.minimum(start + i, len(data) - 1)], 0).astype(U) << U(8 * i)
-        if self.count > REMEMBER:
+        if self.count > REMEMBER or self.long_bytes > REMEMBER_BYTES:
             self.forget()
         at = self._find(keys, heads)
+        for i in np.flatnonzero(size > EXACT).tolist():
+            at[i] = self._find_long(data, start[i : i + 1], end[i : i + 1])
         new = np.flatnonzero(at < 0)
         if len(new):
             _, one = np.unique(keys[new], return_index=True)

@@ -9,8 +9,8 @@ so no control string can stand in a text, and unescaping restores it exactly. re
 the examples alone.
 
 Defined cases: a null role or text is empty; turns order by (turn, role, text), null turns first; repeated rows stay as
-turns of their own; rows of a null conv_id form one conversation; an empty table gives no rows. Only conv_id, turn,
-role and text are read.
+turns of their own; each row of a null conv_id is a conversation of its own, told apart by part (null elsewhere); an
+empty table gives no rows. Only conv_id, turn, role and text are read.
 
 Scale: one shuffle of the turns by conv_id; expansion and reading back keep that partitioning. A conversation is one
 training record and must fit in one row; the examples of a conversation of n turns hold its text up to n times, which
@@ -46,31 +46,32 @@ def with_probe(conversations: DataFrame) -> DataFrame:
 
 
 def expand(conversations: DataFrame) -> DataFrame:
-    """conv_id, upto (index of the example's last turn), text, loss_start, loss_chars."""
+    """conv_id, part, upto (index of the example's last turn), text, loss_start, loss_chars."""
     empty = F.lit("")
     turn = F.struct("turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
-    rows = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    part = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    rows = conversations.withColumn("__part", part).groupBy("conv_id", F.col("__part").alias("part")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
     def piece(t: Column) -> Column:
         role, body = F.replace(escape(t["role"]), F.lit('"'), F.lit("&quot;")), escape(t["text"])
         return F.struct(t["role"].alias("role"), F.length(body).alias("chars"), F.concat(F.lit('<turn role="'), role, F.lit('">'), body, F.lit(END)).alias("piece"))
 
-    rows = rows.select("conv_id", F.transform("turns", piece).alias("pieces"))
+    rows = rows.select("conv_id", "part", F.transform("turns", piece).alias("pieces"))
     last = F.size("pieces") - 1
     ends = F.filter(F.sequence(F.lit(0), last), lambda i: (F.element_at("pieces", i + 1)["role"] == "assistant") | (i == last))
-    rows = rows.select("conv_id", "pieces", F.explode(ends).alias("upto"))
+    rows = rows.select("conv_id", "part", "pieces", F.explode(ends).alias("upto"))
     own = F.element_at("pieces", F.col("upto") + 1)
     rows = rows.select(
-        "conv_id", "upto", F.array_join(F.transform(F.slice("pieces", F.lit(1), F.col("upto") + 1), lambda p: p["piece"]), "").alias("text"), F.when(own["role"] == "assistant", own["chars"]).otherwise(0).alias("loss_chars")
+        "conv_id", "part", "upto", F.array_join(F.transform(F.slice("pieces", F.lit(1), F.col("upto") + 1), lambda p: p["piece"]), "").alias("text"), F.when(own["role"] == "assistant", own["chars"]).otherwise(0).alias("loss_chars")
     )
-    return rows.select("conv_id", "upto", "text", (F.length("text") - len(END) - F.col("loss_chars")).alias("loss_start"), "loss_chars")
+    return rows.select("conv_id", "part", "upto", "text", (F.length("text") - len(END) - F.col("loss_chars")).alias("loss_start"), "loss_chars")
 
 
 def read_back(examples: DataFrame) -> DataFrame:
     """Per conversation, from the examples' text and masks: turns, replies (in order) and formatted_chars."""
     reply = unescape(F.substr("text", F.col("loss_start") + 1, F.col("loss_chars")))
-    rows = examples.select("conv_id", "upto", "text", F.length("text").alias("chars"), reply.alias("reply"))
-    rows = rows.groupBy("conv_id").agg(
+    rows = examples.select("conv_id", "part", "upto", "text", F.length("text").alias("chars"), reply.alias("reply"))
+    rows = rows.groupBy("conv_id", "part").agg(
         F.max_by("text", "upto").alias("text"), F.sort_array(F.collect_list(F.struct("upto", "reply"))).alias("replies"), F.sum("chars").alias("formatted_chars")
     )
     marked = F.split("text", END)
@@ -97,18 +98,18 @@ def digest(conversations: DataFrame) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
-  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS part, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, NULL, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, NULL, 1, 'assistant', '\### Assistant: </turn> ok'
 ), n AS (
   SELECT *, length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '"', '&quot;')) + 22 AS chars,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM t
+    row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id, part) AS n FROM t
 ), p AS (
-  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM n
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id, part ORDER BY i) AS upto FROM n
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   coalesce(sum(upto) FILTER (WHERE role = 'assistant' OR i = n), 0)::BIGINT AS formatted_chars
-FROM p GROUP BY conv_id
+FROM p GROUP BY conv_id, part
 """

@@ -11,19 +11,20 @@ from quillspark.llm.frames import materialise
 def _smallest(edges: DataFrame) -> DataFrame:
     """Each edge (a, b) with m, the smallest of a and its neighbours b."""
     least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-    return edges.join(least, F.col("a") == F.col("k")).select("a", "b", "m")
+    least = materialise(least, "least")  # behind its grouping the join would keep that partitioning, and a hot node couldn't be split
+    return edges.join(least.hint("merge"), F.col("a") == F.col("k")).select("a", "b", "m")
 
 
 def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """(node, component): of every node of an edge, the smallest node it reaches. Each round is written and read again.
 
-    Joins and minima only, so a node with many neighbours is pre-aggregated and its join can be split.
+    Joins and minima only: minima are pre-aggregated and written, and both sides of a join are plain shuffles, which AQE can split.
     """
     now = edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).filter("a <> b").distinct()
     now = materialise(now, "edges")
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _smallest(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = materialise(_smallest(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "large")
         small = _smallest(large).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         nxt = materialise(small.filter("a <> b").distinct(), "edges")
         sums = [d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for d in (now, nxt)]

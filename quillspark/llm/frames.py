@@ -16,6 +16,8 @@ BATCH_ROWS = 4096
 
 
 _own: dict[str, str] = {}
+#: Paths in the shared folder, in the order of writing.
+written: list[str] = []
 
 
 def tune(spark: SparkSession) -> None:
@@ -25,16 +27,28 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary folder if all runs on this machine, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="quillspark-"))
         found = _own["dir"]
     return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    written.append(path)
+    return path
+
+
+def discard(spark: SparkSession, keep: int = 0) -> None:
+    """Delete what was written to the shared folder, but the first keep of it. What reads it must be done."""
+    for path in written[keep:]:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    del written[keep:]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

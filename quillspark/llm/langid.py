@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm.frames import with_columns
-from quillspark.llm.sample import MAX_FIT_CHARS, fetch, held_out, sampled
+from quillspark.llm.sample import fetch, held_out, sampled
 from quillspark.llm.words import LOWER, mix, slices, text_bytes
 
 BUCKETS = 1 << 15
@@ -146,8 +146,9 @@ def predict(model: Model, texts: pa.Array) -> list[pa.Array]:
 
 def learn(docs: DataFrame, rows_a_language: int = 1200) -> Model:
     """Fit on the sample of labelled rows that aren't held out."""
-    rows = docs.select("doc_id", "lang", "text").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= MAX_FIT_CHARS))
-    found = fetch(sampled(rows, "lang", rows_a_language))
+    rows = docs.select("doc_id", "lang", "text").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = sampled(rows.select("doc_id", "lang"), "lang", rows_a_language).groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    found = fetch(rows.select("doc_id", "text"), known)
     return fit(found["text"].tolist(), found["lang"].tolist())
 
 

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm.frames import with_columns
-from quillspark.llm.sample import MAX_FIT_CHARS, fetch, sampled
-from quillspark.llm.words import Words, byte_sums, find_words, mix, powers, rolled, slices, text_bytes
+from quillspark.llm.sample import fetch, sampled
+from quillspark.llm.words import Sums, Words, find_words, mix, rolled, slices, text_bytes
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -101,8 +101,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[Counts, Lines]:
     per = lambda values: np.bincount(line_of, weights=values, minlength=len(starts))
     count = per(np.ones(len(line_of)))
     used = np.flatnonzero(count > 0)
-    sums, size = byte_sums(data), ends - starts
-    key = mix((sums[ends] - sums[starts]) * powers(len(data) + 1, True)[starts] + size.astype(U) * U(0xA0761D6478BD642F))[used]
+    key = mix(Sums.of_bytes(data).hash(starts[used], ends[used]) + (ends - starts)[used].astype(U) * U(0xA0761D6478BD642F))
     key = mix(key + line_row[used].astype(U) * U(0xD6E8FEB86659FD93))
     dup = np.ones(len(used), bool)
     dup[np.unique(key, return_index=True)[1]] = False
@@ -199,6 +198,8 @@ def _measured(texts: list[str]) -> tuple[Counts, Lines]:
 
 
 def fit(texts: list[str], good: list[int], rounds: int = 150, rate: float = 0.1, pull: float = 1e-4) -> Crf | None:
+    if not texts:
+        return None
     good = np.array(good, np.int64)
     counts, lines = _measured(texts)
     fine = ~base_fails(counts)
@@ -238,8 +239,7 @@ def content_share(crf: Crf, lines: Lines, n: int) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, rows_a_label: int = 1500) -> Crf | None:
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1))
     some = sampled(known.groupBy("doc_id").agg(F.min("quality").alias("quality")), "quality", rows_a_label)
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= MAX_FIT_CHARS))
-    found = fetch(rows.join(F.broadcast(some), "doc_id"))
+    found = fetch(docs.select("doc_id", "text"), some)
     return fit(found["text"].tolist(), found["quality"].tolist())
 
 

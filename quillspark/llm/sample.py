@@ -1,4 +1,8 @@
-"""Bounded, reproducible samples of labelled rows, for fitting classifiers on the driver."""
+"""Bounded, reproducible samples of labelled rows, for fitting classifiers on the driver.
+
+The bounds, all of them parameters: rows a stratum, MAX_STRATA strata (those of the most rows), MAX_TEXT_BYTES a text (longer
+texts aren't fitted; they are scored like any others) and MAX_BYTES in all (the rows that a hash of doc_id puts first).
+"""
 
 from __future__ import annotations
 
@@ -7,24 +11,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PARTS = 1_000_000
-#: Rows of longer texts aren't used for fitting (they are scored like any others).
-MAX_FIT_CHARS = 200_000
+MAX_STRATA = 500
+MAX_TEXT_BYTES = 1 << 20
+MAX_BYTES = 24 << 20
 
 
 def held_out(doc_id: Column) -> Column:
     return (F.crc32(doc_id.cast("string").cast("binary")) % 3) == 1
 
 
+def _spot() -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(PARTS))
+
+
 def sampled(rows: DataFrame, stratum: str, cap: int) -> DataFrame:
     """About cap rows (never over 1.2 times) of each value of stratum, chosen by a hash of doc_id."""
-    counts = {r[0]: r[1] for r in rows.groupBy(stratum).count().collect()}
-    spot = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(PARTS))
+    counts = {r[0]: r[1] for r in rows.groupBy(stratum).count().orderBy(F.desc("count"), stratum).limit(MAX_STRATA).collect()}
     keep = F.lit(False)
     for value, n in counts.items():
-        keep = keep | ((F.col(stratum) == F.lit(value)) & (spot < int(PARTS * min(1.0, cap / n))))
-    return rows.filter(keep).withColumn("__spot", spot).orderBy("__spot", "doc_id").limit(int(1.2 * cap * max(1, len(counts)))).drop("__spot")
-
-
-def fetch(rows: DataFrame) -> pd.DataFrame:
-    """The sampled rows on the driver, in an order that doesn't depend on the run."""
-    return rows.toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
+        keep = keep | ((F.col(stratum) == F.lit(value)) & (_spot() < int(PARTS * min(1.0, cap / n))))
+    return rows.filter(keep).withColumn("__spot", _spot()).orderBy("__spot", "doc_id").limit(int(1.2 * cap * max(1, len(counts)))).drop("__spot")
+
+
+def fetch(docs: DataFrame, some: DataFrame, max_text_bytes: int = MAX_TEXT_BYTES, max_bytes: int = MAX_BYTES) -> pd.DataFrame:
+    """docs' texts of the sampled rows some (doc_id and labels), within the bounds, on the driver, in an order that doesn't depend on the run.
+
+    The sizes come first, so the driver takes no text over the bounds; some is bounded by sampled().
+    """
+    size = F.octet_length("text").cast("long")
+    fits = docs.filter(F.col("text").isNotNull() & (size <= max_text_bytes))
+    sizes = fits.select("doc_id", size.alias("size"), _spot().alias("spot")).join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi").toPandas()
+    sizes = sizes.sort_values(["spot", "doc_id", "size"], kind="stable").drop_duplicates("doc_id")
+    chosen = sizes[sizes["size"].cumsum() <= max_bytes][["doc_id", "size"]]
+    if not len(chosen):
+        return docs.join(some, "doc_id").limit(0).toPandas()
+    ids = docs.sparkSession.createDataFrame([(int(i), int(n)) for i, n in chosen.itertuples(index=False)], "doc_id long, size long")
+    found = fits.join(F.broadcast(ids), ["doc_id"]).filter(size == F.col("size")).drop("size").join(F.broadcast(some), "doc_id").toPandas()
+    return found.sort_values(["doc_id", "text"], kind="stable").drop_duplicates("doc_id").reset_index(drop=True)

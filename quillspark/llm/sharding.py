@@ -7,7 +7,7 @@ Defined cases: a null doc_id counts as -1; a null text has no bytes (size 1, che
 shard and get slots of their own; an empty table gives no rows. Only doc_id and text are read, so further columns,
 whatever their names, do no harm.
 
-Scale: one narrow shuffle. Slots come from a row number within (shard, bucket of a hash) plus that group's offset, and
+Scale: texts are read once, then narrow rows are written and shuffled once. Slots come from a row number within (shard, bucket of a hash) plus that group's offset, and
 the offsets are a table of at most (shards * BUCKETS) rows, so no task sorts a whole shard and the broadcast is bounded.
 """
 
@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.frames import materialise
 from quillspark.llm.words import mix
 
 #: Parts of a shard that are numbered apart.
@@ -49,8 +50,10 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
 
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(BUCKETS)).cast("int"))
+    salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id() % BUCKETS)  # rows without an id may be many
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "text_crc32", salt), F.lit(BUCKETS)).cast("int"))
     rows = rows.withColumn("at", place(F.coalesce("doc_id", F.lit(-1)))).select("*", "at.shard", "at.grown_shard").drop("at")
+    rows = materialise(rows, "placed")  # narrow, so the texts are read and hashed once for the offsets and the slots
     ahead = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("shard", "bucket").count().select("shard", "bucket", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("offset"))
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm.frames import map_batches, materialise, tune
-from quillspark.llm.words import Words, batches, find_words, mix, powers, rolled, text_bytes
+from quillspark.llm.words import Sums, Words, batches, find_words, mix, rolled, text_bytes
 
 LENGTH = 50
 SEED = 16
@@ -58,9 +58,7 @@ def anchors(words: Words, length: int, seed: int) -> tuple[np.ndarray, np.ndarra
 
 def spans(words: Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the words from start to end."""
-    total = np.zeros(len(words.hash) + 1, U)
-    np.cumsum(words.hash * powers(len(words.hash)), out=total[1:])
-    return mix((total[end] - total[start]) * powers(len(words.hash) + 1, True)[start] + (end - start).astype(U))
+    return mix(Sums.of_words(words.hash).hash(start, end) + (end - start).astype(U))
 
 
 def _runs(docs: DataFrame, length: int, seed: int) -> DataFrame:

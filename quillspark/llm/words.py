@@ -6,7 +6,7 @@ empty. Work goes over slices of about SLICE bytes, so memory doesn't follow a ba
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -38,6 +38,29 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
 
 
+#: The second modulus, a prime: sums of powers modulo 2**64 alone are equal for some regular texts (Thue-Morse words).
+PRIME = U((1 << 31) - 1)
+_ROOT = 48271
+_SMALL = (_BYTE >> U(33)) % PRIME
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Congruent to x modulo PRIME, under 2**32 for x under 2**62."""
+    return (x & PRIME) + (x >> U(31))
+
+
+@lru_cache(maxsize=2)
+def _prime_powers(size: int) -> np.ndarray:
+    out = np.ones(1, U)
+    while len(out) < size:
+        out = np.concatenate([out, out * U(pow(_ROOT, len(out), int(PRIME))) % PRIME])
+    return out
+
+
+def prime_powers(n: int) -> np.ndarray:
+    return _prime_powers(1 << max(16, int(n).bit_length()))[:n]
+
+
 @lru_cache(maxsize=4)
 def _powers(size: int, inverse: bool) -> np.ndarray:
     out = np.full(size, _BASE_INV if inverse else _BASE, U)
@@ -57,6 +80,35 @@ def byte_sums(data: np.ndarray) -> np.ndarray:
     return total
 
 
+class Sums:
+    """Hashes of any stretch of a sequence, from running sums modulo 2**64; those of over LONG take a sum modulo PRIME too."""
+
+    LONG = 32
+
+    def __init__(self, values: np.ndarray, small: Callable[[np.ndarray], np.ndarray]) -> None:
+        self.total, self._small = np.zeros(len(values) + 1, U), small
+        np.cumsum(values * powers(len(values)), out=self.total[1:])
+
+    @staticmethod
+    def of_bytes(data: np.ndarray) -> Sums:
+        return Sums(_BYTE[data], lambda at: _SMALL[data[at]])
+
+    @staticmethod
+    def of_words(hashes: np.ndarray) -> Sums:
+        return Sums(hashes, lambda at: hashes[at] % PRIME)
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = mix((self.total[end] - self.total[start]) * powers(len(self.total), True)[start])
+        long = np.flatnonzero(end - start > self.LONG)
+        for some in np.array_split(long, max(1, int((end[long] - start[long]).sum()) >> 22)) if len(long) else ():
+            size = (end - start)[some]
+            last = np.cumsum(size)
+            place = np.arange(int(last[-1])) - np.repeat(last - size, size)
+            sums = np.add.reduceat(_fold(self._small(np.repeat(start[some], size) + place) * prime_powers(int(size.max()))[place]), last - size)
+            out[some] = mix(out[some] + mix(sums % PRIME))
+        return out
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The texts' bytes end to end, and the n + 1 offsets of the texts in them."""
     if isinstance(texts, pa.ChunkedArray):
@@ -116,13 +168,12 @@ def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashe
     row = np.searchsorted(offsets, start, "right") - 1
     hashes = np.zeros(0, U)
     if hashed and len(start):
-        total = byte_sums(data)
-        hashes = mix((total[end] - total[start]) * powers(n + 1, True)[start])
+        hashes = Sums.of_bytes(data).hash(start, end)
     return Words(data, offsets, start, end, row, hashes)
 
 
 def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all k consecutive words, from their hashes; text borders aren't heeded."""
+    """Hashes of all k consecutive words (a few dozen at most), from their hashes; text borders aren't heeded."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, U)

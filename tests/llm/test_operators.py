@@ -480,3 +480,81 @@ def test_chat_examples(spark):
     assert [r.conv_id for r in chat.digest(table.limit(0)).collect()] == [-7]
     plan = chat.digest(table)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# ---- regular texts that equal sums modulo a power of two
+
+
+def thue_morse(n):
+    s, flip = "a", str.maketrans("ab", "ba")
+    while len(s) < n:
+        s += s.translate(flip)
+    return s, s.translate(flip)
+
+
+def test_regular_words_differ(spark):
+    """Two words whose polynomial sums modulo 2**64 are equal are two words in every operator that hashes words."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    for n in (64, 1024, 4096):
+        a, b = thue_morse(n)
+        texts = ["x" * 8 + a, "x" * 8 + b, a, b]
+        assert len(set(find_words(*text_bytes(pa.array(texts))).hash.tolist())) == 4
+        got = {r.doc_id: r.decoded_sha256 for r in bpe.digest(documents(spark, texts), path).collect()}
+        assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts)}
+    rng = random.Random(40)
+    left, right = prose(rng, 30), prose(rng, 30)
+    texts = [f"{left} {a} {right}", f"{left} {b} {right}", f"{a} " * 7, f"{b} " * 7]
+    assert rows(substring.digest(documents(spark, texts)), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substring(texts, 50)
+    assert rows(near_dup.group_documents(documents(spark, texts), 0.85), "doc_id", "n_shingles", "component_id", "kept") == brute_groups(texts, 0.85)
+
+
+# ---- rows without keys, bounds of samples, the shared folder
+
+
+def test_chat_rows_without_conversation(spark):
+    table = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "assistant", "b"), (1, 0, "user", None)], "conv_id long, turn long, role string, text string")
+    got = [tuple(r)[:2] for r in chat.digest(table).collect()]
+    assert sorted(got, key=str) == sorted([(None, 1)] * 3 + [(1, 1), (-7, 2)], key=str)
+
+
+def test_shards_of_rows_without_id(spark):
+    docs = documents(spark, ["t"] * 300).withColumn("doc_id", F.when(F.col("doc_id") > 100, F.col("doc_id")))
+    out = sharding.shard_documents(docs).collect()
+    for s in range(16):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+    assert len({r.shard for r in out if r.doc_id is None}) == 1 and len(out) == 300
+
+
+def test_samples_are_bounded(spark):
+    from quillspark.llm import sample
+
+    docs = documents(spark, ["x" * (100 + i) for i in range(200)] + ["y" * 5000, None]).unionByName(documents(spark, ["z"], 3))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    some = sample.sampled(labels, "toxic", 40)
+    found = sample.fetch(docs.select("doc_id", "text"), some, max_text_bytes=1000, max_bytes=5000)
+    assert 0 < len(found) <= 96 and found["text"].str.len().sum() <= 5000 and found["doc_id"].is_unique and found["text"].str.len().max() <= 1000
+    assert list(sample.fetch(docs.select("doc_id", "text").limit(0), some)["doc_id"]) == []
+
+
+def test_written_tables_can_be_discarded(spark):
+    from quillspark.llm import frames
+
+    before = len(frames.written)
+    kept = frames.materialise(spark.range(3), "a")
+    keep = len(frames.written)
+    gone = frames.materialise(spark.range(4), "b")
+    assert gone.count() == 4
+    frames.discard(spark, keep)
+    assert kept.count() == 3 and len(frames.written) == keep == before + 1
+
+
+@pytest.mark.parametrize("learn", ["toxicity", "langid", "quality"])
+def test_classifiers_of_empty_tables(spark, learn):
+    docs, labels = documents(spark, ["a b c", None]), spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    for table in (docs, docs.limit(0)):
+        if learn == "langid":
+            assert langid.label_documents(table, langid.learn(table.withColumn("lang", F.lit(None).cast("string")))).count() == table.count()
+        elif learn == "quality":
+            assert quality.judge_documents(table, quality.learn(table, labels)).count() == table.count()
+        else:
+            assert toxicity.score_documents(table, toxicity.learn(table, labels)).count() == table.count()
