@@ -275,7 +275,7 @@ def test_scores_do_not_depend_on_the_sets(spark, monkeypatch):
     found = lambda: [(d, i, round(s, 5)) for d, i, s in rows(decontaminate.find_leaks(documents(spark, texts), bench, 0.4, 0.1), "doc_id", "item_id", "score")]
     flagged = lambda: rows(decontaminate.with_leaks(documents(spark, texts), bench, "n", 0.4, 0.1), "doc_id", "n")
     want, counts = found(), flagged()
-    monkeypatch.setattr(decontaminate, "ITEMS_A_BROADCAST", 20)
+    monkeypatch.setattr(decontaminate, "SET_BYTES", 4000)
     assert len(want) >= 20 and found() == want and flagged() == counts
 
 
@@ -390,8 +390,10 @@ def test_near_duplicates_are_exact(spark, threshold):
     assert sorted(r.doc_id for r in left.collect()) == [r[0] for r in got if r[3]] and left.columns == documents(spark, []).columns
 
 
-def test_tiles_cover_large_clusters(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "TILE", 16)
+def test_small_blocks_cover_large_clusters(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "CHUNK", 3)
+    monkeypatch.setattr(near_dup, "HEADS", 4)
+    monkeypatch.setattr(near_dup, "MEMBERS", 8)
     rng = random.Random(14)
     base = prose(rng, 120).split()
     texts = [" ".join(base[:k] + [f"u{i}"] + base[k + 1 :]) for i, k in enumerate(rng.randrange(120) for _ in range(70))]
@@ -558,3 +560,48 @@ def test_classifiers_of_empty_tables(spark, learn):
             assert quality.judge_documents(table, quality.learn(table, labels)).count() == table.count()
         else:
             assert toxicity.score_documents(table, toxicity.learn(table, labels)).count() == table.count()
+
+
+# ---- decontamination by brute force
+
+
+@pytest.mark.parametrize("n_items", [30, 400])
+def test_leaks_equal_brute_force(n_items):
+    """All passages against all items, every passage over the threshold verified; decoys and rows of common words among them."""
+    import pandas as pd
+
+    rng = random.Random(n_items)
+    items = [prose(rng, rng.randint(1, 130), rng.choice(["ab", "abcd", "abcdefghijkl"])) for _ in range(n_items)]
+    texts = [prose(rng, rng.randint(1, 150), rng.choice(["ab", "abcd", "abcdefghijkl"])) for _ in range(25)]
+    for i in range(25):
+        w = items[rng.randrange(n_items)].split()
+        mixed = rng.sample(w, len(w))
+        texts.append(" ".join([*mixed, *prose(rng, rng.randint(0, 90)).split(), *w[rng.randint(0, 3) :], *prose(rng, rng.randint(0, 40)).split()]))
+    frame = pd.DataFrame({"item_id": range(n_items), "text": items})
+    entries = decontaminate._entries(frame)
+    df = Counter(t for e in entries for t in set(e[3].tolist()))
+    mean, n = sum(len(e[3]) for e in entries) / len(entries), len(entries)
+    weights = []
+    for e in entries:
+        tf = Counter(e[3].tolist())
+        w = {t: max(np.log((n - df[t] + 0.5) / (df[t] + 0.5)), 0.01) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(e[3]) / mean)) for t, f in tf.items()}
+        total = sum(w.values())
+        weights.append({t: x / total for t, x in w.items()})
+    index = decontaminate.build_index(frame)
+    data, offsets = text_bytes(pa.array(texts))
+    words = find_words(data, offsets, lower=True, space=toxicity.NOT_WORD)
+    for threshold, least in ((0.5, 0.6), (0.3, 0.2)):
+        got = {(r, int(index.ids[i])) for r, i, *_ in decontaminate.find(index, data, offsets, threshold, least)}
+        want, near = set(), set()
+        for d in range(len(texts)):
+            own = words.hash[words.first[d] : words.first[d + 1]]
+            for at in range(0, max(1, len(own) - 32), 32):
+                terms = set(own[at : at + 64].tolist())
+                for e, w in zip(entries, weights, strict=True):
+                    score = sum(x for t, x in w.items() if t in terms)
+                    if score >= threshold - 1e-6:
+                        size = len(e[1]) + len(e[2])
+                        shares, whole = decontaminate.overlaps((e[1], e[2]), own[max(0, at - size) : min(len(own), at + 64) + size])
+                        if min(shares) >= least and whole >= 2 * least / 3:
+                            (want if score >= threshold + 1e-6 else near).add((d, e[0]))
+        assert want <= got <= want | near and (want or n_items == 30)
