@@ -2,8 +2,13 @@
 
 Each line with a word has features (length, symbols, repetition, case, separators, length of words, equality with an
 earlier line). Viterbi decoding of the CRF marks each line content or boilerplate; a text stays if the lines of content
-hold at least min_share of its words' characters. The CRF is fitted by gradient ascent of its likelihood on a sample of
-about rows_a_label texts of each quality label (not over 1.2 times as many); a fitted text's lines take its label.
+hold at least min_share of its words' characters.
+
+The CRF is fitted by gradient ascent of its likelihood on a sample of about rows_a_label texts of each quality label (not
+over 1.2 times as many) within the bounds of sample.py. Labels are of texts, so the states of lines are latent: they begin
+as the text's label, and after each of PASSES fits the surest lines of the other kind change, up to a share CHANGED of the
+text. SPLICED further texts are joined from the lines of a good and a bad text each, which teaches the chain changes within
+a text.
 
 A text that fails a base rule (fewer than 10 words, or over a fifth of its words in repeated 5-word windows) doesn't stay.
 
@@ -32,6 +37,8 @@ WINDOW = 5
 MIN_WORDS = 10
 #: Share of the fitted good texts that must stay.
 KEEP_GOOD = 0.998
+#: Texts spliced for fitting, of parts shorter than SPLICED_CHARS; times that line states are fitted; share of a text whose states may differ from its label.
+SPLICED, SPLICED_CHARS, PASSES, CHANGED = 600, 20_000, 3, 0.4
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 LEAD = (np.arange(256) & 0xC0) != 0x80
@@ -197,22 +204,29 @@ def _measured(texts: list[str]) -> tuple[Counts, Lines]:
     return counts, Lines(row, np.searchsorted(row, np.arange(len(texts) + 1)), joined(lambda p: p[1].x), joined(lambda p: p[1].chars))
 
 
-def fit(texts: list[str], good: list[int], rounds: int = 150, rate: float = 0.1, pull: float = 1e-4) -> Crf | None:
-    if not texts:
-        return None
-    good = np.array(good, np.int64)
-    counts, lines = _measured(texts)
-    fine = ~base_fails(counts)
-    if len(set(good[fine])) < 2:
-        return None
-    use = np.flatnonzero(fine[lines.row])
-    lines = Lines(lines.row[use], np.searchsorted(lines.row[use], np.arange(len(texts) + 1)), lines.x[use], lines.chars[use])
-    y = good[lines.row]
+def spliced(texts: list[str], good: np.ndarray, n: int, seed: int = 5) -> tuple[list[str], list[np.ndarray]]:
+    """Up to n texts made of the lines of a good and of a bad text each, and the states of their lines with a word."""
+    rng = np.random.default_rng(seed)
+    lines = lambda i: [x for x in texts[i].split("\n") if find_words(*text_bytes(pa.array([x])), hashed=False).start.size]
+    short = np.array([len(t) < SPLICED_CHARS for t in texts], bool)
+    made, states = [], []
+    pairs = zip(rng.permutation(np.flatnonzero((good == 1) & short)).tolist(), rng.permutation(np.flatnonzero((good == 0) & short)).tolist(), strict=False)
+    for k, (i, j) in enumerate(pairs):
+        if k == n:
+            break
+        content, other = lines(i), lines(j)
+        at = (0, len(content), int(rng.integers(0, len(content) + 1)))[k % 3]
+        made.append("\n".join([*content[:at], *other, *content[at:]]))
+        states.append(np.concatenate([np.ones(at, np.int64), np.zeros(len(other), np.int64), np.ones(len(content) - at, np.int64)]))
+    return made, states
+
+
+def _ascend(crf: Crf, lines: Lines, y: np.ndarray, rounds: int, rate: float, pull: float) -> None:
+    """Gradient ascent of the likelihood of the states y, both states of equal weight."""
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     same = lines.row[1:] == lines.row[:-1]
     seen_steps = np.zeros((2, 2))
     np.add.at(seen_steps, (y[:-1][same], y[1:][same]), 1)
-    crf = Crf(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
     squares = [np.full_like(crf.weights, 1e-8), np.full_like(crf.steps, 1e-8)]
     truth = np.eye(2)[y]
     for _ in range(rounds):
@@ -221,9 +235,45 @@ def fit(texts: list[str], good: list[int], rounds: int = 150, rate: float = 0.1,
         for value, g, s in zip((crf.weights, crf.steps), grads, squares, strict=True):
             s += g * g
             value += rate * 6 * g / np.sqrt(s)
-    asked = good[fine] == 1
+
+
+def _relabelled(crf: Crf, lines: Lines, y: np.ndarray, whole: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """States of the lines of whole texts by their marginals, as far as each text's share still gives its label; the rest as it is."""
+    p = _marginals(crf, lines)[0][:, 1]
+    out = y.copy()
+    total = np.bincount(lines.row, weights=lines.chars, minlength=len(good))
+    for label in (0, 1):
+        some = np.flatnonzero(whole[lines.row] & (good[lines.row] == label) & ((p > 0.5) != (label == 1)))
+        some = some[np.lexsort((p[some] if label else -p[some], lines.row[some]))]  # the surest first
+        gone = np.cumsum(lines.chars[some])
+        before = gone - lines.chars[some]
+        first = np.searchsorted(lines.row[some], lines.row[some], "left")
+        ahead = gone - (before[first] if len(some) else 0)
+        out[some] = np.where(ahead < CHANGED * total[lines.row[some]], 1 - label, label)
+    return out
+
+
+def fit(texts: list[str], good: list[int], rounds: int = 150, rate: float = 0.1, pull: float = 1e-4) -> Crf | None:
+    """The CRF of texts with labels; None without texts of both labels that pass the base rules."""
+    if not texts:
+        return None
+    good = np.array(good, np.int64)
+    fine = np.flatnonzero(~base_fails(_measured(texts)[0]))
+    texts, good = [texts[i] for i in fine.tolist()], good[fine]
+    if len(set(good.tolist())) < 2:
+        return None
+    made, states = spliced(texts, good, SPLICED)
+    _, lines = _measured([*texts, *made])
+    whole = np.arange(len(texts) + len(made)) < len(texts)
+    label = np.concatenate([good, np.full(len(made), -1)])
+    y = np.concatenate([good[lines.row[lines.row < len(texts)]], *states])
+    crf = Crf(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
+    for _ in range(PASSES):
+        _ascend(crf, lines, y, rounds, rate, pull)
+        y = _relabelled(crf, lines, y, whole, label)
+    asked = label == 1
     for _ in range(40):  # content gains ground until nearly all fitted good texts stay
-        if (content_share(crf, lines, len(texts))[fine][asked] >= 0.5).mean() >= KEEP_GOOD:
+        if (content_share(crf, lines, len(label))[asked] >= 0.5).mean() >= KEEP_GOOD:
             break
         crf.weights[0, 1] += 0.25
     return crf

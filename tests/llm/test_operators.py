@@ -605,3 +605,28 @@ def test_leaks_equal_brute_force(n_items):
                         if min(shares) >= least and whole >= 2 * least / 3:
                             (want if score >= threshold + 1e-6 else near).add((d, e[0]))
         assert want <= got <= want | near and (want or n_items == 30)
+
+
+# ---- quality: states of lines
+
+
+def test_crf_marks_appended_boilerplate(spark):
+    rng = random.Random(50)
+    good = lambda: "\n".join(prose(rng, 15) + "." for _ in range(rng.randint(2, 7)))
+    bad = lambda: "\n".join(" | ".join(prose(rng, 12).split()) for _ in range(rng.randint(2, 7)))
+    texts, quality_of = zip(*((good(), 1) if i % 2 else (bad(), 0) for i in range(240)), strict=True)
+    crf = quality.fit(list(texts), list(quality_of))
+    for _ in range(30):
+        parts = [(good(), 1), (bad(), 0)]
+        rng.shuffle(parts)
+        _, lines = quality.measure(*text_bytes(pa.array(["\n".join(t for t, _ in parts)])))
+        want = [y for t, y in parts for _ in t.split("\n")]
+        assert (quality.viterbi(crf, lines) == want).mean() > 0.9
+    assert quality.fit([], []) is None and quality.fit(["a b c"] * 3, [1, 1, 0]) is None
+
+
+def test_quality_without_labels_keeps_the_base_rules(spark):
+    docs = documents(spark, ["one two three four five six seven eight nine ten eleven", "short", None])
+    for labels in (spark.createDataFrame([], "doc_id long, quality int"), spark.createDataFrame([(0, 1)], "doc_id long, quality int")):
+        crf = quality.learn(docs, labels)
+        assert crf is None and rows(quality.judge_documents(docs, crf), "doc_id", "kept") == [(0, True), (1, False), (2, False)]
