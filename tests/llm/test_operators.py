@@ -293,10 +293,29 @@ def test_warc_round_trip(spark, tmp_path):
         want.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if i == first else "revisit", None if i == first else first))
     assert got == sorted(want, key=str)
     warc.write_archives(pages, str(tmp_path / "w"), min_bytes=5)
-    records = [x for f in sorted(Path(tmp_path / "w").glob("*.gz")) for x in warc.parse(gzip.decompress(f.read_bytes()))]
+    records = [x for f in sorted(Path(tmp_path / "w").glob("*.gz")) for x in warc.parse(gzip.decompress(f.read_bytes()).split(warc.END)[:-1])]
     assert Counter(h["WARC-Type"] for h, _ in records) == {"response": 8, "revisit": 1} and not any("Evil" in h for h, _ in records)
     assert all(b.endswith(b"\r\n\r\n") for h, b in records if h["WARC-Type"] == "revisit")
     assert warc.round_trip(pages.limit(0)).count() == 0
+    assert {h["WARC-Date"] for h, _ in records} != {"1970-01-01T00:00:00Z"} and len({h["WARC-Date"] for h, _ in records}) == 1
+
+
+def test_warc_hot_payload_and_repeated_ids(spark, tmp_path):
+    """Payloads full of record ends, one payload on most pages, rows of one page_id with other payloads, archives of a few records."""
+    rng = random.Random(60)
+    htmls = ["" if rng.random() < 0.4 else rng.choice(["\r\n\r\n", "a\r\n\r\n\r\n", "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"]) * rng.randint(1, 4) for _ in range(400)]
+    table = [(i // 2, None, h) for i, h in enumerate(htmls)] + [(None, None, "only"), (None, None, "")]
+    pages = spark.createDataFrame(table, "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "w"), date="2020-01-02T03:04:05Z", archive_bytes=20_000)
+    assert len(list(Path(tmp_path / "w").glob("*.gz"))) > 8
+    least = {}
+    for i, _, h in table:
+        if i is not None:
+            least[h] = min(i, least.get(h, i))
+    digest = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+    want = [(i, len(h.encode()), digest(h), *(("response", None) if i == least.get(h) else ("revisit", least.get(h)))) for i, _, h in table]
+    got = [tuple(r) for r in warc.read_archives(spark, str(tmp_path / "w")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
 
 
 # ---- 7: quality
