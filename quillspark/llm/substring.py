@@ -1,18 +1,24 @@
 """Substring dedup: words inside a run of LENGTH words that a document of smaller doc_id has too are removed.
 
 Seed and extend. Every LENGTH-word window is seeded by the smallest hash of its SEED-word grams (winnowing), a function of
-its words alone, so equal windows have equal anchors. Consecutive windows with one anchor form a run, extended to all
-words around the anchor; a run is kept as one row with a hash of its whole extent.
+its words alone, so equal windows have equal anchors. Consecutive windows with one anchor form a run, the stretch of words
+in which a match on that anchor can lie; a run is one narrow row with a hash of its words.
 
 1. Runs whose anchor stands in one document only are dropped.
-2. Where all runs of an anchor have the same extent, they match in full: all but the smallest document lose the run.
-3. Where extents differ, runs of equal extent are one class: all but its smallest document lose the run. The smallest of
-   each class compares window by window with the other classes, by (anchor, window hash), 128 bits in all.
+2. Runs of one anchor and equal words match from end to end: all but the smallest document lose them.
+3. Of runs of one anchor with different words, the smallest document of each kind is joined with the anchor's smallest
+   document, and the match is extended from the anchor to the left and to the right, word by word, as far as both go on
+   alike. What is LENGTH words or longer is a maximal repeat within the runs, and is lost by the greater document.
+4. Windows of a run that the extension left over are in no run of the smallest document. Those of one anchor that are
+   equal match each other: all but their smallest document lose them. So do all windows of an anchor that stands in its
+   first run over REPEATS times (periodic text), instead of step 3.
+
+Maximal repeats of neighbouring anchors overlap and are cut as one.
 
 A removed word takes the white space behind it along; texts without a match stay as they are.
 
 Defined cases: a null or empty text has no words and stays so; fewer than LENGTH words are never removed; matches within
-one document don't count; rows of one doc_id must be one document and lose the same words; a row without doc_id has
+one document don't count; rows of one doc_id may differ, each loses what a smaller doc_id has; a row without doc_id has
 no order, so it loses nothing and takes nothing from others; an empty table gives no rows. Further columns pass
 through dedup_documents() unchanged (n_chars is renewed).
 
@@ -35,8 +41,10 @@ from quillspark.llm.words import Sums, Words, batches, find_words, mix, rolled,
 
 LENGTH = 50
 SEED = 16
-RUNS = "doc_id long, anchor long, extent long, start int, n int"
-WINDOWS = "anchor long, window long, doc_id long, start int"
+REPEATS = 8
+RUNS = "doc_id long, text_hash int, anchor long, extent long, start int, n int"
+CONTEXTS = "anchor long, doc_id long, text_hash int, start int, n int, words binary"
+MATCHES = "doc_id long, text_hash int, start int, n int, anchor long, window long"
 U = np.uint64
 
 
@@ -76,41 +84,93 @@ def _runs(docs: DataFrame, length: int, seed: int) -> DataFrame:
             start = at[head]
             extent = spans(words, start, start + n + length - 1)
             out.append(pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row[head] + a)), pa.array(anchor[head].view(np.int64)), pa.array(extent.view(np.int64)), pa.array((start - words.first[row[head]]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                names=["doc_id", "anchor", "extent", "start", "n"],
+                [*(batch.column(c).take(pa.array(row[head] + a)) for c in (0, 2)), pa.array(anchor[head].view(np.int64)), pa.array(extent.view(np.int64)), pa.array((start - words.first[row[head]]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                names=[x.split()[0] for x in RUNS.split(", ")],
             ))
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
 
-    return map_batches(docs.filter("doc_id is not null").select("doc_id", "text"), each, RUNS)
+    return map_batches(docs.filter("doc_id is not null").select("doc_id", "text", F.hash("text")), each, RUNS)
 
 
-def _windows(docs: DataFrame, length: int) -> DataFrame:
-    """(anchor, window hash, doc_id, start) of the windows of docs' column runs."""
+def _contexts(docs: DataFrame, length: int) -> DataFrame:
+    """The words' hashes of the runs in docs' column runs, a row each."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        runs = batch.column(2).flatten()
-        of = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(2).offsets.to_numpy()))
+        runs = batch.column(3).flatten()
+        of = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(3).offsets.to_numpy()))
         anchor, start, n = (runs.field(i).to_numpy() for i in range(3))
         out = []
-        for a, b, words in batches(batch.column(1)):
+        for a, b, words in batches(batch.column(2)):
             some = np.flatnonzero((of >= a) & (of < b))
-            if not len(some) or len(words.hash) < length:
+            if not len(some):
                 continue
-            size = n[some].astype(np.int64)
-            local = np.repeat(start[some] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            row = np.repeat(of[some], size)
-            at = words.first[row - a] + local
+            first = words.first[of[some] - a] + start[some]
+            raw = [words.hash[i : i + k + length - 1].tobytes() for i, k in zip(first.tolist(), n[some].tolist(), strict=True)]
+            row = pa.array(of[some])
             out.append(pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(anchor[some], size)), pa.array(spans(words, at, at + length).view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(local.astype(np.int32))],
-                names=["anchor", "window", "doc_id", "start"],
+                [pa.array(anchor[some]), batch.column(0).take(row), batch.column(1).take(row), pa.array(start[some]), pa.array(n[some]), pa.array(raw, pa.binary())], names=[x.split()[0] for x in CONTEXTS.split(", ")],
             ))
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
 
-    return map_batches(docs.select("doc_id", "text", "runs"), each, WINDOWS)
+    return map_batches(docs.select("doc_id", "text_hash", "text", "runs"), each, CONTEXTS)
+
+
+def extended(own: np.ndarray, other: np.ndarray, at: int, of: int) -> tuple[int, int]:
+    """How many words before at and of are alike going left, and how many from there on going right."""
+    k = min(at, of)
+    left = own[at - k : at] != other[of - k : of]
+    m = min(len(own) - at, len(other) - of)
+    right = own[at : at + m] != other[of : of + m]
+    return (int(left[::-1].argmax()) if left.any() else k), (int(right.argmax()) if right.any() else m)
+
+
+def _extend(pairs: DataFrame, length: int, seed: int) -> DataFrame:
+    """Of each run and the anchor's first run: maximal repeats (window null), and the windows that are in none (n null)."""
+
+    def places(words: np.ndarray, anchor: np.uint64) -> np.ndarray:
+        return np.flatnonzero(rolled(words, seed) == anchor)
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        anchors_, docs_, hashes, starts, sizes = (batch.column(i).to_numpy() for i in range(5))
+        first = batch.column(6).to_numpy()
+        seeds = anchors_.view(U)
+        rows: list[np.ndarray] = []
+        windows: list[np.ndarray] = []
+        known: tuple[bytes, np.ndarray, np.ndarray] | None = None
+        for i in range(batch.num_rows):
+            own, raw = np.frombuffer(batch.column(5)[i].as_buffer(), U), batch.column(7)[i].as_buffer().to_pybytes()
+            if known is None or known[0] != raw:
+                other = np.frombuffer(raw, U)
+                known = (raw, other, places(other, seeds[i]))
+            _, other, there = known
+            n = int(sizes[i])
+            covered = np.zeros(n, bool)
+            if len(there) <= REPEATS:
+                for at in places(own, seeds[i]).tolist():
+                    for of in there.tolist():
+                        left, right = extended(own, other, at, of)
+                        if left + right >= length:
+                            covered[at - left : at + right - length + 1] = True
+                            if docs_[i] > first[i]:
+                                rows.append(np.array([[i, starts[i] + at - left, left + right - length + 1]]))
+                                windows.append(np.zeros(1, U))
+            rest = np.flatnonzero(~covered)
+            if len(rest):
+                rows.append(np.stack([np.full(len(rest), i), starts[i] + rest, np.zeros(len(rest), np.int64)], 1))
+                windows.append(Sums.of_words(own).hash(rest, rest + length))
+        if not rows:
+            return None
+        row, start, n = np.concatenate(rows).T
+        window, rest = np.concatenate(windows).view(np.int64), n == 0
+        return pa.RecordBatch.from_arrays(
+            [pa.array(docs_[row]), pa.array(hashes[row]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32), mask=rest), pa.array(anchors_[row]), pa.array(window, mask=~rest)], names=[x.split()[0] for x in MATCHES.split(", ")],
+        )
+
+    return map_batches(pairs.select("anchor", "doc_id", "text_hash", "start", "n", "words", "first_doc", "first_words"), each, MATCHES)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """(doc_id, start, n): n windows from word start on also stand in a document of smaller doc_id."""
+    """(doc_id, text_hash, start, n): n windows from word start on also stand in a document of smaller doc_id."""
     runs = materialise(_runs(docs, length, seed), "runs")
     groups = runs.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("extent").alias("low"), F.max("extent").alias("high"))
     groups = groups.filter("first < last").select("anchor", "first", (F.col("low") != F.col("high")).alias("mixed"))
@@ -118,12 +178,18 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     plain = shared.filter("not mixed and doc_id > first")
     mixed = shared.filter("mixed")
     classes = materialise(mixed.groupBy("anchor", "extent").agg(F.min("doc_id").alias("least")), "classes")
-    mixed = materialise(mixed.join(classes, ["anchor", "extent"]).select("doc_id", "anchor", "start", "n", "least"), "mixed")
-    heads = mixed.filter("doc_id = least").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "start", "n")).alias("runs"))
-    windows = materialise(_windows(docs.select("doc_id", "text").join(heads.hint("merge"), "doc_id"), length), "windows")
-    least = materialise(windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("least")), "least")
-    single = windows.join(least, ["anchor", "window"]).filter("doc_id > least").select("doc_id", "start", F.lit(1).alias("n"))
-    return plain.select("doc_id", "start", "n").unionByName(mixed.filter("doc_id > least").select("doc_id", "start", "n")).unionByName(single)
+    mixed = materialise(mixed.join(classes.hint("merge"), ["anchor", "extent"]).select("doc_id", "text_hash", "anchor", "start", "n", "least"), "mixed")
+    heads = mixed.filter("doc_id = least").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("anchor", "start", "n")).alias("runs"))
+    texts = docs.select("doc_id", "text", F.hash("text").alias("text_hash"))
+    contexts = materialise(_contexts(texts.join(heads.hint("merge"), ["doc_id", "text_hash"]), length), "contexts")
+    firsts = materialise(contexts.groupBy("anchor").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("of")).select("anchor", "of.*"), "firsts")
+    firsts = contexts.join(firsts.hint("merge"), ["anchor", "doc_id", "text_hash", "start"]).groupBy("anchor").agg(F.first("doc_id").alias("first_doc"), F.first("words").alias("first_words"))
+    matches = materialise(_extend(contexts.join(materialise(firsts, "firsts").hint("merge"), "anchor"), length, seed), "matches")
+    rest = matches.filter("n is null")
+    least = materialise(rest.groupBy("anchor", "window").agg(F.min("doc_id").alias("least")), "least")
+    single = rest.join(least.hint("merge"), ["anchor", "window"]).filter("doc_id > least").withColumn("n", F.lit(1))
+    out = [d.select("doc_id", "text_hash", "start", "n") for d in (plain, mixed.filter("doc_id > least"), matches.filter("n is not null"), single)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 def cut(texts: pa.Array, marks: pa.Array, length: int) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
@@ -162,8 +228,8 @@ def cut(texts: pa.Array, marks: pa.Array, length: int) -> tuple[list[bytes | Non
 def dedup_documents(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """docs with text cut, and the columns __n_words and __n_removed."""
     tune(docs.sparkSession)
-    marks = repeats(docs, length, seed).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("__marks")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(marks.hint("merge"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    marks = repeats(docs, length, seed).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set(F.struct("start", "n")).alias("__marks"))
+    joined = docs.join(marks.hint("merge"), (F.col("doc_id") == F.col("__id")) & (F.hash("text") == F.col("__hash")), "left").drop("__id", "__hash")
     names = docs.columns
     at = names.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType())])

@@ -81,25 +81,23 @@ def byte_sums(data: np.ndarray) -> np.ndarray:
 
 
 class Sums:
-    """Hashes of any stretch of a sequence, from running sums modulo 2**64; those of over LONG take a sum modulo PRIME too."""
+    """Hashes of any stretch of a sequence, from running sums modulo 2**64; those of over long take a sum modulo PRIME too."""
 
-    LONG = 32
-
-    def __init__(self, values: np.ndarray, small: Callable[[np.ndarray], np.ndarray]) -> None:
-        self.total, self._small = np.zeros(len(values) + 1, U), small
+    def __init__(self, values: np.ndarray, small: Callable[[np.ndarray], np.ndarray], long: int) -> None:
+        self.total, self._small, self.long = np.zeros(len(values) + 1, U), small, long
         np.cumsum(values * powers(len(values)), out=self.total[1:])
 
     @staticmethod
     def of_bytes(data: np.ndarray) -> Sums:
-        return Sums(_BYTE[data], lambda at: _SMALL[data[at]])
+        return Sums(_BYTE[data], lambda at: _SMALL[data[at]], 32)
 
     @staticmethod
     def of_words(hashes: np.ndarray) -> Sums:
-        return Sums(hashes, lambda at: hashes[at] % PRIME)
+        return Sums(hashes, lambda at: hashes[at] % PRIME, 128)
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         out = mix((self.total[end] - self.total[start]) * powers(len(self.total), True)[start])
-        long = np.flatnonzero(end - start > self.LONG)
+        long = np.flatnonzero(end - start > self.long)
         for some in np.array_split(long, max(1, int((end[long] - start[long]).sum()) >> 22)) if len(long) else ():
             size = (end - start)[some]
             last = np.cumsum(size)

@@ -91,6 +91,29 @@ def test_substring_dedup_is_exact(spark):
     assert got == brute_substring(texts, 50)
 
 
+def test_substring_dedup_of_many_kinds(spark):
+    """One passage in many contexts of which some are alike, periodic texts, and rows of one doc_id with other texts."""
+    rng = random.Random(55)
+    core, sides = prose(rng, 20).split(), [prose(rng, 45).split() for _ in range(4)]
+    texts = []
+    for _ in range(80):
+        left, right = rng.choice(sides), rng.choice(sides)
+        texts.append(" ".join([*left[rng.randint(0, 30) :], *core, *right[: rng.randint(10, 45)], prose(rng, 3), *rng.choice([[], ["p", "q"] * rng.randint(20, 90), ["z"] * rng.randint(40, 200)])]))
+    assert rows(substring.digest(documents(spark, texts)), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substring(texts, 50)
+    twice = documents(spark, texts[:40]).unionByName(documents(spark, [prose(rng, 70), texts[3], texts[3]], 3).withColumn("doc_id", F.lit(3).cast("long")))
+    got = rows(substring.digest(twice), "doc_id", "n_words", "n_removed", "kept_sha256")
+    own = [r for r in got if r[0] == 3]
+    assert len(got) == 43 and len(own) == 4 and len(set(own)) == 2 and [r for r in got if r[0] < 3] == brute_substring(texts[:3], 50)
+    assert brute_substring(texts[:4], 50)[3] in own
+
+
+def test_extension_goes_both_ways():
+    own, other = np.arange(100, dtype=np.uint64), np.arange(100, dtype=np.uint64)
+    other[[20, 80]] = 999
+    assert substring.extended(own, other, 50, 50) == (29, 30) and substring.extended(own, own, 50, 50) == (50, 50) and substring.extended(own, own[40:], 50, 10) == (10, 50)
+    assert substring.extended(own, other, 0, 0) == (0, 20) and substring.extended(own, own + np.uint64(1), 5, 5) == (0, 0)
+
+
 def test_substring_dedup_keeps_columns_and_clean_texts(spark):
     rng = random.Random(6)
     long = prose(rng, 70)
