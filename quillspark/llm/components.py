@@ -22,13 +22,14 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """
     now = edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).filter("a <> b").distinct()
     now = materialise(now, "edges")
-    while True:
+    state = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    before = state(now)
+    while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = materialise(_smallest(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "large")
         small = _smallest(large).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         nxt = materialise(small.filter("a <> b").distinct(), "edges")
-        sums = [d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for d in (now, nxt)]
-        now = nxt
-        if sums[0] == sums[1]:
+        now, last, before = nxt, before, state(nxt)
+        if last == before:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

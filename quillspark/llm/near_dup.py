@@ -5,27 +5,32 @@ K = floor(1 - log_b x), truncated, of the smallest x that any element's Poisson
 base b near 1 they are mergeable by maximum and equal in two sketches about as often as the sets' Jaccard similarity.
 
 1. Texts of one set (128-bit hash) are a class, its smallest doc_id stands for it.
-2. Bands of the classes' registers are hashed; classes in one bucket link to the bucket's smallest: components of these links are
-   clusters. Bands are as many as keep the chance that a pair at the threshold shares no bucket under MISS.
-3. A cluster's texts meet in tiles of at most TILE texts and TILE_BYTES: a tile holds two blocks of its cluster, and every
-   pair of blocks has a tile, so no task takes a whole large cluster. Small clusters share tiles.
-4. In a tile, counts of greater, smaller and equal registers give the likeliest similarity with both sizes known. Pairs
-   under the threshold by more than MARGIN standard errors go; the others, the likeliest first, are verified on the full sets
-   unless verified links connect them already. A tile returns a forest of links, never all pairs.
-5. Components of the links are the groups; the smallest doc_id of each is kept.
+2. Bands of the classes' registers are hashed to buckets. Bands are as many as keep the chance that a pair at the threshold
+   shares no bucket under MISS.
+3. Each text is compared with the smallest text of its buckets that it shares most bands with, then with the smallest of
+   its other buckets as far as they are in other components.
+4. What is left are texts of one bucket in different components: there every text outside the bucket's largest component
+   meets all others of the bucket, by registers, in blocks. Of each two components the likeliest pairs are compared first;
+   what they connect isn't compared any more, and nothing stays unless it is connected or compared.
+5. To compare, counts of greater, smaller and equal registers give the likeliest similarity with both sizes known. Pairs
+   under the threshold by more than MARGIN standard errors go; the others are verified on the full sets.
+6. Components of the links are the groups; the smallest doc_id of each is kept.
 
 Defined cases: a null or empty text, or one without words, has an empty set and no links; fewer than SHINGLE words are one
 shingle, the whole sequence; repeated rows of a doc_id are one member; a row without doc_id is returned with null
 component and kept; an empty table gives no rows. Only doc_id and text are read; further columns do no harm.
 
 Scale: band rows and class joins are narrow equi-joins with pre-aggregated sides, written first, so both sides of a join
-are plain shuffles that AQE can split. Large joins are merge joins at every size. Sketches are computed once. Texts are shuffled once by doc_id, and those in clusters once more to their tiles.
+are plain shuffles that AQE can split. Sketches are computed once and stored. A text is shipped for the pairs that it is
+compared in: about once in step 3 whatever its group's size, since connected texts aren't compared again. Comparing
+streams sorted rows, a text and CHUNK partners a group at most.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +39,14 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
 from quillspark.llm.frames import map_batches, materialise, tune
-from quillspark.llm.words import batches, find_words, mix, rolled, text_bytes
+from quillspark.llm.words import batches, find_words, mix, rolled, slices, text_bytes
 
 SHINGLE = 5
 BASE, A, TOP = 1.001, 20.0, 65535
 MISS = 1e-6
 MARGIN = 6
-TILE, TILE_BYTES = 400, 4 << 20
-SKETCH = "doc_id long, n_shingles long, h1 long, h2 long, registers binary, size int"
+CHUNK, HEADS, MEMBERS = 256, 64, 4096
+SKETCH = "doc_id long, n_shingles long, h1 long, h2 long, registers binary, text string"
 LINKS = "u long, v long"
 U = np.uint64
 _MASK40 = U((1 << 40) - 1)
@@ -112,18 +117,17 @@ def sketch(keys: np.ndarray, offsets: np.ndarray, m: int) -> np.ndarray:
 
 def _sketches(docs: DataFrame, m: int) -> DataFrame:
     def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        keys, bounds, sizes = [], [np.zeros(1, np.int64)], np.zeros(batch.num_rows, np.int32)
+        keys, bounds = [], [np.zeros(1, np.int64)]
         for a, b, words in batches(batch.column(1), lower=True):
             key, at = shingle_sets(words.hash, words.row, b - a)
             keys.append(key)
             bounds.append(at[1:] + bounds[-1][-1])
-            sizes[a:b] = np.diff(words.offsets)
         key, at = np.concatenate(keys), np.concatenate(bounds)
         registers = sketch(key, at, m)
         total = [np.concatenate([np.zeros(1, U), np.cumsum(mix(key ^ U(c)))]) for c in (0x51, 0xA7)]
         h1, h2 = ((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in total)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.diff(at)), pa.array(h1), pa.array(h2), pa.array([r.astype("<u2").tobytes() for r in registers], pa.binary()), pa.array(sizes)], names=[x.split()[0] for x in SKETCH.split(", ")]
+            [batch.column(0), pa.array(np.diff(at)), pa.array(h1), pa.array(h2), pa.array([r.astype("<u2").tobytes() for r in registers], pa.binary()), batch.column(1)], names=[x.split()[0] for x in SKETCH.split(", ")]
         )
 
     return map_batches(docs.select("doc_id", "text"), each, SKETCH)
@@ -142,79 +146,162 @@ def estimate(greater: np.ndarray, smaller: np.ndarray, n_u: np.ndarray, n_v: np.
     return j[np.arange(len(j)), score.argmax(1)]
 
 
-class _Forest:
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
+def _matrix(registers: pa.Array, m: int) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_buffer() for x in registers), "<u2").reshape(len(registers), m)
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
-def links_of(keys: np.ndarray, offsets: np.ndarray, clusters: np.ndarray, block: np.ndarray, tile: tuple[int, int], threshold: float, m: int) -> list[tuple[int, int]]:
-    """A forest of verified links between the texts of a tile that are of one cluster (and of its two blocks, if two)."""
-    registers, sizes = sketch(keys, offsets, m), np.diff(offsets)
-    sets: dict[int, frozenset[int]] = {}
-
-    def full(i: int) -> frozenset[int]:
-        if i not in sets:
-            sets[i] = frozenset(keys[offsets[i] : offsets[i + 1]].tolist())
-        return sets[i]
 
+def _similar(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, threshold: float, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of sketches (rows of left and right): which may reach the threshold by the estimate, and the estimates."""
     slack = MARGIN * math.sqrt(threshold * (1 - threshold) / m)
-    forest, out = _Forest(len(sizes)), []
-    order = np.argsort(clusters, kind="stable")
-    for group in np.split(order, np.flatnonzero(np.diff(clusters[order])) + 1):
-        pairs: list[np.ndarray] = []
-        for a, i in enumerate(group[:-1]):
-            rest = group[a + 1 :]
-            near = np.minimum(sizes[rest], sizes[i]) >= threshold * np.maximum(sizes[rest], sizes[i])
-            if tile[0] != tile[1]:
-                near &= block[rest] != block[i]
-            rest = rest[near]
-            if not len(rest):
-                continue
-            same = (registers[rest] == registers[i]).sum(1)
-            rest = rest[same >= m * (threshold - slack) - 1]
-            if not len(rest):
-                continue
-            greater, smaller = (registers[i] > registers[rest]).sum(1), (registers[i] < registers[rest]).sum(1)
-            likely = estimate(greater, smaller, np.full(len(rest), sizes[i]), sizes[rest], m)
-            hold = likely >= threshold - slack
-            if hold.any():
-                pairs.append(np.stack([-likely[hold], np.full(int(hold.sum()), i), rest[hold]], 1))
-        if not pairs:
-            continue
-        ranked = np.concatenate(pairs)
-        for _, i, j in ranked[np.lexsort(ranked.T[::-1])].tolist():
-            i, j = int(i), int(j)
-            if forest.root(i) == forest.root(j):
-                continue
-            both = len(full(i) & full(j))
-            if both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9:
-                forest.join(i, j)
-                out.append((i, j))
+    fits = np.minimum(n_left, n_right) >= threshold * np.maximum(n_left, n_right)
+    fits &= (left == right).sum(1) >= m * (threshold - slack) - 1
+    likely = np.zeros(len(left))
+    some = np.flatnonzero(fits)
+    if len(some):
+        greater, smaller = (left[some] > right[some]).sum(1), (left[some] < right[some]).sum(1)
+        likely[some] = estimate(greater, smaller, n_left[some], n_right[some], m)
+    return fits & (likely >= threshold - slack), likely
+
+
+@dataclass
+class _Head:
+    """What partners are compared with: a sketch and, once asked for, the sorted keys of its full set."""
+
+    n: int
+    registers: bytes
+    text: pa.Scalar
+    keys: np.ndarray | None = None
+
+
+def _sorted_sets(texts: pa.Array) -> list[np.ndarray]:
+    data, offsets = text_bytes(texts)
+    out = []
+    for a, b in slices(offsets):
+        part = offsets[a : b + 1]
+        words = find_words(data[part[0] : part[-1]], part - part[0], lower=True)
+        keys, at = shingle_sets(words.hash, words.row, b - a)
+        out += [np.sort(keys[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     return out
 
 
-def _tile_links(table: pa.Table, threshold: float, m: int) -> pa.Table:
-    """Links of a tile (columns doc_id, text, cluster, block, i, j)."""
-    table = table.combine_chunks()
-    ids, cluster, block = (table.column(c).to_numpy() for c in ("doc_id", "cluster", "block"))
-    _, once = np.unique(ids, return_index=True)
-    data, offsets = text_bytes(table.column("text").take(pa.array(once)))
-    words = find_words(data, offsets, lower=True)
-    key, at = shingle_sets(words.hash, words.row, len(once))
-    tile = (int(table.column("i")[0].as_py()), int(table.column("j")[0].as_py()))
-    found = links_of(key, at, cluster[once], block[once], tile, threshold, m)
-    u, v = zip(*found, strict=True) if found else ((), ())
-    return pa.table({"u": pa.array(ids[once][list(u)], pa.int64()), "v": pa.array(ids[once][list(v)], pa.int64())})
+def _compare(batches: Iterator[pa.RecordBatch], threshold: float, m: int) -> Iterator[pa.RecordBatch]:
+    """Links of rows (u, chunk, v, n_shingles, registers, text) that come by (u, chunk), u's own rows (v null) first.
+
+    Only the sketches and sets of one u and of one batch are held.
+    """
+    now, heads = None, []
+    for batch in batches:
+        u, chunk, n = (batch.column(i).to_numpy() for i in (0, 1, 3))
+        own = np.asarray(batch.column(2).is_null())
+        v = batch.column(2).fill_null(0).to_numpy()
+        registers, texts = batch.column(4), batch.column(5)
+        pairs: list[tuple[int, _Head]] = []
+        for i in range(len(u)):
+            if (u[i], chunk[i]) != now:
+                now, heads = (u[i], chunk[i]), []
+            if own[i]:
+                head = _Head(int(n[i]), registers[i].as_py(), texts[i])
+                if all(h.registers != head.registers or h.text != head.text for h in heads):
+                    heads.append(head)
+            else:
+                pairs += [(i, h) for h in heads]
+        links = []
+        for at in range(0, len(pairs), 2048):
+            some = pairs[at : at + 2048]
+            row = np.array([i for i, _ in some])
+            left = np.frombuffer(b"".join(h.registers for _, h in some), "<u2").reshape(len(some), m)
+            near, _ = _similar(left, _matrix(registers.take(pa.array(row)), m), np.array([h.n for _, h in some]), n[row], threshold, m)
+            for k in range(0, int(near.sum()), 256):
+                chosen = np.flatnonzero(near)[k : k + 256].tolist()
+                fresh = list({id(h): h for h in (some[i][1] for i in chosen) if h.keys is None}.values())
+                if fresh:
+                    for h, keys in zip(fresh, _sorted_sets(pa.array([h.text.as_py() for h in fresh], pa.string())), strict=True):
+                        h.keys = keys
+                for i, keys in zip(chosen, _sorted_sets(texts.take(pa.array(row[chosen]))), strict=True):
+                    full = some[i][1].keys
+                    both = int((full[np.minimum(np.searchsorted(full, keys), len(full) - 1)] == keys).sum()) if len(full) else 0
+                    if both and both >= threshold * (len(full) + len(keys) - both) - 1e-9:
+                        links.append((u[row[i]], v[row[i]]))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["u", "v"])
+
+
+def verified(candidates: DataFrame, pairs: DataFrame, threshold: float, m: int) -> DataFrame:
+    """Those of the pairs (u, v) whose full sets reach the threshold, written.
+
+    A text is shipped once for each pair as v, and as u once for CHUNK of its pairs, so a u of many pairs is many small groups.
+    """
+    counts = materialise(pairs.groupBy("u").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "counts")
+    dealt = pairs.join(counts.hint("merge"), "u").select("u", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int").alias("chunk"), "v")
+    dealt = materialise(dealt, "dealt")
+    roles = dealt.select(F.col("v").alias("id"), "u", "chunk", "v").unionByName(dealt.select(F.col("u").alias("id"), "u", "chunk", F.lit(None).cast("long").alias("v")).distinct())
+    rows = candidates.join(roles.hint("merge"), F.col("doc_id") == F.col("id")).select("u", "chunk", "v", "n_shingles", "registers", "text")
+    rows = rows.repartition("u", "chunk").sortWithinPartitions("u", "chunk", F.asc_nulls_first("v"))
+    return materialise(rows.mapInArrow(lambda batches: _compare(batches, threshold, m), LINKS).distinct(), "links")
+
+
+def _merge(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups (node, component) with the components that links (u, v) join made one."""
+    of = lambda name: groups.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))
+    edges = links.join(of("u").hint("merge"), "u").join(of("v").hint("merge"), "v").select("cu", "cv")
+    joined = materialise(components(edges, "cu", "cv").select(F.col("node").alias("component"), F.col("component").alias("smallest")), "joined")
+    return materialise(groups.join(joined.hint("merge"), "component", "left").select("node", F.coalesce("smallest", "component").alias("component")), "groups")
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose ends are in different components cu and cv."""
+    of = lambda name: groups.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))
+    return pairs.join(of("u").hint("merge"), "u").join(of("v").hint("merge"), "v").filter("cu <> cv")
+
+
+def _meet(batches: Iterator[pa.RecordBatch], threshold: float, m: int) -> Iterator[pa.RecordBatch]:
+    """Likely pairs of rows (bucket, block, chunk, head, doc_id, component, n_shingles, registers) that come by group, heads first."""
+    now, ids, parts, sizes, sketches = None, [], [], [], []
+    for batch in batches:
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+        matrix = _matrix(batch.column(7), m)
+        edges = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)) + 1 if batch.num_rows > 1 else np.zeros(0, np.int64)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+            key = tuple(c[a] for c in cols[:3])
+            if key != now:
+                now, ids, parts, sizes, sketches = key, [], [], [], []
+            if cols[3][a]:
+                ids += cols[4][a:b].tolist()
+                parts += cols[5][a:b].tolist()
+                sizes += cols[6][a:b].tolist()
+                sketches += list(matrix[a:b].copy())
+                continue
+            for i, part, n, own in zip(ids, parts, sizes, sketches, strict=True):
+                rows = np.flatnonzero(cols[5][a:b] != part) + a
+                if len(rows):
+                    near, likely = _similar(np.broadcast_to(own, (len(rows), m)), matrix[rows], np.full(len(rows), n), cols[6][rows], threshold, m)
+                    rows, likely = rows[near], likely[near]
+                    out.append((np.minimum(i, cols[4][rows]), np.maximum(i, cols[4][rows]), likely))
+        if out:
+            u, v, likely = map(np.concatenate, zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(likely)], names=["u", "v", "likely"])
+
+
+def _left_over(met: DataFrame, candidates: DataFrame, groups: DataFrame, threshold: float, m: int) -> DataFrame:
+    """Likely pairs (u, v, likely) of texts of one bucket but of different components.
+
+    Every text outside a bucket's largest component is a head, and meets all texts of the bucket. Heads go in blocks of
+    about HEADS, the texts that they meet in chunks of about MEMBERS, so a bucket of any size is many small tasks.
+    """
+    placed = materialise(met.select("bucket", F.col("doc_id").alias("node")).join(groups.hint("merge"), "node"), "placed")
+    counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    counts = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
+    sizes = materialise(counts.select("bucket", F.col("most.component").alias("largest"), F.ceil((F.col("n") - F.col("most.n")) / HEADS).alias("blocks"), F.ceil(F.col("n") / MEMBERS).alias("chunks")), "sizes")
+    rows = placed.join(sizes.hint("merge"), "bucket")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name).cast("int") - 1))
+    own = lambda name: F.pmod(F.xxhash64("node", F.lit(name)), F.col(name)).cast("int")
+    heads = rows.filter("component <> largest").select("bucket", own("blocks").alias("block"), every("chunks").alias("chunk"), F.lit(True).alias("head"), "node", "component")
+    members = rows.select("bucket", every("blocks").alias("block"), own("chunks").alias("chunk"), F.lit(False).alias("head"), "node", "component")
+    rows = candidates.select("doc_id", "n_shingles", "registers").join(heads.unionByName(members).hint("merge"), F.col("doc_id") == F.col("node"))
+    rows = rows.select("bucket", "block", "chunk", "head", "doc_id", "component", "n_shingles", "registers").repartition("bucket", "block", "chunk")
+    pairs = rows.sortWithinPartitions("bucket", "block", "chunk", F.desc("head")).mapInArrow(lambda batches: _meet(batches, threshold, m), "u long, v long, likely double")
+    return pairs.groupBy("u", "v").agg(F.max("likely").alias("likely"))
 
 
 def group_documents(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -225,26 +312,38 @@ def group_documents(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     sketched = materialise(_sketches(docs, m), "sketches")
     some = sketched.filter("n_shingles > 0 and doc_id is not null")
     classes = materialise(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    members = materialise(sketched.select("doc_id", "n_shingles", "h1", "h2", "size").join(classes, ["h1", "h2"], "left").select("doc_id", "n_shingles", "size", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep")), "members")
-    reps = members.filter("doc_id = rep").select("doc_id", "size").distinct()
+    members = materialise(sketched.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep")), "members")
+    reps = members.filter("doc_id = rep").select("doc_id").distinct()
     key = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substr("registers", i * (2 * rows) + 1, F.lit(2 * rows))))
-    alone = some.select("doc_id", "registers").join(reps.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    alone = some.select("doc_id", "registers").join(reps.hint("merge"), "doc_id", "left_semi")
     banded = materialise(alone.select("doc_id", F.explode(key).alias("bucket")), "bands")
     buckets = materialise(banded.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("bucket", "least"), "buckets")
-    edges = banded.join(buckets.hint("merge"), "bucket").filter("doc_id > least").select("doc_id", "least").distinct()
-    clusters = materialise(components(edges, "doc_id", "least").join(reps.withColumnRenamed("doc_id", "node"), "node"), "clusters")
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("n") / (TILE / 2)), F.ceil(F.col("bytes") / (TILE_BYTES / 2))).cast("int")
-    total = sizes.agg(F.sum("n"), F.sum("bytes")).first()
-    packs = max(1, -(-int(total[0] or 0) // (TILE // 2)), -(-int(total[1] or 0) // (TILE_BYTES // 2)))
-    alone = (F.col("n") > TILE / 4) | (F.col("bytes") > TILE_BYTES / 4)
-    sizes = sizes.select("component", F.when(alone, blocks).otherwise(1).alias("blocks"), F.when(alone, F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(packs))).alias("pack"))
-    placed = clusters.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "pack", "blocks", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int").alias("block"))
-    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(other, F.col("block")).alias("i"), F.greatest(other, F.col("block")).alias("j")))
-    met = docs.select("doc_id", "text").join(placed.hint("merge"), "doc_id").select("doc_id", "text", "cluster", "pack", "block", F.explode(tiles).alias("tile")).select("doc_id", "text", "cluster", "pack", "block", "tile.i", "tile.j")
-    links = materialise(met.groupBy("pack", "i", "j").applyInArrow(lambda t: _tile_links(t, threshold, m), LINKS), "links")
-    groups = components(links, "u", "v").withColumnRenamed("node", "rep")
-    joined = members.join(groups, "rep", "left")
+    met = materialise(banded.join(buckets.hint("merge"), "bucket").distinct(), "met")
+    edges = materialise(met.filter("doc_id > least").groupBy(F.col("doc_id").alias("v"), F.col("least").alias("u")).agg(F.count("*").alias("bands")), "edges")
+    nodes = edges.select(F.col("v").alias("node")).unionByName(edges.select(F.col("u").alias("node"))).distinct()
+    groups = nodes = materialise(nodes.withColumn("component", F.col("node")), "nodes")
+    candidates = materialise(some.select("doc_id", "n_shingles", "registers", "text").join(nodes.select("node").hint("merge"), F.col("doc_id") == F.col("node"), "left_semi"), "candidates")
+
+    best = F.max_by("u", F.struct("bands", -F.col("u"))).alias("u")
+    tried = materialise(edges.groupBy("v").agg(best), "pairs")  # each text and the bucket head that it shares most bands with
+    groups = _merge(groups, verified(candidates, tried, threshold, m))
+    rest = edges.join(tried.withColumnRenamed("u", "first").hint("merge"), "v").filter("u <> first").select("u", "v", "bands")
+    again = materialise(_apart(rest, groups).groupBy("v", "cu").agg(best).select("u", "v"), "pairs")
+    groups = _merge(groups, verified(candidates, again, threshold, m))
+    tried = tried.select("u", "v").unionByName(again)
+
+    left = materialise(_left_over(met, candidates, groups, threshold, m).join(tried.hint("merge"), ["u", "v"], "left_anti"), "left")
+    width = 1
+    while True:  # of each two components the likeliest pairs first: what they connect needn't be tried
+        left = materialise(_apart(left, groups).select("u", "v", "likely", F.least("cu", "cv").alias("a"), F.greatest("cu", "cv").alias("b")), "left")
+        if left.isEmpty():
+            break
+        part = F.pmod(F.xxhash64("u", "v"), F.lit(width))
+        now = materialise(left.groupBy("a", "b", part).agg(F.max(F.struct("likely", "u", "v")).alias("p")).select("p.u", "p.v"), "pairs")
+        groups = _merge(groups, verified(candidates, now, threshold, m))
+        left = left.select("u", "v", "likely").join(now.hint("merge"), ["u", "v"], "left_anti")
+        width *= 16
+    joined = members.join(groups.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
