@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions import columns as C
+from quillspark.state import materialise
 
+COL = F.col
 Keys = Sequence[str]
 
 
@@ -238,19 +240,38 @@ def first_theta_match(frames: DataFrame, roles: DataFrame, threshold: float = 0.
     return good.groupBy("deck", "frame").agg(F.min_by("role", "pos").alias("role"))
 
 
+def _doubled(links: DataFrame, tall: bool) -> DataFrame:
+    """Pointer doubling of links (node, up, ...): each round joins every node's ancestor with that one's own.
+
+    tall: the table has no cycles; depth and path grow until every node has reached its root. Otherwise low becomes the
+    smallest ancestor; the rounds end when only nodes on or behind cycles are left, and these have seen all their ancestors.
+    """
+    reach = 1
+    while True:
+        open_ = links.filter("up is not null")
+        left = open_.count()
+        if not left or (not tall and reach > left):
+            return links
+        above = links.select(COL("node").alias("up"), *(COL(c).alias(f"above_{c}") for c in links.columns if c != "node"))
+        joined = open_.join(above, "up")
+        if tall:
+            rows = joined.select("node", COL("above_up").alias("up"), (COL("depth") + COL("above_depth")).alias("depth"), F.concat("above_path", F.lit("/"), "path").alias("path"))
+        else:
+            rows = joined.select("node", COL("above_up").alias("up"), F.least("low", "above_low").alias("low"))
+        links, reach = materialise(links.filter("up is null").unionByName(rows), "tree"), reach * 2
+
+
 def tree_order(nodes: DataFrame, node: str, parent: str) -> DataFrame:
-    """Every node once with depth and a path that sorts as depth-first order; unknown parents and cycles begin trees.
+    """Every node once with depth and a path that sorts as depth-first order.
 
-    Level by level with a written state: the loop ends when no node is new, and what is left lies on cycles.
+    Unknown parents and the node itself as its parent begin trees. Of the nodes on or behind a cycle one begins a tree if it is
+    smaller than all that it descends from; the others are its descendants. Any depth takes about log2(depth) joins.
     """
-    spark = nodes.sparkSession
-    nodes.select(node, parent).createOrReplaceTempView("__tree_nodes")
-    pad = lambda c: f"lpad(cast({c} as string), 20, '0')"
-    walked = spark.sql(f"""
-        WITH RECURSIVE walk(node, depth, path) MAX RECURSION LEVEL 1000 AS (
-          SELECT n.{node}, 0, {pad(f'n.{node}')} FROM __tree_nodes n LEFT ANTI JOIN __tree_nodes p ON n.{parent} = p.{node}
-          UNION ALL
-          SELECT n.{node}, w.depth + 1, concat(w.path, '/', {pad(f'n.{node}')}) FROM walk w JOIN __tree_nodes n ON n.{parent} = w.node WHERE n.{node} <> n.{parent}
-        ) SELECT node AS {node}, depth, path FROM walk""")
-    left = nodes.select(node).join(walked.select(node), node, "left_anti").select(node, F.lit(0).alias("depth"), F.lpad(F.col(node).cast("string"), 20, "0").alias("path"))
-    return walked.unionByName(left)
+    known = nodes.select(COL(node).alias("up"))
+    rows = nodes.select(COL(node).alias("node"), COL(parent).alias("up")).filter("node is not null").dropDuplicates(["node"])
+    rooted = rows.join(known, "up", "left_anti").unionByName(rows.filter("up = node")).select("node", F.lit(None).cast(rows.schema["node"].dataType).alias("up"))
+    links = materialise(rooted.unionByName(rows.filter("up <> node").join(known.distinct(), "up", "left_semi").select("node", "up")), "tree")
+    lows = _doubled(links.withColumn("low", COL("up")), False).filter("up is not null and node <= low").select("node")
+    cut = links.join(lows.withColumn("cut", F.lit(True)), "node", "left").select("node", F.when(COL("cut").isNull(), COL("up")).alias("up"))
+    cut = materialise(cut.select("node", "up", COL("up").isNotNull().cast("int").alias("depth"), F.lpad(COL("node").cast("string"), 20, "0").alias("path")), "tree")
+    return _doubled(cut, True).select(COL("node").alias(node), "depth", "path")

@@ -1,16 +1,21 @@
 """Full-text search: an inverted index as a table, boolean matches by array functions, ranks by BM25 columns.
 
 Words are runs of letters and digits, lower case, accents folded, then stemmed (Porter). The index is built in batch; a
-table (term, doc_id, tf) and the lengths. Searching joins the query's few terms with the index, so only their postings move.
+table (term, doc_id, tf) and the lengths; maintain_index() renews only what changed. ranked() joins the query's few terms
+with the index, so only their postings move; search() needs no index: it counts the query's stems in one pass over the texts.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 K1, B = 1.2, 0.75
 _VOWEL = "aeiou"
@@ -88,10 +93,12 @@ def porter(word: str) -> str:
 
 
 def folded(text: str) -> str:
-    return "".join(ch for ch in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(ch))
+    text = text.lower()
+    return text if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", text))
 
 
 _WORD = re.compile(r"[^\W_]+")
+_MARKS = re.compile("[" + "".join(chr(c) for c in range(0x250, 0x10000) if unicodedata.combining(chr(c))) + "]")
 
 
 def stems(text: str) -> list[str]:
@@ -125,18 +132,76 @@ def or_terms(phrase: str) -> list[str]:
     return re.findall(r"[A-Za-z0-9]+", phrase)
 
 
-def match_all(terms: Column, wanted: list[str]) -> Column:
+def query_stems(words: list[str]) -> list[str]:
+    """The stems that a query's words ask for."""
+    return sorted({s for w in words for s in stems(w)})
+
+
+def forms(stem: str) -> list[str]:
+    """The words up to two suffixes of Porter's tables longer than stem that have this stem."""
+    ends = {"", "e", "s", "es", "ed", "ing", "y", "ly", "er", *(x for x, _ in (*STEP2, *STEP3)), *STEP4}
+    found = {stem + a + b + c for a in ends for b in ends for c in ("", "s")} | {stem[:-1] + "y" if stem.endswith("i") else stem}
+    return sorted(w for w in found if porter(w) == stem)
+
+
+def _counts(texts: pa.Array, wanted: list[str]) -> list[pa.Array]:
+    """Of each text the number of its words, and of those with each wanted stem."""
+    known: dict[str, int] = {}
+    place = {stem: i for i, stem in enumerate(wanted)}
+    sizes, counts = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(wanted)), np.int32)
+    for i, text in enumerate(texts.to_pylist()):
+        words = _WORD.findall(folded(text or ""))
+        sizes[i] = len(words)
+        for w in words:
+            at = known.get(w)
+            if at is None:
+                if len(known) > 1_000_000:
+                    known.clear()
+                at = known[w] = place.get(porter(w) if w.isascii() and w.isalpha() else w, -1)
+            if at >= 0:
+                counts[i, at] += 1
+    return [pa.array(sizes), pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * len(wanted), counts.ravel())]
+
+
+def word_counts(docs: DataFrame, key: str, text: str, wanted: list[str]) -> DataFrame:
+    """key, length and counts: how often each wanted stem stands in a text. One pass, no shuffle."""
+    kind = docs.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_counts(batch.column(1), wanted)], names=[key, "length", "counts"])
+
+    schema = T.StructType([T.StructField(key, kind), T.StructField("length", T.LongType()), T.StructField("counts", T.ArrayType(T.IntegerType()))])
+    return docs.select(key, text).mapInArrow(run, schema)
+
+
+def matching(docs: DataFrame, key: str, text: str, wanted: list[str], every: bool) -> DataFrame:
+    """Keys of the texts with all wanted stems, or any of them."""
     if not wanted:
-        return F.lit(False)
-    return F.size(F.array_except(F.array(*map(F.lit, wanted)), terms)) == 0
+        return docs.select(key).limit(0)
+    found = lambda test: test("counts", lambda n: n > 0)
+    return word_counts(docs, key, text, wanted).filter(found(F.forall if every else F.exists)).select(key)
 
 
-def match_any(terms: Column, wanted: list[str]) -> Column:
-    return F.arrays_overlap(terms, F.array(*map(F.lit, wanted))) if wanted else F.lit(False)
+def search(docs: DataFrame, key: str, text: str, wanted: list[str], every: bool, k: int, skip: DataFrame | None = None) -> DataFrame:
+    """The k best of the matching texts by BM25 over stems, ties by key; skip: keys to leave out. Statistics are over all texts."""
+    wanted = sorted(set(wanted))
+    if not wanted:
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
+    counted = word_counts(docs, key, text, wanted)
+    at = [F.col("counts")[i] for i in range(len(wanted))]
+    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(c > 0).alias(f"df{i}") for i, c in enumerate(at)))
+    idf = [F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))) for i in range(len(wanted))]
+    part = [w * c * (K1 + 1) / (c + K1 * (1 - B + B * F.col("length") / F.col("mean"))) for w, c in zip(idf, at, strict=True)]
+    hits = counted.filter((F.forall if every else F.exists)("counts", lambda n: n > 0))
+    if skip is not None:
+        hits = hits.join(skip, key, "left_anti")
+    scored = hits.join(F.broadcast(stats)).select(key, sum(part[1:], part[0]).alias("score"))  # stats is one row
+    return scored.orderBy(F.desc("score"), key).limit(k).select(key, F.round("score", 6).alias("score"))
 
 
 def build_index(docs: DataFrame, key: str, terms: Column) -> tuple[DataFrame, DataFrame]:
-    """(term, key, tf) and (key, length)."""
+    """(term, key, tf) and (key, length). terms: an array of each row's words."""
     rows = docs.select(key, terms.alias("terms"))
     postings = rows.select(key, F.explode("terms").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
     return postings, rows.select(key, F.size("terms").alias("length"))
@@ -150,6 +215,13 @@ def build_stemmed_index(docs: DataFrame, key: str, text: str) -> tuple[DataFrame
     return rows, lengths
 
 
+def maintain_index(index: tuple[DataFrame, DataFrame], key: str, terms: Column, changed: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index after changed rows (new or replaced) and without the keys of gone; untouched postings stay as they are."""
+    touched = changed.select(key).unionByName(gone.select(key)).distinct()
+    added = build_index(changed, key, terms)
+    return tuple(old.join(touched, key, "left_anti").unionByName(new) for old, new in zip(index, added, strict=True))
+
+
 def ranked(postings: DataFrame, lengths: DataFrame, key: str, wanted: list[str], every: bool, k: int, skip: DataFrame | None = None) -> DataFrame:
     """The k best of the matching documents by BM25, ties by key; skip: keys to leave out.
 
@@ -170,4 +242,4 @@ def ranked(postings: DataFrame, lengths: DataFrame, key: str, wanted: list[str],
         scored = scored.filter(F.col("matched") == len(wanted))
     if skip is not None:
         scored = scored.join(skip, key, "left_anti")
-    return scored.select(key, F.round("score", 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    return scored.orderBy(F.desc("score"), key).limit(k).select(key, F.round("score", 6).alias("score"))

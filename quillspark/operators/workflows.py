@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.relational import fresh_ids, remap
+from quillspark.state import materialise
 
 
 @dataclass
@@ -62,14 +63,17 @@ def supersede(memories: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def history(memories: DataFrame, root: int) -> DataFrame:
-    """The chain a memory began, from oldest to newest."""
-    memories.select("id", "content", "superseded_by").createOrReplaceTempView("__memory_chain")
-    return memories.sparkSession.sql(f"""
-        WITH RECURSIVE chain(id, content, superseded_by, step) AS (
-          SELECT id, content, superseded_by, 0 FROM __memory_chain WHERE id = {int(root)}
-          UNION ALL
-          SELECT m.id, m.content, m.superseded_by, c.step + 1 FROM chain c JOIN __memory_chain m ON m.id = c.superseded_by
-        ) SELECT id, content, step FROM chain""")
+    """The chain a memory began, from oldest to newest, of any length: the known part doubles with each round."""
+    seen = materialise(memories.filter(F.col("id") == int(root)).select("id", F.lit(0).cast("long").alias("step")), "chain")
+    ahead, reach = memories.filter("superseded_by is not null").select("id", F.col("superseded_by").alias("to")), 1
+    while True:
+        new = seen.join(ahead, "id").select(F.col("to").alias("id"), (F.col("step") + reach).alias("step"))
+        new = materialise(new.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.min("step").alias("step")), "chain")
+        if new.isEmpty():
+            break
+        seen = materialise(seen.unionByName(new), "chain")
+        ahead, reach = materialise(ahead.join(ahead.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")), "chain"), reach * 2
+    return memories.select("id", "content").join(seen, "id").select("id", "content", F.col("step").cast("int").alias("step"))
 
 
 def resolve_style(sessions: DataFrame, overrides: DataFrame, memory: DataFrame, default: str) -> DataFrame:

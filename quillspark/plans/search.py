@@ -12,36 +12,57 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
-_BM25 = r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM documents),
-l AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS len FROM documents),
+#: Words with accents folded; a mark between letters drops out as it does in the library.
+_WORDS = r"regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{L}\p{N}]+')"
+
+
+def _any_form(*stems: str) -> str:
+    """A list of all words with these stems, for the oracle."""
+    return "[" + ", ".join(f"'{w}'" for s in stems for w in S.forms(s)) + "]"
+
+
+def _stem_cases(*stems: str) -> str:
+    return "CASE " + " ".join(f"WHEN list_contains({_any_form(s)}, word) THEN '{s}'" for s in stems) + " END"
+
+
+_BM25 = """WITH w AS (SELECT doc_id, unnest({words}) AS word FROM documents),
+l AS (SELECT doc_id, len({words}) AS len FROM documents),
 s AS (SELECT count(*) AS n, avg(len) AS mean FROM l),
-t AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term IN ({terms}) GROUP BY 1, 2),
-i AS (SELECT term, greatest(1e-6, ln((n - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM t, s GROUP BY term, n)
-SELECT t.doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM t JOIN i USING (term) JOIN l ON l.doc_id = t.doc_id, s
-WHERE {where} GROUP BY t.doc_id HAVING count(*) >= {least} ORDER BY score DESC, t.doc_id LIMIT 20"""
+t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {cases} AS term FROM w) WHERE term IS NOT NULL GROUP BY 1, 2),
+i AS (SELECT term, greatest(1e-6, ln((n - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM t, s GROUP BY term, n),
+r AS (SELECT t.doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score FROM t JOIN i USING (term) JOIN l ON l.doc_id = t.doc_id, s
+WHERE {where} GROUP BY t.doc_id HAVING count(*) >= {least})
+SELECT doc_id, round(score, 6) AS score FROM r ORDER BY r.score DESC, doc_id LIMIT 20"""
 
 
-@query(r"SELECT doc_id FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 'thing') AND list_contains(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 'and')")
+@query(f"SELECT doc_id FROM documents WHERE list_has_any({_WORDS}, {_any_form('thing')}) AND list_has_any({_WORDS}, {_any_form('and')})")
 def fts1_all_words(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").filter(S.match_all(S.simple_terms(F.col("text")), S.and_terms("thing, AND".lower()))).select("doc_id")
+    return S.matching(_docs(spark, d), "doc_id", "text", S.query_stems(S.and_terms("things, AND")), True)
 
 
-@query(r"SELECT doc_id FROM documents WHERE list_has_any(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ['thing', 'heit'])")
+@query(f"SELECT doc_id FROM documents WHERE list_has_any({_WORDS}, {_any_form('thing', 'heit')})")
 def fts2_any_word(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").filter(S.match_any(S.simple_terms(F.col("text")), S.or_terms("thing; heit 漢字"))).select("doc_id")
+    return S.matching(_docs(spark, d), "doc_id", "text", S.query_stems(S.or_terms("thing; heit 漢字")), False)
 
 
-@query(_BM25.format(terms="'thing', 'ered'", where="t.doc_id NOT IN (SELECT doc_id FROM labels)", least=2))
+@query(_BM25.format(words=_WORDS, cases=_stem_cases("thing", "er"), where="t.doc_id NOT IN (SELECT doc_id FROM labels)", least=2))
 def fts3_library_top_k(spark: SparkSession, d: str) -> DataFrame:
     """The best matches of all words, without documents that are attached already."""
-    postings, lengths = S.build_index(_docs(spark, d), "doc_id", S.simple_terms(F.col("text")))
-    return S.ranked(postings, lengths, "doc_id", S.and_terms("thing ered"), True, 20, table(spark, d, "labels").select("doc_id"))
+    return S.search(_docs(spark, d), "doc_id", "text", S.query_stems(S.and_terms("thing er")), True, 20, table(spark, d, "labels").select("doc_id"))
 
 
-@query(_BM25.format(terms="'thing', 'ered', 'heit'", where="true", least=1))
+@query(_BM25.format(words=_WORDS, cases=_stem_cases("thing", "er", "heit"), where="true", least=1))
 def fts4_memory_top_k(spark: SparkSession, d: str) -> DataFrame:
-    postings, lengths = S.build_index(_docs(spark, d), "doc_id", S.simple_terms(F.col("text")))
-    return S.ranked(postings, lengths, "doc_id", S.or_terms("thing ered heit"), False, 20)
+    return S.search(_docs(spark, d), "doc_id", "text", S.query_stems(S.or_terms("things er heit")), False, 20)
+
+
+@query(r"WITH n AS (SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN reverse(text) ELSE text END AS text FROM documents WHERE doc_id % 10 <> 0), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM n) SELECT term, count(DISTINCT doc_id) AS df, count(*)::BIGINT AS tf FROM w GROUP BY 1")
+def fts5_maintained_index(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of the index after replaced and deleted documents."""
+    docs, words = _docs(spark, d), S.simple_terms(F.col("text"))
+    changed = docs.filter("doc_id % 10 = 1").withColumn("text", F.reverse("text"))
+    postings, _ = S.maintain_index(S.build_index(docs, "doc_id", words), "doc_id", words, changed, docs.filter("doc_id % 10 = 0").select("doc_id"))
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 @query()

@@ -80,7 +80,37 @@ def test_ranked_search(spark):
 def test_tree_order_covers_cycles(spark):
     rows = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 99), (5, 6), (6, 5), (7, 7)], "id long, p long")
     got = {r.id: r.depth for r in R.tree_order(rows, "id", "p").collect()}
-    assert got == {1: 0, 2: 1, 3: 2, 4: 0, 5: 0, 6: 0, 7: 0}
+    assert got == {1: 0, 2: 1, 3: 2, 4: 0, 5: 0, 6: 1, 7: 0}
+
+
+def test_tree_order_walks_behind_cycles_and_down_long_chains(spark):
+    """A node that comes before all that it descends from begins a tree, the rest of a cycle and what hangs on it follow."""
+    parents = {1: 2, 2: 1, 3: 2, 4: 3, 10: 13, 13: 14, 14: 15, 15: 13, 11: 10, 12: 11, **{i: i - 1 for i in range(101, 1600)}, 100: None}
+    out = R.tree_order(spark.createDataFrame(list(parents.items()), "id long, p long"), "id", "p").collect()
+    depth = {r.id: r.depth for r in out}
+    assert len(out) == len(parents) and [depth[i] for i in (1, 2, 3, 4)] == [0, 1, 2, 3]
+    assert [depth[i] for i in (10, 11, 12, 13, 14, 15)] == [0, 1, 2, 0, 2, 1] and all(depth[i] == i - 100 for i in range(100, 1600))
+    order = [r.id for r in sorted(out, key=lambda r: r.path) if r.id < 100]
+    assert order == [1, 2, 3, 4, 10, 11, 12, 13, 15, 14]
+
+
+def test_history_of_a_long_chain(spark):
+    chain = spark.range(700).select("id", F.lit("m").alias("content"), F.when(F.col("id") % 350 != 349, F.col("id") + 1).alias("superseded_by"))
+    from quillspark.operators import workflows as W
+
+    assert sorted(map(tuple, W.history(chain, 360).select("id", "step").collect())) == [(360 + i, i) for i in range(340)]
+    assert W.history(chain, 9999).count() == 0
+
+
+def test_search_stems_folds_and_orders_by_the_raw_score(spark):
+    docs = spark.createDataFrame([(1, "Café networks, networked"), (2, "a network of cafés"), (3, "nothing"), (4, None), (5, "cafe " * 30)], "id long, t string")
+    wanted = S.query_stems(S.and_terms("CAFÉ network"))
+    assert wanted == ["cafe", "network"] and sorted(r.id for r in S.matching(docs, "id", "t", wanted, True).collect()) == [1, 2]
+    assert sorted(r.id for r in S.matching(docs, "id", "t", wanted, False).collect()) == [1, 2, 5]
+    assert [r.id for r in S.search(docs, "id", "t", wanted, True, 9, docs.filter("id = 2").select("id")).collect()] == [1]
+    assert "networking" in S.forms("network") and all(S.porter(w) == "network" for w in S.forms("network"))
+    same = spark.createDataFrame([(i, "red " + "pad " * (1000 - i)) for i in range(4)], "id long, t string")
+    assert [r.id for r in S.search(same, "id", "t", ["red"], True, 4).collect()] == [3, 2, 1, 0]
 
 
 def test_greedy_overlap_uses_each_candidate_once(spark):
