@@ -2,63 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from quillspark.state import discard, materialise, new_path, written  # noqa: F401
+
 #: Arrow batches handed to Python stay near this size, so a worker's memory doesn't follow the rows' length.
 BATCH_BYTES = 4 << 20
 BATCH_ROWS = 4096
 
 
-_own: dict[str, str] = {}
-#: Paths in the shared folder, in the order of writing.
-written: list[str] = []
-
-
 def tune(spark: SparkSession) -> None:
     """Bound the Arrow batches of the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where that is unset, a temporary folder if all runs on this machine, else an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="quillspark-"))
-        found = _own["dir"]
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    written.append(path)
-    return path
-
-
-def discard(spark: SparkSession, keep: int = 0) -> None:
-    """Delete what was written to the shared folder, but the first keep of it. What reads it must be done."""
-    for path in written[keep:]:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    del written[keep:]
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: computed once, safe from lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     """fn over each Arrow batch of df."""
     tune(df.sparkSession)
