@@ -256,12 +256,15 @@ def date_line(year: Column, external_id: Column) -> Column:
 
 
 def tex_escape(c: Column) -> Column:
-    """Plain text as TeX text; the backslash stands aside while the other marks get theirs."""
-    out = F.replace(c, F.lit("\\"), F.lit("\u0001"))
-    out = F.regexp_replace(out, r"([&%$#_{}])", r"\\$1")
-    for mark, put in (("~", r"\textasciitilde{}"), ("^", r"\textasciicircum{}"), ("\u0001", r"\textbackslash{}")):
-        out = F.replace(out, F.lit(mark), F.lit(put))
-    return out
+    """Plain text as TeX text: the parts between backslashes are escaped apart."""
+
+    def part(p: Column) -> Column:
+        out = F.regexp_replace(p, r"([&%$#_{}])", r"\\$1")
+        for mark, put in (("~", r"\textasciitilde{}"), ("^", r"\textasciicircum{}")):
+            out = F.replace(out, F.lit(mark), F.lit(put))
+        return out
+
+    return F.when(c.isNotNull(), F.array_join(F.transform(F.split(c, r"\\"), part), r"\textbackslash{}"))
 
 
 def cite_marker(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import html as html_lib
 import re
 from collections.abc import Callable, Iterator, Sequence
@@ -43,6 +44,11 @@ def original_offsets(text: str, offsets: Sequence[int]) -> list[int]:
     return out
 
 
+def original_places(text: Column | str, offsets: Column | str) -> Column:
+    """original_offsets() of an array of offsets in rising order."""
+    return F.pandas_udf(lambda texts, places: pd.Series([original_offsets(t, p) for t, p in zip(texts, places, strict=True)]), "array<int>")(text, offsets)
+
+
 def section_spans(text: str, sections: Sequence[tuple[str, int]] | None) -> Iterator[tuple[str | None, int, int]]:
     """(name, start, end) of the sections; given ones, else those of \\section marks, which belong to no span."""
     if sections is None:
@@ -83,19 +89,23 @@ def chunk(text: str, target: int = 800, hard: int = 1000, sections: Sequence[tup
     return out
 
 
-def chunk_documents(docs: DataFrame, key: str, text: str, target: int = 800, hard: int = 1000) -> DataFrame:
-    """A row for each chunk: key, ordinal, section, char_start, char_end, text."""
-
+def chunks(text: Column | str, target: int = 800, hard: int = 1000) -> Column:
+    """The chunks of a text as an array of (section, char_start, char_end, text)."""
     names = ("section", "char_start", "char_end", "text")
 
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [dict(zip(names, c, strict=True)) for c in chunk(t, target, hard)] if t else [])
 
-    rows = docs.select(key, F.posexplode(F.pandas_udf(cut, CHUNK)(text)).alias("ordinal", "c"))
-    return rows.select(key, "ordinal", "c.*")
+    return F.pandas_udf(cut, CHUNK)(text)
+
+
+def chunk_documents(docs: DataFrame, key: str, text: str, target: int = 800, hard: int = 1000) -> DataFrame:
+    """A row for each chunk: key, ordinal, section, char_start, char_end, text."""
+    return docs.select(key, F.posexplode(chunks(text, target, hard)).alias("ordinal", "c")).select(key, "ordinal", "c.*")
 
 
 _SKIP = re.compile(r"\\(.)|%[^\n]*", re.DOTALL)
+#: The environments are fixed values.
 _MATH = re.compile(r"\$\$.*?\$\$|\$.*?\$|\\\(.*?\\\)|\\\[.*?\\\]|\\begin\{(equation|align|eqnarray|math|displaymath|gather|multline)\*?\}.*?\\end\{\1\*?\}", re.DOTALL)
 
 
@@ -110,11 +120,15 @@ def math_spans(text: str) -> list[Span]:
     return [m.span() for m in _MATH.finditer(_SKIP.sub(blank, text))]
 
 
-def explode_spans(docs: DataFrame, key: str, text: str, find: Callable[[str], list[Span]]) -> DataFrame:
-    def spans(texts: pd.Series) -> pd.Series:
+def spans(text: Column | str, find: Callable[[str], list[Span]]) -> Column:
+    def each(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"start": a, "end": b} for a, b in find(t)] if t else [])
 
-    return docs.select(key, F.explode(F.pandas_udf(spans, SPANS)(text)).alias("s")).select(key, "s.*")
+    return F.pandas_udf(each, SPANS)(text)
+
+
+def explode_spans(docs: DataFrame, key: str, text: str, find: Callable[[str], list[Span]]) -> DataFrame:
+    return docs.select(key, F.explode(spans(text, find)).alias("s")).select(key, "s.*")
 
 
 _ROW = re.compile(r"<tr\b[^>]*>(.*?)</tr\s*>", re.IGNORECASE | re.DOTALL)
@@ -188,8 +202,13 @@ def locate_on_pages(pages: Sequence[Sequence[str]], needle: str) -> tuple[int, l
     return None
 
 
-def drop_surrogates(text: Column | str) -> Column:
-    return F.pandas_udf(lambda s: s.map(lambda t: t.encode("utf-8", "ignore").decode("utf-8"), na_action="ignore"), "string")(text)
+def drop_surrogates(raw: Column | str) -> Column:
+    """The text of bytes that may hold lone surrogates (which no string here can): those go, the rest stays.
+
+    Latin-1 makes a character of each byte, so a pattern finds the three bytes of a surrogate.
+    """
+    latin = F.decode(F.col(raw) if isinstance(raw, str) else raw, "ISO-8859-1")
+    return F.decode(F.encode(F.regexp_replace(latin, "\u00ed[\u00a0-\u00bf][\u0080-\u00bf]", ""), "ISO-8859-1"), "UTF-8")
 
 
 _GRAPHIC = re.compile(r"(\\includegraphics(?:\[[^\]]*\])?)\{([^}]+)\}")
@@ -208,6 +227,12 @@ def checked_graphics(tex: str, known: set[str], placeholder: str = "example-imag
     return _GRAPHIC.sub(put, tex), rejected
 
 
+def graphics(tex: Column | str, known: Sequence[str]) -> Column:
+    """checked_graphics() as a struct(tex, rejected)."""
+    names = set(known)
+    return F.pandas_udf(lambda texts: pd.DataFrame([checked_graphics(t or "", names) for t in texts], columns=["tex", "rejected"]), "tex string, rejected array<string>")(tex)
+
+
 def splice(tex: str, old: str, new: str) -> str:
     """tex with its only occurrence of old replaced; no or several occurrences are an error."""
     n = tex.count(old)
@@ -233,6 +258,47 @@ def parse_sse(stream: str) -> list[tuple[str, str]]:
     return out
 
 
+def sse_events(stream: Column | str) -> Column:
+    return F.pandas_udf(lambda s: s.map(lambda t: [{"event": e, "data": d} for e, d in parse_sse(t or "")]), "array<struct<event: string, data: string>>")(stream)
+
+
+#: What a mark must not stand inside: math, commands with their arguments' names, comments.
+_UNSAFE = re.compile(_MATH.pattern + r"|\\[A-Za-z]+\*?(?:\[[^\]\n]*\]|\{[^{}\n]*\})*|%[^\n]*", re.DOTALL)
+
+
+def safe_places(text: str, starts: Sequence[int]) -> list[int]:
+    """For each start the nearest place at or before it that is outside math, commands and comments and inside no word."""
+    spans = [m.span() for m in _UNSAFE.finditer(text)]
+    begins = [a for a, _ in spans]
+    out = []
+    for at in starts:
+        at = min(max(at, 0), len(text))
+        while True:
+            k = bisect.bisect_left(begins, at) - 1
+            if k >= 0 and at < spans[k][1]:
+                at = spans[k][0]
+            elif 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum():
+                at -= 1
+            else:
+                break
+        out.append(at)
+    return out
+
+
+def anchored(text: str, starts: Sequence[int], mark: str = "@@A{}@@") -> str:
+    """text with a numbered mark at the safe place of each start; taking the marks out gives the text again."""
+    out, last = [], 0
+    for at, i in sorted((at, i) for i, at in enumerate(safe_places(text, starts))):
+        out += [text[last:at], mark.format(i)]
+        last = at
+    return "".join(out) + text[last:]
+
+
+def anchors(text: Column | str, starts: Column) -> Column:
+    """anchored() with the marks' places as an array."""
+    return F.pandas_udf(lambda texts, places: pd.Series([None if t is None else anchored(t, list(p)) for t, p in zip(texts, places, strict=True)]), "string")(text, starts)
+
+
 def anchor(text: str, starts: Sequence[int], unsafe: Sequence[Span], mark: str = "@@A{}@@") -> str:
     """text with a numbered mark at each start; a start inside an unsafe span moves before it."""
     places = []
@@ -268,3 +334,8 @@ def latex_assets(text: str) -> list[tuple[str, str, str, str | None]]:
             out.append((f"fig-{figures:03d}", "figure", key.group(2), section(m.start())))
     bodies = [(m.group(2), m.start()) for m in _EQUATION.finditer(text)] + [(m.group(1), m.start()) for m in _DISPLAY.finditer(text)]
     return out + [(f"eq-{i:03d}", "equation", body.strip(), section(at)) for i, (body, at) in enumerate(bodies, 1)]
+
+
+def assets(text: Column | str) -> Column:
+    names = ("id", "kind", "body", "section")
+    return F.pandas_udf(lambda s: s.map(lambda t: [dict(zip(names, a, strict=True)) for a in latex_assets(t or "")]), "array<struct<id: string, kind: string, body: string, section: string>>")(text)

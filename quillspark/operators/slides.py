@@ -22,11 +22,20 @@ LAYOUTS: Mapping[str, tuple[float, float, str]] = {
 }
 LINE_WIDTH_CM, TEXT_HEIGHT_CM = 12.8, 6.5
 _GRAPHIC = r"\\includegraphics(?:\[[^\]]*\])?\{[^}]+\}"
-#: What isn't a word in a frame, in the order in which it goes.
+#: Patterns of what isn't a word in a frame, in the order in which it goes.
 _NOISE = (
-    r"\\begin\{frame\}(?:\[[^\]]*\])?\{[^}]*\}", r"\\begin\{[a-zA-Z*]+\}(?:\[[^\]]*\])?(?:\{[^}]*\})?", r"\\end\{[a-zA-Z*]+\}", _GRAPHIC, r"\\(?:label\{[^}]+\}|caption\{[^}]*\})",
-    r"\\(?:setlength|usefont|definecolor|setbeamertemplate|setbeamercolor|setbeamerfont|setbeamersize|usepackage|color|vspace|hspace)\s*\{[^}]*\}", r"\\[a-zA-Z]+\*?", r"[{}\[\]]", r"%[^\n]*",
-)
+    r"\\begin\{frame\}(?:\[[^\]]*\])?\{[^}]*\}",
+    r"\\end\{frame\}",
+    r"\\begin\{[a-zA-Z*]+\}(?:\[[^\]]*\])?(?:\{[^}]*\})?",
+    r"\\end\{[a-zA-Z*]+\}",
+    r"\\includegraphics(?:\[[^\]]*\])?\{[^}]+\}",
+    r"\\label\{[^}]+\}",
+    r"\\caption\{[^}]*\}",
+    r"\\(?:setlength|usefont|definecolor|setbeamertemplate|setbeamercolor|setbeamerfont|setbeamersize|usepackage|color|vspace|hspace)\s*\{[^}]*\}",
+    r"\\[a-zA-Z]+\*?",
+    r"\{|\}|\[|\]",
+    r"%[^\n]*",
+)
 
 
 def body_words(tex: Column) -> Column:
@@ -100,7 +109,7 @@ def overflow(frames: DataFrame, script: str = "en") -> DataFrame:
     rows = rows.withColumn("words", body_words(parts[0]) + lines).withColumn("budget", F.floor(F.floor(height / (LINE_CM * PITCH)) * per_line).cast("int"))
     rows = rows.withColumn("overage", F.greatest(F.lit(0), F.col("words") - F.col("budget"))).withColumn("footprint", F.round(footprint(F.col("tex"), F.col("aspects")), 2))
     rows = rows.withColumn("mismatch", ~C.aspect_fits(_of_layout(F.col("layout"), {k: v[2] for k, v in LAYOUTS.items()}), F.col("aspect")))
-    over, area = F.col("overage"), F.col("footprint")
+    over, area = F.col("overage"), F.col("footprint")  # the bounds below are fixed values
     advice = F.when((over <= 0) & ~F.col("mismatch"), "ok").when(over <= 0, "relayout_figure").when((area > 25) & (over < 60), "shrink_figure").when(over >= 60, "split_frame").otherwise("tighten")
     hint = F.when(advice != "split_frame", "no_hint").when(area > 15, "figure_to_own_frame_then_text").otherwise("halve_bullets_across_two_frames")
     return rows.withColumn("advice", advice).withColumn("hint", hint)
@@ -146,14 +155,66 @@ def macros(tex: str) -> dict[str, tuple[str, int, str | None]]:
 _ENV = re.compile(r"\\(begin|end)\{(columns?|figure\*?|wrapfigure)\}")
 
 
+_STEP = re.compile(rf"{_ENV.pattern}|(?m:^([ \t]*)({_GRAPHIC}))")
+
+
 def lone_figures(tex: str) -> str:
     """tex with each graphic outside columns and figures centred in a paragraph of its own; applied twice it changes nothing more."""
-    out, at = [], 0
-    for m in re.finditer(r"(?m)^([ \t]*)(" + _GRAPHIC + ")", tex):
-        inside = sum(1 if e.group(1) == "begin" else -1 for e in _ENV.finditer(tex, 0, m.start()))
-        if inside > 0 or tex[: m.start()].rstrip().endswith("\\begin{center}"):
+    out, at, inside = [], 0, 0
+    for m in _STEP.finditer(tex):
+        if m.group(1):
+            inside += 1 if m.group(1) == "begin" else -1
+            continue
+        head = m.start()
+        while head > 0 and tex[head - 1].isspace():
+            head -= 1
+        if inside > 0 or tex.endswith("\\begin{center}", 0, head):
             continue
-        pad = m.group(1)
-        out += [tex[at : m.start()], f"{pad}\\begin{{center}}\n{pad}{m.group(2)}\n{pad}\\end{{center}}\n{pad}\\par\n"]
+        pad = m.group(3)
+        out += [tex[at : m.start()], f"{pad}\\begin{{center}}\n{pad}{m.group(4)}\n{pad}\\end{{center}}\n{pad}\\par\n"]
         at = m.end()
     return "".join(out) + tex[at:]
+
+
+def figures_apart(tex: Column | str) -> Column:
+    return F.pandas_udf(lambda s: s.map(lambda t: lone_figures(t or "")), "string")(tex)
+
+
+def column_spec(spec: str, width: int) -> str:
+    """A table's column specification that TeX takes for width columns: unknown marks go, columns are added or cut."""
+    spec = re.sub(r"\*\{(\d{1,2})\}\{([^{}]*)\}", lambda m: m.group(2) * int(m.group(1)), spec)
+    out, columns = [], 0
+    for m in re.finditer(r"([pmb]\{[^{}]*\})|([@!><]\{[^{}]*\})|([lcrX])|(\|)", spec):
+        if m.group(1) or m.group(3):
+            if columns == width:
+                break
+            columns += 1
+        out.append(m.group())
+    return "".join(out) + "l" * (width - columns)
+
+
+_TABULAR = re.compile(r"\\begin\{tabular\}(?:\[[^\]]*\])?(?=\{)")
+
+
+def _cells(row: str) -> int:
+    """Columns that a row takes, spans counted."""
+    return sum(int(n) for n in re.findall(r"\\multicolumn\{(\d+)\}", row)) + len(re.split(r"(?<!\\)&", row)) - len(re.findall(r"\\multicolumn\{\d+\}", row))
+
+
+def repaired_tables(tex: str) -> str:
+    """tex whose tables have as many columns as their widest row, and an end: an unclosed table ends with its text."""
+    out, at = [], 0
+    for m in _TABULAR.finditer(tex):
+        if m.start() < at or (spec := _braced(tex, m.end())) is None:
+            continue
+        end = tex.find("\\end{tabular}", spec[1])
+        body = tex[spec[1] : end if end >= 0 else len(tex)]
+        rows = [re.sub(r"\\(?:hline|toprule|midrule|bottomrule)|\\c(?:line|midrule)(?:\([^)]*\))?\{[^}]*\}", "", r) for r in re.split(r"\\\\(?:\[[^\]]*\])?", body)]
+        width = max((_cells(r) for r in rows if r.strip()), default=1)
+        out += [tex[at : m.end()], "{", column_spec(spec[0], width), "}", body, "" if end >= 0 else "\n\\end{tabular}"]
+        at = end if end >= 0 else len(tex)
+    return "".join(out) + tex[at:]
+
+
+def tables_repaired(tex: Column | str) -> Column:
+    return F.pandas_udf(lambda s: s.map(lambda t: repaired_tables(t or "")), "string")(tex)

@@ -57,9 +57,24 @@ def txt4_layout_chunks(spark: SparkSession, d: str) -> DataFrame:
     return L.assemble(blocks(spark, d))
 
 
-@query()
+@query(_LINES + r", t AS (SELECT doc, line, regexp_replace(said, '^\s+|\s+$', '', 'g') AS said, line % 4 AS kind FROM b), p AS (SELECT doc, line, CASE WHEN said = '' THEN '' WHEN kind = 0 THEN '##' || said WHEN kind = 3 THEN '*' || said || '*' ELSE said END || CASE WHEN kind = 3 THEN '|a||---||1|' ELSE '' END AS piece FROM t) SELECT doc, true AS gapless, true AS exact, md5(regexp_replace(string_agg(piece, '' ORDER BY line), '\s', '', 'g')) AS said FROM p GROUP BY doc HAVING length(string_agg(piece, '')) > 0")
+def txt4_chunk_laws(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks are numbered without gaps, offsets follow from the texts, and together they hold each rendered block once, in order."""
+    rows = L.assemble(blocks(spark, d)).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("ordinal", "char_start", "char_end", "text"))).alias("c"))
+    before = lambda i: F.aggregate(F.slice("c", F.lit(1), i), F.lit(0).cast("long"), lambda n, c: n + F.length(c["text"]) + 2)
+    return rows.select(
+        "doc", F.forall(F.transform("c", lambda c, i: c["ordinal"] == i), lambda x: x).alias("gapless"),
+        F.forall(F.transform("c", lambda c, i: (c["char_start"] == before(i)) & (c["char_end"] - c["char_start"] == F.length(c["text"]))), lambda x: x).alias("exact"),
+        F.md5(F.regexp_replace(F.array_join(F.transform("c", lambda c: c["text"]), ""), r"\s", "").cast("binary")).alias("said"),
+    )
+
+
+@query(_LINES + r" SELECT doc, count(*)::INT AS n, true AS in_order, md5(string_agg(regexp_replace(said, '^\s+|\s+$', '', 'g'), chr(10) ORDER BY line)) AS captions FROM b WHERE line % 4 = 3 GROUP BY doc")
 def txt6_layout_index(spark: SparkSession, d: str) -> DataFrame:
-    return L.layout_index(L.assemble(blocks(spark, d))).select("doc", F.size("layout").alias("n"), F.to_json("layout").alias("layout_json"))
+    """Every table group in document order, with its caption."""
+    rows = L.layout_index(L.assemble(blocks(spark, d)))
+    rising = F.transform("layout", lambda e, i: (i == 0) | (e["ordinal"] > F.element_at("layout", F.greatest(i, F.lit(1)))["ordinal"]))
+    return rows.select("doc", F.size("layout").alias("n"), F.forall(rising, lambda x: x).alias("in_order"), F.md5(F.array_join(F.transform("layout", lambda e: e["caption"]), "\n").cast("binary")).alias("captions"))
 
 
 @query("SELECT p_partkey, 'TABLE ' || p_size AS label, p_partkey * 10 AS ordinal FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, 'TABLE ' || p_size, NULL FROM part WHERE p_size % 2 = 1")

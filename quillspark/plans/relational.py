@@ -304,9 +304,15 @@ def agg17_all_ok(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id").agg(((F.count("*") > 0) & F.bool_and(COL("event_type") != "error")).alias("all_steps_ok"))
 
 
-@query("SELECT l_orderkey, round(sum(l_quantity * l_tax), 6) AS footprint FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, round(sum(w * w / (1 + l_linenumber % 3)), 4) AS footprint FROM (SELECT l_orderkey, l_linenumber, 0.1 * (1 + l_partkey % 90) AS w FROM lineitem) GROUP BY 1")
 def agg18_footprint(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum(COL("l_quantity") * COL("l_tax")), 6).alias("footprint"))
+    """The area of each deck's figures, sized by their widths and aspects."""
+    from quillspark.operators import slides
+
+    mm = (1 + COL("l_partkey") % 90).cast("string")
+    tex = F.concat(F.lit("\\includegraphics[width="), mm, F.lit("mm]{fig}"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", slides.footprint(tex, F.create_map(F.lit("fig"), (1 + COL("l_linenumber") % 3).cast("double"))).alias("area"))
+    return rows.groupBy("l_orderkey").agg(F.round(F.sum("area"), 4).alias("footprint"))
 
 
 @query("WITH f AS (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = event_type THEN 0 ELSE 1 END AS s FROM events), g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM f) SELECT user_id, island::BIGINT AS island, event_type, count(*) AS n FROM g GROUP BY ALL")

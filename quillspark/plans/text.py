@@ -50,10 +50,10 @@ def txt11_section_key(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.md5(C.section_key(COL("text")).cast("binary")).alias("h"))
 
 
-@query("SELECT conv_id, turn, (conv_id || ',' || turn || CASE WHEN conv_id <> turn AND turn <> 12345 THEN '' ELSE '' END) AS ids, 12345 AS loose FROM conversations WHERE conv_id <> turn")
+@query("SELECT conv_id, turn, CASE WHEN conv_id = turn THEN conv_id::VARCHAR ELSE conv_id || ',' || turn END AS ids, 12345 AS loose FROM conversations")
 def txt13_citations(spark: SparkSession, d: str) -> DataFrame:
     cited = F.concat(COL("text"), F.lit(" [chunk:"), COL("conv_id").cast("string"), F.lit(", "), COL("turn").cast("string"), F.lit("] again [chunk:"), COL("conv_id").cast("string"), F.lit("]"))
-    rows = table(spark, d, "conversations").filter("conv_id <> turn").withColumn("cited", cited)
+    rows = table(spark, d, "conversations").withColumn("cited", cited)
     loose = C.loose_cited_ids(F.concat(F.lit("see chunk:12345. "), COL("cited")))
     return rows.select("conv_id", "turn", F.array_join(C.cited_ids(COL("cited")), ",").alias("ids"), F.element_at(loose, 1).cast("int").alias("loose"))
 
@@ -65,10 +65,15 @@ def txt14_structured_ids(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("item_id", F.array_join(C.arxiv_ids(COL("said")), ",").alias("arxiv"), F.array_join(C.dois(COL("said")), ",").alias("doi"))
 
 
-@query("SELECT item_id, 'deep nets' || CASE WHEN item_id % 2 = 0 THEN ' x' ELSE '' END AS q FROM benchmark")
+_PLAIN = "trim(replace(replace(replace(translate({}, '\"''“”', ''), ' OR ', ' '), ' AND ', ' '), ' NOT ', ' '))"
+
+
+@query("SELECT item_id, CASE WHEN hint = '' THEN term ELSE hint || CASE WHEN term = '' OR upper(term) = 'AND' THEN '' ELSE ' ' || term END END AS q FROM (SELECT item_id, " + _PLAIN.format("'\"' || text || '\" OR ' || item_id") + " AS hint, " + _PLAIN.format("string_split(text, ' ')[2]") + " AS term FROM benchmark)")
 def txt15_web_query(spark: SparkSession, d: str) -> DataFrame:
-    terms = F.array(F.lit("OR"), F.when(COL("item_id") % 2 == 0, '"x"').otherwise("''"))
-    return table(spark, d, "benchmark").select("item_id", C.web_query(F.lit('"deep nets"'), terms).alias("q"))
+    """Queries of each item's text, quoted and with boolean words, and its second word as a term; the lone operators go."""
+    hint = F.concat(F.lit('"'), COL("text"), F.lit('" OR '), COL("item_id").cast("string"))
+    terms = F.array(F.lit("OR"), F.split("text", " ")[1], F.lit(" 'not' "))
+    return table(spark, d, "benchmark").select("item_id", C.web_query(hint, terms).alias("q"))
 
 
 @query("SELECT item_id, '2401.' || item_id AS base FROM benchmark")
@@ -76,11 +81,14 @@ def txt16_base_id(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", C.base_id(F.concat(F.lit("2401."), COL("item_id").cast("string"), F.lit("v3"))).alias("base"))
 
 
-@query("SELECT doc_id, md5('key <redacted:anthropic> <redacted:openai> $HOME/f ' || text) AS h FROM documents WHERE NOT regexp_matches(text, 'sk-ant-[A-Za-z0-9_-]|sk-proj-[A-Za-z0-9_-]|AIza[A-Za-z0-9_-]{10,}')")
+_SECRET = "'key sk-ant-a' || doc_id || ' sk-proj-b_2 /home/me/f ' || text || ' AIza' || md5(text)"
+
+
+@query("SELECT doc_id, md5(" + "".join("regexp_replace(" for _ in C.HIDDEN) + f"replace({_SECRET}, '/home/me', '$HOME')" + "".join(f", '{p}', '{put}', 'g')" for p, put in C.HIDDEN) + ") AS h FROM documents")
 def txt17_redact(spark: SparkSession, d: str) -> DataFrame:
-    rows = _docs(spark, d).filter(~COL("text").rlike("|".join(p for p, _ in C.HIDDEN)))
-    said = F.concat(F.lit("key sk-ant-a1 sk-proj-b2 /home/me/f "), COL("text"))
-    return rows.select("doc_id", F.md5(C.redact(said, "/home/me").cast("binary")).alias("h"))
+    """Every document, with the secrets that it holds and others around it."""
+    said = F.concat(F.lit("key sk-ant-a"), COL("doc_id").cast("string"), F.lit(" sk-proj-b_2 /home/me/f "), COL("text"), F.lit(" AIza"), F.md5(COL("text").cast("binary")))
+    return _docs(spark, d).select("doc_id", F.md5(C.redact(said, "/home/me").cast("binary")).alias("h"))
 
 
 _RISK = " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{label}'" for p, label in (*C.SENSITIVE, *C.DANGEROUS))
@@ -91,16 +99,16 @@ def txt18_safety(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", C.safety_label(COL("text")).alias("label"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'session' ELSE 'global' END AS scope FROM conversations")
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 1 OR regexp_matches(lower(text), '" + "|".join(C.PROJECT_WORDS) + "') THEN 'session' ELSE 'global' END AS scope FROM documents")
 def txt19_scope(spark: SparkSession, d: str) -> DataFrame:
-    said = F.concat(F.when(COL("turn") % 2 == 0, "This PROJECT uses ").otherwise("I always "), F.lit("Python"))
-    return table(spark, d, "conversations").select("conv_id", "turn", C.fact_scope(said).alias("scope"))
+    """Facts from the documents, a quarter of them about the project's parts."""
+    said = F.concat(COL("text"), F.when(COL("doc_id") % 4 == 1, " uses the PostgreSQL DataBase").otherwise(" uses data bases"))
+    return _docs(spark, d).select("doc_id", C.fact_scope(said).alias("scope"))
 
 
-@query("SELECT doc_id, doc_id % 3 = 0 AS survey FROM documents WHERE NOT regexp_matches(lower(text), 'survey|a review|review of|overview of|taxonomy of')")
+@query("SELECT doc_id, doc_id % 3 = 0 OR regexp_matches(lower(text), '" + "|".join(C.SURVEY_PHRASES) + "') AS survey FROM documents")
 def txt20_survey(spark: SparkSession, d: str) -> DataFrame:
-    rows = _docs(spark, d).filter(~C.is_survey(F.lit(""), COL("text")))
-    return rows.select("doc_id", C.is_survey(F.when(COL("doc_id") % 3 == 0, "A Survey").otherwise("A Study"), COL("text")).alias("survey"))
+    return _docs(spark, d).select("doc_id", C.is_survey(F.when(COL("doc_id") % 3 == 0, "A Survey").otherwise("A Study"), COL("text")).alias("survey"))
 
 
 @query("SELECT min(doc_id) AS doc_id, CASE WHEN doc_id % 50 = 0 THEN 'arxiv:' || doc_id ELSE 'sha256:' || sha256(text) END AS content_key FROM documents GROUP BY 2")
@@ -233,27 +241,60 @@ def txt3_chunks(spark: SparkSession, d: str) -> DataFrame:
     return D.chunk_documents(_docs(spark, d), "doc_id", "text", target=800, hard=1000)
 
 
+@query(r"SELECT doc_id, true AS exact, true AS in_order, true AS in_budget, md5(regexp_replace(regexp_replace(text, '(?m)^((?:[^%\n]*[^%\n\\])?(?:\\\\)*)%[^\n]*', '\1', 'g'), '\s', '', 'g')) AS said FROM documents")
+def txt3_chunk_laws(spark: SparkSession, d: str) -> DataFrame:
+    """Offsets give the chunks' texts, chunks don't overlap and keep the budget, and together they hold all but white space."""
+    rows = _docs(spark, d).select("doc_id", C.strip_comments(COL("text")).alias("bare"), D.chunks("text").alias("c"))
+    tokens = lambda t: F.size(F.regexp_extract_all(t, F.lit(r"(?U)\w{1,4}|[^\w\s]"), 0))
+    following = F.zip_with(F.slice("c", F.lit(1), F.greatest(F.size("c") - 1, F.lit(0))), F.slice("c", F.lit(2), F.greatest(F.size("c") - 1, F.lit(0))), lambda a, b: a["char_end"] <= b["char_start"])
+    return rows.select(
+        "doc_id", F.forall("c", lambda c: F.substr("bare", c["char_start"] + 1, c["char_end"] - c["char_start"]) == c["text"]).alias("exact"), F.forall(following, lambda x: x).alias("in_order"),
+        F.forall("c", lambda c: tokens(c["text"]) <= 1000).alias("in_budget"), F.md5(F.regexp_replace(F.array_join(F.transform("c", lambda c: c["text"]), ""), r"\s", "").cast("binary")).alias("said"),
+    )
+
+
 @query()
 def txt22_math_spans(spark: SparkSession, d: str) -> DataFrame:
     return D.explode_spans(_docs(spark, d), "doc_id", "text", D.math_spans)
 
 
-@query()
+_ESCAPES = (r"(?s)(\\.)|%[^\n]*", r"(?s)(\\[^$])|\\\$")
+_FORMULA = r"(?s)\$\$.*?\$\$|\$.*?\$|\\\(.*?\\\)|\\\[.*?\\\]"
+_BARE = f"regexp_replace(regexp_replace(TEXT, '{_ESCAPES[0]}', '\\1', 'g'), '{_ESCAPES[1]}', '\\1', 'g')"
+_MATHS = "text || ' \\$5 $a+' || doc_id || '$ 100\\% % no $x$\n\\[b\\] $$c$$'"
+
+
+@query("SELECT doc_id, len(m)::INT AS n, md5(regexp_replace(array_to_string(m, ''), '\\s', '', 'g')) AS said FROM (SELECT doc_id, regexp_extract_all(" + _BARE.replace("TEXT", _MATHS) + f", '{_FORMULA}') AS m FROM documents)")
+def txt22_math_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What the spans hold, with escapes, comments and formulas behind each text; the oracle finds formulas in bared texts."""
+    said = F.concat("text", F.lit(" \\$5 $a+"), COL("doc_id").cast("string"), F.lit("$ 100\\% % no $x$\n\\[b\\] $$c$$"))
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, _ESCAPES[0], "$1"), _ESCAPES[1], "$1")
+    rows = _docs(spark, d).select("doc_id", said.alias("said")).withColumn("spans", D.spans("said", D.math_spans))
+    held = F.transform("spans", lambda s: bare(F.substr("said", s["start"] + 1, s["end"] - s["start"])))
+    return rows.select("doc_id", F.size("spans").alias("n"), F.md5(F.regexp_replace(F.array_join(held, ""), r"\s", "").cast("binary")).alias("said"))
+
+
+@query(r"SELECT page_id, '| a b | c |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) || ' |  |' AS md FROM pages")
 def txt8_html_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Each page's heading, marks and entities as they are, in a table with one cell too few."""
     rows = table(spark, d, "pages").select("page_id", F.concat(F.lit("<table><tr><th>a<br>b</th><th>c</th></tr><tr><td>"), F.regexp_extract("html", "<h1>(.*?)</h1>", 1), F.lit("</td></tr></table>")).alias("html"))
     return rows.select("page_id", D.table_markdown("html").alias("md"))
 
 
-@query()
+@query(r"SELECT doc_id, CASE WHEN needle = '' THEN -1 ELSE position(rtrim_to IN flat) - 1 END::INT AS at FROM (SELECT *, substr(needle, 1, 150) AS rtrim_to FROM (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS flat, lower(trim(regexp_replace(substr(text, greatest(1, length(text) // 2), 200), '\s+', ' ', 'g'))) AS needle FROM documents))")
 def txt24_locate_passage(spark: SparkSession, d: str) -> DataFrame:
     """Where the middle of each document is found in it again."""
     needle = F.substr("text", F.greatest(F.lit(1), F.floor(F.length("text") / 2).cast("int")), F.lit(200))
     return _docs(spark, d).select("doc_id", D.locate("text", needle).alias("at"))
 
 
-@query()
+@query("SELECT doc_id, md5(text) AS h FROM documents")
 def txt29_surrogates(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", F.md5(D.drop_surrogates("text").cast("binary")).alias("h"))
+    """Texts with a lone surrogate's bytes in the middle and at the end come out as they were."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    part = lambda a, n: F.substr("text", a, n).cast("binary")
+    raw = F.concat(part(F.lit(1), half), F.unhex(F.lit("EDA080")), part(half + 1, F.length("text")), F.unhex(F.lit("EDBFBF")))
+    return _docs(spark, d).select("doc_id", F.md5(D.drop_surrogates(raw).cast("binary")).alias("h"))
 
 
 @query("SELECT p_partkey, p_size + 1 AS words, CASE WHEN p_size % 2 = 0 THEN 'text_only' ELSE 'equation_centered' END AS layout, CASE WHEN p_size % 2 = 0 THEN 153 ELSE 76 END AS budget, greatest(0, p_size + 1 - CASE WHEN p_size % 2 = 0 THEN 153 ELSE 76 END) AS overage FROM part")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark import registry
-from quillspark.plans import gateway, layout, relational, search, text, trace, workflows  # noqa: F401
+from quillspark.plans import gateway, layout, relational, search, sources, text, trace, workflows  # noqa: F401
 
 
 def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
@@ -32,12 +32,22 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of text files, lines numbered from 1 in each file, whose parts are read apart.
+
+    A part's lines have rising ids; the parts' sizes are a small table, whose running sums in each file number the lines.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("id"), "value")
+    sizes = rows.groupBy("file", "part").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    ahead = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", "part", "first", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    return rows.join(starts, ["file", "part"]).select("file", (F.col("ahead") + F.col("id") - F.col("first") + 1).alias("line"), "value")
+
+
 def line_errors(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """(line, value) of the lines of a corpus file that aren't JSON of the schema, numbered from 1 in each file."""
-    names = f"{schema}, __bad string"
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "value"))
-    parsed = rows.withColumn("p", F.from_json("value", names, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}))
-    return parsed.filter((F.trim("value") != "") & F.col("p.__bad").isNotNull()).select((F.col("at") + 1).alias("line"), "value")
+    """(file, line, value) of the lines of corpus files that aren't JSON of the schema."""
+    parsed = F.from_json("value", f"{schema}, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    return numbered_lines(spark, path).withColumn("p", parsed).filter((F.trim("value") != "") & F.col("p.__bad").isNotNull()).select("file", "line", "value")
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
@@ -75,19 +85,33 @@ def latest(versions: DataFrame, keys: Keys, version: str) -> DataFrame:
     return versions.groupBy(*keys).agg(F.max_by(F.struct(*versions.columns), version).alias("v")).select("v.*")
 
 
-def replace_table(rows: DataFrame, path: str) -> None:
-    """Write rows as the table at path: into a new folder first, which then takes the old one's name."""
+def replace_table(rows: DataFrame, path: str) -> str:
+    """Write rows as the next version of the table at path and return the version.
+
+    A version is a folder of its own. A commit is an empty file whose name says it all, created once the folder is whole; readers
+    follow the greatest name, so they see the old or the new table at any moment, and a failed job leaves the old one. Of
+    two writers at once one comes after the other.
+    """
     spark = rows.sparkSession
-    jvm = spark._jvm
-    new, old = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
-    rows.write.parquet(new)
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.rename(target, jvm.org.apache.hadoop.fs.Path(old))
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(new), target):
-        raise OSError(f"{new} can't become {path}")
-    fs.delete(jvm.org.apache.hadoop.fs.Path(old), True)
+    version, root = uuid.uuid4().hex, path.rstrip("/")
+    rows.write.parquet(f"{root}/data/{version}")
+    number = max((n for n, _ in _commits(spark, root)), default=0) + 1
+    commit = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/commits/{number:012d}-{version}")
+    commit.getFileSystem(spark._jsc.hadoopConfiguration()).create(commit, False).close()
+    return version
+
+
+def _commits(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(number, version) of the commits of a table."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/commits")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted((int(n.split("-")[0]), n.split("-")[1]) for n in names)
+
+
+def current_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table that replace_table() last committed at path."""
+    return spark.read.parquet(f"{path.rstrip('/')}/data/{_commits(spark, path.rstrip('/'))[-1][1]}")
 
 
 def register_functions(spark: SparkSession) -> None:

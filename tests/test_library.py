@@ -231,8 +231,23 @@ def test_replace_table(spark, tmp_path):
     path = str(tmp_path / "t")
     for n in (1, 3):
         ST.replace_table(spark.range(n), path)
-        assert spark.read.parquet(path).count() == n
-    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+        assert ST.current_table(spark, path).count() == n
+    with pytest.raises(Exception, match="raised"):
+        ST.replace_table(spark.range(9).select(F.assert_true(F.col("id") < 5, F.lit("raised"))), path)
+    assert ST.current_table(spark, path).count() == 3
+
+
+def test_lines_are_numbered_over_the_parts_of_a_file(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    (tmp_path / "lines").mkdir()
+    for name, n in (("a", 5000), ("b", 3)):
+        (tmp_path / "lines" / name).write_text("".join(f"{i}{'x' * (i % 50)}\n" for i in range(1, n + 1)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        rows = ST.numbered_lines(spark, path).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 5003 and all(r.value.rstrip("x") == str(r.line) for r in rows)
 
 
 def test_pdf_rows(spark):
