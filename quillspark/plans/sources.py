@@ -11,7 +11,6 @@ from quillspark.operators import slides
 from quillspark.registry import query, spread, table
 from quillspark.sources import documents as SD
 from quillspark.sources import tables as ST
-from quillspark.streaming import trace as TR
 
 COL = F.col
 
@@ -156,16 +155,3 @@ def snk7_report(spark: SparkSession, d: str) -> DataFrame:
     cases = ST.read_jsonl(spark, f"{path}/json", "case_id string, n long")
     lines = spark.read.text(f"{path}/markdown").withColumnRenamed("value", "line")
     return cases.join(lines, COL("line").contains(F.concat(F.lit("| "), COL("case_id"), F.lit(" |")))).select("case_id", "line")
-
-
-@query("WITH e AS (SELECT user_id AS run_id, ts, event_id, CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'error' THEN 'error' ELSE 'running' END AS status FROM events) SELECT run_id, coalesce(arg_min(status, (ts, event_id)) FILTER (WHERE status <> 'running'), 'running') AS status, count(*) AS n_events FROM e GROUP BY 1")
-def str5_run_states(spark: SparkSession, d: str) -> DataFrame:
-    """The events as a stream: each run's first terminal status stays, whatever comes behind it."""
-    status = F.when(COL("event_type") == "purchase", "ok").when(COL("event_type") == "error", "error").otherwise("running")
-    came, path, seen = (state.new_path(spark, name) for name in ("came", "states", "progress"))
-    events = table(spark, d, "events")
-    events.write.parquet(came)
-    stream = spark.readStream.schema(events.schema).parquet(came).select(COL("user_id").alias("run_id"), COL("event_type").alias("type"), status.alias("status"), COL("ts").cast("timestamp").alias("ts"), "event_id")
-    TR.run_states(stream).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", seen).foreachBatch(lambda rows, i: rows.write.mode("append").parquet(path)).start().awaitTermination()
-    rows = spark.read.parquet(path).filter("not evicted")
-    return rows.groupBy("run_id").agg(F.max_by("status", "n_events").alias("status"), F.max("n_events").alias("n_events"))
