@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark import state
 from quillspark.llm import bpe, decontaminate, near_dup, substring, toxicity
 from quillspark.llm.frames import materialise
 from quillspark.llm.queries import table
@@ -52,9 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage read and wrote on its way is deleted once its result is written."""
     docs = table(spark, sf_dir, "documents")
+    begin = len(state.written)
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = materialise(docs, name)
+            state.discard(spark, state.written[begin:-1])
     return docs

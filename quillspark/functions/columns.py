@@ -340,3 +340,8 @@ def aspect_fits(rule: Column, aspect: Column) -> Column:
         .when(rule.startswith(">="), aspect >= number(F.substr(rule, F.lit(3)))).when(rule.startswith("<="), aspect <= number(F.substr(rule, F.lit(3))))
         .when(F.contains(rule, F.lit("..")), aspect.between(number(F.split_part(rule, F.lit(".."), F.lit(1))), number(F.split_part(rule, F.lit(".."), F.lit(2)))))
     )
+
+
+def latency_ms(started: Column, ended: Column) -> Column:
+    """Whole milliseconds between two readings of a clock in seconds; a part of one is cut off."""
+    return ((ended - started) * 1000).cast("long")

@@ -138,6 +138,13 @@ def section_index(chunks: DataFrame, doc: str, tokens: Callable[[Column], Column
     return rows.withColumn("token_count", tokens(text).cast("long")).drop("__parts")
 
 
+def section_index_of_source(chunks: DataFrame, texts: DataFrame, doc: str, text: str, tokens: Callable[[Column], Column]) -> DataFrame:
+    """section_index() with the tokens of the source from a section's first character to its last, what lies between chunks included."""
+    rows = section_index(chunks, doc, F.length).drop("token_count").join(texts.select(doc, F.col(text).alias("__source")), doc)
+    cut = F.substr("__source", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    return rows.withColumn("token_count", tokens(cut).cast("long")).drop("__source")
+
+
 def joined_text(rows: DataFrame, keys: Keys, order: Keys, text: str, between: str, name: str) -> DataFrame:
     parts = F.sort_array(F.collect_list(F.struct(*order, text)))
     return rows.groupBy(*keys).agg(parts.alias("__parts")).select(*keys, F.array_join(F.transform("__parts", lambda p: p[text]), between).alias(name))

@@ -315,3 +315,19 @@ def udf1_sql_function(spark: SparkSession, d: str) -> DataFrame:
     register_functions(spark)
     _docs(spark, d).createOrReplaceTempView("udf1_documents")
     return spark.sql("SELECT doc_id, md5(cast(library_norm(text) AS binary)) AS h FROM udf1_documents")
+
+
+@query("SELECT event_id, trunc((event_id + value - event_id) * 1000)::BIGINT AS ms FROM events")
+def sca3_latency(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", C.latency_ms(COL("event_id").cast("double"), COL("event_id") + COL("value")).alias("ms"))
+
+
+@query(r"WITH p AS (SELECT doc_id, translate(text, '%\', '') AS t FROM documents), h AS (SELECT doc_id, unnest(['One', 'Two']) AS name, unnest([substr(t, 1, length(t) // 2), substr(t, length(t) // 2 + 1)]) AS part FROM p) SELECT doc_id, name, length(regexp_replace(part, '^\s+|\s+$', '', 'g'))::BIGINT AS token_count FROM h WHERE length(regexp_replace(part, '\s', '', 'g')) > 0")
+def agg6b_source_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Halves of each text as sections, measured over the source and not over the joined chunks."""
+    from quillspark.operators import relational as R
+
+    half = F.floor(F.length("plain") / 2).cast("int")
+    rows = _docs(spark, d).select("doc_id", F.translate("text", "%\\", "").alias("plain"))
+    rows = rows.select("doc_id", F.concat(F.lit("\\section{One}"), F.substr("plain", F.lit(1), half), F.lit("\\section{Two}"), F.substr("plain", half + 1, F.length("plain"))).alias("text"))
+    return R.section_index_of_source(D.chunk_documents(rows, "doc_id", "text"), rows, "doc_id", "text", F.length).select("doc_id", "name", "token_count")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,12 +30,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def discard(spark: SparkSession, keep: int = 0) -> None:
-    """Delete what was written to the shared folder, but the first keep of it. What reads it must be done."""
-    for path in written[keep:]:
+def discard(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Delete tables in the shared folder. Nothing that reads them may still have to run."""
+    for path in list(paths):
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    del written[keep:]
+        written.remove(path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
 from quillspark.functions import documents as D
+from quillspark.operators import slides
 
 
 def values(spark, texts, column):
@@ -146,3 +147,30 @@ def test_slides(spark):
     once = SL.lone_figures("a\n  \\includegraphics{x}\ntext \\begin{columns}\n\\includegraphics{y}\n\\end{columns}")
     assert once == "a\n  \\begin{center}\n  \\includegraphics{x}\n  \\end{center}\n  \\par\n\ntext \\begin{columns}\n\\includegraphics{y}\n\\end{columns}" and SL.lone_figures(once) == once
     assert values(spark, ["Overfull \\vbox (3.5pt too high) Overfull \\vbox (12.25pt too high)", ""], SL.overfull_points) == [12.25, 0.0]
+
+
+def test_safe_places_of_anchors():
+    text = r"Word one $a + b$ and \cite[p. 2]{key} more. % note here" + "\nnext line"
+    math, cite, note = text.index("+"), text.index("key"), text.index("note")
+    assert D.safe_places(text, [0, 2, math, cite, note, len(text), 10**6]) == [0, 0, text.index("$"), text.index("\\cite"), text.index("%"), len(text), len(text)]
+    marked = D.anchored(text, [math, 2, note, 2])
+    assert D.read_anchors(marked)[1] == [1, 3, 0, 2] and "".join(D.re.split(r"@@A\d+@@", marked)) == text
+
+
+def test_table_repair():
+    assert slides.column_spec("l|cQr", 3) == "l|cr" and slides.column_spec("l", 3) == "lll" and slides.column_spec("lcr|", 2) == "lc" and slides.column_spec(r"*{2}{c}p{3cm}", 3) == "ccp{3cm}"
+    tex = "\\begin{tabular}{ll}\\hline a & b & \\multicolumn{2}{c}{x \\& y} \\\\ c \\\\ \\end{tabular} tail"
+    fixed = slides.repaired_tables(tex)
+    assert fixed.startswith("\\begin{tabular}{llll}\\hline") and fixed.endswith("tail") and slides.repaired_tables(fixed) == fixed
+    assert slides.repaired_tables("\\begin{tabular}{l}x & y").endswith("\n\\end{tabular}") and slides.repaired_tables("no table") == "no table"
+
+
+def test_lone_figures_in_one_pass():
+    tex = "\\includegraphics{f}\n\\begin{columns}\n\\includegraphics{g}\n\\end{columns}\n" * 400
+    out = slides.lone_figures(tex)
+    assert out.count("\\begin{center}") == 400 and slides.lone_figures(out) == out
+
+
+def test_escapes_keep_control_characters(spark):
+    row = spark.createDataFrame([("a\u0001b\\c~_", None)], "t string, n string").select(C.tex_escape(F.col("t")), C.tex_escape(F.col("n"))).first()
+    assert tuple(row) == ("a\u0001b\\textbackslash{}c\\textasciitilde{}\\_", None)
