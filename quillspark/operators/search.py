@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -101,14 +103,13 @@ _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile("[" + "".join(chr(c) for c in range(0x250, 0x10000) if unicodedata.combining(chr(c))) + "]")
 
 
+@lru_cache(maxsize=1 << 18)
+def _stem(word: str) -> str:
+    return porter(word) if word.isascii() and word.isalpha() else word
+
+
 def stems(text: str) -> list[str]:
-    known: dict[str, str] = {}
-    out = []
-    for w in _WORD.findall(folded(text)):
-        if w not in known:
-            known[w] = porter(w) if w.isascii() and w.isalpha() else w
-        out.append(known[w])
-    return out
+    return [_stem(w) for w in _WORD.findall(folded(text))]
 
 
 def simple_terms(c: Column) -> Column:
@@ -116,11 +117,6 @@ def simple_terms(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
-def stemmed(c: Column | str) -> Column:
-    """The folded stem of a word."""
-    return F.pandas_udf(lambda s: s.map(lambda w: (stems(w) or [w])[0]), "string")(c)
-
-
 def and_terms(phrase: str) -> list[str]:
     """Words that all must be there; other marks in a word drop out."""
     words = ("".join(ch for ch in w if ch.isalnum() or ch == "_") for w in phrase.split())
@@ -157,7 +153,7 @@ def _counts(texts: pa.Array, wanted: list[str]) -> list[pa.Array]:
             if at is None:
                 if len(known) > 1_000_000:
                     known.clear()
-                at = known[w] = place.get(porter(w) if w.isascii() and w.isalpha() else w, -1)
+                at = known[w] = place.get(_stem(w), -1)
             if at >= 0:
                 counts[i, at] += 1
     return [pa.array(sizes), pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * len(wanted), counts.ravel())]
@@ -208,11 +204,18 @@ def build_index(docs: DataFrame, key: str, terms: Column) -> tuple[DataFrame, Da
 
 
 def build_stemmed_index(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """build_index() over stems: words are counted first, and only different words are stemmed, each once."""
-    postings, lengths = build_index(docs, key, simple_terms(F.col(text)))
-    words = postings.select("term").distinct().withColumn("stem", stemmed("term"))
-    rows = postings.join(words, "term").groupBy(F.col("stem").alias("term"), key).agg(F.sum("tf").alias("tf"))
-    return rows, lengths
+    """build_index() over folded stems. A text's postings are counted where the text is, so nothing is shuffled; key names one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [Counter(stems(t or "")) for t in batch.column(1).to_pylist()]
+            row = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([w for c in counts for w in c], pa.string()), batch.column(0).take(pa.array(row)), pa.array([n for c in counts for n in c.values()], pa.int64())], names=["term", key, "tf"]
+            )
+
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField(key, docs.schema[key].dataType), T.StructField("tf", T.LongType())])
+    return docs.select(key, text).mapInArrow(run, schema), word_counts(docs, key, text, []).select(key, "length")
 
 
 def maintain_index(index: tuple[DataFrame, DataFrame], key: str, terms: Column, changed: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
