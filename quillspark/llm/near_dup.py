@@ -7,11 +7,11 @@ base b near 1 they are mergeable by maximum and equal in two sketches about as o
 1. Texts of one set (128-bit hash) are a class, its smallest doc_id stands for it.
 2. Bands of the classes' registers are hashed to buckets. Bands are as many as keep the chance that a pair at the threshold
    shares no bucket under MISS.
-3. Each text is compared with the smallest text of its buckets that it shares most bands with, then with the smallest of
-   its other buckets as far as they are in other components.
-4. What is left are texts of one bucket in different components: there every text outside the bucket's largest component
-   meets all others of the bucket, by registers, in blocks. Of each two components the likeliest pairs are compared first;
-   what they connect isn't compared any more, and nothing stays unless it is connected or compared.
+3. Each text is compared with the one, of the smallest texts of its buckets, that it shares most bands with. Texts that
+   hang together by the links found are a part.
+4. Buckets of one part are done. The others that share texts are clusters, where every text outside the largest part meets
+   the texts of other parts, in tiles of at most TILE texts and TILE_BYTES. The likeliest pairs come first; what a tile has connected
+   isn't compared any more, and a tile returns a forest of links, never all pairs.
 5. To compare, counts of greater, smaller and equal registers give the likeliest similarity with both sizes known. Pairs
    under the threshold by more than MARGIN standard errors go; the others are verified on the full sets.
 6. Components of the links are the groups; the smallest doc_id of each is kept.
@@ -21,9 +21,10 @@ shingle, the whole sequence; repeated rows of a doc_id are one member; a row wit
 component and kept; an empty table gives no rows. Only doc_id and text are read; further columns do no harm.
 
 Scale: band rows and class joins are narrow equi-joins with pre-aggregated sides, written first, so both sides of a join
-are plain shuffles that AQE can split. Sketches are computed once and stored. A text is shipped for the pairs that it is
-compared in: about once in step 3 whatever its group's size, since connected texts aren't compared again. Comparing
-streams sorted rows, a text and CHUNK partners a group at most.
+are plain shuffles that AQE can split. Sketches are computed once and stored. In step 3 a text is shipped about once, and
+comparing streams sorted rows, a text and CHUNK partners a group at most. Step 4 ships the n texts of a cluster times the blocks
+of its o outsiders: what step 3 joins is cheap at any size, but texts that are alike just under the threshold in great
+numbers have to be compared in n * o pairs by any exact way.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ SHINGLE = 5
 BASE, A, TOP = 1.001, 20.0, 65535
 MISS = 1e-6
 MARGIN = 6
-CHUNK, HEADS, MEMBERS = 256, 64, 4096
+CHUNK = 256
+TILE, TILE_BYTES = 400, 4 << 20
 SKETCH = "doc_id long, n_shingles long, h1 long, h2 long, registers binary, text string"
 LINKS = "u long, v long"
 U = np.uint64
@@ -240,68 +242,90 @@ def verified(candidates: DataFrame, pairs: DataFrame, threshold: float, m: int)
     return materialise(rows.mapInArrow(lambda batches: _compare(batches, threshold, m), LINKS).distinct(), "links")
 
 
-def _merge(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """groups (node, component) with the components that links (u, v) join made one."""
-    of = lambda name: groups.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))
-    edges = links.join(of("u").hint("merge"), "u").join(of("v").hint("merge"), "v").select("cu", "cv")
-    joined = materialise(components(edges, "cu", "cv").select(F.col("node").alias("component"), F.col("component").alias("smallest")), "joined")
-    return materialise(groups.join(joined.hint("merge"), "component", "left").select("node", F.coalesce("smallest", "component").alias("component")), "groups")
+def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, part) by pointer jumping over links (u, v) of which each v has one, u < v: equal parts are connected."""
+    up = links.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("part"))
+    for _ in range(2):
+        up = materialise(up, "parents")
+        above = up.select(F.col("node").alias("part"), F.col("part").alias("above"))
+        up = up.join(above.hint("merge"), "part", "left").select("node", F.coalesce("above", "part").alias("part"))
+    return materialise(nodes.join(up.hint("merge"), "node", "left").select("node", F.coalesce("part", "node").alias("part")), "parts")
 
 
-def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose ends are in different components cu and cv."""
-    of = lambda name: groups.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))
-    return pairs.join(of("u").hint("merge"), "u").join(of("v").hint("merge"), "v").filter("cu <> cv")
+def _tile_links(table: pa.Table, threshold: float, m: int) -> pa.Table:
+    """A forest of verified links between parts, from a tile of rows (doc_id, n_shingles, registers, text, cluster, part, outside, head).
 
-
-def _meet(batches: Iterator[pa.RecordBatch], threshold: float, m: int) -> Iterator[pa.RecordBatch]:
-    """Likely pairs of rows (bucket, block, chunk, head, doc_id, component, n_shingles, registers) that come by group, heads first."""
-    now, ids, parts, sizes, sketches = None, [], [], [], []
-    for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-        matrix = _matrix(batch.column(7), m)
-        edges = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)) + 1 if batch.num_rows > 1 else np.zeros(0, np.int64)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
-            key = tuple(c[a] for c in cols[:3])
-            if key != now:
-                now, ids, parts, sizes, sketches = key, [], [], [], []
-            if cols[3][a]:
-                ids += cols[4][a:b].tolist()
-                parts += cols[5][a:b].tolist()
-                sizes += cols[6][a:b].tolist()
-                sketches += list(matrix[a:b].copy())
-                continue
-            for i, part, n, own in zip(ids, parts, sizes, sketches, strict=True):
-                rows = np.flatnonzero(cols[5][a:b] != part) + a
-                if len(rows):
-                    near, likely = _similar(np.broadcast_to(own, (len(rows), m)), matrix[rows], np.full(len(rows), n), cols[6][rows], threshold, m)
-                    rows, likely = rows[near], likely[near]
-                    out.append((np.minimum(i, cols[4][rows]), np.maximum(i, cols[4][rows]), likely))
-        if out:
-            u, v, likely = map(np.concatenate, zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(likely)], names=["u", "v", "likely"])
-
-
-def _left_over(met: DataFrame, candidates: DataFrame, groups: DataFrame, threshold: float, m: int) -> DataFrame:
-    """Likely pairs (u, v, likely) of texts of one bucket but of different components.
-
-    Every text outside a bucket's largest component is a head, and meets all texts of the bucket. Heads go in blocks of
-    about HEADS, the texts that they meet in chunks of about MEMBERS, so a bucket of any size is many small tasks.
+    Every head meets the others of its cluster that are of another part; two texts outside the largest part meet once.
+    """
+    table = table.combine_chunks()
+    ids, sizes, cluster, part = (table.column(c).to_numpy() for c in ("doc_id", "n_shingles", "cluster", "part"))
+    outside, head = (table.column(c).to_numpy(zero_copy_only=False) for c in ("outside", "head"))
+    registers = _matrix(table.column("registers").combine_chunks(), m)
+    pairs: list[np.ndarray] = []
+    heads, others = np.flatnonzero(head), np.flatnonzero(~head)
+    others = others[np.argsort(cluster[others], kind="stable")]
+    first, last = (np.searchsorted(cluster[others], cluster[heads], side) for side in ("left", "right"))
+    for i, a, b in zip(heads.tolist(), first.tolist(), last.tolist(), strict=True):
+        rows = others[a:b]
+        rows = rows[(part[rows] != part[i]) & (~outside[rows] | (ids[rows] > ids[i]))]
+        if len(rows):
+            near, likely = _similar(np.broadcast_to(registers[i], (len(rows), m)), registers[rows], np.full(len(rows), sizes[i]), sizes[rows], threshold, m)
+            if near.any():
+                pairs.append(np.stack([-likely[near], np.full(int(near.sum()), i), rows[near]], 1))
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.get(x, x) != x:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+
+    texts, sets, out = table.column("text").combine_chunks(), {}, []
+    ranked = np.concatenate(pairs) if pairs else np.zeros((0, 3))
+    for _, i, j in ranked[np.lexsort(ranked.T[::-1])].tolist():
+        i, j = int(i), int(j)
+        x, y = root(int(part[i])), root(int(part[j]))
+        if x == y:
+            continue
+        for k in (i, j):
+            if k not in sets:
+                sets[k] = frozenset(_sorted_sets(texts.slice(k, 1))[0].tolist())
+        both = len(sets[i] & sets[j])
+        if both and both >= threshold * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+            up[max(x, y)] = min(x, y)
+            out.append((ids[i], ids[j]))
+    u, v = zip(*out, strict=True) if out else ((), ())
+    return pa.table({"u": pa.array(list(u), pa.int64()), "v": pa.array(list(v), pa.int64())})
+
+
+def _tiles(met: DataFrame, candidates: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows of all tiles, for what the first comparisons left: buckets with more than one part.
+
+    Such buckets that share texts are a cluster. Every text outside a cluster's largest part meets all its texts: the outsiders go
+    in blocks, all texts in others, and each block meets each other in a tile of at most about TILE texts and TILE_BYTES.
+    Small clusters share tiles.
     """
-    placed = materialise(met.select("bucket", F.col("doc_id").alias("node")).join(groups.hint("merge"), "node"), "placed")
-    counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    counts = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
-    sizes = materialise(counts.select("bucket", F.col("most.component").alias("largest"), F.ceil((F.col("n") - F.col("most.n")) / HEADS).alias("blocks"), F.ceil(F.col("n") / MEMBERS).alias("chunks")), "sizes")
-    rows = placed.join(sizes.hint("merge"), "bucket")
-    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name).cast("int") - 1))
-    own = lambda name: F.pmod(F.xxhash64("node", F.lit(name)), F.col(name)).cast("int")
-    heads = rows.filter("component <> largest").select("bucket", own("blocks").alias("block"), every("chunks").alias("chunk"), F.lit(True).alias("head"), "node", "component")
-    members = rows.select("bucket", every("blocks").alias("block"), own("chunks").alias("chunk"), F.lit(False).alias("head"), "node", "component")
-    rows = candidates.select("doc_id", "n_shingles", "registers").join(heads.unionByName(members).hint("merge"), F.col("doc_id") == F.col("node"))
-    rows = rows.select("bucket", "block", "chunk", "head", "doc_id", "component", "n_shingles", "registers").repartition("bucket", "block", "chunk")
-    pairs = rows.sortWithinPartitions("bucket", "block", "chunk", F.desc("head")).mapInArrow(lambda batches: _meet(batches, threshold, m), "u long, v long, likely double")
-    return pairs.groupBy("u", "v").agg(F.max("likely").alias("likely"))
+    own = materialise(met.withColumnRenamed("doc_id", "node").join(parts.hint("merge"), "node"), "own")
+    kinds = own.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("bucket")
+    mixed = materialise(own.join(materialise(kinds, "mixed").hint("merge"), "bucket").select("node", "least", "part").distinct(), "edges")
+    clusters = components(mixed.filter("node <> least"), "node", "least").withColumnRenamed("component", "cluster")
+    placed = materialise(clusters.join(parts.hint("merge"), "node"), "clusters").join(candidates.select(F.col("doc_id").alias("node"), F.octet_length("text").alias("bytes")).groupBy("node").agg(F.max("bytes").alias("bytes")).hint("merge"), "node")
+    placed = materialise(placed, "placed")
+    counts = placed.groupBy("cluster", "part").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    sizes = materialise(counts.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "bytes", "part")).alias("most")), "sizes")
+    total = sizes.agg(F.sum("n"), F.sum("bytes")).first()
+    packs = max(1, -(-int(total[0] or 0) // (TILE // 2)), -(-int(total[1] or 0) // (TILE_BYTES // 2)))
+    alone = (F.col("n") > TILE / 4) | (F.col("bytes") > TILE_BYTES / 4)
+    blocks = lambda n, size: F.when(alone, F.greatest(F.ceil(n / (TILE / 2)), F.ceil(size / (TILE_BYTES / 2)))).otherwise(1).cast("int")
+    sizes = sizes.select(
+        "cluster", F.col("most.part").alias("largest"), blocks(F.col("n"), F.col("bytes")).alias("wide"), blocks(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("high"),
+        F.when(alone, F.col("cluster")).otherwise(-1 - F.pmod(F.xxhash64("cluster"), F.lit(packs))).alias("pack"),
+    )
+    rows = placed.join(sizes.hint("merge"), "cluster").withColumn("outside", F.col("part") != F.col("largest"))
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.greatest(F.col(name), F.lit(1)) - 1))
+    one = lambda name: F.pmod(F.xxhash64("node", F.lit(name)), F.greatest(F.col(name), F.lit(1))).cast("int")
+    heads = rows.filter("outside").select("node", "cluster", "pack", "part", "outside", F.lit(True).alias("head"), one("high").alias("i"), every("wide").alias("j"))
+    others = rows.select("node", "cluster", "pack", "part", "outside", F.lit(False).alias("head"), every("high").alias("i"), one("wide").alias("j"))
+    return candidates.join(heads.unionByName(others).hint("merge"), F.col("doc_id") == F.col("node")).drop("node")
 
 
 def group_documents(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -318,32 +342,16 @@ def group_documents(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     alone = some.select("doc_id", "registers").join(reps.hint("merge"), "doc_id", "left_semi")
     banded = materialise(alone.select("doc_id", F.explode(key).alias("bucket")), "bands")
     buckets = materialise(banded.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("bucket", "least"), "buckets")
-    met = materialise(banded.join(buckets.hint("merge"), "bucket").distinct(), "met")
-    edges = materialise(met.filter("doc_id > least").groupBy(F.col("doc_id").alias("v"), F.col("least").alias("u")).agg(F.count("*").alias("bands")), "edges")
-    nodes = edges.select(F.col("v").alias("node")).unionByName(edges.select(F.col("u").alias("node"))).distinct()
-    groups = nodes = materialise(nodes.withColumn("component", F.col("node")), "nodes")
-    candidates = materialise(some.select("doc_id", "n_shingles", "registers", "text").join(nodes.select("node").hint("merge"), F.col("doc_id") == F.col("node"), "left_semi"), "candidates")
-
-    best = F.max_by("u", F.struct("bands", -F.col("u"))).alias("u")
-    tried = materialise(edges.groupBy("v").agg(best), "pairs")  # each text and the bucket head that it shares most bands with
-    groups = _merge(groups, verified(candidates, tried, threshold, m))
-    rest = edges.join(tried.withColumnRenamed("u", "first").hint("merge"), "v").filter("u <> first").select("u", "v", "bands")
-    again = materialise(_apart(rest, groups).groupBy("v", "cu").agg(best).select("u", "v"), "pairs")
-    groups = _merge(groups, verified(candidates, again, threshold, m))
-    tried = tried.select("u", "v").unionByName(again)
-
-    left = materialise(_left_over(met, candidates, groups, threshold, m).join(tried.hint("merge"), ["u", "v"], "left_anti"), "left")
-    width = 1
-    while True:  # of each two components the likeliest pairs first: what they connect needn't be tried
-        left = materialise(_apart(left, groups).select("u", "v", "likely", F.least("cu", "cv").alias("a"), F.greatest("cu", "cv").alias("b")), "left")
-        if left.isEmpty():
-            break
-        part = F.pmod(F.xxhash64("u", "v"), F.lit(width))
-        now = materialise(left.groupBy("a", "b", part).agg(F.max(F.struct("likely", "u", "v")).alias("p")).select("p.u", "p.v"), "pairs")
-        groups = _merge(groups, verified(candidates, now, threshold, m))
-        left = left.select("u", "v", "likely").join(now.hint("merge"), ["u", "v"], "left_anti")
-        width *= 16
-    joined = members.join(groups.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
+    met = materialise(banded.join(buckets.hint("merge"), "bucket"), "met")
+    edges = met.filter("doc_id > least").groupBy(F.col("doc_id").alias("v"), F.col("least").alias("u")).agg(F.count("*").alias("bands"))
+    best = materialise(edges.groupBy("v").agg(F.max_by("u", F.struct("bands", -F.col("u"))).alias("u")), "best")  # the bucket head that a text shares most bands with
+    nodes = materialise(met.select(F.col("doc_id").alias("node")).distinct(), "nodes")
+    candidates = materialise(some.select("doc_id", "n_shingles", "registers", "text").join(nodes.hint("merge"), F.col("doc_id") == F.col("node"), "left_semi"), "candidates")
+    links = verified(candidates, best, threshold, m)
+    tiles = _tiles(met, candidates, _roots(nodes, links))
+    more = materialise(tiles.groupBy("pack", "i", "j").applyInArrow(lambda t: _tile_links(t, threshold, m), LINKS), "links")
+    groups = components(links.unionByName(more), "u", "v").withColumnRenamed("node", "rep")
+    joined = members.join(groups, "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

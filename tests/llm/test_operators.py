@@ -434,8 +434,7 @@ def test_near_duplicates_are_exact(spark, threshold):
 
 def test_small_blocks_cover_large_clusters(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "CHUNK", 3)
-    monkeypatch.setattr(near_dup, "HEADS", 4)
-    monkeypatch.setattr(near_dup, "MEMBERS", 8)
+    monkeypatch.setattr(near_dup, "TILE", 16)
     rng = random.Random(14)
     base = prose(rng, 120).split()
     texts = [" ".join(base[:k] + [f"u{i}"] + base[k + 1 :]) for i, k in enumerate(rng.randrange(120) for _ in range(70))]
@@ -588,7 +587,7 @@ def test_written_tables_can_be_discarded(spark):
     keep = len(frames.written)
     gone = frames.materialise(spark.range(4), "b")
     assert gone.count() == 4
-    frames.discard(spark, keep)
+    frames.discard(spark, frames.written[keep:])
     assert kept.count() == 3 and len(frames.written) == keep == before + 1
 
 
