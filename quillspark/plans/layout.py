@@ -123,3 +123,14 @@ def srt8_fork_tree(spark: SparkSession, d: str) -> DataFrame:
     key = COL("c_custkey")
     nodes = table(spark, d, "customer").select(key.alias("id"), F.when(key % 10 == 0, F.lit(None)).when(key % 10 == 9, F.lit(999999999)).otherwise(key - 1).cast("long").alias("p"))
     return R.tree_order(nodes, "id", "p")
+
+
+@query("WITH s AS (SELECT *, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS sec FROM orders) SELECT o_orderkey, coalesce(last_value(sec IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(sec IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS section FROM s")
+def joi14_filled_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Figures among headings: the last section named, or before any the next one."""
+    named = COL("o_orderstatus") == "F"
+    rows = table(spark, d, "orders").select(
+        COL("o_custkey").alias("doc"), COL("o_orderkey").alias("pos"), COL("o_orderkey").cast("string").alias("block_id"), F.when(named, "SectionHeader").otherwise("Figure").alias("block_type"),
+        F.when(named, F.concat(F.lit("<h2>"), COL("o_orderpriority"), F.lit("</h2>"))).otherwise("").alias("html"), F.expr("cast(map() as map<string,string>)").alias("hierarchy"),
+    )
+    return L.filled_sections(rows).select(COL("pos").alias("o_orderkey"), "section")

@@ -179,3 +179,42 @@ def add15_context_block(spark: SparkSession, d: str) -> DataFrame:
 
     rows = table(spark, d, "documents").withColumn("part", F.expr("doc_id div 100")).withColumn("line", F.concat(F.lit("- "), COL("doc_id").cast("string"), F.lit(": "), F.substr("text", F.lit(1), F.lit(200))))
     return joined_text(rows, ["lang", "part"], ["doc_id"], "line", "\n", "block")
+
+
+_SURVEY = "regexp_matches(lower(CASE WHEN doc_id % 3 = 0 THEN 'A Survey' ELSE 'A title' END || ' ' || text), 'survey|a review|review of|overview of|taxonomy of')"
+
+
+@query(
+    "SELECT doc_id, '### paper_id=' || doc_id || ': ' || CASE WHEN doc_id % 3 = 0 THEN 'A Survey' ELSE 'A title' END || CASE WHEN " + _SURVEY + " THEN ' [SURVEY — decompose into its surveyed branches]' ELSE '' END"
+    " || chr(10) || 'Abstract: ' || substr(text, 1, 600) || chr(10) || 'Section insights:' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '- One: ' || lang || chr(10) || '- Two: x' ELSE '- (none)' END"
+    " || chr(10) || 'Figure keys: ' || CASE WHEN doc_id % 5 = 0 THEN 'p0-a, p0-b' ELSE '(none)' END || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Key equations:' || chr(10) || '  - a+b  (loss)' || chr(10) || '  - c' ELSE '' END AS block FROM documents"
+)
+def add15_digest(spark: SparkSession, d: str) -> DataFrame:
+    """The digest of every document as a paper."""
+    from quillspark.operators import context as K
+
+    pair = lambda a, b, names: F.struct(a.alias(names[0]), b.alias(names[1]))
+    none = lambda kind: F.expr(f"cast(array() as {kind})")
+    sections = F.when(COL("doc_id") % 2 == 0, F.array(pair(F.lit("One"), COL("lang"), ("name", "insight")), pair(F.lit("Two"), F.lit("x"), ("name", "insight")))).otherwise(none("array<struct<name: string, insight: string>>"))
+    equations = F.when(COL("doc_id") % 2 == 0, F.array(pair(F.lit("a+b"), F.lit("loss"), ("latex", "role")), pair(F.lit("c"), F.lit(""), ("latex", "role")))).otherwise(none("array<struct<latex: string, role: string>>"))
+    figures = F.when(COL("doc_id") % 5 == 0, F.array(F.lit("p0-a"), F.lit("p0-b"))).otherwise(none("array<string>"))
+    title = F.when(COL("doc_id") % 3 == 0, "A Survey").otherwise("A title")
+    return table(spark, d, "documents").select("doc_id", K.digest(COL("doc_id"), title, COL("text"), sections, figures, equations).alias("block"))
+
+
+@query("SELECT conv_id, string_agg('[read-' || turn || ']' || chr(10) || '  chunk_ids=[' || turn || ', ' || turn + 1 || ']' || chr(10) || '  ' || substr(text, 1, 500), chr(10) || chr(10) ORDER BY turn) AS block FROM conversations GROUP BY 1")
+def add15_reads(spark: SparkSession, d: str) -> DataFrame:
+    from quillspark.operators import context as K
+
+    turn = COL("turn")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("read-"), turn.cast("string")).alias("key"), F.array(turn, turn + 1).alias("chunk_ids"), "text")
+    return K.reads(rows, "conv_id", "turn")
+
+
+@query("SELECT doc_id, '[paper ' || doc_id || '] ' || CASE WHEN doc_id % 4 = 0 THEN '(untitled)' ELSE 'T' END || chr(10) || '  authors: ' || lang || ', B' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '  narrative: told' ELSE '  abstract: ' || source END || chr(10) || '  section excerpts:' || CASE WHEN t = '' THEN '' ELSE chr(10) || '    - [S] ' || CASE WHEN length(t) > 400 THEN substr(t, 1, 400) || '…' ELSE t END END AS block FROM (SELECT *, trim(text) AS t FROM documents)")
+def add15_paper_notes(spark: SparkSession, d: str) -> DataFrame:
+    from quillspark.operators import context as K
+
+    title, told = F.when(COL("doc_id") % 4 > 0, "T"), F.when(COL("doc_id") % 2 == 0, "told")
+    excerpts = F.array(F.struct(F.lit("S").alias("name"), COL("text").alias("text")), F.struct(F.lit(None).cast("string").alias("name"), F.lit("  ").alias("text")))
+    return table(spark, d, "documents").select("doc_id", K.paper_notes(COL("doc_id"), title, F.array("lang", F.lit("B")), told, COL("source"), excerpts).alias("block"))
