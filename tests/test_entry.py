@@ -32,3 +32,15 @@ def test_the_rest_stands_alone(tmp_path, gone):
     assert said.returncode == 0, said.stderr
     n, operators, pipeline, entered = said.stdout.split()[-4:]
     assert int(n) > 100 and (operators == "0") == ("quillspark/llm" in gone) and pipeline == "False" and entered == "True"
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from quillspark import state
+
+    unset = SimpleNamespace(get=lambda *a: None)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        session = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master, getConf=lambda: unset))
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            state.shared_dir(session)
