@@ -46,7 +46,7 @@ SHINGLE = 5
 BASE, A, TOP = 1.001, 20.0, 65535
 MISS = 1e-6
 MARGIN = 6
-CHUNK = 256
+CHUNK = 64
 TILE, TILE_BYTES = 400, 4 << 20
 SKETCH = "doc_id long, n_shingles long, h1 long, h2 long, registers binary, text string"
 LINKS = "u long, v long"
