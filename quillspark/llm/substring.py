@@ -151,9 +151,11 @@ def _extend(pairs: DataFrame, length: int, seed: int) -> DataFrame:
                         left, right = extended(own, other, at, of)
                         if left + right >= length:
                             covered[at - left : at + right - length + 1] = True
-                            if docs_[i] > first[i]:
-                                rows.append(np.array([[i, starts[i] + at - left, left + right - length + 1]]))
-                                windows.append(np.zeros(1, U))
+            if docs_[i] > first[i] and covered.any():  # matches that overlap are one
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
+                begin, end = edges[::2], edges[1::2]
+                rows.append(np.stack([np.full(len(begin), i), starts[i] + begin, end - begin], 1))
+                windows.append(np.zeros(len(begin), U))
             rest = np.flatnonzero(~covered)
             if len(rest):
                 rows.append(np.stack([np.full(len(rest), i), starts[i] + rest, np.zeros(len(rest), np.int64)], 1))
