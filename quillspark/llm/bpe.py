@@ -31,7 +31,7 @@ from quillspark.llm.words import Sums, mix, slices, text_bytes
 LONG = 256
 #: Longer pieces are known by their bytes, shorter ones by a hash of over 64 bits and their first 8 bytes.
 EXACT = 64
-REMEMBER, REMEMBER_BYTES = 1_000_000, 16 << 20
+REMEMBER, REMEMBER_BYTES = 250_000, 8 << 20
 BUCKETS = (4, 6, 8, 10, 12, 16, 24, 32, 64, 128, LONG)
 NONE = np.int32(1 << 30)
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
