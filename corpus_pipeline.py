@@ -55,10 +55,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. What a stage read and wrote on its way is deleted once its result is written."""
     docs = table(spark, sf_dir, "documents")
-    begin = len(state.written)
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialise(docs, name)
-            state.discard(spark, state.written[begin:-1])
-    return docs
+        if i + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        with state.scope(spark) as own:
+            own.adopt(docs)
+            docs = materialise(stage(spark, docs, sf_dir), name)
+            own.keep(docs)
