@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, chat, decontaminate, langid, near_dup, quality, sharding, substring, toxicity, warc
+from quillspark.llm import bpe, centroids, chat, codes, decontaminate, langid, mixing, near_dup, quality, sharding, substring, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,9 +60,22 @@ def op10_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(table(spark, sf_dir, "conversations"))
 
 
+def op11_drake_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_exponion_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_substring_dedup, op2_toxicity_cnn, op3_language_id, op4_jump_shards, op5_bm25_decontamination,
     op6_warc_revisits, op7_crf_quality, op8_setsketch_near_dedup, op9_byte_bpe, op10_chat_prefix_targets,
+    op11_drake_centroids, op12_exponion_codes, op13_source_mix,
 )
 
 
@@ -71,4 +84,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substring.ORACLE_SQL, "op8_setsketch_near_dedup": near_dup.ORACLE_SQL, "op6_warc_revisits": warc.ORACLE_SQL, "op10_chat_prefix_targets": chat.ORACLE_SQL}
+    return {
+        "op1_substring_dedup": substring.ORACLE_SQL, "op8_setsketch_near_dedup": near_dup.ORACLE_SQL, "op6_warc_revisits": warc.ORACLE_SQL, "op10_chat_prefix_targets": chat.ORACLE_SQL,
+        "op11_drake_centroids": centroids.ORACLE_SQL, "op12_exponion_codes": codes.ORACLE_SQL, "op13_source_mix": mixing.ORACLE_SQL,
+    }
