@@ -156,13 +156,14 @@ def find_label(index: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def headings(spans: DataFrame, low: float = 1.0) -> DataFrame:
-    """Headings among font spans (doc, page, pos, text, size): larger than the body's font, smaller than the title's.
+    """Headings among font spans (doc, page from 0, pos, text, size): larger than the body's font, smaller than the title's.
 
-    The body's font is the one most characters have. Names of 3 to 120 characters count, those that repeat don't.
+    The body's font is the one most characters have, the title's the largest of the first page. Names of 3 to 120 characters count, those
+    that repeat don't.
     """
-    sizes = spans.groupBy("doc", "size").agg(F.sum(F.length("text")).alias("__chars"))
-    body = sizes.groupBy("doc").agg(F.max_by("size", F.struct("__chars", -F.col("size"))).alias("__body"), F.max("size").alias("__title"))
-    rows = spans.join(body, "doc").filter((F.col("size") >= F.col("__body") + low) & (F.col("size") < F.col("__title")))
+    sizes = spans.groupBy("doc", "size").agg(F.sum(F.length(F.trim("text"))).alias("__chars"), F.max(F.col("page") == 0).alias("__first"))
+    body = sizes.groupBy("doc").agg(F.max_by("size", F.struct("__chars", -F.col("size"))).alias("__body"), F.max(F.when(F.col("__first"), F.col("size"))).alias("__title"))
+    rows = spans.join(body, "doc").filter((F.col("size") >= F.col("__body") + low) & (F.col("__title").isNull() | (F.col("size") < F.col("__title"))))
     rows = rows.withColumn("name", C.squeeze(F.col("text"))).filter(F.length("name").between(3, 120))
     return rows.withColumn("__n", F.count("*").over(Window.partitionBy("doc", "name"))).filter("__n = 1").select("doc", "page", "pos", "name")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark import state
@@ -10,6 +10,7 @@ from quillspark.functions import documents as D
 from quillspark.operators import slides
 from quillspark.registry import query, spread, table
 from quillspark.sources import documents as SD
+from quillspark.sources import pdf as SP
 from quillspark.sources import tables as ST
 
 COL = F.col
@@ -34,10 +35,63 @@ def src2_tex_folders(spark: SparkSession, d: str) -> DataFrame:
     return found.select(number.cast("long").alias("item_id"), F.regexp_extract("root", "([^/]*/[^/]*)$", 1).alias("root"), COL("text").alias("body"))
 
 
-@query("SELECT doc_id, string_agg(part, chr(10) || chr(12) || chr(10) ORDER BY page) AS text FROM (SELECT doc_id, unnest(range(3)) AS page, substr(text, 1 + page * 40, 40) AS part FROM documents) GROUP BY 1")
+#: A page of a text: PAGE characters, in lines of LINE.
+PAGE, LINE = 2000, 80
+_PAGES = "SELECT doc_id, page, substr(body, 1 + page * 2000, 2000) AS part FROM (SELECT doc_id, body, unnest(range(greatest(1, (length(body) + 1999) // 2000))) AS page FROM (SELECT doc_id, {body} AS body FROM documents))"
+_PLAIN = "trim(regexp_replace(coalesce(text, ''), '[\\x00-\\x20\\x7f-\\xa0]+', ' ', 'g'))"
+
+
+@query("SELECT doc_id, string_agg(part, chr(10) || chr(12) || chr(10) ORDER BY page) AS text FROM (" + _PAGES.format(body="coalesce(text, '')") + ") GROUP BY 1")
 def src3_page_texts(spark: SparkSession, d: str) -> DataFrame:
-    rows = _docs(spark, d).select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("page"), "text")
-    return SD.pdf_text(rows.select("doc_id", "page", F.substr("text", 1 + COL("page") * 40, F.lit(40)).alias("text")), "doc_id")
+    """Every text as pages of a fixed length to its end, joined again."""
+    text = F.coalesce("text", F.lit(""))
+    rows = _docs(spark, d).select("doc_id", text.alias("text"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(text) - 1) / PAGE).cast("int")))).alias("page"))
+    return SD.pdf_text(rows.select("doc_id", "page", F.substr("text", 1 + COL("page") * PAGE, F.lit(PAGE)).alias("text")), "doc_id")
+
+
+def _cut(c: Column, size: int) -> Column:
+    """A text in pieces of size characters, one at least."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(c) - 1) / size).cast("int"))), lambda i: F.substr(c, 1 + i * size, F.lit(size)))
+
+
+def _pdfs(spark: SparkSession, d: str, headed: bool) -> DataFrame:
+    """(doc_id, content): every document as a PDF, of either kind; some with wrong references, some that are none. headed: with a title, banners and headings."""
+    line = lambda size, text: F.struct(F.lit(size).alias("size"), text.alias("text"))
+    key = COL("doc_id").cast("string")
+    plain = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x20\x7f-\xa0]+", " "))
+    head = lambda i: F.array(line(13.0, F.lit("Journal")), line(13.0, F.concat(F.lit("Part "), (i + 1).cast("string"), F.lit(" of "), key)), line(13.0, F.lit("see www.x")))
+    body = lambda page: F.transform(_cut(page, LINE), lambda t: line(10.0, t))
+    pages = F.transform(_cut(COL("plain"), PAGE), (lambda p, i: F.concat(F.when(i == 0, F.array(line(18.0, F.lit("A title")))).otherwise(F.array().cast("array<struct<size:double,text:string>>")), head(i), body(p))) if headed else lambda p: body(p))
+    rows = _docs(spark, d).select("doc_id", plain.alias("plain")).select("doc_id", pages.alias("pages"), F.concat(F.lit("The title of "), key).alias("title"), F.concat(F.lit("Ä. B; C "), key).alias("author"), (COL("doc_id") % 2 == 0).alias("packed"))
+    made = SP.with_pdf(rows, "pages", "title", "author", "packed")
+    wrong = F.concat(F.expr("substring(content, 1, octet_length(content) - 12)"), F.lit("7\n%%EOF\n").cast("binary"))  # another place for the references
+    return made.select("doc_id", F.when(COL("doc_id") % 11 == 3, F.concat(F.lit("no").cast("binary"), F.expr("substring(content, 9)"))).when(COL("doc_id") % 11 == 5, wrong).otherwise(COL("content")).alias("content"))
+
+
+@query("WITH p AS (" + _PAGES.format(body=_PLAIN) + "), l AS (SELECT doc_id, page, string_agg(substr(part, 1 + i * 80, 80), chr(10) ORDER BY i) AS part FROM (SELECT *, unnest(range(greatest(1, (length(part) + 79) // 80))) AS i FROM p) GROUP BY 1, 2), t AS (SELECT doc_id, count(*)::INT AS pages, string_agg(part, chr(10) || chr(12) || chr(10) ORDER BY page) AS text FROM l GROUP BY 1) SELECT doc_id, CASE WHEN doc_id % 11 <> 3 THEN pages END AS pages, CASE WHEN doc_id % 11 <> 3 THEN md5(text) END AS text_md5, CASE WHEN doc_id % 11 <> 3 THEN 'The title of ' || doc_id END AS title, CASE WHEN doc_id % 11 <> 3 THEN 'Ä. B|C ' || doc_id END AS authors, CASE WHEN doc_id % 11 = 3 THEN 'not a PDF' END AS error FROM t")
+def src3_pdf_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a PDF, written and read: pages, text, title and authors; what is no PDF has an error."""
+    files = state.materialise(_pdfs(spark, d, headed=False), "pdf")
+    texts = SD.pdf_text(SP.page_texts(SP.spans(files), "doc_id"), "doc_id").withColumnRenamed("doc_id", "id")
+    said = SP.info(files).withColumnRenamed("doc_id", "key")
+    raw = said.select("key", "title", "author", "created", "modified", F.expr("cast(array() as array<struct<text: string, size: double>>)").alias("first_page"))
+    named = SD.pdf_metadata(raw, 2026).select(COL("key").alias("named"), COL("title").alias("own"), F.array_join("authors", "|").alias("authors"))
+    rows = said.join(texts, COL("key") == COL("id"), "left").join(named, COL("key") == COL("named"), "left")
+    return rows.select(COL("key").alias("doc_id"), "pages", F.md5(COL("text").cast("binary")).alias("text_md5"), COL("own").alias("title"), F.when(COL("error").isNull(), COL("authors")).alias("authors"), "error")
+
+
+@query(
+    "WITH p AS (" + _PAGES.format(body=_PLAIN) + "), i AS (SELECT *, unnest(range(greatest(1, (length(part) + 79) // 80))) AS i FROM p WHERE doc_id % 11 <> 3), "
+    "l AS (SELECT doc_id, page, sum(length(trim(substr(part, 1 + i * 80, 80)))) AS solid, sum(length(substr(part, 1 + i * 80, 80))) + count(*) - 1 AS n FROM i GROUP BY 1, 2), "
+    "h AS (SELECT *, CASE WHEN page = 0 THEN 8 ELSE 0 END AS above, 'Part ' || (page + 1) || ' of ' || doc_id AS name FROM l), "
+    "s AS (SELECT *, coalesce(sum(above + 8 + length(name) + 11 + n + 3) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, count(*) OVER (PARTITION BY doc_id) AS pages, "
+    "sum(solid) OVER (PARTITION BY doc_id) >= sum(16 + length(name)) OVER (PARTITION BY doc_id) AS set FROM h) "
+    "SELECT doc_id, name, (start + above + 8)::BIGINT AS char_start FROM s WHERE set UNION ALL SELECT doc_id, 'Journal', 8 FROM s WHERE set AND pages = 1"
+)
+def src4_pdf_headings(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a PDF with a title, banners and a heading a page: the headings and where they stand in the whole text."""
+    files = state.materialise(_pdfs(spark, d, headed=True), "pdf")
+    return SP.sections(state.materialise(SP.spans(files), "spans"), "doc_id").select("doc_id", "name", "char_start")
 
 
 @query("SELECT doc_id::VARCHAR AS key, CASE WHEN doc_id % 4 = 2 THEN 'A title of ' || doc_id ELSE 'Big words ' || doc_id END AS title, CASE WHEN doc_id % 3 = 0 THEN 'A B|C D|E ' || doc_id ELSE '' END AS authors, CASE WHEN doc_id % 5 = 0 THEN 2019 WHEN doc_id % 5 = 1 THEN 2001 END::INT AS year FROM documents")
