@@ -36,15 +36,19 @@ def sampled(rows: DataFrame, stratum: str, cap: int) -> DataFrame:
 def fetch(docs: DataFrame, some: DataFrame, max_text_bytes: int = MAX_TEXT_BYTES, max_bytes: int = MAX_BYTES) -> pd.DataFrame:
     """docs' texts of the sampled rows some (doc_id and labels), within the bounds, on the driver, in an order that doesn't depend on the run.
 
-    The sizes come first, so the driver takes no text over the bounds; some is bounded by sampled().
+    One row a doc_id, its shortest text, comes to the driver, however many rows have it: the sizes first, so that the driver takes no
+    text over the bounds. some is bounded by sampled().
     """
     size = F.octet_length("text").cast("long")
     fits = docs.filter(F.col("text").isNotNull() & (size <= max_text_bytes))
-    sizes = fits.select("doc_id", size.alias("size"), _spot().alias("spot")).join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi").toPandas()
-    sizes = sizes.sort_values(["spot", "doc_id", "size"], kind="stable").drop_duplicates("doc_id")
-    chosen = sizes[sizes["size"].cumsum() <= max_bytes][["doc_id", "size"]]
+    some = some.groupBy("doc_id").agg(*(F.min(c).alias(c) for c in some.columns if c != "doc_id"))
+    least = F.min(F.struct(size.alias("size"), F.xxhash64("text").alias("hash")))
+    sizes = fits.join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(least.alias("of"), F.first(_spot()).alias("spot")).select("doc_id", "of.*", "spot").toPandas()
+    sizes = sizes.sort_values(["spot", "doc_id"], kind="stable")
+    chosen = sizes[sizes["size"].cumsum() <= max_bytes][["doc_id", "size", "hash"]]
     if not len(chosen):
         return docs.join(some, "doc_id").limit(0).toPandas()
-    ids = docs.sparkSession.createDataFrame([(int(i), int(n)) for i, n in chosen.itertuples(index=False)], "doc_id long, size long")
-    found = fits.join(F.broadcast(ids), ["doc_id"]).filter(size == F.col("size")).drop("size").join(F.broadcast(some), "doc_id").toPandas()
-    return found.sort_values(["doc_id", "text"], kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
+    ids = docs.sparkSession.createDataFrame([tuple(map(int, r)) for r in chosen.itertuples(index=False)], "doc_id long, size long, hash long")
+    rows = fits.join(F.broadcast(ids), "doc_id").filter((size == F.col("size")) & (F.xxhash64("text") == F.col("hash")))
+    rows = rows.groupBy("doc_id").agg(*(F.min(c).alias(c) for c in docs.columns if c != "doc_id"))
+    return rows.join(F.broadcast(some), "doc_id").toPandas().sort_values(["doc_id"], kind="stable").reset_index(drop=True)

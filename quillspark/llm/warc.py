@@ -111,19 +111,24 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str |
 
 
 def parse(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of archives that come as what stands between their CR LF CR LF."""
+    """(headers, block) of each record of archives that come as what stands between their CR LF CR LF.
+
+    A cut is made at the first CR LF CR LF, so only what is left at the end of a file, with no record end behind it, can end in CR LF.
+    """
     pieces, held = iter(pieces), bytearray()
 
+    def whole(piece: bytes) -> bytes:
+        return piece if piece.endswith(END[:2]) else piece + END
+
     def hold(size: int) -> None:
         while len(held) < size:
             piece = next(pieces, None)
             if piece is None:
                 raise ValueError("an archive ends within a record")
-            held.extend(piece)
-            held.extend(END)
+            held.extend(whole(piece))
 
     for piece in pieces:
-        held += piece + END
+        held += whole(piece)
         while held:
             while (to := held.find(END)) < 0:
                 hold(len(held) + 1)

@@ -341,6 +341,14 @@ def test_warc_hot_payload_and_repeated_ids(spark, tmp_path):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("payload", ["x\r\n", "\r\n", "\r\n\r\n", "\r\n\r\n\r\n", "", "a\r\n\r\nb", "\r", "\n\r\n\r", "WARC/1.1\r\n\r\n\r\n"])
+def test_warc_payload_ends_an_archive(spark, payload):
+    for htmls in ([payload], ["first", payload], [payload, "last"], [payload] * 3):
+        pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(htmls)], "page_id long, url string, html string").coalesce(1)
+        got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.round_trip(pages).collect()}
+        assert got == {i: (len(h), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()) for i, h in enumerate(htmls)}
+
+
 # ---- 7: quality
 
 
@@ -579,6 +587,18 @@ def test_samples_are_bounded(spark):
     assert list(sample.fetch(docs.select("doc_id", "text").limit(0), some)["doc_id"]) == []
 
 
+def test_samples_of_a_hot_id(spark, monkeypatch):
+    from quillspark.llm import sample
+
+    docs = spark.range(100_000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("x" * 900), (F.col("id") % 7).cast("string")).alias("text"))
+    docs = docs.unionByName(spark.range(40).select("id", F.concat(F.lit("y" * 100), F.col("id").cast("string")).alias("text")).toDF("doc_id", "text"))
+    sent, plain = [], type(docs).toPandas
+    monkeypatch.setattr(type(docs), "toPandas", lambda df: sent.append(plain(df)) or sent[-1])
+    found = sample.fetch(docs, spark.createDataFrame([(i, 1) for i in range(40)] + [(5, 0)] * 10, "doc_id long, toxic int"), max_bytes=4500)
+    assert sum(x["text"].str.len().sum() for x in sent if "text" in x) <= 4500 and max(map(len, sent)) <= 40
+    assert found["doc_id"].is_unique and len(found) == 40 and found.loc[found["doc_id"] == 5, "text"].tolist() == ["y" * 100 + "5"]
+
+
 def test_written_tables_can_be_discarded(spark):
     from quillspark.llm import frames
 
