@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import bisect
 import html as html_lib
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -262,54 +262,81 @@ def sse_events(stream: Column | str) -> Column:
     return F.pandas_udf(lambda s: s.map(lambda t: [{"event": e, "data": d} for e, d in parse_sse(t or "")]), "array<struct<event: string, data: string>>")(stream)
 
 
-#: What a mark must not stand inside: math, commands with their arguments' names, comments.
-_UNSAFE = re.compile(_MATH.pattern + r"|\\[A-Za-z]+\*?(?:\[[^\]\n]*\]|\{[^{}\n]*\})*|%[^\n]*", re.DOTALL)
+#: Environments that a mark would break; fixed values.
+FRAGILE = (
+    "tabular", "tabularx", "longtable", "array", "table", "figure", "wrapfigure", "subfigure", "tikzpicture", "picture", "verbatim", "lstlisting", "minted", "algorithm", "algorithmic",
+    "algorithm2e", "pmatrix", "bmatrix", "vmatrix", "matrix", "cases", "split", "tabbing", "supertabular",
+)
+_STEP = re.compile(r"\\(begin|end)\s*\{([^}]*)\}|\\(?:[^\W\d_]+|.|\Z)|%[^\n]*|[{}]", re.DOTALL)
 
 
-def safe_places(text: str, starts: Sequence[int]) -> list[int]:
-    """For each start the nearest place at or before it that is outside math, commands and comments and inside no word."""
-    spans = [m.span() for m in _UNSAFE.finditer(text)]
-    begins = [a for a, _ in spans]
-    out = []
-    for at in starts:
-        at = min(max(at, 0), len(text))
-        while True:
-            k = bisect.bisect_left(begins, at) - 1
-            if k >= 0 and at < spans[k][1]:
-                at = spans[k][0]
-            elif 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum():
-                at -= 1
-            else:
-                break
-        out.append(at)
+def safe_masks(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each place, the end included: whether a mark may stand there, and whether it is within a fragile environment.
+
+    One pass with the depth of braces and of fragile environments: a mark stands outside both, and outside commands, comments and math.
+    """
+    n = len(text)
+    safe, fragile = np.ones(n + 1, bool), np.zeros(n + 1, bool)
+    depth = held = at = 0
+    for m in _STEP.finditer(text):
+        a, b = m.span()
+        safe[at:a] = not (depth or held)
+        fragile[at:a] = held > 0
+        safe[a:b] = False
+        matters = m.group(1) is not None and m.group(2).strip().rstrip("*") in FRAGILE
+        held += matters and m.group(1) == "begin"
+        fragile[a:b] = held > 0
+        held = max(0, held - (matters and m.group(1) == "end"))
+        depth = max(0, depth + {"{": 1, "}": -1}.get(m.group(), 0))
+        at = b
+    safe[at:] = not (depth or held)
+    fragile[at:] = held > 0
+    for a, b in math_spans(text):
+        safe[a : min(b, n)] = False
+    return safe, fragile
+
+
+def safe_places(text: str, starts: Sequence[int], whole_words: bool = False) -> list[int | None]:
+    """For each start a safe place near it, or null: the start itself, else the nearest one between the start before and the start behind.
+
+    Within a fragile environment what lies before is asked first, so that a range from the mark on spans the float; elsewhere what
+    lies behind is. whole_words: no place within a word is safe; the nearest place before counts, else the nearest behind, however far.
+    """
+    n = len(text)
+    safe, fragile = safe_masks(text)
+    if whole_words:
+        solid = np.fromiter((c.isalnum() for c in text), bool, n)
+        safe[1:n] &= ~(solid[:-1] & solid[1:])
+    places = np.arange(n + 1)
+    before = np.maximum.accumulate(np.where(safe, places, -1)).tolist()
+    after = np.minimum.accumulate(np.where(safe, places, n + 1)[::-1])[::-1].tolist()
+    order = sorted((at, i) for i, at in enumerate(starts))
+    out: list[int | None] = [None] * len(starts)
+    for k, (at, i) in enumerate(order):
+        if not 0 <= at <= n:
+            continue
+        if safe[at]:
+            out[i] = at
+            continue
+        low, high = (-1, n + 1) if whole_words else (max(order[k - 1][0], -1) if k else 0, min(order[k + 1][0] if k + 1 < len(order) else n, n))
+        back, ahead = before[at] if before[at] > low else None, after[at] if after[at] < high else None
+        first, second = (back, ahead) if fragile[at] or whole_words else (ahead, back)
+        out[i] = second if first is None else first
     return out
 
 
-def anchored(text: str, starts: Sequence[int], mark: str = "@@A{}@@") -> str:
-    """text with a numbered mark at the safe place of each start; taking the marks out gives the text again."""
+def anchored(text: str, starts: Sequence[int], mark: str = "@@A{}@@", whole_words: bool = False) -> str:
+    """text with a numbered mark at the safe place of each start that has one; taking the marks out gives the text again."""
     out, last = [], 0
-    for at, i in sorted((at, i) for i, at in enumerate(safe_places(text, starts))):
+    for at, i in sorted((at, i) for i, at in enumerate(safe_places(text, starts, whole_words)) if at is not None):
         out += [text[last:at], mark.format(i)]
         last = at
     return "".join(out) + text[last:]
 
 
-def anchors(text: Column | str, starts: Column) -> Column:
-    """anchored() with the marks' places as an array."""
-    return F.pandas_udf(lambda texts, places: pd.Series([None if t is None else anchored(t, list(p)) for t, p in zip(texts, places, strict=True)]), "string")(text, starts)
-
-
-def anchor(text: str, starts: Sequence[int], unsafe: Sequence[Span], mark: str = "@@A{}@@") -> str:
-    """text with a numbered mark at each start; a start inside an unsafe span moves before it."""
-    places = []
-    for i, at in enumerate(starts):
-        for a, b in unsafe:
-            if a < at < b:
-                at = a
-        places.append((at, i))
-    for at, i in sorted(places, reverse=True):
-        text = text[:at] + mark.format(i) + text[at:]
-    return text
+def anchors(text: Column | str, starts: Column, whole_words: bool = False) -> Column:
+    """anchored() with the starts as an array."""
+    return F.pandas_udf(lambda texts, places: pd.Series([None if t is None else anchored(t, list(p), whole_words=whole_words) for t, p in zip(texts, places, strict=True)]), "string")(text, starts)
 
 
 def read_anchors(text: str) -> tuple[str, list[int]]:

@@ -151,13 +151,32 @@ def txt35_graphics(spark: SparkSession, d: str) -> DataFrame:
 def txt23_anchors(spark: SparkSession, d: str) -> DataFrame:
     """Marks at the thirds of each text, outside words, formulas and commands; without them the text is as it was."""
     third = F.floor(F.length("text") / 3).cast("int")
-    marked = D.anchors("text", F.array(F.lit(0), third, 2 * third))
+    marked = D.anchors("text", F.array(F.lit(0), third, 2 * third), whole_words=True)
     bare = F.regexp_replace("marked", r"@@A\d+@@", "")
     inside = F.regexp_like("marked", F.lit(r"[A-Za-z0-9]@@A\d+@@[A-Za-z0-9]"))
     rows = _docs(spark, d).withColumn("marked", marked)
     return rows.select("doc_id", ((bare == COL("text")) & ~inside).alias("restored"), F.size(F.regexp_extract_all("marked", F.lit(r"@@A(\d+)@@"), 1)).alias("n"))
 
 
+@query(
+    "WITH p AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g') AS t FROM documents), c AS (SELECT doc_id, [substr(t, 1 + i * (length(t) // 10), length(t) // 10) || 'xy' FOR i IN range(10)] AS c FROM p) "
+    # in the table, the braces or the listing: before them; in the formula: behind; in the comment: at the end of its line
+    r"SELECT doc_id, '@@A0@@' || left(c[1], -1) || '@@A1@@' || right(c[1], 1) || '\begin{table}{' || c[2] || '}\end{table} ' || '@@A2@@' || c[3] || '$' || c[4] || '$' || '@@A3@@' || ' ' || '@@A4@@' || left(c[5], -1) || '@@A5@@' || right(c[5], 1) || '\textbf{a {' || c[6] || '} b}' || "
+    r"'@@A6@@' || c[7] || '% {' || c[8] || '@@A7@@' || chr(10) || '@@A8@@' || left(c[9], -1) || '@@A9@@' || right(c[9], 1) || '\begin{verbatim}' || c[10] || '\end{verbatim}' AS marked FROM c"
+)
+def txt23_safe_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """Ten pieces of each text in and between a table, a formula, nested braces, a comment and a listing: a mark at the start of each piece, or at the safe place that stands for it."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " ")
+    size = F.floor(F.length("t") / 10).cast("int")
+    piece = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.substr("t", 1 + i * size, size), F.lit("xy")))
+    around = ["\\begin{table}{", "}\\end{table} ", "$", "$ ", "\\textbf{a {", "} b}", "% {", "\n", "\\begin{verbatim}", "\\end{verbatim}"]
+    rows = _docs(spark, d).select("doc_id", plain.alias("t")).select("doc_id", piece.alias("c"))
+    parts = [x for i, mark in enumerate(around) for x in (COL("c")[i], F.lit(mark))]
+    ahead = [sum((F.length(COL("c")[k]) for k in range(i)), F.lit(sum(map(len, around[:i])))) for i in range(10)]
+    rows = rows.select("doc_id", F.concat(*parts).alias("tex"), F.array(*ahead).alias("starts"))
+    return rows.select("doc_id", D.anchors("tex", COL("starts")).alias("marked"))
+
+
 @query(r"SELECT item_id, 'fig-001:figure:f' || item_id || ':One|eq-001:equation:a+' || item_id || ':One|eq-002:equation:c:Two' AS assets FROM benchmark")
 def add6_assets(spark: SparkSession, d: str) -> DataFrame:
     """Figures, then equations of both kinds in one count, each with its section, between the halves of every item."""

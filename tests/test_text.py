@@ -121,9 +121,8 @@ def test_small_parsers():
     assert D.splice("abc", "b", "x") == "axc"
     with pytest.raises(ValueError, match="found 2"):
         D.splice("bb", "b", "x")
-    marked = D.anchor("abcdef", [1, 4], [(3, 5)])
-    assert marked == "a@@A0@@bc@@A1@@def"
-    assert D.read_anchors(marked) == ('a<span id="chunk-0"></span>bc<span id="chunk-1"></span>def', [0, 1])
+    assert D.anchored("abcdef", [1, 4]) == "a@@A0@@bcd@@A1@@ef"
+    assert D.read_anchors("a@@A0@@bc@@A1@@def") == ('a<span id="chunk-0"></span>bc<span id="chunk-1"></span>def', [0, 1])
     tex = r"\section{S}\begin{figure}\includegraphics{f}\end{figure}\begin{figure}x\end{figure}\[a\]\begin{equation}b\end{equation}"
     assert D.latex_assets(tex) == [("fig-001", "figure", "f", "S"), ("eq-001", "equation", "b", "S"), ("eq-002", "equation", "a", "S")]
 
@@ -152,11 +151,78 @@ def test_slides(spark):
 def test_safe_places_of_anchors():
     text = r"Word one $a + b$ and \cite[p. 2]{key} more. % note here" + "\nnext line"
     math, cite, note = text.index("+"), text.index("key"), text.index("note")
-    assert D.safe_places(text, [0, 2, math, cite, note, len(text), 10**6]) == [0, 0, text.index("$"), text.index("\\cite"), text.index("%"), len(text), len(text)]
+    assert D.safe_places(text, [0, 2, math, cite, note, len(text), 10**6]) == [0, 2, text.index(" and"), text.index(" more"), text.index("\nnext"), len(text), None]
+    assert D.safe_places(text, [0, 2, math], whole_words=True) == [0, 0, text.index("$") - 1]
     marked = D.anchored(text, [math, 2, note, 2])
     assert D.read_anchors(marked)[1] == [1, 3, 0, 2] and "".join(D.re.split(r"@@A\d+@@", marked)) == text
 
 
+def naive_masks(text):
+    """Character by character, with what is open kept as a list."""
+    safe, fragile, opened, floats, at = {}, {}, [], [], 0
+    math = {k for a, b in D.math_spans(text) for k in range(a, b)} - {len(text)}
+    while at < len(text):
+        m = D.re.compile(r"\\(begin|end)\s*\{([^}]*)\}").match(text, at)
+        size = 1
+        if m:
+            size, name = len(m.group()), m.group(2).strip().rstrip("*")
+            if m.group(1) == "begin" and name in D.FRAGILE:
+                floats.append(name)
+            fragile |= dict.fromkeys(range(at, at + size), bool(floats))
+            if m.group(1) == "end" and name in D.FRAGILE and floats:
+                floats.pop()
+        elif text[at] == "\\":
+            while at + size < len(text) and text[at + 1].isalpha() and text[at + size].isalpha():
+                size += 1
+            size = max(size, 2)
+        elif text[at] == "%":
+            size = (text + "\n").index("\n", at) - at
+        elif text[at] == "{":
+            opened.append(at)
+        elif text[at] == "}":
+            opened = opened[:-1]
+        else:
+            safe[at] = not opened and not floats and at not in math
+        if not m:
+            fragile |= dict.fromkeys(range(at, at + size), bool(floats))
+        at += size
+    safe[len(text)] = not opened and not floats
+    fragile[len(text)] = bool(floats)
+    return [safe.get(i, False) for i in range(len(text) + 1)], [fragile[i] for i in range(len(text) + 1)]
+
+
+def naive_places(text, starts):
+    safe, fragile = naive_masks(text)
+    order = sorted(range(len(starts)), key=lambda i: starts[i])
+    out = [None] * len(starts)
+    for k, i in enumerate(order):
+        at = starts[i]
+        if not 0 <= at <= len(text):
+            continue
+        low = max(starts[order[k - 1]], -1) if k else 0
+        high = min(starts[order[k + 1]], len(text)) if k + 1 < len(order) else len(text)
+        behind, before = [q for q in range(at, high) if safe[q]], [q for q in range(at, low, -1) if safe[q]]
+        found = (before or behind) if fragile[at] else (behind or before)
+        if safe[at] or found:
+            out[i] = at if safe[at] else found[0]
+    return out
+
+
+def test_safe_places_equal_a_naive_scan():
+    rng = random.Random(4)
+    parts = [r"\begin{table}", r"\end{table}", r"\begin {itemize}", r"\end{itemize}", r"\begin{verbatim*}", r"\end{verbatim}", "{", "}", "$", "$$", "%", "\n", r"\textbf", r"\%", r"\$", "\\\\", "words here", " ", r"\(x\)", "é", "\\"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(40)))
+        assert [x.tolist() for x in D.safe_masks(text)] == list(naive_masks(text))
+        starts = [rng.randrange(-2, len(text) + 4) for _ in range(rng.randrange(8))]
+        assert D.safe_places(text, starts) == naive_places(text, starts)
+
+
+def test_long_texts_of_open_floats_are_scanned_once():
+    text = r"\begin{table} a & b {" * 20_000 + "x" * 200_000
+    assert D.safe_places(text, list(range(0, len(text), 50)))[:2] == [None, None]
+
+
 def test_table_repair():
     assert slides.column_spec("l|cQr", 3) == "l|cr" and slides.column_spec("l", 3) == "lll" and slides.column_spec("lcr|", 2) == "lc" and slides.column_spec(r"*{2}{c}p{3cm}", 3) == "ccp{3cm}"
     tex = "\\begin{tabular}{ll}\\hline a & b & \\multicolumn{2}{c}{x \\& y} \\\\ c \\\\ \\end{tabular} tail"
