@@ -40,6 +40,7 @@ from pyspark.sql import types as T
 from quillspark.llm.frames import map_batches, materialise, tune, with_columns
 from quillspark.llm.toxicity import NOT_WORD
 from quillspark.llm.words import find_words, rolled, slices, text_bytes
+from quillspark.state import scoped
 
 PASSAGE = 64
 BLOCK = 16
@@ -337,6 +338,7 @@ def _indexes(items: DataFrame) -> Iterator[Index | None]:
         yield build_index(some(i), of)
 
 
+@scoped
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_overlap: float = 0.6) -> DataFrame:
     """A row for each text and test item in it: doc_id, item_id, score, the overlaps, and the passage's first word."""
     spark = docs.sparkSession
@@ -363,6 +365,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_ov
     return spark.createDataFrame([], FOUND) if out is None else out
 
 
+@scoped
 def with_leaks(docs: DataFrame, items: DataFrame, name: str, threshold: float = 0.5, min_overlap: float = 0.6) -> DataFrame:
     """docs and a column with the number of test items in each text."""
     out = docs.withColumn(name, F.lit(0))

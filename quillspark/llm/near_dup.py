@@ -9,9 +9,10 @@ base b near 1 they are mergeable by maximum and equal in two sketches about as o
    shares no bucket under MISS.
 3. Each text is compared with the one, of the smallest texts of its buckets, that it shares most bands with. Texts that
    hang together by the links found are a part.
-4. Buckets of one part are done. The others that share texts are clusters, where every text outside the largest part meets
-   the texts of other parts, in tiles of at most TILE texts and TILE_BYTES. The likeliest pairs come first; what a tile has connected
-   isn't compared any more, and a tile returns a forest of links, never all pairs.
+4. Buckets of one part are done. In the others every text outside the bucket's largest part meets the texts of other parts, in
+   tiles of at most TILE texts and TILE_BYTES. Only sketches meet first, a pair in the bucket of its first common band; then texts are shipped
+   to the tiles where a pair of theirs is left. The likeliest pairs come first; what a tile has connected isn't compared any more, and a
+   tile returns a forest of links, never all pairs.
 5. To compare, counts of greater, smaller and equal registers give the likeliest similarity with both sizes known. Pairs
    under the threshold by more than MARGIN standard errors go; the others are verified on the full sets.
 6. Components of the links are the groups; the smallest doc_id of each is kept.
@@ -22,9 +23,9 @@ component and kept; an empty table gives no rows. Only doc_id and text are read;
 
 Scale: band rows and class joins are narrow equi-joins with pre-aggregated sides, written first, so both sides of a join
 are plain shuffles that AQE can split. Sketches are computed once and stored. In step 3 a text is shipped about once, and
-comparing streams sorted rows, a text and CHUNK partners a group at most. Step 4 ships the n texts of a cluster times the blocks
-of its o outsiders: what step 3 joins is cheap at any size, but texts that are alike just under the threshold in great
-numbers have to be compared in n * o pairs by any exact way.
+comparing streams sorted rows, a text and CHUNK partners a group at most. In step 4 a sketch is shipped once for each of its mixed
+buckets and block of outsiders there, a text once for each such tile with a pair of its own that the sketches leave: texts of a chain, each alike the next
+just under the threshold, are shipped a few times however long the chain is. A bucket of n texts with o outsiders takes n * o comparisons of sketches.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.components import components
 from quillspark.llm.frames import map_batches, materialise, tune
 from quillspark.llm.words import batches, find_words, mix, rolled, slices, text_bytes
+from quillspark.state import scoped
 
 SHINGLE = 5
 BASE, A, TOP = 1.001, 20.0, 65535
@@ -50,6 +52,7 @@ CHUNK = 64
 TILE, TILE_BYTES = 400, 4 << 20
 SKETCH = "doc_id long, n_shingles long, h1 long, h2 long, registers binary, text string"
 LINKS = "u long, v long"
+TILED = "node long, bucket long, band int, pack long, part long, outside boolean, head boolean, i int, j int"
 U = np.uint64
 _MASK40 = U((1 << 40) - 1)
 
@@ -252,26 +255,44 @@ def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(nodes.join(up.hint("merge"), "node", "left").select("node", F.coalesce("part", "node").alias("part")), "parts")
 
 
-def _tile_links(table: pa.Table, threshold: float, m: int) -> pa.Table:
-    """A forest of verified links between parts, from a tile of rows (doc_id, n_shingles, registers, text, cluster, part, outside, head).
+def _tile_pairs(table: pa.Table, threshold: float, m: int, rows_a_band: int) -> np.ndarray:
+    """(-likely, i, j) of the pairs of rows that may reach the threshold.
 
-    Every head meets the others of its cluster that are of another part; two texts outside the largest part meet once.
+    Every head meets the others of its bucket that are of another part; two texts outside the largest part meet once. A pair that shares
+    several buckets counts in that of its first common band.
     """
-    table = table.combine_chunks()
-    ids, sizes, cluster, part = (table.column(c).to_numpy() for c in ("doc_id", "n_shingles", "cluster", "part"))
+    ids, sizes, bucket, part, band = (table.column(c).to_numpy() for c in ("node", "n_shingles", "bucket", "part", "band"))
     outside, head = (table.column(c).to_numpy(zero_copy_only=False) for c in ("outside", "head"))
     registers = _matrix(table.column("registers").combine_chunks(), m)
-    pairs: list[np.ndarray] = []
     heads, others = np.flatnonzero(head), np.flatnonzero(~head)
-    others = others[np.argsort(cluster[others], kind="stable")]
-    first, last = (np.searchsorted(cluster[others], cluster[heads], side) for side in ("left", "right"))
+    others = others[np.argsort(bucket[others], kind="stable")]
+    first, last = (np.searchsorted(bucket[others], bucket[heads], side) for side in ("left", "right"))
+    pairs: list[np.ndarray] = []
     for i, a, b in zip(heads.tolist(), first.tolist(), last.tolist(), strict=True):
         rows = others[a:b]
         rows = rows[(part[rows] != part[i]) & (~outside[rows] | (ids[rows] > ids[i]))]
+        if len(rows):
+            common = (registers[rows] == registers[i]).reshape(len(rows), -1, rows_a_band).all(2).argmax(1)
+            rows = rows[common == band[i]]
         if len(rows):
             near, likely = _similar(np.broadcast_to(registers[i], (len(rows), m)), registers[rows], np.full(len(rows), sizes[i]), sizes[rows], threshold, m)
             if near.any():
                 pairs.append(np.stack([-likely[near], np.full(int(near.sum()), i), rows[near]], 1))
+    return np.concatenate(pairs) if pairs else np.zeros((0, 3))
+
+
+def _tile_alive(table: pa.Table, threshold: float, m: int, rows_a_band: int) -> pa.Table:
+    """The rows of a tile that are in a pair which may reach the threshold, without registers."""
+    table = table.combine_chunks()
+    pairs = _tile_pairs(table, threshold, m, rows_a_band)
+    return table.take(pa.array(np.unique(pairs[:, 1:].astype(np.int64)))).select([x.split()[0] for x in TILED.split(", ")])
+
+
+def _tile_links(table: pa.Table, threshold: float, m: int, rows_a_band: int) -> pa.Table:
+    """A forest of verified links between parts, from a tile of rows; the likeliest pairs come first."""
+    table = table.combine_chunks()
+    pairs = _tile_pairs(table, threshold, m, rows_a_band)
+    ids, part = (table.column(c).to_numpy() for c in ("node", "part"))
     up: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -280,8 +301,7 @@ def _tile_links(table: pa.Table, threshold: float, m: int) -> pa.Table:
         return x
 
     texts, sets, out = table.column("text").combine_chunks(), {}, []
-    ranked = np.concatenate(pairs) if pairs else np.zeros((0, 3))
-    for _, i, j in ranked[np.lexsort(ranked.T[::-1])].tolist():
+    for _, i, j in pairs[np.lexsort(pairs.T[::-1])].tolist():
         i, j = int(i), int(j)
         x, y = root(int(part[i])), root(int(part[j]))
         if x == y:
@@ -297,37 +317,50 @@ def _tile_links(table: pa.Table, threshold: float, m: int) -> pa.Table:
     return pa.table({"u": pa.array(list(u), pa.int64()), "v": pa.array(list(v), pa.int64())})
 
 
-def _tiles(met: DataFrame, candidates: DataFrame, parts: DataFrame) -> DataFrame:
-    """The rows of all tiles, for what the first comparisons left: buckets with more than one part.
+def _tiles(met: DataFrame, parts: DataFrame) -> DataFrame | None:
+    """TILED rows for what the first comparisons left: the buckets with more than one part; None if there are none.
 
-    Such buckets that share texts are a cluster. Every text outside a cluster's largest part meets all its texts: the outsiders go
-    in blocks, all texts in others, and each block meets each other in a tile of at most about TILE texts and TILE_BYTES.
-    Small clusters share tiles.
+    Every text outside a bucket's largest part meets all texts of the bucket: the outsiders go in blocks, all texts in others, and
+    each block meets each other in a tile of at most about TILE texts and TILE_BYTES. Small buckets share tiles.
     """
-    own = materialise(met.withColumnRenamed("doc_id", "node").join(parts.hint("merge"), "node"), "own")
+    own = materialise(met.withColumnRenamed("doc_id", "node").join(parts.hint("merge"), "node").select("node", "bucket", "band", "bytes", "part"), "own")
     kinds = own.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("bucket")
-    mixed = materialise(own.join(materialise(kinds, "mixed").hint("merge"), "bucket").select("node", "least", "part").distinct(), "edges")
-    clusters = components(mixed.filter("node <> least"), "node", "least").withColumnRenamed("component", "cluster")
-    placed = materialise(clusters.join(parts.hint("merge"), "node"), "clusters").join(candidates.select(F.col("doc_id").alias("node"), F.octet_length("text").alias("bytes")).groupBy("node").agg(F.max("bytes").alias("bytes")).hint("merge"), "node")
-    placed = materialise(placed, "placed")
-    counts = placed.groupBy("cluster", "part").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    sizes = materialise(counts.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "bytes", "part")).alias("most")), "sizes")
+    mixed = materialise(own.join(materialise(kinds, "kinds").hint("merge"), "bucket"), "mixed")
+    counts = mixed.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    sizes = materialise(counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "bytes", "part")).alias("most")), "sizes")
     total = sizes.agg(F.sum("n"), F.sum("bytes")).first()
-    packs = max(1, -(-int(total[0] or 0) // (TILE // 2)), -(-int(total[1] or 0) // (TILE_BYTES // 2)))
+    if not total[0]:
+        return None
+    packs = max(1, -(-int(total[0]) // (TILE // 2)), -(-int(total[1]) // (TILE_BYTES // 2)))
     alone = (F.col("n") > TILE / 4) | (F.col("bytes") > TILE_BYTES / 4)
-    blocks = lambda n, size: F.when(alone, F.greatest(F.ceil(n / (TILE / 2)), F.ceil(size / (TILE_BYTES / 2)))).otherwise(1).cast("int")
+    blocks = lambda n, size: F.when(alone, F.greatest(F.ceil(n / (TILE / 2)), F.ceil(size / (TILE_BYTES / 2)), F.lit(1))).otherwise(1).cast("int")
     sizes = sizes.select(
-        "cluster", F.col("most.part").alias("largest"), blocks(F.col("n"), F.col("bytes")).alias("wide"), blocks(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("high"),
-        F.when(alone, F.col("cluster")).otherwise(-1 - F.pmod(F.xxhash64("cluster"), F.lit(packs))).alias("pack"),
+        "bucket", F.col("most.part").alias("largest"), blocks(F.col("n"), F.col("bytes")).alias("wide"), blocks(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("high"),
+        F.when(alone, F.col("bucket")).otherwise(-1 - F.pmod(F.xxhash64("bucket"), F.lit(packs))).alias("pack"),
     )
-    rows = placed.join(sizes.hint("merge"), "cluster").withColumn("outside", F.col("part") != F.col("largest"))
-    every = lambda name: F.explode(F.sequence(F.lit(0), F.greatest(F.col(name), F.lit(1)) - 1))
-    one = lambda name: F.pmod(F.xxhash64("node", F.lit(name)), F.greatest(F.col(name), F.lit(1))).cast("int")
-    heads = rows.filter("outside").select("node", "cluster", "pack", "part", "outside", F.lit(True).alias("head"), one("high").alias("i"), every("wide").alias("j"))
-    others = rows.select("node", "cluster", "pack", "part", "outside", F.lit(False).alias("head"), every("high").alias("i"), one("wide").alias("j"))
-    return candidates.join(heads.unionByName(others).hint("merge"), F.col("doc_id") == F.col("node")).drop("node")
-
-
+    rows = mixed.join(materialise(sizes, "blocks").hint("merge"), "bucket").withColumn("outside", F.col("part") != F.col("largest"))
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    one = lambda name: F.pmod(F.xxhash64("node", F.lit(name)), F.col(name)).cast("int")
+    both = [F.col(c) for c in ("node", "bucket", "band", "pack", "part", "outside")]
+    heads = rows.filter("outside").select(*both, F.lit(True).alias("head"), one("high").alias("i"), every("wide").alias("j"))
+    others = rows.select(*both, F.lit(False).alias("head"), every("high").alias("i"), one("wide").alias("j"))
+    return heads.unionByName(others)
+
+
+def compared_in_buckets(met: DataFrame, candidates: DataFrame, parts: DataFrame, threshold: float, m: int, rows_a_band: int) -> DataFrame | None:
+    """Verified links between parts, written: sketches meet first, and texts are shipped only to tiles where a pair of theirs is left."""
+    tiles = _tiles(met, parts)
+    if tiles is None:
+        return None
+    names = [x.split()[0] for x in TILED.split(", ")]
+    sketched = candidates.select(F.col("doc_id").alias("node"), "n_shingles", "registers")
+    alive = sketched.join(tiles.hint("merge"), "node").groupBy("pack", "i", "j").applyInArrow(lambda t: _tile_alive(t, threshold, m, rows_a_band), TILED)
+    alive = materialise(alive.select(*names).distinct(), "alive")  # texts of one doc_id that differ are rows of their own
+    full = candidates.withColumnRenamed("doc_id", "node").join(alive.hint("merge"), "node")
+    return materialise(full.groupBy("pack", "i", "j").applyInArrow(lambda t: _tile_links(t, threshold, m, rows_a_band), LINKS), "links")
+
+
+@scoped
 def group_documents(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     tune(docs.sparkSession)
@@ -339,8 +372,8 @@ def group_documents(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     members = materialise(sketched.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep")), "members")
     reps = members.filter("doc_id = rep").select("doc_id").distinct()
     key = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substr("registers", i * (2 * rows) + 1, F.lit(2 * rows))))
-    alone = some.select("doc_id", "registers").join(reps.hint("merge"), "doc_id", "left_semi")
-    banded = materialise(alone.select("doc_id", F.explode(key).alias("bucket")), "bands")
+    alone = some.select("doc_id", "registers", F.octet_length("text").cast("long").alias("bytes")).join(reps.hint("merge"), "doc_id", "left_semi")
+    banded = materialise(alone.select("doc_id", "bytes", F.posexplode(key).alias("band", "bucket")), "bands")
     buckets = materialise(banded.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("bucket", "least"), "buckets")
     met = materialise(banded.join(buckets.hint("merge"), "bucket"), "met")
     edges = met.filter("doc_id > least").groupBy(F.col("doc_id").alias("v"), F.col("least").alias("u")).agg(F.count("*").alias("bands"))
@@ -348,9 +381,8 @@ def group_documents(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     nodes = materialise(met.select(F.col("doc_id").alias("node")).distinct(), "nodes")
     candidates = materialise(some.select("doc_id", "n_shingles", "registers", "text").join(nodes.hint("merge"), F.col("doc_id") == F.col("node"), "left_semi"), "candidates")
     links = verified(candidates, best, threshold, m)
-    tiles = _tiles(met, candidates, _roots(nodes, links))
-    more = materialise(tiles.groupBy("pack", "i", "j").applyInArrow(lambda t: _tile_links(t, threshold, m), LINKS), "links")
-    groups = components(links.unionByName(more), "u", "v").withColumnRenamed("node", "rep")
+    more = compared_in_buckets(met, candidates, _roots(nodes, links), threshold, m, rows)
+    groups = components(links if more is None else links.unionByName(more), "u", "v").withColumnRenamed("node", "rep")
     joined = members.join(groups, "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.frames import materialise
 from quillspark.llm.words import mix
+from quillspark.state import scoped
 
 #: Parts of a shard that are numbered apart.
 BUCKETS = 2048
@@ -40,6 +41,7 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
     return bucket
 
 
+@scoped
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
 

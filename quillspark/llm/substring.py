@@ -2,7 +2,8 @@
 
 Seed and extend. Every LENGTH-word window is seeded by the smallest hash of its SEED-word grams (winnowing), a function of
 its words alone, so equal windows have equal anchors. Consecutive windows with one anchor form a run, the stretch of words
-in which a match on that anchor can lie; a run is one narrow row with a hash of its words.
+in which a match on that anchor can lie; a run is one narrow row with a hash of its words. Runs of periodic text, which would be as
+long as the text, are cut after every STRETCH windows; a piece is a run like any other.
 
 1. Runs whose anchor stands in one document only are dropped.
 2. Runs of one anchor and equal words match from end to end: all but the smallest document lose them.
@@ -38,10 +39,13 @@ from pyspark.sql import types as T
 
 from quillspark.llm.frames import map_batches, materialise, tune
 from quillspark.llm.words import Sums, Words, batches, find_words, mix, rolled, text_bytes
+from quillspark.state import scoped
 
 LENGTH = 50
 SEED = 16
 REPEATS = 8
+#: Windows of a run at most.
+STRETCH = 256
 RUNS = "doc_id long, text_hash int, anchor long, extent long, start int, n int"
 CONTEXTS = "anchor long, doc_id long, text_hash int, start int, n int, words binary"
 MATCHES = "doc_id long, text_hash int, start int, n int, anchor long, window long"
@@ -80,6 +84,8 @@ def _runs(docs: DataFrame, length: int, seed: int) -> DataFrame:
             new = np.ones(len(at), bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
             head = np.flatnonzero(new)
+            within = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))
+            head = np.flatnonzero(within % STRETCH == 0)
             n = np.diff(np.append(head, len(at)))
             start = at[head]
             extent = spans(words, start, start + n + length - 1)
@@ -227,6 +233,7 @@ def cut(texts: pa.Array, marks: pa.Array, length: int) -> tuple[list[bytes | Non
     return kept, n_words, n_removed
 
 
+@scoped
 def dedup_documents(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """docs with text cut, and the columns __n_words and __n_removed."""
     tune(docs.sparkSession)

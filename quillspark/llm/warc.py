@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.frames import materialise, new_path, tune
+from quillspark.state import scoped
 
 ARCHIVE_BYTES = 128 << 20
 END = b"\r\n\r\n"
@@ -170,6 +171,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", END.decode()).option("pathGlobFilter", "*.gz").text(path).mapInArrow(run, READ)
 
 
+@scoped
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write the pages' archives into the shared folder and read them."""
     spark = pages.sparkSession

@@ -16,6 +16,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark import state
+
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from quillspark.llm import bpe, chat, components, decontaminate, langid, near_dup, quality, sharding, substring, toxicity, warc  # noqa: E402
@@ -91,6 +93,19 @@ def test_substring_dedup_is_exact(spark):
     assert got == brute_substring(texts, 50)
 
 
+def test_substring_dedup_of_periodic_texts(spark, monkeypatch):
+    monkeypatch.setattr(substring, "STRETCH", 16)
+    rng = random.Random(31)
+    texts = []
+    for _ in range(60):
+        period = [rng.choice("ab") for _ in range(rng.choice([1, 2, 3, 7, 12, 30]))]
+        body = (period * 200)[rng.randrange(12) : rng.randrange(40, 200)]
+        texts.append(" ".join([*prose(rng, rng.randrange(6)).split(), *body, *prose(rng, rng.randrange(30)).split()]))
+    texts += texts[:5]
+    got = rows(substring.digest(documents(spark, texts)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == brute_substring(texts, 50)
+
+
 def test_substring_dedup_of_many_kinds(spark):
     """One passage in many contexts of which some are alike, periodic texts, and rows of one doc_id with other texts."""
     rng = random.Random(55)
@@ -450,6 +465,21 @@ def test_small_blocks_cover_large_clusters(spark, monkeypatch):
     assert got == brute_groups(texts, 0.85)
 
 
+@pytest.mark.parametrize("n", [300, 1500])
+def test_chains_under_the_threshold_ship_texts_a_few_times(spark, monkeypatch, n):
+    rng = random.Random(21)
+    words = prose(rng, 11 * n + 100).split()
+    texts = [" ".join(words[11 * i : 11 * i + 100]) for i in range(n)]  # each 0.79 like the next
+    seen, write = {}, near_dup.materialise
+    monkeypatch.setattr(near_dup, "materialise", lambda df, name: seen.setdefault(name, write(df, name)) if name in ("mixed", "alive") else write(df, name))
+    with state.scope(spark) as own:
+        got = near_dup.group_documents.__wrapped__(documents(spark, texts), 0.85)
+        assert got.filter("component_id <> doc_id").count() == 0
+        assert seen["alive"].count() <= 8 * n and seen["mixed"].count() <= 40 * n
+        assert seen["alive"].groupBy("bucket").count().agg(F.max("count")).first()[0] <= 12
+        own.keep()
+
+
 def test_sketch_merges_and_estimates():
     rng = np.random.default_rng(15)
     a, b = rng.integers(0, 2**63, 900).astype(np.uint64), rng.integers(0, 2**63, 300).astype(np.uint64)
