@@ -12,6 +12,7 @@ from quillspark.registry import query, spread, table
 from quillspark.sources import documents as SD
 from quillspark.sources import pdf as SP
 from quillspark.sources import tables as ST
+from quillspark.sources.commits import Conflict, Store, Transaction
 
 COL = F.col
 
@@ -220,6 +221,30 @@ def snk1_replace_table(spark: SparkSession, d: str) -> DataFrame:
     return ST.current_table(spark, path).agg(F.lit(1).alias("versions"), F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
+@query("SELECT source, count(*) AS rows, count(*) AS told, 3 AS head FROM documents WHERE doc_id % 4 > 0 GROUP BY 1")
+def snk1_two_tables(spark: SparkSession, d: str) -> DataFrame:
+    """A table and its counts by source, changed together: first all, then some rows taken out; a transaction that fails and one that comes too late change nothing."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    store = Store(spark, state.new_path(spark, "store"))
+
+    def put(tx: Transaction, rows: DataFrame) -> None:
+        tx.replace("docs", rows)
+        tx.replace("counts", rows.groupBy("source").agg(F.count("*").alias("n")))
+
+    store.transact(lambda tx: put(tx, docs.limit(0)))
+    store.transact(lambda tx: put(tx, docs))
+    late = store.begin()
+    put(late, late.read("docs").filter("doc_id % 4 = 0"))
+    store.transact(lambda tx: put(tx, tx.read("docs").filter("doc_id % 4 > 0")))
+    try:
+        late.commit()
+    except Conflict:
+        late.abort()
+    now = store.manifest()
+    rows = store.at(now, "docs").groupBy("source").agg(F.count("*").alias("rows"))
+    return rows.join(store.at(now, "counts").select(COL("source").alias("of"), COL("n").alias("told")), COL("source").eqNullSafe(COL("of"))).select("source", "rows", "told", F.lit(store.head()).alias("head"))
+
+
 @query("SELECT event_type AS case_id, '| ' || event_type || ' | ' || count(*) || ' |' AS line FROM events GROUP BY 1")
 def snk7_report(spark: SparkSession, d: str) -> DataFrame:
     """Results as JSON lines and a table in markdown, read back."""

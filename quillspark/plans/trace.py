@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark import state
 from quillspark.registry import query, table
 from quillspark.sources import tables as S
+from quillspark.sources.commits import Store, Transaction
+from quillspark.streaming import log as G
 from quillspark.streaming import trace as R
 
 COL = F.col
@@ -48,6 +53,47 @@ def str4_snapshot_and_tail(spark: SparkSession, d: str) -> DataFrame:
     return old.unionByName(new).select("event_id")
 
 
+@query("SELECT event_type, event_id, 1 AS seen, count(*) OVER (PARTITION BY event_type) AS told FROM events")
+def str4_log_tail(spark: SparkSession, d: str) -> DataFrame:
+    """All events through a log that is followed, left, appended to and followed again: each comes once, and the report of counts is written in the commit of its events."""
+    rows = table(spark, d, "events").select("event_id", "event_type")
+    log, out = Store(spark, state.new_path(spark, "log")), Store(spark, state.new_path(spark, "followed"))
+
+    def count_up(tx: Transaction, batch: DataFrame) -> None:
+        counts = batch.groupBy("event_type").agg(F.count("*").alias("n"))
+        old = tx.read("report") if "report" in tx.before["tables"] else counts.limit(0)
+        tx.replace("report", counts.unionByName(old).groupBy("event_type").agg(F.sum("n").alias("n")))
+
+    for part in (COL("event_id") % 3 == 0, COL("event_id") % 3 == 1, COL("event_id") % 3 == 2):
+        log.transact(lambda tx, part=part: tx.append("events", rows.filter(part)))
+        G.drain_into(G.follow(spark, log, "events"), out, "seen", "reader", also=count_up)
+    seen = out.read("seen").groupBy("event_id", "event_type").agg(F.count("*").cast("int").alias("seen"))
+    return seen.join(out.read("report").withColumnRenamed("n", "told"), "event_type").select("event_type", "event_id", "seen", "told")
+
+
+@query(_STEPS + "SELECT run_id, event_id FROM s WHERE step_index >= run_id % 7")
+def str1_log_from_cursors(spark: SparkSession, d: str) -> DataFrame:
+    """A reader who comes back with a cursor for each run gets what is behind it."""
+    rows = steps(spark, d).select("run_id", "event_id", "step_index")
+    log, out = Store(spark, state.new_path(spark, "log")), Store(spark, state.new_path(spark, "followed"))
+    log.transact(lambda tx: tx.append("steps", rows))
+    cursors = {str(r.run_id): r.run_id % 7 for r in rows.select("run_id").distinct().toLocalIterator()}
+    G.drain_into(G.follow(spark, log, "steps", key="run_id", at="step_index", cursors=json.dumps(cursors)), out, "steps", "reader")
+    return out.read("steps").select("run_id", "event_id")
+
+
+@query("WITH r AS (SELECT user_id * 100 + day(ts) AS run_id, count(*) AS n_events, min(CASE WHEN event_type = 'error' THEN ts END) AS ended FROM events GROUP BY 1), m AS (SELECT max(ts) AS last FROM events) SELECT run_id, 'error' AS status, n_events, strftime(ended, '%Y-%m-%d %H:%M:%S.%f') AS ended FROM r, m WHERE ended + INTERVAL 60 SECOND <= last - INTERVAL 10 MINUTE")
+def str5_run_evictions(spark: SparkSession, d: str) -> DataFrame:
+    """A user's day as a run that its first error ends: the runs that timers evict, in event time, over a log that is followed twice."""
+    R.rocks(spark)
+    rows = table(spark, d, "events").select((COL("user_id") * 100 + F.dayofmonth("ts")).alias("run_id"), F.when(COL("event_type") == "error", "error").alias("status"), COL("ts").cast("timestamp").alias("ts"))
+    log, out = Store(spark, state.new_path(spark, "log")), Store(spark, state.new_path(spark, "runs"))
+    for part in (F.dayofmonth("ts") <= 15, F.dayofmonth("ts") > 15, F.lit(False)):  # with the last, empty one the watermark of all events holds
+        log.transact(lambda tx, part=part: tx.append("events", rows.filter(part)))
+        G.drain_into(R.run_lifecycle(G.follow(spark, log, "events")), out, "changes", "broker", "update")
+    return out.read("changes").filter("evicted").select("run_id", "status", "n_events", F.date_format("ended", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ended"))
+
+
 @query("SELECT conv_id AS run_id, CASE conv_id % 3 WHEN 0 THEN 'final' WHEN 1 THEN 'error' ELSE 'interrupted' END AS type, coalesce((SELECT arg_max(text, turn) FROM conversations a WHERE a.conv_id = c.conv_id AND role = 'assistant'), '') AS data FROM (SELECT DISTINCT conv_id FROM conversations) c")
 def str6_replay(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
+from quillspark.sources.commits import Store
 
 Keys = Sequence[str]
 
@@ -85,33 +86,18 @@ def latest(versions: DataFrame, keys: Keys, version: str) -> DataFrame:
     return versions.groupBy(*keys).agg(F.max_by(F.struct(*versions.columns), version).alias("v")).select("v.*")
 
 
-def replace_table(rows: DataFrame, path: str) -> str:
-    """Write rows as the next version of the table at path and return the version.
+def replace_table(rows: DataFrame, path: str) -> None:
+    """Write rows as the next version of the table at path.
 
-    A version is a folder of its own. A commit is an empty file whose name says it all, created once the folder is whole; readers
-    follow the greatest name, so they see the old or the new table at any moment, and a failed job leaves the old one. Of
-    two writers at once one comes after the other.
+    Readers see the old or the new table at any moment, and a failed job leaves the old one. Of two writers at once one comes
+    after the other.
     """
-    spark = rows.sparkSession
-    version, root = uuid.uuid4().hex, path.rstrip("/")
-    rows.write.parquet(f"{root}/data/{version}")
-    number = max((n for n, _ in _commits(spark, root)), default=0) + 1
-    commit = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/commits/{number:012d}-{version}")
-    commit.getFileSystem(spark._jsc.hadoopConfiguration()).create(commit, False).close()
-    return version
-
-
-def _commits(spark: SparkSession, root: str) -> list[tuple[int, str]]:
-    """(number, version) of the commits of a table."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/commits")
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-    return sorted((int(n.split("-")[0]), n.split("-")[1]) for n in names)
+    return Store(rows.sparkSession, path).transact(lambda tx: tx.replace("table", rows))
 
 
 def current_table(spark: SparkSession, path: str) -> DataFrame:
     """The table that replace_table() last committed at path."""
-    return spark.read.parquet(f"{path.rstrip('/')}/data/{_commits(spark, path.rstrip('/'))[-1][1]}")
+    return Store(spark, path).read("table")
 
 
 def register_functions(spark: SparkSession) -> None:

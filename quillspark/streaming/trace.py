@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 TERMINAL = ("ok", "error", "cancelled", "interrupted")
 TTL_SECONDS = 60
@@ -91,6 +92,59 @@ def run_states(stream: DataFrame) -> DataFrame:
     return stream.groupBy("run_id").applyInPandasWithState(step, "run_id long, status string, n_events long, evicted boolean", "status string, n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+RUN_CHANGE = "run_id long, status string, n_events long, ended timestamp, evicted boolean"
+
+
+class _Lifecycle(StatefulProcessor):
+    """A run's status, number of events and end. The first terminal status stays; its timer removes the state."""
+
+    def __init__(self, ttl_seconds: int) -> None:
+        self.ttl_ms = ttl_seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "status string, n long, ended timestamp")
+
+    def _told(self, key: tuple, evicted: bool) -> pd.DataFrame:
+        status, n, ended = self.run.get()
+        return pd.DataFrame({"run_id": [key[0]], "status": [status], "n_events": [n], "ended": pd.to_datetime(pd.Series([ended])), "evicted": [evicted]})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        status, n, ended = self.run.get() if self.run.exists() else ("running", 0, None)
+        ends = []
+        for pdf in rows:
+            n += len(pdf)
+            ends += list(pdf.loc[pdf["status"].isin(TERMINAL), ["ts", "status"]].itertuples(index=False, name=None))
+        if status == "running" and ends:
+            ended, status = min(ends)
+            self.handle.registerTimer(int(ended.timestamp() * 1000) + self.ttl_ms)
+        self.run.update((status, n, None if ended is None or pd.isna(ended) else pd.Timestamp(ended).to_pydatetime()))
+        yield self._told(key, False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        if self.run.exists():
+            yield self._told(key, True)
+            self.run.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def run_lifecycle(stream: DataFrame, ttl_seconds: int = TTL_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """RUN_CHANGE rows: each run's state after a batch that has events of it, and its eviction ttl_seconds after its end, by event time.
+
+    stream: run_id, status (null unless the event ends the run), ts. The watermark, late behind the newest event, drives the timers, so
+    the same events give the same evictions at any speed. An ended run's further events are counted until it is evicted; then
+    they begin it anew. State is three values a run, kept by RocksDB: the session needs its provider (rocks()).
+    """
+    return stream.withWatermark("ts", late).groupBy("run_id").transformWithStateInPandas(_Lifecycle(ttl_seconds), RUN_CHANGE, "Update", "EventTime")
+
+
+def rocks(spark: SparkSession) -> None:
+    """Keep streams' state in RocksDB, which timers and large states need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def queue_worker(handle: Callable[[Any], None], transient: tuple[type[Exception], ...]) -> Callable[[DataFrame, int], DataFrame]:
     """A foreachBatch function over pending rows (id, status): handled ones are done, transient failures stay pending.
 
