@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions import columns as C
-from quillspark.state import materialise
+from quillspark.operators.ranking import forest_order
+from quillspark.state import materialise, scoped
 
 COL = F.col
 Keys = Sequence[str]
@@ -268,11 +269,11 @@ def _doubled(links: DataFrame, tall: bool) -> DataFrame:
         links, reach = materialise(links.filter("up is null").unionByName(rows), "tree"), reach * 2
 
 
-def tree_order(nodes: DataFrame, node: str, parent: str) -> DataFrame:
-    """Every node once with depth and a path that sorts as depth-first order.
+def forest(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """(node, up): every node once with its parent, null at the root of a tree.
 
     Unknown parents and the node itself as its parent begin trees. Of the nodes on or behind a cycle one begins a tree if it is
-    smaller than all that it descends from; the others are its descendants. Any depth takes about log2(depth) joins.
+    smaller than all that it descends from; the others are its descendants.
     """
     known = nodes.select(COL(node).alias("up"))
     rows = nodes.select(COL(node).alias("node"), COL(parent).alias("up")).filter("node is not null").dropDuplicates(["node"])
@@ -280,5 +281,24 @@ def tree_order(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     links = materialise(rooted.unionByName(rows.filter("up <> node").join(known.distinct(), "up", "left_semi").select("node", "up")), "tree")
     lows = _doubled(links.withColumn("low", COL("up")), False).filter("up is not null and node <= low").select("node")
     cut = links.join(lows.withColumn("cut", F.lit(True)), "node", "left").select("node", F.when(COL("cut").isNull(), COL("up")).alias("up"))
+    return materialise(cut, "tree")
+
+
+@scoped
+def tree_order(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """Every node of the forest() once with depth and a path that sorts as depth-first order.
+
+    Any depth takes about log2(depth) joins, but a path is as long as its node is deep; tree_places() gives numbers instead.
+    """
+    cut = forest(nodes, node, parent)
     cut = materialise(cut.select("node", "up", COL("up").isNotNull().cast("int").alias("depth"), F.lpad(COL("node").cast("string"), 20, "0").alias("path")), "tree")
     return _doubled(cut, True).select(COL("node").alias(node), "depth", "path")
+
+
+@scoped
+def tree_places(nodes: DataFrame, node: str, parent: str, order: str | None = None) -> DataFrame:
+    """Every node of the forest() once with depth and its place in depth-first order, siblings and roots by order, then by node."""
+    cut = forest(nodes, node, parent)
+    if order:
+        cut = cut.join(nodes.select(COL(node).alias("node"), COL(order).alias("by")).dropDuplicates(["node"]), "node")
+    return forest_order(cut, "node", "up", "by" if order else None).withColumnRenamed("node", node)

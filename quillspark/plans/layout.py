@@ -125,6 +125,14 @@ def srt8_fork_tree(spark: SparkSession, d: str) -> DataFrame:
     return R.tree_order(nodes, "id", "p")
 
 
+@query("WITH RECURSIVE n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_custkey % 10 = 9 THEN 999999999 WHEN c_custkey % 10 > 5 THEN c_custkey // 10 * 10 + 2 ELSE c_custkey - 1 END AS p, lpad(rpad(coalesce(c_mktsegment, ''), 12, ' ') || lpad(c_custkey::VARCHAR, 12, '0'), 24, ' ') AS k FROM customer), w AS (SELECT id, 0 AS depth, k AS path FROM n WHERE p IS NULL OR p NOT IN (SELECT id FROM n) UNION ALL SELECT n.id, depth + 1, path || '/' || k FROM w JOIN n ON n.p = w.id) SELECT id, depth::BIGINT AS depth, row_number() OVER (ORDER BY path) - 1 AS place FROM w")
+def srt8_tree_places(spark: SparkSession, d: str) -> DataFrame:
+    """Trees of customers, siblings and roots by market segment: depth and place in depth-first order, as numbers."""
+    key = COL("c_custkey")
+    parent = F.when(key % 10 == 0, F.lit(None)).when(key % 10 == 9, F.lit(999999999)).when(key % 10 > 5, F.floor(key / 10) * 10 + 2).otherwise(key - 1).cast("long")
+    return R.tree_places(table(spark, d, "customer").select(key.alias("id"), parent.alias("p"), F.rpad("c_mktsegment", 12, " ").alias("s")), "id", "p", "s")
+
+
 @query("WITH s AS (SELECT *, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS sec FROM orders) SELECT o_orderkey, coalesce(last_value(sec IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(sec IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS section FROM s")
 def joi14_filled_sections(spark: SparkSession, d: str) -> DataFrame:
     """Figures among headings: the last section named, or before any the next one."""

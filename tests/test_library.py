@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import json
 
 import pytest
@@ -94,6 +96,28 @@ def test_tree_order_walks_behind_cycles_and_down_long_chains(spark):
     assert order == [1, 2, 3, 4, 10, 11, 12, 13, 15, 14]
 
 
+def test_tree_places_of_long_chains_and_wide_trees(spark):
+    from quillspark.operators import ranking
+
+    rng = random.Random(9)
+    parents = {i: None if i == 5000 or rng.random() < 0.001 else i - 1 if i > 5000 and i % 1000 < 900 else rng.randrange(i) if i else None for i in rng.sample(range(8000), 8000)}
+    order = {i: rng.randrange(4) for i in parents}
+    children, want = {}, []
+    for i, p in parents.items():
+        children.setdefault(p, []).append(i)
+    todo = [(i, 0) for i in sorted(children[None], key=lambda i: (order[i], i), reverse=True)]
+    while todo:
+        i, depth = todo.pop()
+        want.append((i, depth, len(want)))
+        todo += [(c, depth + 1) for c in sorted(children.get(i, []), key=lambda i: (order[i], i), reverse=True)]
+    nodes = spark.createDataFrame([(i, p, order[i]) for i, p in parents.items()], "id long, p long, o int")
+    assert max(d for _, d, _ in want) > 500
+    for small in (600, 1 << 16):
+        got = ranking.forest_order(nodes, "id", "p", "o", small=small)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert R.tree_places(nodes.limit(0), "id", "p").collect() == []
+
+
 def test_history_of_a_long_chain(spark):
     chain = spark.range(700).select("id", F.lit("m").alias("content"), F.when(F.col("id") % 350 != 349, F.col("id") + 1).alias("superseded_by"))
     from quillspark.operators import workflows as W
