@@ -1,7 +1,8 @@
 """Full-text search: an inverted index as a table, boolean matches by array functions, ranks by BM25 columns.
 
 Words are runs of letters and digits, lower case, accents folded, then stemmed (Porter). The index is built in batch; a
-table (term, doc_id, tf) and the lengths; maintain_index() renews only what changed. ranked() joins the query's few terms
+table (term, doc_id, tf) and the lengths; maintain_index() renews what changed, and segments.py keeps an index whose changes cost what they
+touch. ranked() joins the query's few terms
 with the index, so only their postings move; search() needs no index: it counts the query's stems in one pass over the texts.
 """
 
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.state import materialise, scoped
+
 K1, B = 1.2, 0.75
 _VOWEL = "aeiou"
 
@@ -179,12 +182,13 @@ def matching(docs: DataFrame, key: str, text: str, wanted: list[str], every: boo
     return word_counts(docs, key, text, wanted).filter(found(F.forall if every else F.exists)).select(key)
 
 
+@scoped
 def search(docs: DataFrame, key: str, text: str, wanted: list[str], every: bool, k: int, skip: DataFrame | None = None) -> DataFrame:
     """The k best of the matching texts by BM25 over stems, ties by key; skip: keys to leave out. Statistics are over all texts."""
     wanted = sorted(set(wanted))
     if not wanted:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    counted = word_counts(docs, key, text, wanted)
+    counted = materialise(word_counts(docs, key, text, wanted), "counts")  # narrow, so the texts are read once for statistics and hits
     at = [F.col("counts")[i] for i in range(len(wanted))]
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(c > 0).alias(f"df{i}") for i, c in enumerate(at)))
     idf = [F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))) for i in range(len(wanted))]
@@ -203,19 +207,31 @@ def build_index(docs: DataFrame, key: str, terms: Column) -> tuple[DataFrame, Da
     return postings, rows.select(key, F.size("terms").alias("length"))
 
 
-def build_stemmed_index(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """build_index() over folded stems. A text's postings are counted where the text is, so nothing is shuffled; key names one row."""
+def simple_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(term, key, tf) of simple_terms(), and for each row its number of words as the tf of the empty term."""
+    rows = docs.select(key, F.coalesce(simple_terms(F.col(text)), F.array().cast("array<string>")).alias("terms"))
+    postings = rows.select(key, F.explode("terms").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
+    return postings.unionByName(rows.select(F.lit("").alias("term"), key, F.size("terms").cast("long").alias("tf")))
+
+
+def stemmed_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """simple_rows() of folded stems. A text's postings are counted where the text is, so nothing is shuffled; key names one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = [Counter(stems(t or "")) for t in batch.column(1).to_pylist()]
-            row = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w for c in counts for w in c], pa.string()), batch.column(0).take(pa.array(row)), pa.array([n for c in counts for n in c.values()], pa.int64())], names=["term", key, "tf"]
-            )
+            row = np.repeat(np.arange(len(counts)), [len(c) + 1 for c in counts])
+            terms, tf = [w for c in counts for w in ("", *c)], [n for c in counts for n in (c.total(), *c.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), batch.column(0).take(pa.array(row)), pa.array(tf, pa.int64())], names=["term", key, "tf"])
 
     schema = T.StructType([T.StructField("term", T.StringType()), T.StructField(key, docs.schema[key].dataType), T.StructField("tf", T.LongType())])
-    return docs.select(key, text).mapInArrow(run, schema), word_counts(docs, key, text, []).select(key, "length")
+    return docs.select(key, text).mapInArrow(run, schema)
+
+
+def build_stemmed_index(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """build_index() over folded stems, written in one pass over the texts."""
+    rows = materialise(stemmed_rows(docs, key, text), "stems")
+    return rows.filter("term <> ''"), rows.filter("term = ''").select(key, F.col("tf").alias("length"))
 
 
 def maintain_index(index: tuple[DataFrame, DataFrame], key: str, terms: Column, changed: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -225,16 +241,16 @@ def maintain_index(index: tuple[DataFrame, DataFrame], key: str, terms: Column,
     return tuple(old.join(touched, key, "left_anti").unionByName(new) for old, new in zip(index, added, strict=True))
 
 
-def ranked(postings: DataFrame, lengths: DataFrame, key: str, wanted: list[str], every: bool, k: int, skip: DataFrame | None = None) -> DataFrame:
+def ranked(postings: DataFrame, lengths: DataFrame, key: str, wanted: list[str], every: bool, k: int, skip: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """The k best of the matching documents by BM25, ties by key; skip: keys to leave out.
 
-    Statistics are over all documents. Only the wanted terms' postings are read, and the lengths of their documents.
+    Statistics are over all documents; stats has them as n and mean if they are known. Only the wanted terms' postings are read, and the lengths of their documents.
     """
     wanted = sorted(set(wanted))
     if not wanted:
         return lengths.select(key, F.lit(0.0).alias("score")).limit(0)
     own = postings.filter(F.col("term").isin(wanted))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")) if stats is None else stats
     counts = own.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weights = F.broadcast(counts.join(F.broadcast(stats)).select("term", "mean", idf.alias("idf")))  # a row for each query word

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark import state
 from quillspark.operators import search as S
+from quillspark.operators.segments import SegmentedIndex
 from quillspark.registry import query, spread, table
+from quillspark.sources.commits import Store
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", "text"))
@@ -56,7 +59,10 @@ def fts4_memory_top_k(spark: SparkSession, d: str) -> DataFrame:
     return S.search(_docs(spark, d), "doc_id", "text", S.query_stems(S.or_terms("things er heit")), False, 20)
 
 
-@query(r"WITH n AS (SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN reverse(text) ELSE text END AS text FROM documents WHERE doc_id % 10 <> 0), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM n) SELECT term, count(DISTINCT doc_id) AS df, count(*)::BIGINT AS tf FROM w GROUP BY 1")
+_CHANGED = r"WITH n AS (SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN reverse(text) ELSE text END AS text FROM documents WHERE doc_id % 10 <> 0), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM n) SELECT term, count(DISTINCT doc_id) AS df, count(*)::BIGINT AS tf FROM w GROUP BY 1"
+
+
+@query(_CHANGED)
 def fts5_maintained_index(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of the index after replaced and deleted documents."""
     docs, words = _docs(spark, d), S.simple_terms(F.col("text"))
@@ -65,6 +71,27 @@ def fts5_maintained_index(spark: SparkSession, d: str) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
+@query(_CHANGED)
+def fts5_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of an index in segments, after insertions in parts, replaced and deleted documents, and merges."""
+    docs = _docs(spark, d)
+    index = SegmentedIndex(Store(spark, state.new_path(spark, "index")), "doc_id", lambda rows: S.simple_rows(rows, "doc_id", "text"), tier=3)
+    index.change(docs.filter("doc_id % 3 = 0"))
+    index.change(docs.filter("doc_id % 3 > 0"))
+    index.change(docs.filter("doc_id % 10 = 1").withColumn("text", F.reverse("text")), docs.filter("doc_id % 10 = 0"))
+    return index.postings().filter("term <> ''").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+@query(_BM25.format(words=_WORDS, cases=_stem_cases("thing", "er", "heit"), where="true", least=1))
+def fts5_segment_search(spark: SparkSession, d: str) -> DataFrame:
+    """The best matches from an index in segments, of which the second replaces texts of the first."""
+    docs = _docs(spark, d)
+    index = SegmentedIndex(Store(spark, state.new_path(spark, "index")), "doc_id", lambda rows: S.stemmed_rows(rows, "doc_id", "text"))
+    index.change(docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("thing "), F.col("text"))).otherwise(F.col("text"))))
+    index.change(docs.filter("doc_id % 2 = 0"))
+    return index.search(S.query_stems(S.or_terms("things er heit")), False, 20)
+
+
 @query()
 def fts5_stemmed_index(spark: SparkSession, d: str) -> DataFrame:
     """Document frequencies of the stemmed index."""

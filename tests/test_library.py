@@ -79,6 +79,30 @@ def test_ranked_search(spark):
     assert {r.id for r in S.ranked(postings, lengths, "id", ["red", "hen"], False, 9, skip).collect()} == {1, 3}
 
 
+def test_segments_equal_a_rebuild(spark, tmp_path):
+    from quillspark.operators.segments import SegmentedIndex
+    from quillspark.sources.commits import Store
+
+    rng, now = random.Random(2), {}
+    store = Store(spark, (tmp_path / "index").as_uri())
+    index = SegmentedIndex(store, "id", lambda rows: S.simple_rows(rows, "id", "t"), tier=3)
+    table = lambda texts: spark.createDataFrame(list(texts.items()), "id long, t string")
+    for _ in range(9):
+        new = {rng.randrange(40): rng.choice([None, "", " ".join(rng.choice("abcde") for _ in range(rng.randrange(9)))]) for _ in range(rng.randrange(6))}
+        gone = {rng.randrange(40) for _ in range(rng.randrange(4))} - set(new)
+        before = {p.name for p in (tmp_path / "index" / "data").iterdir()} if now else set()
+        index.change(table(new), spark.createDataFrame([(i,) for i in gone], "id long"))
+        assert before <= {p.name for p in (tmp_path / "index" / "data").iterdir()}
+        now = {i: t for i, t in (now | new).items() if i not in gone}
+    want = sorted(map(tuple, S.simple_rows(table(now), "id", "t").collect()))
+    assert sorted(map(tuple, index.postings().select("term", "id", "tf").collect())) == want
+    known = index._segments(store.manifest())
+    assert len(known) < 6 and sum(s.docs for s in known) == len(now) and sum(s.words for s in known) == sum(n for t, _, n in want if t == "")
+    lengths = table(now).select("id", F.size(F.coalesce(S.simple_terms(F.col("t")), F.array())).alias("length"))
+    whole = S.ranked(S.simple_rows(table(now), "id", "t").filter("term <> ''"), lengths, "id", ["a", "c"], False, 50)
+    assert index.search(["a", "c"], False, 50).collect() == whole.collect()
+
+
 def test_tree_order_covers_cycles(spark):
     rows = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 99), (5, 6), (6, 5), (7, 7)], "id long, p long")
     got = {r.id: r.depth for r in R.tree_order(rows, "id", "p").collect()}
