@@ -13,6 +13,7 @@ from quillspark.sources import tables as S
 from quillspark.sources.commits import Store, Transaction
 from quillspark.streaming import log as G
 from quillspark.streaming import trace as R
+from quillspark.streaming.queue import JobQueue
 
 COL = F.col
 
@@ -110,6 +111,25 @@ def str7_dangling(spark: SparkSession, d: str) -> DataFrame:
     return R.reconcile_dangling(runs, messages)[1].select("run_id", "role").distinct()
 
 
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 3 THEN 'failed' WHEN c_custkey % 5 = 2 THEN 'pending' ELSE 'done' END AS status, CASE WHEN c_custkey % 5 = 2 AND c_custkey % 7 <> 3 THEN 2 ELSE 1 END AS tries, CASE WHEN c_custkey % 7 <> 3 AND c_custkey % 5 <> 2 THEN length(c_name)::VARCHAR END AS detail FROM customer")
+def str8_queue_drain(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as jobs, drained twice: some fail, some fail in a way that may pass and are tried again by the second call."""
+    queue = JobQueue(Store(spark, state.new_path(spark, "queue")))
+    queue.put(table(spark, d, "customer").select(COL("c_custkey").alias("id"), "c_name"))
+
+    def handle(row: dict) -> int:
+        if row["id"] % 7 == 3:
+            raise ValueError("never")
+        if row["id"] % 5 == 2:
+            raise ConnectionError("not now")
+        return len(row["c_name"])
+
+    for lanes in (4, 1):
+        queue.drain(handle, lanes=lanes)
+    said = queue.store.read("results").filter("status = 'done'").select(COL("id").alias("of"), "detail")
+    return queue.states().join(said, COL("id") == COL("of"), "left").select("id", "status", COL("tries").cast("int").alias("tries"), "detail")
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def ext_hourly_windows(spark: SparkSession, d: str) -> DataFrame:
     """Extension: tumbling windows, the batch form of the watermarked stream."""

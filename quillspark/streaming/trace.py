@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from quillspark.streaming.queue import run_jobs
+
 TERMINAL = ("ok", "error", "cancelled", "interrupted")
 TTL_SECONDS = 60
 
@@ -145,25 +147,12 @@ def rocks(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def queue_worker(handle: Callable[[Any], None], transient: tuple[type[Exception], ...]) -> Callable[[DataFrame, int], DataFrame]:
-    """A foreachBatch function over pending rows (id, status): handled ones are done, transient failures stay pending.
+def queue_worker(handle: Callable[[Any], Any], passing: tuple[type[Exception], ...], lanes: int = 1) -> Callable[[DataFrame, int], DataFrame]:
+    """A foreachBatch function over pending rows (id, status): handled ones are done, failures that may pass stay pending.
 
-    The queue is a small table of documents to re-read; rows come one by one, by id, as the jobs must not overlap.
+    Rows are run in tasks, in the order of ids within each of the lanes; see queue.py for a queue that several workers share.
     """
-
-    def work(batch: DataFrame, _: int) -> DataFrame:
-        out = []
-        for r in batch.filter("status = 'pending'").orderBy("id").toLocalIterator():
-            try:
-                handle(r)
-                out.append((r["id"], "done"))
-            except transient:
-                out.append((r["id"], "pending"))
-            except Exception:
-                out.append((r["id"], "failed"))
-        return batch.sparkSession.createDataFrame(out, "id long, status string")
-
-    return work
+    return lambda batch, _: run_jobs(batch.filter("status = 'pending'"), handle, passing, lanes).select("id", "status")
 
 
 def windowed_counts(stream: DataFrame, time: str, width: str, late: str) -> DataFrame:
