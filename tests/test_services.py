@@ -6,6 +6,7 @@ import io
 import json
 import tarfile
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlparse
 
@@ -17,6 +18,7 @@ ENTRY = """<entry><id>http://x.org/abs/2401.{n:05d}v2</id><title> A
   title {n}</title><summary>said {n}</summary><published>2024-01-02T00:00:00Z</published>
   <author><name>A B</name></author><author><name>C  D</name></author><link title="pdf" href="http://x.org/pdf/{n}"/></entry>"""
 BODY = bytes(range(256)) * 2000
+TIMES: list[float] = []
 
 
 class Handler(BaseHTTPRequestHandler):
@@ -36,8 +38,13 @@ class Handler(BaseHTTPRequestHandler):
 
     def do_POST(self):
         q = parse_qs(urlparse(self.path).query)
-        self.rfile.read(int(self.headers["Content-Length"]))
-        self.say(200, json.dumps({"blocks": [{"page": p} for p in range(int(q["first"][0]), int(q["last"][0]) + 1)]}).encode())
+        body = self.rfile.read(int(self.headers["Content-Length"]))
+        self.seen.append(self.path)
+        if q["first"][0] == "9":
+            self.say(400, b"")
+            return
+        pages = range(int(q["first"][0]), int(q["last"][0]) + 1)
+        self.say(200, json.dumps({"blocks": [{"page": p, "block_type": t, "html": str(len(body)), "bbox": [0, 1, 2.5, 3]} for p in pages for t in "ab"]}).encode())
 
     def do_GET(self):
         where = urlparse(self.path)
@@ -55,12 +62,23 @@ class Handler(BaseHTTPRequestHandler):
             self.say(404 if where.path.endswith("none") else 200, json.dumps({"data": data} | ({"next": at + 4} if at + 4 < 10 else {})).encode())
         elif where.path.startswith("/doi/"):
             self.say(404 if "none" in where.path else 200, json.dumps({"best_oa_location": {"url_for_pdf": "b"}, "oa_locations": [{"url_for_pdf": "a"}, {"url_for_pdf": None}, {"url_for_pdf": "b"}]}).encode())
-        elif where.path == "/file":
+        elif where.path.startswith("/file"):
             have = int((self.headers.get("Range") or "bytes=0-")[6:-1])
-            self.send_response(206 if have else 200)
-            self.send_header("Content-Length", str(len(BODY) - have))
+            n = sum(p == self.path for p in self.seen)
+            body = BODY if "changed" not in where.path or n == 1 else BODY[::-1] + b"new"
+            tag = None if "plain" in where.path else f'"{len(body)}"'
+            on = have if have and (tag is None or self.headers.get("If-Range") == tag) else 0
+            self.send_response(206 if on else 200)
+            self.send_header("Content-Length", str(len(body) - on))
+            if tag:
+                self.send_header("ETag", tag)
+            if on:
+                self.send_header("Content-Range", f"bytes {on}-{len(body) - 1}/{len(body)}")
             self.end_headers()
-            self.wfile.write(BODY[have:] if have else BODY[:100_000])  # the first transfer breaks
+            self.wfile.write(body[on:] if n > 1 else body[:100_000])  # the first transfer breaks
+        elif where.path == "/paced":
+            TIMES.append(time.monotonic())
+            self.say(200, json.dumps({"n": q["v"]}).encode())
         else:
             self.say(404, b"")
 
@@ -112,11 +130,55 @@ def test_pauses_waits_and_errors_that_stay(base):
     Handler.failures.clear()
 
 
-def test_layout_batches_downloads_and_archives(spark, base, tmp_path):
-    assert [b["page"] for b in S.layout_blocks(b"pdf", 12, base + "/layout?first={first}&last={last}", S.Client())] == list(range(12))
-    out = S.downloads(spark.createDataFrame([("a.bin", base + "/file"), ("b.bin", base + "/missing")], "name string, url string"), str(tmp_path)).collect()
-    assert {r.name: (r.bytes, r.error is None) for r in out} == {"a.bin": (len(BODY), True), "b.bin": (None, False)}
-    assert (tmp_path / "a.bin").read_bytes() == BODY and not (tmp_path / "a.bin.part").exists()
+def test_a_pace_holds_over_all_lanes(spark, base):
+    spark.dataSource.register(S.PagedJson)
+    values = "\n".join(map(str, range(30)))
+    for lanes in (1, 8):
+        TIMES.clear()
+        read = spark.read.format("paged_json").option("url", base + "/paced?v={value}").option("values", values).option("fields", '{"n": "n"}').option("pause", "0.1").option("lanes", str(lanes)).load()
+        assert read.rdd.getNumPartitions() == lanes and sorted(r.n for r in read.collect()) == sorted(map(str, range(30)))
+        began = min(TIMES)
+        assert len(TIMES) == 30 and max(sum(began + s <= t < began + s + 1 for t in TIMES) for s in range(4)) <= 10 + lanes
+        assert max(TIMES) - began >= 2.0
+
+
+def test_a_service_is_obeyed(base):
+    slept = []
+    client = S.Client(waits=(1.0,), sleep=slept.append)
+    Handler.failures["/doi/slow"] = 1
+    plain = Handler.say
+    try:
+        Handler.say = lambda self, code, body, **h: plain(self, code, body, **({"Retry_After": "600"} if code == 429 else h))
+        client.get(base + "/doi/slow")
+    finally:
+        Handler.say = plain
+    assert slept == [600.0]
+
+
+def test_layout_batches(spark, base):
+    from quillspark.sources import pdf as P
+
+    data = [(name, P.pdf_bytes([[(10.0, f"page {i}")] for i in range(n)], {}, n % 2 == 0)) for name, n in (("a", 12), ("b", 3))] + [("bad", b"no pdf")]
+    files = spark.createDataFrame(data, "name string, content binary")
+    Handler.seen.clear()
+    rows = S.layout_service(files, "name", base + "/layout?first={first}&last={last}", batch=5, lanes=2).collect()
+    assert [(r.page, r.pos, r.block_type) for r in sorted(rows, key=lambda r: r.pos) if r.name == "a"] == [(i // 2, i, "ab"[i % 2]) for i in range(24)]
+    assert len(Handler.seen) == 4 and {r.html for r in rows if r.name == "b"} == {str(len(data[1][1]))} and rows[0].bbox == [0, 1, 2.5, 3]
+    Handler.seen.clear()
+    rows = S.layout_service(files, "name", base + "/layout?first={first}&last={last}", batch=5, first=4, last=5).collect()
+    assert sorted({r.page for r in rows}) == [4, 5] and sorted(p.split("?")[1] for p in Handler.seen) == ["first=4&last=4", "first=5&last=5"]
+    rows = S.layout_service(files, "name", base + "/layout?first={first}&last={last}", batch=3).collect()
+    assert [(r.name, r.page) for r in rows if r.error] == [("a", None)] and sum(r.error is None for r in rows) == 2 * 9 + 2 * 3
+
+
+def test_downloads_and_archives(spark, base, tmp_path):
+    Handler.seen.clear()
+    wanted = spark.createDataFrame([("a.bin", base + "/file"), ("b.bin", base + "/missing"), ("c.bin", base + "/file/changed"), ("d.bin", base + "/file/plain")], "name string, url string")
+    out = S.downloads(wanted, tmp_path.as_uri(), lanes=3).collect()
+    assert {r.name: (r.bytes, r.error is None) for r in out} == {"a.bin": (len(BODY), True), "b.bin": (None, False), "c.bin": (len(BODY) + 3, True), "d.bin": (len(BODY), True)}
+    assert [(tmp_path / f"{n}.bin").read_bytes() for n in "acd"] == [BODY, BODY[::-1] + b"new", BODY] and not list(tmp_path.glob("*.part*"))
+    with pytest.raises(ValueError, match="file:///"):
+        S.downloads(wanted, "hdfs://x/y")
     with tarfile.open(tmp_path / "s.tar", "w") as t:
         info = tarfile.TarInfo("x/main.tex")
         info.size = 3
