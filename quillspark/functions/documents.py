@@ -89,19 +89,19 @@ def chunk(text: str, target: int = 800, hard: int = 1000, sections: Sequence[tup
     return out
 
 
-def chunks(text: Column | str, target: int = 800, hard: int = 1000) -> Column:
+def chunks(text: Column | str, target: int = 800, hard: int = 1000, count: Callable[[str], int] = rough_tokens) -> Column:
     """The chunks of a text as an array of (section, char_start, char_end, text)."""
     names = ("section", "char_start", "char_end", "text")
 
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(names, c, strict=True)) for c in chunk(t, target, hard)] if t else [])
+        return texts.map(lambda t: [dict(zip(names, c, strict=True)) for c in chunk(t, target, hard, count=count)] if t else [])
 
     return F.pandas_udf(cut, CHUNK)(text)
 
 
-def chunk_documents(docs: DataFrame, key: str, text: str, target: int = 800, hard: int = 1000) -> DataFrame:
+def chunk_documents(docs: DataFrame, key: str, text: str, target: int = 800, hard: int = 1000, count: Callable[[str], int] = rough_tokens) -> DataFrame:
     """A row for each chunk: key, ordinal, section, char_start, char_end, text."""
-    return docs.select(key, F.posexplode(chunks(text, target, hard)).alias("ordinal", "c")).select(key, "ordinal", "c.*")
+    return docs.select(key, F.posexplode(chunks(text, target, hard, count)).alias("ordinal", "c")).select(key, "ordinal", "c.*")
 
 
 _SKIP = re.compile(r"\\(.)|%[^\n]*", re.DOTALL)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
 from quillspark.functions import documents as D
+from quillspark.functions.tokens import TokenCounter
+from quillspark.operators import relational as R
 from quillspark.registry import query, spread, table
 
 COL = F.col
@@ -241,7 +243,10 @@ def txt3_chunks(spark: SparkSession, d: str) -> DataFrame:
     return D.chunk_documents(_docs(spark, d), "doc_id", "text", target=800, hard=1000)
 
 
-@query(r"SELECT doc_id, true AS exact, true AS in_order, true AS in_budget, md5(regexp_replace(regexp_replace(text, '(?m)^((?:[^%\n]*[^%\n\\])?(?:\\\\)*)%[^\n]*', '\1', 'g'), '\s', '', 'g')) AS said FROM documents")
+_CHUNK_LAWS = r"SELECT doc_id, true AS exact, true AS in_order, true AS in_budget, md5(regexp_replace(regexp_replace(text, '(?m)^((?:[^%\n]*[^%\n\\])?(?:\\\\)*)%[^\n]*', '\1', 'g'), '\s', '', 'g')) AS said FROM documents"
+
+
+@query(_CHUNK_LAWS)
 def txt3_chunk_laws(spark: SparkSession, d: str) -> DataFrame:
     """Offsets give the chunks' texts, chunks don't overlap and keep the budget, and together they hold all but white space."""
     rows = _docs(spark, d).select("doc_id", C.strip_comments(COL("text")).alias("bare"), D.chunks("text").alias("c"))
@@ -325,9 +330,35 @@ def sca3_latency(spark: SparkSession, d: str) -> DataFrame:
 @query(r"WITH p AS (SELECT doc_id, translate(text, '%\', '') AS t FROM documents), h AS (SELECT doc_id, unnest(['One', 'Two']) AS name, unnest([substr(t, 1, length(t) // 2), substr(t, length(t) // 2 + 1)]) AS part FROM p) SELECT doc_id, name, length(regexp_replace(part, '^\s+|\s+$', '', 'g'))::BIGINT AS token_count FROM h WHERE length(regexp_replace(part, '\s', '', 'g')) > 0")
 def agg6b_source_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Halves of each text as sections, measured over the source and not over the joined chunks."""
-    from quillspark.operators import relational as R
-
     half = F.floor(F.length("plain") / 2).cast("int")
     rows = _docs(spark, d).select("doc_id", F.translate("text", "%\\", "").alias("plain"))
     rows = rows.select("doc_id", F.concat(F.lit("\\section{One}"), F.substr("plain", F.lit(1), half), F.lit("\\section{Two}"), F.substr("plain", half + 1, F.length("plain"))).alias("text"))
     return R.section_index_of_source(D.chunk_documents(rows, "doc_id", "text"), rows, "doc_id", "text", F.length).select("doc_id", "name", "token_count")
+
+
+def _counter() -> TokenCounter:
+    import public_tokenizers
+
+    return TokenCounter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query(_CHUNK_LAWS)
+def txt3_token_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The laws of chunks by a tokenizer's counts."""
+    count = _counter()
+    docs = _docs(spark, d).select("doc_id", C.strip_comments(COL("text")).alias("bare"))
+    rows = docs.select("doc_id", "bare", F.posexplode_outer(D.chunks("bare", count=count)).alias("pos", "c")).select("doc_id", "bare", "pos", "c.*")
+    rows = rows.withColumn("n", count.column(COL("text"))).withColumn("same", F.substr("bare", COL("char_start") + 1, COL("char_end") - COL("char_start")) == COL("text"))
+    whole = rows.groupBy("doc_id").agg(F.bool_and(F.coalesce("same", F.lit(True))).alias("exact"), (F.coalesce(F.max("n"), F.lit(0)) <= 1000).alias("in_budget"), F.sort_array(F.collect_list(F.struct("pos", "char_start", "char_end", "text"))).alias("c"))
+    pairs = F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c")), lambda a, b: b["pos"].isNull() | (a["char_end"] <= b["char_start"]))
+    said = F.md5(F.regexp_replace(F.array_join(F.transform("c", lambda c: c["text"]), ""), r"\s", "").cast("binary"))
+    return whole.select("doc_id", "exact", F.forall(pairs, lambda x: x).alias("in_order"), "in_budget", said.alias("said"))
+
+
+@query()
+def agg6_token_index(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of documents with the numbers of their chunks and of their tokens, by a tokenizer's counts."""
+    count = _counter()
+    docs = _docs(spark, d).select("doc_id", F.concat(F.lit("\\section{One}\n"), F.coalesce("text", F.lit("")), F.lit("\n\\section{Two} end")).alias("text"))
+    chunks = D.chunk_documents(docs, "doc_id", "text", count=count)
+    return R.section_index(chunks, "doc_id", count.column)

@@ -240,3 +240,23 @@ def test_lone_figures_in_one_pass():
 def test_escapes_keep_control_characters(spark):
     row = spark.createDataFrame([("a\u0001b\\c~_", None)], "t string, n string").select(C.tex_escape(F.col("t")), C.tex_escape(F.col("n"))).first()
     assert tuple(row) == ("a\u0001b\\textbackslash{}c\\textasciitilde{}\\_", None)
+
+
+def test_token_counts_equal_the_tokenizer():
+    tiktoken, public = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    import base64
+    import pickle
+    from pathlib import Path
+
+    from quillspark.functions.tokens import TokenCounter, merged
+
+    path = public.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
+    own = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    count, rng = pickle.loads(pickle.dumps(TokenCounter(path, public.PATTERN))), random.Random(6)
+    texts = ["", " ", "Hello world!!", "größer als 漢字 😀", "<|endoftext|>", "a" * 3000, "ab" * 999, "x=1;\n\n\n  y", "\u0301\u00ad"]
+    texts += ["".join(rng.choice("abcdefghij  \n.,éß漢0123") for _ in range(rng.randrange(200))) for _ in range(300)]
+    assert [count(t) for t in texts] == [len(own.encode_ordinary(t)) for t in texts]
+    assert merged(b"aaaaa", {b"a": 0, b"aa": 1, b"aaa": 2}) == 2 and merged(b"", {}) == 0 and merged(b"abc", {}) == 3
+    pieces = D.chunk("word " * 5000, count=count)
+    assert all(500 < count(c[3]) <= 1000 for c in pieces[:-1])
