@@ -259,4 +259,4 @@ def test_token_counts_equal_the_tokenizer():
     assert [count(t) for t in texts] == [len(own.encode_ordinary(t)) for t in texts]
     assert merged(b"aaaaa", {b"a": 0, b"aa": 1, b"aaa": 2}) == 2 and merged(b"", {}) == 0 and merged(b"abc", {}) == 3
     pieces = D.chunk("word " * 5000, count=count)
-    assert all(500 < count(c[3]) <= 1000 for c in pieces[:-1])
+    assert all(400 < count(c[3]) <= 1000 for c in pieces[:-1])
