@@ -29,7 +29,7 @@ from quillspark.llm.frames import tune
 from quillspark.llm.words import Sums, mix, slices, text_bytes
 
 LONG = 256
-#: Longer pieces are known by their bytes, shorter ones by a hash of over 64 bits and their first 8 bytes.
+#: Longer pieces are known by their bytes, shorter ones by a hash and their first 8 bytes; what they decode to is compared.
 EXACT = 64
 REMEMBER, REMEMBER_BYTES = 250_000, 8 << 20
 BUCKETS = (4, 6, 8, 10, 12, 16, 24, 32, 64, 128, LONG)
@@ -98,6 +98,7 @@ class Bpe:
         for t, r in self.ranks.items():
             self.tokens[r] = t
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        self.token_sizes = np.array([len(t) for t in self.tokens], np.int64)
         self._hash_pairs()
         self.forget()
 
@@ -282,12 +283,26 @@ class Bpe:
             self._remember(np.frombuffer(name[:8], U), np.frombuffer(name[8:16], U), *self._merged(data, start, end))
         return self.long[raw]
 
-    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts end to end, and the n + 1 offsets of the texts in them."""
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+        """Ids of the texts end to end, the n + 1 offsets of the texts in them, and the bytes that the ids decode to.
+
+        The memory knows most pieces by hashes alone. So the ids are decoded, and unless each piece gives its own bytes again, all
+        pieces are merged anew without the memory.
+        """
         start = split_pieces(data, offsets, self.classes)
         if not len(start):
-            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64), b""
         end = np.append(start[1:], len(data))
+        ids, counts = self._known(data, start, end)
+        ends, raw = np.cumsum(counts), data.tobytes()
+        decoded = self.decode(ids)
+        if decoded != raw or (np.add.reduceat(self.token_sizes[ids], ends - counts) != end - start).any():
+            ids, counts = self._merged(data, start, end)
+            ends, decoded = np.cumsum(counts), self.decode(ids)
+        return ids, np.concatenate([[0], ends])[np.searchsorted(start, offsets)], decoded
+
+    def _known(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces end to end, and how many each has, from the memory, into which new pieces go."""
         size = end - start
         keys = mix(Sums.of_bytes(data).hash(start, end) + size.astype(U))
         heads = np.zeros(len(start), U)
@@ -313,11 +328,10 @@ class Bpe:
         counts = self.sizes[at].astype(np.int64)
         ends = np.cumsum(counts)
         where = np.repeat(self.starts[at] - (ends - counts), counts) + np.arange(int(ends[-1]))
-        bounds = np.searchsorted(start, offsets)
-        return self.ids[where], np.concatenate([[0], ends])[bounds]
+        return self.ids[where], counts
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        return self.encode_bytes(*text_bytes(pa.array(texts, pa.string())))
+        return self.encode_bytes(*text_bytes(pa.array(texts, pa.string())))[:2]
 
     def decode(self, ids: np.ndarray) -> bytes:
         tokens = self.tokens
@@ -351,24 +365,22 @@ def _mapped(docs: DataFrame, path: str, pattern: str, schema: str, each) -> Data
             data, offsets = text_bytes(batch.column(1))
             for a, b in slices(offsets):
                 part = offsets[a : b + 1]
-                ids, bounds = bpe.encode_bytes(data[part[0] : part[-1]], part - part[0])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *each(bpe, ids, bounds)], names=names)
+                ids, bounds, decoded = bpe.encode_bytes(data[part[0] : part[-1]], part - part[0])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *each(ids, bounds, decoded, part - part[0])], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _digests(bpe: Bpe, ids: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-    parts = [ids[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    return [
-        pa.array(np.diff(offsets)),
-        pa.array([hashlib.sha256(p.astype("<u4").tobytes()).hexdigest() for p in parts]),
-        pa.array([hashlib.sha256(bpe.decode(p)).hexdigest() for p in parts]),
-    ]
+def _digests(ids: np.ndarray, offsets: np.ndarray, decoded: bytes, places: np.ndarray) -> list[pa.Array]:
+    """Counts, and digests of ids and of decoded bytes; places: where each text's bytes begin, as each piece decodes to its own."""
+    raw, own = ids.astype("<u4").tobytes(), memoryview(decoded)
+    digests = lambda data, at: pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())
+    return [pa.array(np.diff(offsets)), digests(memoryview(raw), offsets * 4), digests(own, places)]
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
     """doc_id, ids (the token ids of each whole text), and the columns of digest()."""
-    return _mapped(docs, path, pattern, IDS, lambda bpe, ids, offsets: [pa.ListArray.from_arrays(offsets.astype(np.int32), ids), *_digests(bpe, ids, offsets)])
+    return _mapped(docs, path, pattern, IDS, lambda ids, offsets, decoded, places: [pa.ListArray.from_arrays(offsets.astype(np.int32), ids), *_digests(ids, offsets, decoded, places)])
 
 
 def digest(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:

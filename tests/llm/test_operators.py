@@ -524,6 +524,18 @@ def test_bpe_equals_the_reference_library(spark):
     assert bpe.digest(documents(spark, texts).limit(0), path).count() == 0
 
 
+def test_bpe_pieces_of_one_hash_keep_their_ids(monkeypatch):
+    vocabulary = Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes()
+    texts = [" international internationally internationale internationalism", "characterization characterized", " internationally" * 3, "\n", None, " international"]
+    want = [bpe.Bpe(vocabulary).encode([t])[0].tolist() for t in texts]
+    monkeypatch.setattr(bpe, "mix", lambda x: np.zeros(len(x), np.uint64))
+    one = bpe.Bpe(vocabulary)
+    for _ in range(2):
+        assert [one.encode([t])[0].tolist() for t in texts] == want
+    ids, bounds = one.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
+
+
 def test_bpe_memory_starts_anew(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBER", 20)
     own = bpe.Bpe(Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes())
