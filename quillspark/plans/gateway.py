@@ -144,18 +144,33 @@ def srt5_gateway_cap(spark: SparkSession, d: str) -> DataFrame:
     return Gateway(spark, d).frame("WITH big AS (SELECT o_custkey, sum(o_totalprice) AS spent FROM orders GROUP BY 1) SELECT c_custkey, round(spent, 2) AS spent FROM big JOIN customer ON c_custkey = o_custkey ORDER BY spent DESC, c_custkey")
 
 
-@query("SELECT * FROM (VALUES (0, false), (1, false), (2, false), (3, false), (4, false), (5, false), (6, true), (7, true)) t(i, admitted)")
+@query("SELECT i, i >= 6 AS admitted, CASE i WHEN 6 THEN (SELECT count(*) FROM orders) WHEN 7 THEN (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)) END AS n FROM (SELECT unnest(range(8)) AS i)")
 def sql1_admission(spark: SparkSession, d: str) -> DataFrame:
-    """What the validator says to a list of statements."""
+    """What the validator says to a list of statements, and how many rows the admitted ones find in the tables."""
     tries = (
         "DROP TABLE orders", "SELECT 1; SELECT 2", "SELECT * FROM secret", "SELECT * FROM spark_catalog.default.orders", "SELECT * FROM parquet.`/tmp/x`",
         "WITH q AS (SELECT * FROM secret) SELECT * FROM q", "WITH q AS (SELECT * FROM orders) SELECT * FROM q", "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)",
     )
-    out = []
+    gateway, out = Gateway(spark, d), spark.createDataFrame([], "i long, admitted boolean, n long")
     for i, sql in enumerate(tries):
         try:
-            admit(spark, sql, TABLES)
-            out.append((i, True))
+            found = spark.sql(admit(spark, sql, gateway.allowed)).agg(F.count("*").alias("n"))
         except Rejected:
-            out.append((i, False))
-    return spark.createDataFrame(out, "i int, admitted boolean").select(F.col("i"), "admitted")
+            found = spark.range(1).select(F.lit(None).cast("long").alias("n"))
+        out = out.unionByName(found.select(F.lit(i).cast("long").alias("i"), F.col("n").isNotNull().alias("admitted"), "n"))
+    return out
+
+
+@query("SELECT c_mktsegment AS segment, 2 AS rounds, count(*) AS told, sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END)::BIGINT AS owing FROM customer GROUP BY 1")
+def sql3_bounded_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """An author that first asks for something it may not have, then for the segments with their numbers, and answers with what it saw."""
+    gateway = Gateway(spark, d)
+    script = ["SELECT * FROM secret", "SELECT c_mktsegment AS segment, count(*) AS told, count_if(c_acctbal < 0) AS owing FROM customer GROUP BY c_mktsegment"]
+
+    def author(seen: list[tuple[str, dict[str, Any]]], last: bool) -> Round:
+        return Round("finalize", answer=seen[-1][0]) if last or len(seen) == len(script) else Round("query", script[len(seen)])
+
+    step, seen = ask(gateway, author)
+    if "error" not in seen[0][1]:
+        raise AssertionError("the first query wasn't rejected")
+    return gateway.frame(step.answer).select("segment", F.lit(len(seen)).alias("rounds"), "told", "owing")

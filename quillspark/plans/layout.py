@@ -102,7 +102,14 @@ def joi23_group_alignment(spark: SparkSession, d: str) -> DataFrame:
     return L.aligned_groups(groups, frames)
 
 
-@query()
+@query(
+    "WITH RECURSIVE l AS (SELECT doc_id, pos, list_distinct(list_filter(regexp_extract_all(lower(regexp_replace(line, '<[^>]+>', ' ', 'g')), '[a-z0-9]+'), lambda w: length(w) >= 2)) AS toks FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE contains(text, chr(10)))), "
+    "p AS (SELECT g.doc_id, g.pos AS target, c.pos AS candidate, len(list_intersect(g.toks, c.toks)) / len(g.toks) AS score FROM l g JOIN l c ON g.doc_id = c.doc_id AND g.pos % 2 = 0 AND c.pos % 2 = 1 AND len(g.toks) > 0), "
+    "n AS (SELECT doc_id, target, row_number() OVER (PARTITION BY doc_id ORDER BY target) AS k, cs FROM (SELECT doc_id, target, list({'c': candidate, 's': score} ORDER BY score DESC, candidate) AS cs FROM p WHERE score >= 0.2 GROUP BY 1, 2)), "
+    "r AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, []::BIGINT[] AS used, 0::BIGINT AS target, {'c': NULL::BIGINT, 's': NULL::DOUBLE} AS f FROM n UNION ALL "
+    "SELECT doc_id, k, CASE WHEN f.c IS NULL THEN used ELSE list_append(used, f.c) END, target, f FROM (SELECT r.doc_id, n.k, r.used, n.target, list_filter(n.cs, lambda x: NOT list_contains(r.used, x.c))[1] AS f FROM r JOIN n ON n.doc_id = r.doc_id AND n.k = r.k + 1)) "
+    "SELECT doc_id, target, f.c AS candidate, f.s AS score FROM r WHERE f.c IS NOT NULL"
+)
 def joi11_greedy_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Each line of a document takes the earlier unused half of another that shares most of its words."""
     lines = table(spark, d, "documents").filter(COL("text").contains("\n")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))

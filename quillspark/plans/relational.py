@@ -86,14 +86,20 @@ def fil11_retention(spark: SparkSession, d: str) -> DataFrame:
     return R.expired(table(spark, d, "orders"), "o_orderdate", F.lit(NOW).cast("timestamp_ntz"), 365).select("o_orderkey")
 
 
-@query("SELECT * FROM (VALUES ('r_regionkey', 'int'), ('r_name', 'string')) AS t(name, type)")
+@query("SELECT 'doc_id' AS name, 'bigint' AS type, count(doc_id) AS filled FROM documents UNION ALL SELECT 'text', 'string', count(text) FROM documents UNION ALL SELECT 'lang', 'string', count(lang) FROM documents UNION ALL SELECT 'source', 'string', count(source) FROM documents UNION ALL SELECT 'n_chars', lower(any_value(typeof(n_chars))), count(n_chars) FROM documents")
 def prj1_describe(spark: SparkSession, d: str) -> DataFrame:
-    return R.describe(table(spark, d, "region"))
+    """The columns of a table, and how many rows have a value there."""
+    docs = table(spark, d, "documents")
+    counts = docs.agg(*(F.count(c).alias(c) for c in docs.columns))
+    return R.describe(docs).join(counts.unpivot([], docs.columns, "of", "filled"), COL("name") == COL("of")).select("name", F.when(COL("type") == "int", "integer").otherwise(COL("type")).alias("type"), "filled")
 
 
-@query("SELECT * FROM (VALUES ('nation'), ('region')) AS t(name)")
+@query("SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'region', count(*) FROM region")
 def prj2_list_tables(spark: SparkSession, d: str) -> DataFrame:
-    return R.list_tables(spark, ["region", "nation"])
+    """The tables that may be read, with their rows."""
+    names = ["region", "orders", "nation"]
+    counts = [table(spark, d, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("of"), "n") for n in names]
+    return R.list_tables(spark, names).join(counts[0].unionByName(counts[1]).unionByName(counts[2]), COL("name") == COL("of")).select("name", "n")
 
 
 @query("SELECT o_custkey, o_orderpriority AS name, count(*) AS chunks, sum(length(o_orderstatus))::BIGINT AS tokens FROM orders GROUP BY 1, 2")
