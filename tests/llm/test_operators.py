@@ -199,6 +199,51 @@ def test_language_scores_follow_the_definition():
     assert set(lang.to_pylist()) <= {"x", "y"}
 
 
+def plain_features(text):
+    """Embedding rows of each word, one multiplication at a time."""
+    from quillspark.llm import words as W
+
+    raw, base, rows, word = (text or "").encode().lower(), int(W._BASE), [], b""
+    for c in [*raw, 32]:
+        if not toxicity.NOT_WORD[c]:
+            word += bytes([c])
+            continue
+        if word:
+            own = []
+            for i, size in enumerate((1 << 30, *toxicity.PREFIXES)):
+                total = sum(int(W._BYTE[b]) * pow(base, k, 1 << 64) for k, b in enumerate(word[:size])) % (1 << 64)
+                own.append((int(W.mix(np.array([(total + i) % (1 << 64)], np.uint64))[0]) >> 48) + i * toxicity.BUCKETS)
+            rows.append(own)
+        word = b""
+    return rows
+
+
+def test_toxicity_scores_follow_the_definition():
+    """Embeddings, convolutions, pooling and calibration with loops over single numbers."""
+    rng = np.random.default_rng(8)
+    n = len(toxicity.WIDTHS) * toxicity.FILTERS
+    model = toxicity.Model(
+        rng.normal(0, 0.5, (toxicity.KINDS * toxicity.BUCKETS, toxicity.DIM)).astype(np.float32), [rng.normal(0, 0.4, (w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS],
+        rng.normal(0, 0.3, n).astype(np.float32), rng.normal(0, 0.5, n).astype(np.float32), 0.2, ["aa", "bb"], rng.normal(0, 1, (toxicity.BUCKETS, 2)).astype(np.float32), np.array([0.3, -0.4]), np.array([0.7, 1.3]),
+    )
+    pick = random.Random(8)
+    texts = ["", None, "one", "One, two!", "größer_als x9"] + [prose(pick, pick.randint(1, 30), "abCé-") for _ in range(25)]
+    got = toxicity.score_texts(model, pa.array(texts, pa.string()))[0].to_pylist()
+    for text, score in zip(texts, got, strict=True):
+        rows_ = plain_features(text)
+        vectors = [[sum(float(model.embed[r][d]) for r in row) for d in range(toxicity.DIM)] for row in rows_]
+        pooled = []
+        for w, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                sums = [sum(vectors[at + o][d] * float(model.filters[w][o][d][f]) for o in range(width) for d in range(toxicity.DIM)) for at in range(len(vectors) - width + 1)]
+                pooled.append(max(0.0, max(sums) + float(model.bias[w * toxicity.FILTERS + f])) if sums else 0.0)
+        logit = sum(p * float(o) for p, o in zip(pooled, model.out, strict=True)) + model.out_bias
+        votes = [sum(float(model.words[row[0]][k]) for row in rows_) for k in range(2)]
+        lang = votes.index(max(votes))
+        z = (logit - model.cuts[lang]) * model.scales[lang] + np.log(toxicity.CUT / (1 - toxicity.CUT))
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-4
+
+
 # ---- 4: sharding
 
 
@@ -407,6 +452,48 @@ def test_crf_learns_lines_and_viterbi_is_exact(spark):
         assert abs(max(map(value, paths)) - value(states[a:b].tolist())) < 1e-9
 
 
+def plain_verdict(crf, text, min_share=0.5):
+    """kept, word by word and line by line: features, the best path of states, and the share of content."""
+    text = text or ""
+    base_failed = brute_quality(text)[5]
+    w = words_of(text)
+    windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    again = {j for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+    seen, at, x, sizes = set(), 0, [], []
+    for line in text.split("\n"):
+        own = words_of(line)
+        if not own:
+            continue
+        n, chars = len(own), sum(map(len, own))
+        symbols = len(re.findall(r"[#*$%&|<>]", line))
+        same = sum(a == b for a, b in zip(own, own[1:], strict=False))
+        x.append([
+            1, np.log(n) / 4, min(1, 5 * symbols / chars), min(chars / n, 20) / 8, min(1, 2 * len(re.findall("[A-Z]", line)) / chars), len(re.findall("[0-9]", line)) / chars,
+            min(1, 3 * sum(bool(re.fullmatch(r"[#*$%&|<>]", v)) for v in own) / n), len(again & set(range(at, at + n))) / n, min(1, 3 * same / n), float(line in seen), sum(v.endswith("!") for v in own) / n,
+        ])
+        seen.add(line)
+        sizes.append(chars)
+        at += n
+    best = [(0.0, [])]
+    for k, row in enumerate(x):
+        score = [sum(v * crf.weights[f, s] for f, v in enumerate(row)) for s in (0, 1)]
+        best = [max(((v + (crf.steps[p[-1], s] if k else 0) + score[s], [*p, s]) for v, p in best), key=lambda b: b[0]) for s in (0, 1)]
+    states = max(best, key=lambda b: b[0])[1]
+    content = sum(n for n, s in zip(sizes, states, strict=True) if s)
+    return not base_failed and content / max(1, sum(sizes)) >= min_share
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    rng, draw = random.Random(17), np.random.default_rng(17)
+    line = lambda: rng.choice([prose(rng, rng.randint(1, 12)), " | ".join(prose(rng, 5).split()), "BUY NOW! 50 % OFF!", "a b c d e f", "x x x", "", " \t", "é# ü & * 12"])
+    texts = [None, ""] + ["\n".join(line() for _ in range(rng.randint(1, 14))) for _ in range(150)]
+    for _ in range(3):
+        crf = quality.Crf(draw.normal(0, 1, (quality.N_FEATURES, 2)), draw.normal(0, 0.7, (2, 2)))
+        got = rows(quality.judge_documents(documents(spark, texts), crf), "doc_id", "kept")
+        assert got == [(i, plain_verdict(crf, t)) for i, t in enumerate(texts)]
+        assert 20 < sum(k for _, k in got) < 140
+
+
 # ---- 8: near duplicates
 
 
