@@ -21,7 +21,7 @@ results; empty tables give no rows. Only doc_id and text, and item_id, text (or
 
 Scale: no shuffle of texts. The index goes out as a broadcast; items of over SET_BYTES are dealt by a hash to sets of about
 that size, and each set is one more pass over the texts. Word statistics are always of all items; for several sets they are
-a grouped table, and the driver holds one set at a time. An item is one row and must fit in a set.
+a grouped table, and one set at a time is held by the driver and sent out. An item is one row and must fit in a set.
 """
 
 from __future__ import annotations
@@ -316,8 +316,8 @@ def _term_counts(rows: DataFrame, names: list[str]) -> DataFrame:
     return materialise(found.select("part", "term").distinct().join(df.hint("merge"), "term").select("part", "term", "df", F.lit(totals[0]).alias("entries"), F.lit(totals[1]).alias("words")), "counts")
 
 
-def _indexes(items: DataFrame) -> Iterator[Index | None]:
-    """The index of each set of items, all by the statistics of all items."""
+def _indexes(items: DataFrame) -> Iterator[tuple[Index | None, bool]]:
+    """The index of each set of items, all by the statistics of all items, and whether there are several."""
     names = [c for c in ("item_id", "text", "question", "answer") if c in items.columns]
     if "question" in names and "answer" not in names:
         names.remove("question")
@@ -327,7 +327,7 @@ def _indexes(items: DataFrame) -> Iterator[Index | None]:
     rows = rows.withColumn("part", F.pmod(F.xxhash64(*names), F.lit(sets)).cast("int"))
     some = lambda i: rows.filter(F.col("part") == i).drop("part").toPandas().sort_values(names, kind="stable")
     if sets == 1:
-        yield build_index(some(0))
+        yield build_index(some(0)), False
         return
     counts = _term_counts(rows, names)
     for i in range(sets):
@@ -335,7 +335,7 @@ def _indexes(items: DataFrame) -> Iterator[Index | None]:
         terms = own["term"].to_numpy(np.int64).view(U)
         order = np.argsort(terms)
         of = Statistics(terms[order], own["df"].to_numpy()[order], int(own["entries"].iloc[0]), int(own["words"].iloc[0])) if len(own) else None
-        yield build_index(some(i), of)
+        yield build_index(some(i), of), True
 
 
 @scoped
@@ -344,7 +344,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_ov
     spark = docs.sparkSession
     tune(spark)
     out = None
-    for built in _indexes(items):
+    for built, several in _indexes(items):
         sent = spark.sparkContext.broadcast(built)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
@@ -361,6 +361,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_ov
                         yield pa.RecordBatch.from_arrays([doc, pa.array(index.ids[list(i)], pa.int64()), *(pa.array(x, pa.float64()) for x in rest[:3]), pa.array(rest[3], pa.int64())], names=[x.split()[0] for x in FOUND.split(", ")])
 
         found = docs.select("doc_id", "text").mapInArrow(run, FOUND)
+        if several:  # one set's index is sent at a time
+            found = materialise(found, "found")
+            sent.unpersist()
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], FOUND) if out is None else out
 
@@ -369,7 +372,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_ov
 def with_leaks(docs: DataFrame, items: DataFrame, name: str, threshold: float = 0.5, min_overlap: float = 0.6) -> DataFrame:
     """docs and a column with the number of test items in each text."""
     out = docs.withColumn(name, F.lit(0))
-    for i, built in enumerate(_indexes(items)):
+    for i, (built, several) in enumerate(_indexes(items)):
         sent = docs.sparkSession.sparkContext.broadcast(built)
 
         def count(texts: pa.Array, sent=sent) -> list[pa.Array]:  # noqa: ANN001
@@ -382,4 +385,7 @@ def with_leaks(docs: DataFrame, items: DataFrame, name: str, threshold: float =
             return [pa.array(n)]
 
         out = with_columns(out, "text", count, [T.StructField(f"{name}_{i}", T.IntegerType())]).withColumn(name, F.col(name) + F.col(f"{name}_{i}")).drop(f"{name}_{i}")
+        if several:
+            out = materialise(out, "leaks", instead_of=out)
+            sent.unpersist()
     return out
