@@ -95,14 +95,21 @@ def src4_pdf_headings(spark: SparkSession, d: str) -> DataFrame:
     return SP.sections(state.materialise(SP.spans(files), "spans"), "doc_id").select("doc_id", "name", "char_start")
 
 
-@query("SELECT doc_id::VARCHAR AS key, CASE WHEN doc_id % 4 = 2 THEN 'A title of ' || doc_id ELSE 'Big words ' || doc_id END AS title, CASE WHEN doc_id % 3 = 0 THEN 'A B|C D|E ' || doc_id ELSE '' END AS authors, CASE WHEN doc_id % 5 = 0 THEN 2019 WHEN doc_id % 5 = 1 THEN 2001 END::INT AS year FROM documents")
+@query(
+    r"WITH t AS (SELECT doc_id, trim(regexp_replace(substr(coalesce(text, ''), 1, 60), '[\x09-\x0D\x20]+', ' ', 'g')) AS said, coalesce(regexp_extract_all(text, '[A-Za-z]+'), []) AS ws FROM documents) "
+    "SELECT doc_id::VARCHAR AS key, CASE WHEN doc_id % 4 > 1 AND length(said) >= 5 AND NOT regexp_matches(lower(said), '^(untitled|microsoft word - .*|layout [0-9]+|document[0-9]*|presentation[0-9]*)$') THEN said ELSE 'Big words ' || doc_id END AS title, "
+    "array_to_string(list_filter([ws[1] || 'q', ws[2] || 'q', ws[3] || 'q'], lambda w: w IS NOT NULL), '|') AS authors, CASE WHEN doc_id % 5 = 0 THEN 2019 WHEN doc_id % 5 = 1 THEN 2001 END::INT AS year FROM t"
+)
 def src5_pdf_metadata(spark: SparkSession, d: str) -> DataFrame:
-    """Titles that say something, else the largest words of the first page; authors apart; the first year that may be one."""
+    """The first words of each text as a title, or one that says nothing, so that the largest words of the first page count; its first words as authors; the first year that may be one."""
     key = COL("doc_id").cast("string")
-    title = F.when(COL("doc_id") % 4 == 0, "Untitled").when(COL("doc_id") % 4 == 1, "ab").when(COL("doc_id") % 4 == 2, F.concat(F.lit("  A   title of "), key)).otherwise("Microsoft Word - " + "x.doc")
+    title = F.when(COL("doc_id") % 4 == 0, "Untitled").when(COL("doc_id") % 4 == 1, "ab").otherwise(F.concat(F.lit(" "), F.regexp_replace(F.substr(F.coalesce("text", F.lit("")), F.lit(1), F.lit(60)), "\x0b", " ")))
+    names = F.slice(F.coalesce(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0), F.array().cast("array<string>")), 1, 3)
+    names = F.transform(names, lambda w: F.concat(w, F.lit("q")))
+    author = F.concat(F.array_join(F.slice(names, 1, 2), "; "), F.when(F.size(names) > 2, F.concat(F.lit(" and "), F.get(names, 2))).otherwise(""))
     page = F.array(F.struct(F.lit("Big  words").alias("text"), F.lit(20.0).alias("size")), F.struct(F.lit("small").alias("text"), F.lit(9.0).alias("size")), F.struct(key.alias("text"), F.lit(20.0).alias("size")))
     raw = table(spark, d, "documents").select(
-        key.alias("key"), title.alias("title"), F.when(COL("doc_id") % 3 == 0, F.concat(F.lit("A B; C D and E "), key)).alias("author"), F.when(COL("doc_id") % 5 == 0, "D:20190203").when(COL("doc_id") % 5 == 1, "D:1017").alias("created"),
+        key.alias("key"), title.alias("title"), author.alias("author"), F.when(COL("doc_id") % 5 == 0, "D:20190203").when(COL("doc_id") % 5 == 1, "D:1017").alias("created"),
         F.when(COL("doc_id") % 5 < 2, "D:2001").alias("modified"), page.alias("first_page"),
     )
     return SD.pdf_metadata(raw, 2026).select("key", "title", F.array_join("authors", "|").alias("authors"), COL("year").cast("int").alias("year"))
@@ -140,12 +147,23 @@ def txt2_original_offsets(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.forall(same, lambda x: x).alias("same"), COL("n").alias("last"))
 
 
-@query("SELECT p_partkey, '\\includegraphics[width=3cm]{' || CASE WHEN p_size % 3 = 0 THEN 'fig' ELSE 'example-image' END || '} \\includegraphics{fig}' AS tex, CASE WHEN p_size % 3 = 0 THEN '' ELSE 'p' || p_size END AS rejected FROM part".replace("\\\\", "\\"))
+_HALVES = r"h AS (SELECT doc_id, t, 'a ' || substr(t, 1, length(t) // 2) || '.' AS one, 'b ' || substr(t, length(t) // 2 + 1) || '.' AS two FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g') AS t FROM documents))"
+
+
+def _halves(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, t, one, two): a text's letters and digits, and their halves with something around them."""
+    half = F.floor(F.length("t") / 2).cast("int")
+    rows = _docs(spark, d).select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " ").alias("t"))
+    return rows.select("doc_id", "t", F.concat(F.lit("a "), F.substr("t", F.lit(1), half), F.lit(".")).alias("one"), F.concat(F.lit("b "), F.substr("t", half + 1, F.length("t")), F.lit(".")).alias("two"))
+
+
+@query("WITH " + _HALVES + r", w AS (SELECT *, regexp_extract(t, '[A-Za-z]+') AS w FROM h) SELECT doc_id, one || '\includegraphics[width=3cm]{' || CASE WHEN w IN ('Der', 'The', 'La', 'El', 'fig') THEN w ELSE 'example-image' END || 'x} ' || two || ' \includegraphics{fig}' AS tex, CASE WHEN w IN ('Der', 'The', 'La', 'El', 'fig') THEN '' ELSE w || 'x' END AS rejected FROM w".replace("|| 'x} '", "|| '} '").replace("THEN w ELSE", "THEN w || 'x' ELSE"))
 def txt35_graphics(spark: SparkSession, d: str) -> DataFrame:
-    key = F.when(COL("p_size") % 3 == 0, "fig").otherwise(F.concat(F.lit("p"), COL("p_size").cast("string")))
-    tex = F.concat(F.lit("\\includegraphics[width=3cm]{"), key, F.lit("} \\includegraphics{fig}"))
-    rows = table(spark, d, "part").select("p_partkey", D.graphics(tex, ["fig"]).alias("g"))
-    return rows.select("p_partkey", "g.tex", F.array_join("g.rejected", ",").alias("rejected"))
+    """Each text's first word as the name of a graphic between its halves, of which a few are known."""
+    name = F.concat(F.regexp_extract("t", "[A-Za-z]+", 0), F.lit("x"))
+    tex = F.concat("one", F.lit("\\includegraphics[width=3cm]{"), name, F.lit("} "), "two", F.lit(" \\includegraphics{fig}"))
+    rows = _halves(spark, d).select("doc_id", D.graphics(tex, ["fig", "Derx", "Thex", "Lax", "Elx", "figx"]).alias("g"))
+    return rows.select("doc_id", "g.tex", F.array_join("g.rejected", ",").alias("rejected"))
 
 
 @query("SELECT doc_id, true AS restored, 3 AS n FROM documents")
@@ -196,19 +214,22 @@ def add7_sse_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return parsed.select("user_id", F.size("e").cast("long").alias("n"), F.md5(F.array_join(F.transform("e", lambda e: F.concat(e["event"], e["data"])), "").cast("binary")).alias("said"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'a' || chr(10) || '\\begin{center}' || chr(10) || '\\includegraphics{f}' || chr(10) || '\\end{center}' || chr(10) || '\\par' || chr(10) || chr(10) || 'b' ELSE '\\begin{columns}' || chr(10) || '\\includegraphics{f}' || chr(10) || '\\end{columns}' END AS tex, true AS stable FROM part".replace("\\\\", "\\"))
+@query("WITH " + _HALVES + r" SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN one || chr(10) || '\begin{center}' || chr(10) || '\includegraphics{f}' || chr(10) || '\end{center}' || chr(10) || '\par' || chr(10) || chr(10) || two ELSE one || chr(10) || '\begin{columns}' || chr(10) || '\includegraphics{f}' || chr(10) || '\end{columns}' || chr(10) || two END AS tex, true AS stable FROM h")
 def add14_lone_figures(spark: SparkSession, d: str) -> DataFrame:
-    tex = F.when(COL("p_size") % 2 == 0, "a\n\\includegraphics{f}\nb").otherwise("\\begin{columns}\n\\includegraphics{f}\n\\end{columns}")
-    rows = table(spark, d, "part").select("p_partkey", slides.figures_apart(tex).alias("tex"))
-    return rows.select("p_partkey", "tex", (slides.figures_apart("tex") == COL("tex")).alias("stable"))
+    """A figure on a line of its own between the halves of each text, with columns around it or not."""
+    tex = F.when(COL("doc_id") % 2 == 0, F.concat("one", F.lit("\n\\includegraphics{f}\n"), "two")).otherwise(F.concat("one", F.lit("\n\\begin{columns}\n\\includegraphics{f}\n\\end{columns}\n"), "two"))
+    rows = _halves(spark, d).select("doc_id", slides.figures_apart(tex).alias("tex"))
+    return rows.select("doc_id", "tex", (slides.figures_apart("tex") == COL("tex")).alias("stable"))
 
 
-@query("SELECT p_partkey, '\\begin{tabular}{l' || CASE WHEN p_size % 2 = 0 THEN '|c' ELSE '' END || repeat('l', 1 + p_size % 4 - CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END) || '}x' || repeat(' & y', 1 + p_size % 4) || ' \\\\ z' || chr(10) || '\\end{tabular}' AS tex FROM part".replace("\\\\ ", "\\\\ "))
+@query("WITH " + _HALVES + r", w AS (SELECT doc_id, one, two, 2 + doc_id % 4 AS n, regexp_extract_all(t, '[A-Za-z]+') AS ws FROM h) SELECT doc_id, one || ' \begin{tabular}{l' || CASE WHEN doc_id % 2 = 0 THEN '|c' || repeat('l', n - 2) ELSE repeat('l', n - 1) END || '}' || array_to_string([coalesce(ws[i], 'y') FOR i IN range(1, n + 1)], ' & ') || ' \\ ' || two || chr(10) || '\end{tabular}' AS tex FROM w")
 def txt30_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Tables with unknown marks, too few columns and no end."""
-    spec = F.concat(F.lit("l"), F.when(COL("p_size") % 2 == 0, "|c").otherwise("Q"))
-    tex = F.concat(F.lit("\\begin{tabular}{"), spec, F.lit("}x"), F.repeat(F.lit(" & y"), 1 + COL("p_size") % 4), F.lit(" \\\\ z"))
-    return table(spark, d, "part").select("p_partkey", slides.tables_repaired(tex).alias("tex"))
+    """Each text's first words as the row of a table with unknown marks, too few columns and no end."""
+    spec = F.concat(F.lit("l"), F.when(COL("doc_id") % 2 == 0, "|c").otherwise("Q"))
+    words = F.regexp_extract_all("t", F.lit("[A-Za-z]+"), 0)
+    cells = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), 1 + COL("doc_id") % 4), lambda i: F.coalesce(F.get(words, i.cast("int")), F.lit("y"))), " & ")
+    tex = F.concat("one", F.lit(" \\begin{tabular}{"), spec, F.lit("}"), cells, F.lit(" \\\\ "), "two")
+    return _halves(spark, d).select("doc_id", slides.tables_repaired(tex).alias("tex"))
 
 
 @query("SELECT 1 AS versions, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM labels WHERE quality = 1")

@@ -78,9 +78,11 @@ def txt15_web_query(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", C.web_query(hint, terms).alias("q"))
 
 
-@query("SELECT item_id, '2401.' || item_id AS base FROM benchmark")
+@query("SELECT doc_id, md5(split_part(coalesce(text, ''), 'v', 1)) AS base, '2401.' || doc_id AS id FROM documents")
 def txt16_base_id(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select("item_id", C.base_id(F.concat(F.lit("2401."), COL("item_id").cast("string"), F.lit("v3"))).alias("base"))
+    """What stands before the first v, of whole texts and of ids."""
+    rows = _docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.concat(F.lit("2401."), COL("doc_id").cast("string"), F.lit("v3")).alias("id"))
+    return rows.select("doc_id", F.md5(C.base_id(COL("text")).cast("binary")).alias("base"), C.base_id(COL("id")).alias("id"))
 
 
 _SECRET = "'key sk-ant-a' || doc_id || ' sk-proj-b_2 /home/me/f ' || text || ' AIza' || md5(text)"
@@ -314,14 +316,14 @@ def txt29_surrogates(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.md5(D.drop_surrogates(raw).cast("binary")).alias("h"))
 
 
-@query("SELECT p_partkey, p_size + 1 AS words, CASE WHEN p_size % 2 = 0 THEN 'text_only' ELSE 'equation_centered' END AS layout, CASE WHEN p_size % 2 = 0 THEN 153 ELSE 76 END AS budget, greatest(0, p_size + 1 - CASE WHEN p_size % 2 = 0 THEN 153 ELSE 76 END) AS overage FROM part")
+@query("WITH w AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) + 1 AS words, doc_id % 2 = 0 AS plain FROM documents) SELECT doc_id, words, CASE WHEN plain THEN 'text_only' ELSE 'equation_centered' END AS layout, CASE WHEN plain THEN 153 ELSE 76 END AS budget, greatest(0, words - CASE WHEN plain THEN 153 ELSE 76 END) AS overage FROM w")
 def txt37_overflow(spark: SparkSession, d: str) -> DataFrame:
-    """Frames of p_size words, with or without math, against the canvas."""
+    """Frames of the words of each text, with or without math, against the canvas."""
     from quillspark.operators import slides
 
-    body = F.concat(F.repeat(F.lit("word "), COL("p_size")), F.when(COL("p_size") % 2 == 0, "x").otherwise("$y$"))
-    frames = table(spark, d, "part").select("p_partkey", F.concat(F.lit("\\begin{frame}{Title}"), body, F.lit("\\end{frame}")).alias("tex"), F.expr("cast(map() as map<string,double>)").alias("aspects"))
-    return slides.overflow(frames).select("p_partkey", "words", "layout", "budget", "overage")
+    body = F.concat(F.array_join(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), 0), " "), F.when(COL("doc_id") % 2 == 0, " x").otherwise(" $y$"))
+    frames = _docs(spark, d).select("doc_id", F.concat(F.lit("\\begin{frame}{Title}"), body, F.lit("\\end{frame}")).alias("tex"), F.expr("cast(map() as map<string,double>)").alias("aspects"))
+    return slides.overflow(frames).select("doc_id", "words", "layout", "budget", "overage")
 
 
 @query(r"SELECT doc_id, md5(regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g')) AS h FROM documents")
