@@ -97,6 +97,7 @@ def mix_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: floa
     """doc_id, size, source_size, target, taken."""
     tune(docs.sparkSession)
     rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), key_of(F.col("doc_id"), F.col("text")).alias("key"), F.monotonically_increasing_id().alias("row"))
+    rows = materialise(rows, "keyed")  # narrow, so the texts are read once for the ranges and the sort
     order = [F.asc_nulls_last("source"), "key", "row"]  # row deals out rows that are alike
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "source", "size")
     ranged = materialise(_running(ranged), "ranged")
