@@ -51,6 +51,15 @@ def test_chunks_are_slices_under_the_cap():
     assert re.sub(r"\s|\\section\{\w+\}", "", bare) == re.sub(r"\s", "", "".join(c[3] for c in chunks))
 
 
+def test_chunks_keep_the_cap_where_a_part_has_more_tokens():
+    tokens = lambda t: len(t.split()) + (t[:1].strip() != "")  # noqa: E731  # a space in front saves a token
+    text = " " + "ab " * 400
+    pieces = D.chunk(text, target=80, hard=len(text.split()), count=tokens)
+    assert max(tokens(c[3]) for c in pieces) <= 400 and "".join("".join(c[3].split()) for c in pieces) == "ab" * 400
+    pieces = D.chunk("ab " * 5000, target=80, hard=100, count=lambda t: len(t) // 3 + 2 * (not t.endswith(" ")))
+    assert all(len(c[3]) // 3 + 2 <= 100 for c in pieces) and "".join("".join(c[3].split()) for c in pieces) == "ab" * 5000
+
+
 def test_chunk_sections_given():
     text = "x" * 50 + "y" * 50
     assert [(c[0], c[1], c[2]) for c in D.chunk(text, sections=[("B", 50), ("Z", 500)], strip=False)] == [(None, 0, 50), ("B", 50, 100)]
