@@ -6,7 +6,7 @@ Counting words and matching layouts are column expressions over a row a frame; o
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,28 +44,47 @@ def body_words(tex: Column) -> Column:
     return F.size(F.regexp_extract_all(tex, F.lit(r"(\S+)"), 1))
 
 
+def _bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value computed once however often of() names it: a column named twice is computed twice within a lambda."""
+    return F.transform(F.array(value), of)[0]
+
+
 def size_cm(spec: Column) -> Column:
     """A TeX length in cm; a bare number is a share of the line; null if it can't be read."""
     pattern = r"^\s*(\d*\.?\d*)\s*(\\linewidth|\\textwidth|\\textheight|\\paperwidth|\\paperheight|cm|mm|pt|in)?\s*$"
-    number, unit = F.regexp_extract(spec, pattern, 1), F.regexp_extract(spec, pattern, 2)
-    value = F.when(number == "", 1.0).otherwise(number.try_cast("double"))
-    factor = (
-        F.when(unit.isin("", "\\linewidth", "\\textwidth", "\\paperwidth"), LINE_WIDTH_CM).when(unit.isin("\\textheight", "\\paperheight"), TEXT_HEIGHT_CM)
-        .when(unit == "cm", 1.0).when(unit == "mm", 0.1).when(unit == "pt", 0.0353).when(unit == "in", 2.54)
-    )
-    return F.when(spec.rlike(pattern), value * factor)
+
+    def read(s: Column) -> Column:
+        return F.when(s.rlike(pattern), _bound(F.struct(F.regexp_extract(s, pattern, 1).alias("number"), F.regexp_extract(s, pattern, 2).alias("unit")), size))
+
+    def size(s: Column) -> Column:
+        number, unit = s["number"], s["unit"]
+        value = F.when(number == "", 1.0).otherwise(number.try_cast("double"))
+        factor = (
+            F.when(unit.isin("", "\\linewidth", "\\textwidth", "\\paperwidth"), LINE_WIDTH_CM).when(unit.isin("\\textheight", "\\paperheight"), TEXT_HEIGHT_CM)
+            .when(unit == "cm", 1.0).when(unit == "mm", 0.1).when(unit == "pt", 0.0353).when(unit == "in", 2.54)
+        )
+        return value * factor
+
+    return _bound(spec, read)
 
 
 def graphic_box(options: Column, aspect: Column) -> Column:
     """struct(w, h) in cm of a graphic with its options; the line's width unless one is given."""
-    option = lambda name: F.nullif(F.trim(F.regexp_extract(options, rf"(?i)(?:^|,)\s*{name}\s*=\s*([^,]+)", 1)), F.lit(""))
-    w, h = size_cm(option("width")), size_cm(option("height"))
-    w = F.when(w.isNull() & h.isNull(), LINE_WIDTH_CM).otherwise(w)
-    keep = options.rlike(r"(?:^|,)\s*keepaspectratio\s*(?:,|$)")
-    by_width = w.isNotNull() & (h.isNull() | (w * w / aspect <= h * h * aspect))
-    fitted = F.when(by_width, F.struct(w.alias("w"), (w / aspect).alias("h"))).otherwise(F.struct((h * aspect).alias("w"), h.alias("h")))
-    free = F.struct(F.coalesce(w, h * aspect).alias("w"), F.coalesce(h, w / aspect).alias("h"))
-    return F.when(keep, fitted).otherwise(free)
+
+    def option(of: Column, name: str) -> Column:
+        return _bound(F.trim(F.regexp_extract(of, rf"(?i)(?:^|,)\s*{name}\s*=\s*([^,]+)", 1)), lambda x: F.when(x != "", x))
+
+    def given(s: Column) -> Column:
+        return F.struct(size_cm(option(s["options"], "width")).alias("w"), size_cm(option(s["options"], "height")).alias("h"), s["aspect"].alias("aspect"), s["options"].alias("options"))
+
+    def box(s: Column) -> Column:
+        w, h, ratio = F.when(s["w"].isNull() & s["h"].isNull(), LINE_WIDTH_CM).otherwise(s["w"]), s["h"], s["aspect"]
+        keep = w.isNotNull() & h.isNotNull() & s["options"].rlike(r"(?:^|,)\s*keepaspectratio\s*(?:,|$)")  # of one number it changes nothing
+        fitted = F.when(w * w / ratio <= h * h * ratio, F.struct(w.alias("w"), (w / ratio).alias("h"))).otherwise(F.struct((h * ratio).alias("w"), h.alias("h")))
+        free = F.struct(F.coalesce(w, h * ratio).alias("w"), F.coalesce(h, w / ratio).alias("h"))
+        return F.when(keep, fitted).otherwise(free)
+
+    return _bound(F.struct(options.alias("options"), aspect.alias("aspect")), lambda s: _bound(given(s), box))
 
 
 def footprint(tex: Column, aspects: Column) -> Column:
@@ -75,7 +94,7 @@ def footprint(tex: Column, aspects: Column) -> Column:
     def area(call: Column) -> Column:
         key = F.regexp_extract(call, r"\{([^}]+)\}$", 1)
         box = graphic_box(F.regexp_extract(call, r"\[([^\]]*)\]", 1), F.coalesce(F.try_element_at(aspects, key), F.lit(1.0)))
-        return box["w"] * box["h"]
+        return _bound(box, lambda b: b["w"] * b["h"])
 
     return F.aggregate(F.transform(calls, area), F.lit(0.0), lambda a, b: a + b)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
 from quillspark.operators import relational as R
-from quillspark.registry import query, table
+from quillspark.registry import query, spread, table
 
 COL = F.col
 NOW = "1998-01-01"
@@ -317,7 +317,7 @@ def agg18_footprint(spark: SparkSession, d: str) -> DataFrame:
 
     mm = (1 + COL("l_partkey") % 90).cast("string")
     tex = F.concat(F.lit("\\includegraphics[width="), mm, F.lit("mm]{fig}"))
-    rows = table(spark, d, "lineitem").select("l_orderkey", slides.footprint(tex, F.create_map(F.lit("fig"), (1 + COL("l_linenumber") % 3).cast("double"))).alias("area"))
+    rows = spread(table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")).select("l_orderkey", slides.footprint(tex, F.create_map(F.lit("fig"), (1 + COL("l_linenumber") % 3).cast("double"))).alias("area"))
     return rows.groupBy("l_orderkey").agg(F.round(F.sum("area"), 4).alias("footprint"))
 
 

@@ -251,6 +251,13 @@ def test_escapes_keep_control_characters(spark):
     assert tuple(row) == ("a\u0001b\\textbackslash{}c\\textasciitilde{}\\_", None)
 
 
+def test_footprint_reads_each_option_once(spark):
+    tex = r"\includegraphics[width=20mm,height=1cm,keepaspectratio]{a} \includegraphics{b} \includegraphics[height=.5in]{c} \includegraphics[width=x]{c}"
+    rows = spark.createDataFrame([(tex, {"a": 4.0, "c": 2.0})], "tex string, aspects map<string,double>").select(slides.footprint(F.col("tex"), F.col("aspects")).alias("area"))
+    assert rows.first().area == pytest.approx(2 * 0.5 + 12.8 * 12.8 + 2.54 * 1.27 + 12.8 * 6.4)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_extract(") <= 8
+
+
 def test_token_counts_equal_the_tokenizer():
     tiktoken, public = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
     import base64
