@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,51 +97,94 @@ def run_states(stream: DataFrame) -> DataFrame:
 
 
 RUN_CHANGE = "run_id long, status string, n_events long, ended timestamp, evicted boolean"
+#: RUN_CHANGE with the end in microseconds.
+_CHANGE = "run_id long, status string, n_events long, ended long, evicted boolean"
+_RUNS = pa.schema([("run_id", pa.int64()), ("status", pa.string()), ("n_events", pa.int64()), ("ended", pa.int64())])
+#: The end of a run that hasn't ended.
+_OPEN = np.iinfo(np.int64).max
 
 
 class _Lifecycle(StatefulProcessor):
-    """A run's status, number of events and end. The first terminal status stays; its timer removes the state."""
+    """The runs of a bucket: status, number of events and end of each. The first terminal status stays; the bucket's timer, set for
+    the run that is due first, removes all that are due."""
 
     def __init__(self, ttl_seconds: int) -> None:
         self.ttl_ms = ttl_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", "status string, n long, ended timestamp")
+        self.held = handle.getValueState("runs", "runs binary, timer long")
+
+    def _read(self) -> tuple[pd.DataFrame, int | None]:
+        raw, timer = self.held.get() if self.held.exists() else (None, None)
+        table = _RUNS.empty_table() if raw is None else pa.ipc.open_stream(bytes(raw)).read_all()
+        return table.to_pandas().set_index("run_id"), timer
+
+    def _write(self, runs: pd.DataFrame, timer: int | None) -> None:
+        """Keep these runs, and a timer for the first that is due in the place of the one there is."""
+        due = min((x for x in [runs["ended"].min()] if x < _OPEN), default=None) if len(runs) else None
+        due = None if due is None else int(due) // 1000 + self.ttl_ms
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is not None and timer != due:
+            self.handle.registerTimer(due)
+        if not len(runs):
+            self.held.clear()
+            return
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, _RUNS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+            to.write_table(pa.Table.from_pandas(runs.reset_index(), _RUNS, preserve_index=False))
+        self.held.update((out.getvalue().to_pybytes(), due))
 
-    def _told(self, key: tuple, evicted: bool) -> pd.DataFrame:
-        status, n, ended = self.run.get()
-        return pd.DataFrame({"run_id": [key[0]], "status": [status], "n_events": [n], "ended": pd.to_datetime(pd.Series([ended])), "evicted": [evicted]})
+    def _told(self, key: tuple, runs: pd.DataFrame, evicted: bool) -> pd.DataFrame:
+        ended = pd.array(runs["ended"], "Int64")
+        ended[(runs["ended"] == _OPEN).to_numpy()] = pd.NA
+        run_id = pd.array(runs.index, "Int64") if key[0] >= 0 else pd.array([pd.NA] * len(runs), "Int64")
+        return pd.DataFrame({"run_id": run_id, "status": runs["status"].to_numpy(), "n_events": runs["n_events"].to_numpy(), "ended": ended, "evicted": evicted})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        status, n, ended = self.run.get() if self.run.exists() else ("running", 0, None)
-        ends = []
+        counts, ends = [], []
         for pdf in rows:
-            n += len(pdf)
-            ends += list(pdf.loc[pdf["status"].isin(TERMINAL), ["ts", "status"]].itertuples(index=False, name=None))
-        if status == "running" and ends:
-            ended, status = min(ends)
-            self.handle.registerTimer(int(ended.timestamp() * 1000) + self.ttl_ms)
-        self.run.update((status, n, None if ended is None or pd.isna(ended) else pd.Timestamp(ended).to_pydatetime()))
-        yield self._told(key, False)
+            counts.append(pdf.groupby("run_id").size())
+            ends.append(pdf.loc[pdf["status"].isin(TERMINAL), ["run_id", "at", "status"]])
+        n = pd.concat(counts).groupby(level=0).sum()
+        first = pd.concat(ends).sort_values(["at", "status"]).drop_duplicates("run_id").set_index("run_id")
+        runs, timer = self._read()
+        new = pd.DataFrame({"status": "running", "n_events": 0, "ended": _OPEN}, index=n.index.difference(runs.index).rename("run_id"))
+        runs = pd.concat([x for x in (runs, new) if len(x)])
+        runs.loc[n.index, "n_events"] += n
+        ending = first.index[(runs.loc[first.index, "status"] == "running").to_numpy()]
+        runs.loc[ending, "status"] = first.loc[ending, "status"]
+        runs.loc[ending, "ended"] = first.loc[ending, "at"]
+        self._write(runs, timer)
+        yield self._told(key, runs.loc[n.index], False)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        if self.run.exists():
-            yield self._told(key, True)
-            self.run.clear()
+        runs, timer = self._read()
+        fired = expiredTimerInfo.getExpiryTimeInMs()
+        upto = max(fired, timerValues.getCurrentWatermarkInMs() - 1)  # timers under the watermark fire
+        due = (runs["ended"] < _OPEN) & (runs["ended"] // 1000 + self.ttl_ms <= upto)
+        self._write(runs[~due], None if timer == fired else timer)  # one that fired is gone
+        yield self._told(key, runs[due], True)
 
     def close(self) -> None:
         pass
 
 
-def run_lifecycle(stream: DataFrame, ttl_seconds: int = TTL_SECONDS, late: str = "10 minutes") -> DataFrame:
+def run_lifecycle(stream: DataFrame, ttl_seconds: int = TTL_SECONDS, late: str = "10 minutes", buckets: int = 256) -> DataFrame:
     """RUN_CHANGE rows: each run's state after a batch that has events of it, and its eviction ttl_seconds after its end, by event time.
 
     stream: run_id, status (null unless the event ends the run), ts. The watermark, late behind the newest event, drives the timers, so
     the same events give the same evictions at any speed. An ended run's further events are counted until it is evicted; then
-    they begin it anew. State is three values a run, kept by RocksDB: the session needs its provider (rocks()).
+    they begin it anew. State is three values a run, kept by RocksDB: the session needs its provider (rocks()). Runs share a state and
+    a timer by buckets of their ids, as a call for each run costs far more than its rows; a stream keeps the number it began with.
     """
-    return stream.withWatermark("ts", late).groupBy("run_id").transformWithStateInPandas(_Lifecycle(ttl_seconds), RUN_CHANGE, "Update", "EventTime")
+    bucket = F.when(F.col("run_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("run_id"), F.lit(buckets)).cast("int"))
+    rows = stream.withWatermark("ts", late).select(
+        bucket.alias("bucket"), F.coalesce("run_id", F.lit(0)).cast("long").alias("run_id"), F.when(F.col("ts").isNotNull(), F.col("status")).alias("status"), F.coalesce(F.unix_micros("ts"), F.lit(0)).alias("at"), "ts"
+    )
+    changes = rows.groupBy("bucket").transformWithStateInPandas(_Lifecycle(ttl_seconds), _CHANGE, "Update", "EventTime")
+    return changes.withColumn("ended", F.timestamp_micros("ended"))
 
 
 def rocks(spark: SparkSession) -> None:
