@@ -74,7 +74,7 @@ def src3_pdf_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Every document as a PDF, written and read: pages, text, title and authors; what is no PDF has an error."""
     files = state.materialise(_pdfs(spark, d, headed=False), "pdf")
     texts = SD.pdf_text(SP.page_texts(SP.spans(files), "doc_id"), "doc_id").withColumnRenamed("doc_id", "id")
-    said = SP.info(files).withColumnRenamed("doc_id", "key")
+    said = state.materialise(SP.info(files), "info").withColumnRenamed("doc_id", "key")
     raw = said.select("key", "title", "author", "created", "modified", F.expr("cast(array() as array<struct<text: string, size: double>>)").alias("first_page"))
     named = SD.pdf_metadata(raw, 2026).select(COL("key").alias("named"), COL("title").alias("own"), F.array_join("authors", "|").alias("authors"))
     rows = said.join(texts, COL("key") == COL("id"), "left").join(named, COL("key") == COL("named"), "left")

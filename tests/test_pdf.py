@@ -128,3 +128,13 @@ def test_rows_of_files(spark, tmp_path):
     assert said["a.pdf"] == (2, "Some paper", "D:20190101", True) and said["flat.pdf"] == (1, None, None, True) and said["bad.pdf"][3] is False
     assert SP.spans(spark.createDataFrame([(1, None)], "id long, content binary")).collect()[0].error == "no file"
     assert SP.spans(spark.createDataFrame([], "id long, content binary")).count() == 0
+
+
+def test_a_font_is_read_once_for_all_pages(monkeypatch):
+    made = []
+    monkeypatch.setattr(P, "Font", lambda doc, fields, font=P.Font: made.append(1) or font(doc, fields))
+    pages = [[(10.0, f"page {i} \u00e4\u4e2d")] for i in range(12)]
+    for packed in (False, True):
+        doc = P.Document(SP.pdf_bytes(pages, {}, packed))
+        assert ["".join(s.text for s in P.page_spans(doc, p)) for p in doc.pages()] == [page[0][1] for page in pages]
+    assert len(made) == 2
