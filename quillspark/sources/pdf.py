@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from itertools import accumulate, islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,9 +112,9 @@ def sections(found: DataFrame, key: str) -> DataFrame:
     rows = lines.select(F.col(key).alias("doc"), (F.col("page") - 1).alias("page"), F.col("line").alias("pos"), "size", name.alias("text"))
     heads = L.headings(rows.filter(F.col("size").isNotNull())).filter(_shaped(F.col("name")))
     texts = page_texts(found, key)
-    parts = F.sort_array(F.collect_list(F.struct("page", (F.length("text") + len(PAGE_BREAK)).alias("n"))))
-    starts = texts.groupBy(key).agg(parts.alias("p")).select(F.col(key).alias("doc"), F.posexplode(F.expr("transform(p, (x, i) -> named_struct('page', x.page - 1, 'start', aggregate(slice(p, 1, i), 0, (a, y) -> a + y.n)))")).alias("i", "s"))
-    placed = heads.join(starts.select("doc", "s.page", "s.start"), ["doc", "page"]).join(texts.select(F.col(key).alias("doc"), (F.col("page") - 1).alias("page"), F.col("text").alias("whole")), ["doc", "page"])
+    before = Window.partitionBy("doc").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    starts = texts.select(F.col(key).alias("doc"), (F.col("page") - 1).alias("page"), (F.length("text") + len(PAGE_BREAK)).alias("n")).select("doc", "page", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("start"))
+    placed = heads.join(starts, ["doc", "page"]).join(texts.select(F.col(key).alias("doc"), (F.col("page") - 1).alias("page"), F.col("text").alias("whole")), ["doc", "page"])
     return placed.select(F.col("doc").alias(key), "name", (F.col("start") + F.expr("locate(name, whole)") - 1).alias("char_start"))
 
 

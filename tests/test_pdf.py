@@ -138,3 +138,14 @@ def test_a_font_is_read_once_for_all_pages(monkeypatch):
         doc = P.Document(SP.pdf_bytes(pages, {}, packed))
         assert ["".join(s.text for s in P.page_spans(doc, p)) for p in doc.pages()] == [page[0][1] for page in pages]
     assert len(made) == 2
+
+
+def test_places_of_headings_over_many_pages(spark):
+    text = "some plain words of a page "
+    pages = [[{"size": 12.0, "text": f"Heading {i}"}, {"size": 10.0, "text": text * (1 + i % 3)}] for i in range(300)]
+    rows = spark.createDataFrame([(1, [[{"size": 18.0, "text": "Title"}], *pages], None, None, True)], "id long, pages array<array<struct<size:double,text:string>>>, title string, author string, packed boolean")
+    found = SP.spans(SP.with_pdf(rows, "pages", "title", "author", "packed")).cache()
+    whole = SP.PAGE_BREAK.join(r.text for r in SP.page_texts(found, "id").orderBy("page").collect())
+    heads = SP.sections(found, "id")
+    assert sorted((r.char_start, r.name) for r in heads.collect()) == [(whole.index(f"Heading {i}\n"), f"Heading {i}") for i in range(300)]
+    assert "aggregate(slice(" not in heads._jdf.queryExecution().analyzed().toString()  # no sum over the pages before for each page
