@@ -6,8 +6,11 @@ a window over the natural key, never over the whole table.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -212,27 +215,58 @@ def page(rows: DataFrame, order: Sequence[Column], limit: int, offset: int = 0)
     return rows.orderBy(*order).offset(max(0, offset)).limit(min(200, max(1, limit)))
 
 
+def _greedy(parts: list[tuple[str, int, list[str]]], threshold: float) -> list[tuple[int, int, float]]:
+    """(target, candidate, score) of one document. Candidates are counted from lists of those that hold a token, so only those that share one are met;
+    the first of equals is taken.
+    """
+    rows = sorted(parts, key=lambda r: r[1])
+    last = {c: set(t) for s, c, t in rows if s == "candidate"}
+    order = sorted(last)
+    every, free, held = np.arange(len(order)), np.ones(len(order), bool), {}
+    for i, c in enumerate(order):
+        for w in last[c]:
+            held.setdefault(w, []).append(i)
+    held = {w: np.array(at) for w, at in held.items()}
+    out = []
+    for side, pos, words in rows:
+        if side != "target" or not (own := set(words)):
+            continue
+        lists = [held[w] for w in own if w in held]
+        if not lists:
+            continue
+        met = np.concatenate(lists)
+        at, hits = np.unique(met, return_counts=True) if 16 * len(met) < len(order) else (every, np.bincount(met, minlength=len(order)))
+        hits = hits * free[at]
+        best = int(hits.argmax())  # the first of equals
+        best, score = int(at[best]), int(hits[best]) / len(own)
+        if score >= threshold and score > 0:
+            free[best] = False
+            out.append((pos, order[best], score))
+    return out
+
+
 def greedy_overlap(pairs_of: DataFrame, doc: str, threshold: float = 0.6) -> DataFrame:
     """Per document, each target takes the unused candidate with most of its tokens, in target order.
 
     pairs_of: doc, side (`target` or `candidate`), pos, tokens. The choice depends on the ones before it, so a document's rows
-    meet in one Arrow group; a document is small.
+    are gathered in one row; a document is small.
     """
-    import pandas as pd
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        side = lambda s: [(int(p), set(t)) for p, t in pdf[pdf.side == s].sort_values("pos")[["pos", "tokens"]].itertuples(index=False)]
-        free, out = dict(side("candidate")), []
-        for pos, tokens in side("target"):
-            ranked = [(len(tokens & have) / len(tokens), -c) for c, have in free.items()] if tokens else []
-            score, minus = max(ranked, default=(0.0, 0))
-            if ranked and score >= threshold and score > 0:
-                free.pop(-minus)
-                out.append((pdf[doc].iloc[0], pos, -minus, score))
-        return pd.DataFrame(out, columns=[doc, "target", "candidate", "score"])
 
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = batch.column("__rows")
+            rows = each.flatten()
+            words = iter(rows.field("tokens").flatten().to_pylist())
+            sizes = rows.field("tokens").value_lengths().to_pylist()
+            parts = zip(rows.field("side").to_pylist(), rows.field("pos").to_pylist(), ([*islice(words, n or 0)] for n in sizes), strict=True)
+            found = [_greedy(list(islice(parts, n)), threshold) for n in each.value_lengths().to_pylist()]
+            own = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+            target, candidate, score = zip(*(x for f in found for x in f), strict=True) if len(own) else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(doc).take(own), pa.array(target, pa.int64()), pa.array(candidate, pa.int64()), pa.array(score, pa.float64())], names=[doc, "target", "candidate", "score"])
+
+    pairs_of.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     schema = T.StructType([pairs_of.schema[doc], T.StructField("target", T.LongType()), T.StructField("candidate", T.LongType()), T.StructField("score", T.DoubleType())])
-    return pairs_of.groupBy(doc).applyInPandas(match, schema)
+    return pairs_of.groupBy(doc).agg(F.collect_list(F.struct("side", F.col("pos").cast("long").alias("pos"), "tokens")).alias("__rows")).mapInArrow(match, schema)
 
 
 def first_theta_match(frames: DataFrame, roles: DataFrame, threshold: float = 0.6) -> DataFrame:

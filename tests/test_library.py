@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import random
-
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,6 +166,24 @@ def test_greedy_overlap_uses_each_candidate_once(spark):
     assert sorted((r.target, r.candidate) for r in R.greedy_overlap(rows, "doc", 0.5).collect()) == [(0, 0), (1, 1)]
 
 
+def test_greedy_overlap_meets_only_candidates_that_share_a_word(spark):
+    rng, words = random.Random(3), [f"w{i}" for i in range(12)]
+    parts = [(rng.choice(["target", "candidate"]), pos, rng.sample(words, rng.randrange(5))) for pos in range(60)]
+    free, want = {c: set(t) for s, c, t in parts if s == "candidate"}, []
+    for _, pos, t in (p for p in parts if p[0] == "target" and p[2]):
+        score, minus = max(((len(set(t) & have) / len(set(t)), -c) for c, have in free.items()), default=(0.0, 0))
+        if score >= 0.3:
+            free.pop(-minus)
+            want.append((pos, -minus, score))
+    rows = spark.createDataFrame([(d, s, p, t) for d in (1, 2) for s, p, t in parts], "doc long, side string, pos int, tokens array<string>")
+    got = [(r.doc, r.target, r.candidate, r.score) for r in R.greedy_overlap(rows, "doc", 0.3).collect()]
+    assert sorted(got) == [(d, *w) for d in (1, 2) for w in want]
+    n = 6000  # each line has a word of its own: before, 36 million pairs of sets
+    lines = [("candidate", 2 * i + 1, [f"c{i}"]) for i in range(n)] + [("target", 2 * i, [f"c{n - 1 - i}", "x"]) for i in range(n)]
+    began = time.perf_counter()
+    assert R._greedy(lines, 0.5) == [(2 * i, 2 * (n - 1 - i) + 1, 0.5) for i in range(n)] and time.perf_counter() - began < 5
+
+
 def test_spans_and_intervals(spark):
     rows = spark.createDataFrame([(1, 0, 5), (1, 4, 8), (1, 8, 9), (1, 1, 2)], "k int, s int, e int")
     assert sorted((r.s, r.e) for r in R.merge_spans(rows, ["k"], "s", "e").collect()) == [(0, 8), (8, 9)]
