@@ -61,7 +61,8 @@ def standalone(blocks: DataFrame) -> DataFrame:
 
 def rendered_groups(blocks: DataFrame) -> DataFrame:
     """(doc, group_id, text, kind, caption, boxes): a group's caption over its table, from its children."""
-    child = blocks.select("doc", F.col("block_id").alias("child_id"), "block_type", "html", F.trim(F.coalesce("caption", C.strip_tags(F.col("html")))).alias("said"), F.col("bbox").alias("box"))
+    told = F.when(F.col("block_type").isin("Caption", "Table", *FIGURES), F.col("html")).alias("html")  # of other children only the box counts
+    child = blocks.select("doc", "block_id", "block_type", told, "caption", "bbox").select("doc", F.col("block_id").alias("child_id"), "block_type", "html", F.trim(F.coalesce("caption", C.strip_tags(F.col("html")))).alias("said"), F.col("bbox").alias("box"))
     rows = group_children(blocks).join(child, ["doc", "child_id"])
     is_caption, is_table, is_figure = F.col("block_type") == "Caption", F.col("block_type") == "Table", F.col("block_type").isin(*FIGURES)
     said = F.when((is_caption | is_figure) & (F.col("said") != ""), F.col("said"))
@@ -99,7 +100,10 @@ def pieces(blocks: DataFrame) -> DataFrame:
 
 
 def assemble(blocks: DataFrame, target: int = 800, hard: int = 1000, count: Callable[[str], int] = D.rough_tokens) -> DataFrame:
-    """Chunks of one section and page each, within the token budget; tables and figures stand alone."""
+    """Chunks of one section and page each, within the token budget; tables and figures stand alone.
+
+    Blocks are dealt out by document once, and joins on a document and an id find them so: that takes a setting of the session.
+    """
 
     def cut(rows: list) -> list[tuple]:
         runs: list[list] = []
@@ -139,7 +143,8 @@ def assemble(blocks: DataFrame, target: int = 800, hard: int = 1000, count: Call
         if waiting:
             yield pd.DataFrame(cut(waiting), columns=names)
 
-    rows = pieces(blocks).repartition("doc").sortWithinPartitions("doc", "pos").mapInPandas(cut_all, CHUNKS)
+    blocks.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    rows = pieces(blocks.repartition("doc")).repartition("doc").sortWithinPartitions("doc", "pos").mapInPandas(cut_all, CHUNKS)
     return rows.withColumn("layout_label", C.layout_label(F.col("layout_caption"))).withColumn("match_text", C.strip_markdown(F.col("text")))
 
 

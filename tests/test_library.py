@@ -161,6 +161,20 @@ def test_search_stems_folds_and_orders_by_the_raw_score(spark):
     assert [r.id for r in S.search(same, "id", "t", ["red"], True, 4).collect()] == [3, 2, 1, 0]
 
 
+def test_layout_chunks_deal_texts_out_twice(spark):
+    rows = [(d, 4 * i, f"b{i}", "SectionHeader" if i % 4 == 0 else "Text", f"<p>said {i}</p>", "", {"1": f"b{i - i % 4}"}, [0.0, 0.0, 1.0, 1.0], i // 8, None) for d in (1, 2) for i in range(16)]
+    rows += [(d, 4 * i + 2, f"g{i}", "TableGroup", f"<content-ref src='b{i + 1}'></content-ref>", "", {}, [0.0, 0.0, 2.0, 2.0], i // 8, None) for d in (1, 2) for i in (4, 8)]
+    chunks = L.assemble(spark.createDataFrame(rows, L.BLOCKS))
+    got = {d: " ".join(r.text for r in chunks.filter(f"doc = {d}").orderBy("ordinal").collect()).split() for d in (1, 2)}
+    assert got[1] == got[2] == " ".join(f"## said {i}" if i % 4 == 0 else f"said {i}" for i in range(16) if i not in (5, 9)).split()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = L.assemble(spark.createDataFrame(rows, L.BLOCKS))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(doc#") - plan.count("ENSURE_REQUIREMENTS") <= 7 and plan.count("ENSURE_REQUIREMENTS") <= 4, plan
+
+
 def test_greedy_overlap_uses_each_candidate_once(spark):
     rows = spark.createDataFrame([(1, "target", 0, ["a", "b"]), (1, "target", 1, ["a", "b"]), (1, "candidate", 0, ["a", "b", "c"]), (1, "candidate", 1, ["a", "z"]), (1, "target", 2, [])], "doc long, side string, pos int, tokens array<string>")
     assert sorted((r.target, r.candidate) for r in R.greedy_overlap(rows, "doc", 0.5).collect()) == [(0, 0), (1, 1)]
